@@ -5,6 +5,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,10 @@ from sigmill.llm.common import documents
 #: Context sizes, longest first; a document goes to the smallest that holds it.
 TIERS = (4096, 2048, 1024, 512)
 END_ID = 2
-#: Distinct chunks that one worker remembers.
-REMEMBER = 400_000
+#: Punctuation that may be cut off behind an ASCII letter.
+TRAILING = b".,!?;:*%$#&"
+#: Distinct chunks and stems that one worker remembers.
+REMEMBER = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -30,8 +34,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class ChunkEncoder:
     """Ids of a text as the joined ids of its chunks between ASCII white space.
 
-    The tokenizer drops white space and merges within words alone, so chunks can be looked up one by one;
-    a chunk is sent to the tokenizer when it is first met.
+    The tokenizer drops white space, folds case and never merges letters with punctuation, so chunks, and within
+    them a stem and the plain punctuation behind its last ASCII letter, can be looked up one by one; a stem is sent
+    to the tokenizer when it is first met.
     """
 
     def __init__(self, path: str):
@@ -39,17 +44,34 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Put the ids of new chunks into ``known``."""
+        low = [c.lower() for c in chunks]
+        heads = [c.rstrip(TRAILING) for c in low]
+        heads = [h if h[-1:].isalpha() else c for h, c in zip(heads, low, strict=True)]
+        tails = [c[len(h) :] for h, c in zip(heads, low, strict=True)]
+        stems = self.stems
+        new = list(set(heads).union(tails).difference(stems))
+        if len(stems) + len(new) > REMEMBER:
+            stems.clear()
+            new = list(set(heads).union(tails))
+        for i in range(0, len(new), 4096):
+            block = new[i : i + 4096]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in block], add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(found), np.uint32).tobytes()
+            ends = [4 * n for n in accumulate(map(len, found))]
+            stems.update(zip(block, map(flat.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+        self.known.update(zip(chunks, map(add, map(stems.__getitem__, heads), map(stems.__getitem__, tails)), strict=True))
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         known, parts = self.known, [t.split() for t in texts]
-        new = list(set().union(*parts).difference(known)) if parts else []
+        new = set().union(*parts).difference(known)
         if len(known) + len(new) > REMEMBER:
             known.clear()
-            new = list(set().union(*parts))
-        for i in range(0, len(new), 4096):
-            block = new[i : i + 4096]
-            for chunk, e in zip(block, self.tokenizer.encode_batch([c.decode() for c in block], add_special_tokens=False), strict=True):
-                known[chunk] = np.array(e.ids, np.uint32).tobytes()
+            new = set().union(*parts)
+        self.learn(list(new))
         end = np.array([END_ID], np.uint32).tobytes()
         return [np.frombuffer(b"".join([*map(known.__getitem__, p), end]), np.uint32) for p in parts]
 
@@ -149,8 +171,8 @@ def pack(docs: DataFrame, path: str | None = None, step_sequences: int = 8) -> D
         encode = encoder(path)
         packer = Packer(TaskContext.get().partitionId() << 33, step_sequences)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), encode.ids(texts), strict=True):
                     packer.add(doc, ids)
