@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sigmill.llm.common import documents, materialize
 from sigmill.llm.mixing import repeat_copies
+from sigmill.llm.neardup import keep_one
 from sigmill.llm.packing import pack
 from sigmill.llm.quality import fit, keep_good
+from sigmill.llm.secrets import redact
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +17,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, fit(docs, documents(spark, sf_dir, "labels")))
 
 
+def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies: the one with the smallest id."""
+    return keep_one(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every found secret by a mark; no document goes."""
+    return redact(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents so that the sources' words follow their weights."""
     return repeat_copies(docs)
@@ -25,7 +37,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("quality", quality), ("mixing", mixing), ("packing", packing)]
+STAGES = [
+    ("quality", quality),
+    ("neardup", neardup),
+    ("secrets", secrets),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
 #: The classifier, the tokenizer and the packing can't be written in SQL.
 ORACLE_SQL = None

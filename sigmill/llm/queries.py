@@ -10,8 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module of this package that has it.
 NAMES = {
     "op1_quality": "quality",
+    "op2_neardup": "neardup",
+    "op3_htmltext": "htmltext",
     "op4_mixing": "mixing",
+    "op5_secrets": "secrets",
+    "op6_fingerprints": "fingerprints",
     "op7_packing": "packing",
+    "op8_media": "media",
+    "op9_tokencount": "tokencount",
+    "op10_suffixdedup": "suffixdedup",
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -201,11 +201,11 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Order of all suffixes by their first ``depth`` symbols or more (Larsson-Sadakane: groups of equal prefixes are
     refined by the group numbers that lie one prefix length on, and only groups with more than one suffix)."""
     n = len(codes)
-    padded = np.concatenate([codes.astype(np.int64) + 1, np.zeros(8, np.int64)])
+    padded = np.concatenate([codes.astype(np.int64) + 1, np.zeros(4, np.int64)])
     key = np.zeros(n, np.int64)
-    done = 7
+    done = 3  # symbols below 2**21 packed into the first key
     for j in range(done):
-        key = key * 512 + padded[j : j + n]
+        key = (key << 21) + padded[j : j + n]
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     fresh = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
@@ -234,7 +234,8 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, cap: int, step: int =
     """Common prefix, at most ``cap``, of each suffix in ``order`` with the one before it.
 
     Kasai's rule, that the next position's prefix is at most one shorter, run over all positions that are equal
-    modulo ``step`` at once: each class starts from what the class before has found.
+    modulo ``step`` at once: each class starts from what the class before has found. ``order`` must be the order of
+    whole suffixes.
     """
     n = len(codes)
     before = np.full(n, -1, np.int64)
@@ -258,14 +259,15 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, cap: int, step: int =
 
 def shard_windows(contexts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All 50-byte windows of a shard: sorted distinct windows with their smallest id, and for every window start its
-    place (in the joined contexts with one gap each) and the number of its distinct window."""
+    place (in the joined contexts with one gap each) and the number of its distinct window. Each context ends in a
+    symbol of its own, so no two suffixes are equal."""
     sizes = np.array([len(c) for c in contexts])
     firsts = np.concatenate([[0], np.cumsum(sizes + 1)])
-    codes = np.zeros(firsts[-1], np.int64)
     owner = np.repeat(np.arange(len(contexts)), sizes + 1)
     body = np.arange(firsts[-1]) - firsts[owner] < sizes[owner]
-    codes[body] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + 1
-    order = suffix_array(codes, MATCH)
+    codes = 256 + owner
+    codes[body] = np.frombuffer(b"".join(contexts), np.uint8)
+    order = suffix_array(codes, int(sizes.max()) + 1)
     prefix = common_prefixes(codes, order, MATCH)
     offset = order - firsts[owner[order]]
     valid = offset + MATCH <= sizes[owner[order]]
@@ -276,7 +278,7 @@ def shard_windows(contexts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray,
     head[0] = True
     at = np.flatnonzero(head)
     least = np.minimum.reduceat(docs[owner[starts]], at)
-    windows = (codes[starts[at][:, None] + np.arange(MATCH)] - 1).astype(np.uint8).view(f"S{MATCH}").ravel()
+    windows = codes[starts[at][:, None] + np.arange(MATCH)].astype(np.uint8).view(f"S{MATCH}").ravel()
     return windows, least, starts, np.cumsum(head) - 1
 
 
