@@ -100,7 +100,10 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def repeat_copies(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as many times as it has copies, with its own columns."""
-    plan = mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mix itself: each document as many times as it has copies, with its own columns.
+
+    Rows that share an id all get the copies of one of them.
+    """
+    plan = mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("_mix_copies"))
+    joined = docs.join(plan.dropDuplicates(["_mix_id"]), F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    return joined.withColumn("_mix_copy", F.explode("_mix_copies")).select(*docs.columns)

@@ -121,20 +121,20 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     joined to their linked spans by id.
     """
     found = materialize(candidates(docs).filter(F.size("weak") > 0))
-    extra = linked(found).withColumnRenamed("doc_id", "_id")
+    extra = linked(found).select(F.col("doc_id").alias("_secret_id"), F.col("extra").alias("_secret_extra"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(_located(text, ASSIGN, 0, ASSIGN_VALUE), _located(text, ACCESS, 1), _located(text, HEX, 2))
-    joined = docs.join(extra, F.col("doc_id") == F.col("_id"), "left").withColumn("_spans", F.array_sort(F.concat(base, F.coalesce("extra", none))))
+    joined = docs.join(extra, F.col("doc_id") == F.col("_secret_id"), "left").withColumn("_secret_spans", F.array_sort(F.concat(base, F.coalesce("_secret_extra", none))))
 
     def cut(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
         before = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, before).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut)
-    clean = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    done = F.aggregate("_secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut)
+    clean = F.when(F.size("_secret_spans") == 0, F.col("text")).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
     changed = joined.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        changed = changed.withColumn("n_chars", F.when(F.size("_secret_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return changed.select(*docs.columns)
