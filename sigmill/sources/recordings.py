@@ -127,9 +127,13 @@ def read_sample_stream(spark: SparkSession, path: str | None = None, kafka: dict
     return raw.withColumn("ts", F.timestamp_micros((F.col("t_s") * 1_000_000).cast("long"))).withWatermark("ts", watermark)
 
 
-def publish(stream: DataFrame, target: str, checkpoint: str, fmt: str = "parquet", **options: str):
-    """Append a processed stream to files or, with ``fmt='kafka'`` and its options, to a topic as JSON."""
+def publish(stream: DataFrame, target: str, checkpoint: str, fmt: str = "parquet", available_now: bool = False, **options: str):
+    """Append a processed stream to files or, with ``fmt='kafka'`` and its options, to a topic as JSON.
+
+    ``available_now`` takes what the source holds and ends; else the query runs on.
+    """
     if fmt == "kafka":
         stream = stream.select(F.to_json(F.struct("*")).alias("value"))
     writer = stream.writeStream.format(fmt).option("checkpointLocation", checkpoint).outputMode("append").options(**options)
+    writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start() if fmt == "kafka" else writer.start(target)

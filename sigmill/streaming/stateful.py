@@ -13,10 +13,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sigmill.functions import kernels as K
 from sigmill.operators.frames import MICROVOLTS
 
-#: A recording that is silent for this long loses its state.
+#: A recording loses its state when the watermark has passed its last sample by this much.
 IDLE_MS = 600_000
 
 
+def _expire(held: GroupState, last_s: float) -> None:
+    held.setTimeoutTimestamp(int(max(last_s * 1000, held.getCurrentWatermarkMs())) + IDLE_MS)
+
+
 def _frames(pdfs: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray]:
     """The frames of a recording in a micro-batch, in time order, and their channels as a matrix (channels x time)."""
     pdf = pd.concat(list(pdfs)).sort_values(["t_s", "sample_idx"])
@@ -35,12 +39,12 @@ def _stateful(stream: DataFrame, step, output: str, state: str) -> DataFrame:
         if len(pdf):
             rows, new = step(held.get if held.exists else None, pdf, x)
             held.update(new)
-            held.setTimeoutDuration(IDLE_MS)
+            _expire(held, pdf["t_s"].iloc[-1])
             if len(rows):
                 rows.insert(0, "recording_id", key[0])
                 yield rows
 
-    return stream.groupBy("recording_id").applyInPandasWithState(run, "recording_id string, " + output, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("recording_id").applyInPandasWithState(run, "recording_id string, " + output, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tumbling(stream: DataFrame, n: int) -> DataFrame:
@@ -99,7 +103,8 @@ def trailing_and_kalman(stream: DataFrame, channels: int = 3, n: int = 125, fs:
         tail, mean, p, seen = held.get if held.exists else ([], [0.0] * channels, 1000.0, 0)
         tail, mean = [np.asarray(tail[i : i + channels], float) for i in range(0, len(tail), channels)], np.asarray(mean, float)
         rows = []
-        for idx, t, ch in pd.concat(list(pdfs)).sort_values(["t_s", "sample_idx"])[["sample_idx", "t_s", "ch"]].itertuples(index=False):
+        pdf = pd.concat(list(pdfs)).sort_values(["t_s", "sample_idx"])
+        for idx, t, ch in pdf[["sample_idx", "t_s", "ch"]].itertuples(index=False):
             good = ch is not None and len(ch) >= channels
             if not good and not tail:
                 continue
@@ -113,11 +118,11 @@ def trailing_and_kalman(stream: DataFrame, channels: int = 3, n: int = 125, fs:
                 mean, p = mean + gain * (value - mean), (1 - gain) * p
                 rows.append((key[0], idx, t, value, mean))
         held.update((np.ravel(tail).tolist(), mean.tolist(), float(p), seen))
-        held.setTimeoutDuration(IDLE_MS)
+        _expire(held, pdf["t_s"].iloc[-1])
         yield pd.DataFrame(rows, columns=["recording_id", "sample_idx", "t_s", "filtered", "kalman"])
 
     out = "recording_id string, sample_idx long, t_s double, filtered array<double>, kalman array<double>"
-    return stream.groupBy("recording_id").applyInPandasWithState(run, out, "t array<double>, m array<double>, p double, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("recording_id").applyInPandasWithState(run, out, "t array<double>, m array<double>, p double, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def causal_stream(stream: DataFrame, channel: int = 0, fs: float = 250.0) -> DataFrame:
