@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 MICROVOLTS = 4500000 / 24 / (2**23 - 1)
 
 # Channels of each headset's raw vector and the slot of its time (None: arrival time).
-MONTAGES = {"nautilus": ((2, 3, 4, 6, 8, 10, 11, 12), 16), "polymate": ((0, 1, 2, 3, 4, 5, 6, 7), 8), "aura": (None, None)}
+MONTAGES = {"nautilus": ((2, 3, 4, 6, 8, 10, 11, 12), 16), "polymate": ((0, 1, 2, 3, 4, 5, 6, 7), 8), "all": (None, None)}
 
 
 # ---- columns -----------------------------------------------------------------------------------------------------

@@ -81,10 +81,10 @@ def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return listed.select(F.col("path").alias("file_path"), recording_name(F.col("path")).alias("recording"), F.col("modificationTime").alias("modified"))
 
 
-def latest_recording(listed: DataFrame) -> DataFrame:
-    """The file to work on: ``eeg.csv`` if there is one, else the newest ``aura_data_*.csv``; one row at most."""
-    known = listed.filter((F.col("recording") == "eeg") | F.col("recording").startswith("aura_data_"))
-    best = known.agg(F.max_by(F.struct("file_path", "recording", "modified"), F.struct((F.col("recording") == "eeg").cast("int"), "modified", "file_path")).alias("x"))
+def latest_recording(listed: DataFrame, prefix: str, preferred: str = "eeg") -> DataFrame:
+    """The file to work on: the preferred name if there is one, else the newest whose name starts with ``prefix``; one row at most."""
+    known = listed.filter((F.col("recording") == preferred) | F.col("recording").startswith(prefix))
+    best = known.agg(F.max_by(F.struct("file_path", "recording", "modified"), F.struct((F.col("recording") == preferred).cast("int"), "modified", "file_path")).alias("x"))
     return best.filter("x is not null").select("x.*")
 
 

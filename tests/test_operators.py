@@ -58,12 +58,12 @@ def test_clinical_and_dirty_recordings(spark, tmp_path):
 def test_latest_recording(spark, tmp_path):
     import os
 
-    for i, n in enumerate(["aura_data_1.csv", "aura_data_2.csv", "other.csv"]):
+    for i, n in enumerate(["device_1.csv", "device_2.csv", "other.csv"]):
         (tmp_path / n).write_text("timestamp,ch1\n0,1\n")
         os.utime(tmp_path / n, (1000 + i, 1000 + (5 - i)))
-    assert R.latest_recording(R.files(spark, str(tmp_path))).first()["recording"] == "aura_data_1"
+    assert R.latest_recording(R.files(spark, str(tmp_path)), "device_").first()["recording"] == "device_1"
     (tmp_path / "eeg.csv").write_text("timestamp,ch1\n0,1\n")
-    assert R.latest_recording(R.files(spark, str(tmp_path))).first()["recording"] == "eeg"
+    assert R.latest_recording(R.files(spark, str(tmp_path)), "device_").first()["recording"] == "eeg"
 
 
 def test_written_recording_reads_back(spark, tmp_path, frames):
