@@ -21,7 +21,41 @@ NAMES = {
     "op10_suffixdedup": "suffixdedup",
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_neardup": r"""
+with recursive words as (
+  select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+') if x <> ''] as w
+  from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) < 2 then w else [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] end) as s from words),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+met as (
+  select x.doc_id as a, y.doc_id as b, count(*) as both_have from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2),
+links as (
+  select a, b from met join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * both_have >= 80 * (p.n + q.n - both_have)),
+ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as other from documents union select reach.doc_id, ways.b from reach join ways on ways.a = reach.other)
+select doc_id, coalesce(max(n), 0) as n_shingles, min(other) as component_id, doc_id = min(other) as kept
+from reach left join sizes using (doc_id) group by doc_id""",
+    "op10_suffixdedup": """
+with sized as (select doc_id, encode(coalesce(text, '')) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
+windows as (
+  select doc_id, i, x[i + 1 : i + 50] as w from (select doc_id, x, unnest(range(0, n - 49)) as i from sized where n >= 50)),
+firsts as (select w, min(doc_id) as least from windows group by w),
+gone as (select doc_id, i from windows join firsts using (w) where least < doc_id),
+marked as (
+  select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as fresh from gone),
+runs as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from marked),
+spans as (select doc_id, min(i) as a, max(i) + 50 as b from runs group by doc_id, run),
+pieces as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans),
+joined as (
+  select s.doc_id, s.x, s.n, sum(b - a) as n_removed, count(a) as n_spans, max(b) as last,
+    string_agg(hex(x[before + 1 : a]), '' order by a) as head
+  from sized s left join pieces p using (doc_id) group by s.doc_id, s.x, s.n)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, n_spans,
+  sha256(unhex(coalesce(head, '') || hex(x[coalesce(last, 0) + 1 : n]))) as kept_sha256 from joined""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
