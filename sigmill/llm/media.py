@@ -140,15 +140,18 @@ def rebuild(lists: DataFrame, chunks: DataFrame, hot: DataFrame, salts: int = 32
 
     ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``. Every chunk
     is held against its digest when read; a missing or damaged one raises. The join is dealt by digest; hot digests
-    are kept ``salts`` times in the store and their list entries are dealt over these copies. A document's own
-    chunks are brought together in order by sorting its partition, so a task holds one document at a time.
+    are kept ``salts`` times in the store and their list entries are dealt over these copies. A document of one chunk
+    is whole after the join; the chunks of others are brought together in order by sorting their partition, so a task
+    holds one document at a time.
     """
     hot = F.broadcast(hot)
     entries = lists.join(hot, "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("row", F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("hot")
     spread = chunks.filter(F.col("data").isNotNull()).select("digest", "data").join(hot, "digest", "left")
     spread = spread.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    joined = entries.join(store(spread, "salt"), ["digest", "salt"])
-    dealt = joined.repartition("row").sortWithinPartitions("row", "ord")
+    stored = store(spread, "salt")  # both joins below read the same exchange of it
+    single = entries.filter("n_chunks = 1").join(stored, ["digest", "salt"])
+    several = entries.filter("n_chunks > 1").join(stored, ["digest", "salt"])
+    dealt = several.repartition("row").sortWithinPartitions("row", "ord")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -172,7 +175,9 @@ def rebuild(lists: DataFrame, chunks: DataFrame, hot: DataFrame, salts: int = 32
         if parts:
             raise ValueError("the last document is cut short")
 
-    return dealt.select("doc_id", "ord", "n_chunks", "n_bytes", "size", "digest", "data").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    columns = ["doc_id", "ord", "n_chunks", "n_bytes", "size", "digest", "data"]
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return single.select(columns).mapInArrow(run, schema).union(dealt.select(columns).mapInArrow(run, schema))
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
