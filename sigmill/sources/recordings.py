@@ -111,6 +111,11 @@ def band_table(powers: DataFrame, *keys: str) -> DataFrame:
     return powers.withColumn("_l", label).groupBy("recording_id", *keys).pivot("_l", BAND_COLUMNS).agg(F.first("power"))
 
 
+def write_band_table(powers: DataFrame, path: str, *keys: str) -> None:
+    """The band table as CSV with header."""
+    band_table(powers, *keys).write.option("header", True).csv(path)
+
+
 def compact(spark: SparkSession, source: str, target: str, rows_per_file: int = 5_000_000) -> None:
     """Many small recordings into few parquet files, in ranges of recordings."""
     frames = read_recordings(spark, source)

@@ -47,45 +47,93 @@ def _stateful(stream: DataFrame, step, output: str, state: str) -> DataFrame:
     return stream.groupBy("recording_id").applyInPandasWithState(run, "recording_id string, " + output, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def tumbling(stream: DataFrame, n: int) -> DataFrame:
-    """Whole windows of ``n`` frames per channel: ``window_idx, channel, t0, x``. State: fewer than ``n`` frames."""
+def _each_channel(index: int, t0: float, x: np.ndarray) -> list[tuple]:
+    return [(index, c, t0, row) for c, row in enumerate(x)]
+
+
+def tumbling(stream: DataFrame, n: int, make=_each_channel, columns: str = "window_idx long, channel int, t0 double, x array<double>") -> DataFrame:
+    """Whole windows of ``n`` frames; ``make(index, t0, channels x n) -> rows`` says what a window becomes.
+
+    State: fewer than ``n`` frames.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def step(held, pdf: pd.DataFrame, x: np.ndarray):
         index, times, flat = held if held else (0, [], [])
         times = np.concatenate([np.asarray(times, float), pdf["t_s"].to_numpy()])
         x = np.concatenate([np.asarray(flat, float).reshape(len(x), -1), x], 1) if len(flat) else x
-        rows = []
         whole = x.shape[1] // n
-        for k in range(whole):
-            rows += [(index + k, c, times[k * n], x[c, k * n : (k + 1) * n]) for c in range(len(x))]
+        rows = [r for k in range(whole) for r in make(index + k, float(times[k * n]), x[:, k * n : (k + 1) * n])]
         x, times = x[:, whole * n :], times[whole * n :]
-        return pd.DataFrame(rows, columns=["window_idx", "channel", "t0", "x"]), (index + whole, times.tolist(), x.ravel().tolist())
+        return pd.DataFrame(rows, columns=names), (index + whole, times.tolist(), x.ravel().tolist())
 
-    return _stateful(stream, step, "window_idx long, channel int, t0 double, x array<double>", "i long, t array<double>, x array<double>")
+    return _stateful(stream, step, columns, "i long, t array<double>, x array<double>")
 
 
-def hopping(stream: DataFrame, size: int = 250, hop: int = 50) -> DataFrame:
+def hopping(stream: DataFrame, size: int = 250, hop: int = 50, make=_each_channel, columns: str = "epoch long, channel int, t0 double, x array<double>") -> DataFrame:
     """Epochs of ``size`` frames with the recorder's rule: after the first fill, every ``hop + 1``-th frame is the one
-    that gives an epoch out and is itself dropped, and the first full epoch stays in. State: ``size`` frames."""
+    that gives an epoch out and is itself dropped, and the first full epoch stays in. ``make`` as for ``tumbling``.
+    State: ``size`` frames."""
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def step(held, pdf: pd.DataFrame, x: np.ndarray):
         seen, epoch, times, flat = held if held else (0, 1, [], [])
-        times, flat = list(times), np.asarray(flat, float).reshape(-1, len(x))
-        kept = [r for r in flat]
+        times, kept = list(times), list(np.asarray(flat, float).reshape(-1, len(x)))
         rows = []
         for t, v in zip(pdf["t_s"].to_numpy(), x.T, strict=True):
             if seen >= size and (seen - size) % (hop + 1) == hop:
-                block = np.stack(kept[-size:])
-                rows += [(epoch, c, times[-size], block[:, c]) for c in range(block.shape[1])]
+                rows += make(epoch, float(times[-size]), np.stack(kept[-size:]).T)
                 epoch += 1
             else:
                 kept.append(v)
                 times.append(t)
             seen += 1
         kept, times = kept[-size:], times[-size:]
-        return pd.DataFrame(rows, columns=["epoch", "channel", "t0", "x"]), (seen, epoch, [float(t) for t in times], np.ravel(kept).tolist())
+        return pd.DataFrame(rows, columns=names), (seen, epoch, [float(t) for t in times], np.ravel(kept).tolist())
+
+    return _stateful(stream, step, columns, "s long, e long, t array<double>, x array<double>")
+
+
+def denoise_windows(stream: DataFrame, n: int = 1000, fs: float = 250.0) -> DataFrame:
+    """The three stages of windowed cleaning as windows fill."""
+
+    def make(index: int, t0: float, x: np.ndarray) -> list[tuple]:
+        y = K.filter_rows(x, "bandpass", fs)
+        car = y - y.mean(0)
+        stop = K.filter_rows(car, "bandstop", fs, 59.0, 61.0)
+        return [(index, c, y[c], car[c], stop[c]) for c in range(len(x))]
+
+    return tumbling(stream, n, make, "window_idx long, channel int, filtered array<double>, car array<double>, stopped array<double>")
+
+
+def _means(f: np.ndarray, p: np.ndarray, bands: list[tuple[str, float, float]]) -> dict[str, np.ndarray]:
+    """Mean of the bins of each band (both ends inclusive) per channel; bands without a bin are left out."""
+    inside = {b: (f >= lo) & (f <= hi) for b, lo, hi in bands}
+    return {b: p[:, m].mean(1) for b, m in inside.items() if m.any()}
+
+
+def psd_windows(stream: DataFrame, bands: list[tuple[str, float, float]], channels: int = 3, n: int = 40, fs: float = 100.0) -> DataFrame:
+    """Mean Welch density of the bands in windows of 40 frames."""
+
+    def make(index: int, t0: float, x: np.ndarray) -> list[tuple]:
+        means = _means(*K.welch(x[:channels], fs, 100), bands)
+        return [(index, c + 1, b, v[c]) for b, v in means.items() for c in range(len(v))]
+
+    return tumbling(stream, n, make, "window_idx long, channel int, band string, power double")
+
+
+def band_power(stream: DataFrame, bands: list[tuple[str, float, float]], fs: float = 250.0) -> DataFrame:
+    """Band powers of the hopping epochs, scaled over the channels."""
+
+    def make(epoch: int, t0: float, x: np.ndarray) -> list[tuple]:
+        rows = []
+        for b, v in _means(*K.fft_power(x, fs, 256), bands).items():
+            lo, hi = np.abs(v).min(), np.abs(v).max()
+            scaled = (v - lo) / (hi - lo) if hi > lo else np.zeros_like(v)
+            rows += [(epoch, t0, b, c, v[c], scaled[c]) for c in range(len(v))]
+        return rows
 
-    return _stateful(stream, step, "epoch long, channel int, t0 double, x array<double>", "s long, e long, t array<double>, x array<double>")
+    return hopping(stream, make=make, columns="epoch long, t0 double, band string, channel int, power double, scaled double")
 
 
 def trailing_and_kalman(stream: DataFrame, channels: int = 3, n: int = 125, fs: float = 250.0, factor: float = MICROVOLTS) -> DataFrame:

@@ -12,6 +12,7 @@ from sigmill.operators import frames as O
 from sigmill.operators import signals as S
 from sigmill.plans import jobs
 from sigmill.sources import recordings as R
+from sigmill.sources import views as V
 from sigmill.streaming import stateful
 
 N = 620
@@ -58,6 +59,18 @@ def test_hopping(spark, fed, tmp_path):
     assert got == {(r["recording_id"], r["epoch"], r["channel"]): (r["t0"], r["x"]) for r in twin.collect()} and len(got) == 2 * 7 * 4
 
 
+def test_windowed_jobs(spark, fed, tmp_path):
+    folder, batch = fed
+    for k, (stream, twin, keys, values) in enumerate([
+        (stateful.psd_windows(source(spark, folder), [b[1:] for b in V.BANDS if b[0] == "welch5"]), jobs.psd_windows(batch, V.bands(spark, "welch5")), ("window_idx", "channel", "band"), ("power",)),
+        (stateful.band_power(source(spark, folder), [b[1:] for b in V.BANDS if b[0] == "fft5"]), jobs.band_power_epochs(batch, V.bands(spark, "fft5")), ("epoch", "channel", "band"), ("t0", "power", "scaled")),
+        (stateful.denoise_windows(source(spark, folder), 200), jobs.denoise_windows(batch, 200), ("window_idx", "channel"), ("filtered", "car", "stopped")),
+    ]):
+        as_dict = lambda df: {tuple(r[c] for c in ("recording_id", *keys)): np.concatenate([np.ravel(r[c]) for c in values]) for r in df.collect()}  # noqa: B023, E731
+        got, want = as_dict(drained(spark, stream, tmp_path / str(k))), as_dict(twin)
+        assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], rtol=1e-9, atol=1e-12) for i in got)
+
+
 def test_rolling_filter_and_kalman(spark, fed, tmp_path):
     folder, batch = fed
     out = drained(spark, stateful.trailing_and_kalman(source(spark, folder), factor=1.0), tmp_path)
