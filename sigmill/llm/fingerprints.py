@@ -105,7 +105,8 @@ def edits(docs: DataFrame) -> DataFrame:
     their own and ``near_next`` is 0.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("doc_id", text.alias("text")).withColumn("vector", fingerprint(F.col("text")))
+    every = docs.select("doc_id", text.alias("text")).withColumn("vector", fingerprint(F.col("text")))
+    own = every.filter(F.col("doc_id").isNotNull())  # both joins below read the same exchange of it
     info = next_ids(docs)
     need = info.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), F.floor(F.col("longest") / 4).cast("int").alias("need"))
     heads = own.join(need, "doc_id").select(F.col("prev_id").alias("doc_id"), F.struct(F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"), F.col("vector").alias("next_vector")).alias("x"))
@@ -113,7 +114,8 @@ def edits(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.coalesce(F.substring(F.col("head"), F.lit(1), cut), F.substring(F.col("text"), n - cut + 1, cut)))
-    both = own.join(heads, "doc_id", "left").withColumn("edited", edited).withColumn("edited_vector", fingerprint(F.col("edited")))
+    alone = every.filter(F.col("doc_id").isNull()).withColumn("head", F.lit(None).cast("string")).withColumn("next_vector", F.lit(None).cast("array<bigint>"))
+    both = own.join(heads, "doc_id", "left").unionByName(alone).withColumn("edited", edited).withColumn("edited_vector", fingerprint(F.col("edited")))
     return both.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         written(F.col("vector")).alias("fingerprint"), written(F.col("edited_vector")).alias("edited_fingerprint"),
