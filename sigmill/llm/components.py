@@ -15,12 +15,11 @@ def _both_ways(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, component`` (the smallest node reachable) of every node in ``links`` (columns ``a``, ``b``, longs).
 
-    Large-star and small-star steps by turns until no link changes; every step groups by node with partial
-    aggregation and is written before the next, and one count and one checksum reach the driver.
+    Large-star and small-star steps by turns until all links point at their component's smallest node; every step
+    groups by node with partial aggregation and is written before the next, and two numbers reach the driver.
     Nodes without a link don't appear; loops (a = b) and repeated links are harmless.
     """
     links = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
     for _ in range(rounds):
         # large star: neighbours larger than a node move to the smallest of its neighbourhood
         both = _both_ways(links)
@@ -30,10 +29,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
         links = materialize(small.select("x.a", "x.b").filter("a <> b").distinct())
-        state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == before:
+        # settled when every node has one link and none of the targets has a link of its own
+        tops = links.select("b").distinct().withColumn("top", F.lit(1))
+        found = links.groupBy("a").agg(F.count("*").alias("n")).join(tops, F.col("a") == F.col("b"), "left")
+        most, nested = found.agg(F.max("n"), F.count("top")).first()
+        if (most or 0) <= 1 and not nested:
             break
-        before = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     children = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

@@ -15,10 +15,10 @@ from sigmill.llm.components import components
 
 #: Bands and values in a band. At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**7)**50 = 8e-6.
 BANDS, ROWS = 50, 7
-#: Word hashes that one worker remembers.
-REMEMBER = 1_000_000
-#: Buckets of up to this many documents give all their open pairs at once.
-SMALL_BUCKET = 12
+#: Word hashes that one task remembers.
+REMEMBER = 400_000
+#: Members of a component that are compared in one block, and rows with sets that are brought to one task at a time.
+BLOCK, TASK_ROWS = 512, 3000
 _known: dict[bytes, int] = {}
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -106,6 +106,7 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
                     two.append(int(np.bitwise_xor.reduce(_mixed(h + MIX2)).view(np.int64)) if len(h) else 0)
                     keys.append(family.keys(h) if len(h) else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(keys)], ["doc_id", "n_shingles", "d1", "d2", "keys"])
+        _known.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
 
@@ -118,6 +119,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(t, words) for t in part.column(1).to_pylist()])], ["doc_id", "shingles"])
+        _known.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
@@ -131,61 +133,98 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(fits).select("a", "b")
 
 
+def block_links(t: pa.Table, percent: int) -> pa.Table:
+    """Links between the documents that ask (``asks``) and the members of the same blocks, from their whole sets."""
+    flat = t.column("shingles").combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    at, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+    nodes = t.column("node").to_numpy()
+    blocks: dict[tuple, tuple[list, list]] = {}
+    for i, (asks, units) in enumerate(zip(t.column("asks").to_pylist(), t.column("units").to_pylist(), strict=True)):
+        for u in units:
+            blocks.setdefault((u["group"], u["block"]), ([], []))[asks].append(i)
+    one, two = [], []
+    for members, asking in blocks.values():
+        if not members or not asking:
+            continue
+        sizes = at[1:][members] - at[:-1][members]
+        joined = np.concatenate([values[at[i] : at[i + 1]] for i in members])
+        owner = np.repeat(np.arange(len(members)), sizes)
+        order = np.argsort(joined, kind="stable")
+        joined, owner = joined[order], owner[order]
+        for i in asking:
+            own = values[at[i] : at[i + 1]]
+            lo, hi = np.searchsorted(joined, own), np.searchsorted(joined, own, "right")
+            n = hi - lo
+            hits = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            both = np.bincount(hits, minlength=len(members))
+            for k in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)):
+                one.append(nodes[i])
+                two.append(nodes[members[k]])
+    return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
+
+
+def cross_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components that share a bucket.
+
+    A document is paired with a component, not with its members: (document of the smaller component, larger
+    component) is one row however many buckets and members they share. The larger one's members lie in blocks of
+    bounded size, each document's set is sent once to every task that has blocks for it, and tasks give out links
+    alone.
+    """
+    state = buckets.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).select("bucket", "hub", "node", "size", "group")
+    mixed = state.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("bucket")
+    nodes = state.select("node", "size", "group").distinct()
+    order = nodes.groupBy("group").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
+    live = materialize(state.join(mixed, "bucket").join(order, "group"))
+    parts = live.select(F.col("bucket").alias("in_bucket"), F.struct("n", "group").alias("larger"), F.col("least").alias("low"), F.col("most").alias("high")).distinct()
+    # sizes rule a link out, or the pair is the hub and a single document, which have been compared
+    open_ = (100 * F.col("size") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("size")) & ~((F.col("node") == F.col("hub")) & (F.col("larger.n") == 1))
+    met = live.join(parts, (F.col("bucket") == F.col("in_bucket")) & (F.struct("n", "group") < F.col("larger")) & open_)
+    asks = materialize(met.select("node", F.col("larger.group").alias("group"), F.col("larger.n").alias("n")).distinct())
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    wanted = asks.select("group", "n").distinct()
+    members = nodes.join(wanted, "group").select("node", F.lit(0).alias("asks"), "group", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    asking = asks.select("node", F.lit(1).alias("asks"), "group", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    both = members.union(asking)
+    tasks = max(1, both.count() // TASK_ROWS)
+    dealt = both.withColumn("task", F.pmod(F.xxhash64("group", "block"), F.lit(tasks))).groupBy("task", "node", "asks").agg(F.collect_list(F.struct("group", "block")).alias("units"))
+    rows = dealt.join(sets.withColumnRenamed("doc_id", "node"), "node")
+    return rows.groupBy("task").applyInArrow(lambda t: block_links(t, percent), "a long, b long")
+
+
 def link(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
     1. Rows with equal shingle sets are one class, stood for by its smallest id; only these go on.
-    2. Band keys put classes into buckets. In each bucket the smallest member is the hub; a pair is a candidate
-       if it has a hub and its two ends are in different components so far. Candidates are confirmed on whole
-       sets and joined to components; then the hub leaves the bucket. Buckets whose members all are in one
-       component are done, and small buckets give all open pairs at once, so that no pair inside a bucket is
-       left out, and none inside a found component is looked at twice.
+    2. Band keys put classes into buckets. Every member is confirmed, on whole sets, against the smallest member of
+       its buckets, and the links are joined to components. This closes all pairs inside a component.
+       What may still be missed are links between components that share a bucket: ``cross_links`` compares each
+       document of the smaller one with the whole larger one.
     3. Components of classes are given to their rows.
 
-    Null text is empty; rows without words have no set and stay alone; repeated rows are one class; rows with a
-    null id stay alone with null ids and are kept. An empty table gives an empty table.
+    Null text is empty; rows without words have no set and stay alone; repeated rows are one class; rows that share
+    an id are one document in the smallest class of their texts; rows with a null id stay alone with null ids and are
+    kept. An empty table gives an empty table.
     """
     found = materialize(signatures(docs, words, bands, rows))
     whole = found.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = whole.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    member = materialize(whole.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"]).select("doc_id", "class_id").distinct())
-    heads = found.select("doc_id", "keys").join(member.filter("doc_id = class_id").select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
-    placed = heads.select(F.explode("keys").alias("bucket"), F.col("doc_id").alias("node"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    buckets = materialize(placed.join(shared, "bucket"))
+    member = materialize(whole.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
+    heads = found.select("doc_id", "n_shingles", "keys").join(member.filter("doc_id = class_id").select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    placed = heads.select(F.explode("keys").alias("bucket"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"))
+    hubs = placed.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
+    buckets = materialize(placed.join(hubs, "bucket"))
 
     nodes = buckets.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi")
     sets = materialize(shingle_sets(texts, words).dropDuplicates(["doc_id"]))
 
-    links, tried, groups = None, None, None
-    while True:
-        state = buckets.withColumn("group", F.col("node")) if groups is None else buckets.join(groups.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-        hubs = state.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi"), F.min(F.struct("node", "group")).alias("h")).filter("lo <> hi")
-        live = materialize(state.join(hubs.select("bucket", "hub", "n", F.col("h.group").alias("hub_group")), "bucket"))
-        if live.isEmpty():
-            break
-        stars = live.filter((F.col("node") != F.col("hub")) & (F.col("group") != F.col("hub_group"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        small = live.filter(F.col("n") <= SMALL_BUCKET)
-        if groups is not None:  # the first round leaves few small buckets open
-            one, two = small.alias("x"), small.alias("y")
-            open_pairs = one.join(two, "bucket").filter("x.node < y.node and x.group <> y.group").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-            stars = stars.union(open_pairs)
-        pairs = stars.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        good = materialize(confirm(pairs, sets, percent))
-        links = good if links is None else links.union(good)
-        first, groups = groups is None, materialize(components(links))
-        left = live.filter(F.col("node") != F.col("hub"))
-        buckets = materialize((left if first else left.filter(F.col("n") > SMALL_BUCKET)).select("bucket", "node"))
-
-    if groups is not None:
-        member = member.join(groups, member["class_id"] == groups["node"], "left").select("doc_id", F.coalesce("component", "class_id").alias("component"))
-    else:
-        member = member.withColumnRenamed("class_id", "component")
+    stars = buckets.filter(F.col("node") != F.col("hub.node")).filter(100 * F.least("size", "hub.size") >= percent * F.greatest("size", "hub.size"))
+    groups = materialize(components(materialize(confirm(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), sets, percent))))
+    more = materialize(cross_links(buckets.select("bucket", F.col("hub.node").alias("hub"), "node", "size"), groups, sets, percent))
+    groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+    member = member.join(groups, member["class_id"] == groups["node"], "left").select("doc_id", F.coalesce("component", "class_id").alias("component"))
     all_rows = found.select("doc_id", "n_shingles").join(member, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return all_rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
@@ -196,5 +235,5 @@ def op2_neardup(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = 2) -> DataFrame:
     """One row of each group of near copies, with its own columns: the row whose id names the group."""
-    gone = materialize(link(docs, words=words).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = materialize(link(docs, words=words).filter("not kept").select(F.col("doc_id").alias("_neardup_id")).distinct())
+    return docs.join(gone, F.col("doc_id") == F.col("_neardup_id"), "left_anti").select(*docs.columns)

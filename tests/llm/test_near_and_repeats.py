@@ -56,10 +56,11 @@ def test_whole_table(spark):
     assert (got["kept"] == (got.index == got["component_id"])).all()
 
 
-@pytest.mark.parametrize("open_pairs", [0, 4])
-def test_chains_of_edits_by_hubs_and_by_pairs(spark, monkeypatch, open_pairs):
-    """Each text shares most of its words with the one before, so links chain; hub rounds must lose none."""
-    monkeypatch.setattr(neardup, "OPEN_PAIRS", open_pairs)
+@pytest.mark.parametrize("block", [3, 512])
+def test_chains_of_edits(spark, monkeypatch, block):
+    """Each text shares most of its words with the one before, so links chain; stars alone lose some."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "TASK_ROWS", 10 * block)
     rng = np.random.default_rng(3)
     w = [f"w{i}" for i in rng.integers(0, 500, 120)]
     rows = []
