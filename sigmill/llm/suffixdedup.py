@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,9 @@ from sigmill.llm.common import documents, materialize
 MATCH, GRAM = 50, 24
 SIDE = MATCH - GRAM  # how far a window can reach before its anchor
 #: Window starts of a piece of a document, and bytes that are hashed at once.
-PIECE, BUFFER = 1 << 20, 1 << 22
+PIECE, BUFFER = 1 << 18, 1 << 19
 #: Bytes of text per bucket of anchors; contexts per shard bucket; symbols of one suffix array.
-BUCKET_BYTES, BUCKET_CONTEXTS, SHARD = 16 << 20, 30_000, 1 << 20
+BUCKET_BYTES, BUCKET_CONTEXTS, SHARD = 4 << 20, 15_000, 1 << 18
 
 _rng = np.random.default_rng(50)
 TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,6 +40,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@lru_cache(4)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base % (1 << 64)), np.uint64)
     out[0] = 1
@@ -57,12 +59,12 @@ def anchors(buffer: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """
     n = len(buffer)
     one = TABLE[buffer]
-    sums = {1: one}
-    for k in (1, 2, 4, 8):
-        prev = sums[k]
-        sums[2 * k] = prev[:-k] * _scale(k) + prev[k:]
-    grams = _mixed(sums[16][: n - GRAM + 1] * _scale(8) + sums[8][16 : 16 + n - GRAM + 1])
-    del sums
+    eight = one
+    for k in (1, 2, 4):
+        eight = eight[:-k] * _scale(k) + eight[k:]
+    grams = eight[:-16] * _scale(16) + eight[8:-8] * _scale(8) + eight[16:]
+    del eight
+    grams = _mixed(grams)
     bits = np.uint64((1 << 24) - 1)
     low = (grams & ~bits) | np.arange(len(grams), dtype=np.uint64)
     width = SIDE + 1
@@ -78,8 +80,10 @@ def anchors(buffer: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarr
     pos = pos[np.concatenate([[True], np.diff(pos) != 0])]
     owner = np.searchsorted(spans[:, 0], pos, "right") - 1
     first, end = np.maximum(spans[owner, 0], pos - SIDE), np.minimum(spans[owner, 1], pos + MATCH)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(one * _powers(BASE, n))])
-    context = (total[end] - total[first]) * _powers(INVERSE, n)[first]
+    del low, use
+    room = PIECE + BUFFER + 4 * MATCH  # no buffer is longer
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(one * _powers(BASE, room)[:n])])
+    context = (total[end] - total[first]) * _powers(INVERSE, room)[first]
     context = _mixed(context + ((pos - first) * 128 + (end - first)).astype(np.uint64))
     return pos, grams[pos], context, owner
 
