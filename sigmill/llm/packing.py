@@ -20,8 +20,8 @@ TIERS = (4096, 2048, 1024, 512)
 END_ID = 2
 #: Punctuation that may be cut off behind an ASCII letter.
 TRAILING = b".,!?;:*%$#&"
-#: Distinct chunks and stems that one worker remembers.
-REMEMBER = 1_000_000
+#: Distinct chunks and stems that a worker remembers: about 130 and 160 MB.
+CHUNKS, STEMS = 600_000, 800_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -54,7 +54,7 @@ class ChunkEncoder:
         tails = [c[len(h) :] for h, c in zip(heads, low, strict=True)]
         stems = self.stems
         new = list(set(heads).union(tails).difference(stems))
-        if len(stems) + len(new) > REMEMBER:
+        if len(stems) + len(new) > STEMS:
             stems.clear()
             new = list(set(heads).union(tails))
         for i in range(0, len(new), 4096):
@@ -68,7 +68,7 @@ class ChunkEncoder:
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         known, parts = self.known, [t.split() for t in texts]
         new = set().union(*parts).difference(known)
-        if len(known) + len(new) > REMEMBER:
+        if len(known) + len(new) > CHUNKS:
             known.clear()
             new = set().union(*parts)
         self.learn(list(new))

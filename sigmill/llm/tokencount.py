@@ -15,7 +15,7 @@ MARK = "▁"
 #: What an unknown character costs beyond the worst piece, as in the public unigram tokenizers.
 UNKNOWN_PENALTY = 10.0
 #: Word counts that one worker remembers.
-REMEMBER = 1_500_000
+REMEMBER = 600_000
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
