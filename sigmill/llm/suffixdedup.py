@@ -6,6 +6,8 @@ windows can cover. Contexts that are equal as a whole are settled by that hash w
 kept, first within a task and then in the anchor's bucket. Where an anchor has different contexts (the borders of
 repeated passages, and chance), their bytes are brought together in shards by anchor: each shard sorts them into a
 suffix array, common prefixes of 50 bytes and more give the repeated windows, and shards are merged by binary search.
+Anchors with very many different contexts are dealt by context, and their windows one by one by a 128-bit digest, so
+that no task holds all contexts of one anchor.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,10 @@ SIDE = MATCH - GRAM  # how far a window can reach before its anchor
 PIECE, BUFFER = 1 << 18, 1 << 19
 #: Bytes of text per bucket of anchors; contexts per shard bucket; symbols of one suffix array.
 BUCKET_BYTES, BUCKET_CONTEXTS, SHARD = 4 << 20, 15_000, 1 << 18
+#: Different contexts above which an anchor is hot; bytes of text that are sampled to find hot anchors beforehand.
+HOT, SAMPLE_BYTES = 3_750, 16 << 20
+#: Windows of hot anchors per bucket of digests; hot contexts whose windows are hashed at once.
+BUCKET_WINDOWS, HASHED = 400_000, 4096
 
 _rng = np.random.default_rng(50)
 TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -114,8 +121,9 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 PACKED = "bucket int, n int, hs binary, contexts binary, docs binary, places binary"
 
 
-def pack_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """Anchors of all documents, packed by bucket of their gram hash.
+def pack_anchors(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Anchors of all documents, packed by bucket of their gram hash, ``hot`` ones by their context in buckets from
+    ``buckets`` on.
 
     Of equal contexts that one buffer holds only those of the smallest id go on; the others are repeats and leave as
     finished spans in rows of negative buckets (docs, starts in ``hs``, ends in ``places``).
@@ -141,7 +149,12 @@ def pack_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             rows.append((-1 - int(d[0] % buckets), len(d), _planes(s, 8), b"", _planes(d, 8), _planes(e, 8)))
         h, c, doc, place = h[~gone], c[~gone], doc[~gone], place[~gone]
         to = ((h >> np.uint64(44)) * np.uint64(buckets)) >> np.uint64(20)  # order by h is order by bucket
-        edges = np.searchsorted(to, np.arange(buckets + 1))
+        known = np.isin(h >> np.uint64(16), hot)
+        if known.any():
+            to = np.where(known, np.uint64(buckets) + (c >> np.uint64(8)) % np.uint64(buckets), to)
+            order = np.argsort(to, kind="stable")
+            h, c, doc, place, to = h[order], c[order], doc[order], place[order], to[order]
+        edges = np.searchsorted(to, np.arange((2 if len(hot) else 1) * buckets + 1))
         for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
             if i < j:
                 rows.append((b, int(j - i), _planes(h[i:j] >> np.uint64(16), 6), _planes(c[i:j] >> np.uint64(8), 7), _planes(doc[i:j], 8), _planes(place[i:j], 8)))
@@ -169,9 +182,10 @@ def pack_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, PACKED)
 
 
-def settle(packed: DataFrame) -> DataFrame:
+def settle(packed: DataFrame, buckets: int) -> DataFrame:
     """``kind, doc_id, start, end, h``: kind 0 are repeated spans; kind 1 are contexts (their anchor at ``start``)
-    that share an anchor with different ones. One bucket is one task's work; its size is set by BUCKET_BYTES."""
+    that share an anchor with different ones, kind 2 the different contexts of hot anchors. One bucket is one task's
+    work; its size is set by BUCKET_BYTES."""
 
     def table(kind: int, doc: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> pa.Table:
         return pa.table({"kind": pa.array(np.full(len(doc), kind, np.int32)), "doc_id": doc.astype(np.int64), "start": start.astype(np.int64), "end": end.astype(np.int64), "h": h.astype(np.int64)})
@@ -192,10 +206,11 @@ def settle(packed: DataFrame) -> DataFrame:
         gone = doc > least
         group = np.cumsum(new_h) - 1
         classes = np.bincount(group, head)
-        ask = ~gone & (classes[group] > 1)
+        hot = t.column("bucket")[0].as_py() >= buckets
+        ask = ~gone & (hot | (classes[group] > 1))
         return pa.concat_tables([
             table(0, doc[gone], np.maximum(0, place[gone] - SIDE), place[gone] + MATCH, np.zeros(int(gone.sum()))),
-            table(1, doc[ask], place[ask], place[ask], h[ask]),
+            table(1 + hot, doc[ask], place[ask], place[ask], h[ask]),
         ])
 
     return packed.groupBy("bucket").applyInArrow(run, "kind int, doc_id long, start long, end long, h long")
@@ -323,12 +338,67 @@ def repeated(contexts: list[bytes], docs: np.ndarray, lows: np.ndarray) -> tuple
     return tuple(np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(3))
 
 
-def border_spans(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """``doc_id, start, end`` of the repeats among contexts that share an anchor but are not equal."""
-    shards = max(1, -(-asked.count() // BUCKET_CONTEXTS))
-    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "h")).alias("asked"))  # a document's own anchors
+def hot_anchors(docs: DataFrame, total: int, buckets: int) -> np.ndarray:
+    """Anchors that a sample shows to be hot, sorted. Results don't depend on which are found, only the load of tasks."""
+    share = min(1.0, SAMPLE_BYTES / max(1, total))
+    some = docs.sample(share, 7) if share < 1 else docs
+    none = np.empty(0, np.uint64)
+    asked = settle(pack_anchors(some, max(1, int(buckets * share)), none), 1 << 30).filter("kind = 1")
+    found = asked.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > max(min(HOT, 100), int(HOT * share))).select("h").collect()
+    return np.sort(np.array([r[0] for r in found], np.uint64))
+
+
+def pack_windows(contexts: list[tuple[int, int, bytes]], buckets: int) -> Iterator[tuple]:
+    """Windows of contexts ``(doc, low, bytes)``, packed by bucket of their digest as ``(shard, n, bytes)``.
+
+    As in ``pack_anchors``, of equal windows only those of the smallest id go on, in shards -1 to -buckets; the others
+    leave as finished spans in shards below.
+    """
+    size = np.array([max(0, len(x) - MATCH + 1) for _, _, x in contexts])
+    if not size.sum():
+        return
+    digests = b"".join(xxhash.xxh3_128_digest(x[i : i + MATCH]) for _, _, x in contexts for i in range(len(x) - MATCH + 1))
+    one, two = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+    doc = np.repeat(np.array([d for d, _, _ in contexts], np.int64), size)
+    start = np.repeat(np.array([at for _, at, _ in contexts], np.int64), size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    doc, start, one, two, gone = _later(doc, start, one, two)
+    if gone.any():
+        d, s, e = _merged(doc[gone], start[gone], start[gone] + MATCH)
+        yield -1 - buckets - int(d[0] % buckets), len(d), np.concatenate([d, s, e]).astype("<i8").tobytes()
+    doc, start, one, two = doc[~gone], start[~gone], one[~gone], two[~gone]
+    to = (one % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    doc, start, one, two, to = doc[order], start[order], one[order], two[order], to[order]
+    for at in np.split(np.arange(len(to)), np.flatnonzero(np.diff(to)) + 1):
+        yield -1 - int(to[at[0]]), len(at), np.concatenate([doc[at], start[at], one[at].view(np.int64), two[at].view(np.int64)]).astype("<i8").tobytes()
+
+
+def _later(doc: np.ndarray, start: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The windows in the order of their digests, with whether a smaller id has the same."""
+    order = np.lexsort((start, doc, two, one))
+    doc, start, one, two = doc[order], start[order], one[order], two[order]
+    head = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+    return doc, start, one, two, doc > doc[np.flatnonzero(head)][np.cumsum(head) - 1]
+
+
+def deal(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``shard, doc_id, low, context, n``: contexts dealt to shards by anchor; those of hot anchors as windows that are
+    packed in ``context`` and dealt to negative shards by their digest. ``n`` is the number of contexts or windows."""
+    busy = materialize(asked.filter("kind = 1").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h", F.lit(True).alias("busy")))
+    asked = asked.join(F.broadcast(busy), "h", "left").select("doc_id", "start", "h", ((F.col("kind") == 2) | F.col("busy").isNotNull()).alias("hot"))
+    every, hot = asked.agg(F.count("*"), F.count_if("hot")).first()
+    shards = max(1, -(-(every - hot) // BUCKET_CONTEXTS))
+    buckets = max(1, -(-hot * (SIDE + 1) // BUCKET_WINDOWS))
+    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "h", "hot")).alias("asked"))  # a document's own anchors
+    names, kinds = ["shard", "doc_id", "low", "context", "n"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+
+    def batch_of(rows: list) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[int, int, bytes]] = []
+        packed = lambda: batch_of([(shard, None, None, data, n) for shard, n, data in pack_windows(waiting, buckets)])
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
@@ -337,17 +407,38 @@ def border_spans(docs: DataFrame, asked: DataFrame) -> DataFrame:
                     raw = (text or "").encode()
                     for x in asked:
                         low = max(0, x["start"] - SIDE)
-                        rows.append((x["h"] % shards, doc, low, raw[low : x["start"] + MATCH]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                columns = zip(*rows, strict=True) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "doc_id", "low", "context"])
+                        context = raw[low : x["start"] + MATCH]
+                        if not x["hot"]:
+                            rows.append((x["h"] % shards, doc, low, context, 1))
+                            continue
+                        waiting.append((doc, low, context))
+                        if len(waiting) >= HASHED:
+                            yield packed()
+                            waiting.clear()
+                yield batch_of(rows)
+        if waiting:
+            yield packed()
+
+    return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(cut, "shard long, doc_id long, low long, context binary, n long")
+
+
+def border_spans(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``doc_id, start, end`` of the repeats among contexts that share an anchor but are not equal."""
 
     def sort(t: pa.Table) -> pa.Table:
-        doc, start, end = repeated(t.column("context").to_pylist(), t.column("doc_id").to_numpy(), t.column("low").to_numpy())
+        contexts = t.column("context").to_pylist()
+        if t.column("shard")[0].as_py() >= 0:
+            doc, start, end = repeated(contexts, t.column("doc_id").to_numpy(), t.column("low").to_numpy())
+        else:
+            parts = [np.frombuffer(x, "<i8").reshape(-1, n) for x, n in zip(contexts, t.column("n").to_pylist(), strict=True)]
+            if len(parts[0]) == 3:
+                doc, start, end = np.concatenate(parts, axis=1)
+            else:
+                doc, start, _, _, gone = _later(*np.concatenate(parts, axis=1))
+                doc, start, end = _merged(doc[gone], start[gone], start[gone] + MATCH)
         return pa.table({"doc_id": doc.astype(np.int64), "start": start.astype(np.int64), "end": end.astype(np.int64)})
 
-    contexts = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(cut, "shard long, doc_id long, low long, context binary")
-    return contexts.groupBy("shard").applyInArrow(sort, "doc_id long, start long, end long")
+    return deal(docs, asked).groupBy("shard").applyInArrow(sort, "doc_id long, start long, end long")
 
 
 def remove(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -358,9 +449,9 @@ def remove(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(1, min(1 << 20, total // BUCKET_BYTES + 1)))
-    found = materialize(settle(pack_anchors(docs, buckets)))
+    found = materialize(settle(pack_anchors(docs, buckets, hot_anchors(docs, total, buckets)), buckets))
     inside = found.filter("kind = 0").select("doc_id", "start", "end")
-    borders = materialize(border_spans(docs, found.filter("kind = 1").select("doc_id", "start", "h")))
+    borders = materialize(border_spans(docs, found.filter("kind > 0").select("kind", "doc_id", "start", "h")))
     spans = inside.union(borders).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,6 +127,27 @@ def test_repeats_at_borders_periods_and_seams(spark, monkeypatch):
     assert got == brute_removed(rows)
 
 
+@pytest.mark.parametrize("sampled", [True, False])
+def test_one_passage_in_many_surroundings(spark, monkeypatch, sampled):
+    """Contexts of an anchor that most rows have are dealt over many tasks, whether or not the sample shows it."""
+    monkeypatch.setattr(suffixdedup, "BUCKET_CONTEXTS", 100)
+    monkeypatch.setattr(suffixdedup, "HOT", 50)
+    monkeypatch.setattr(suffixdedup, "BUCKET_WINDOWS", 500)
+    if not sampled:
+        monkeypatch.setattr(suffixdedup, "hot_anchors", lambda *a: np.empty(0, np.uint64))
+    dealt = []
+    monkeypatch.setattr(suffixdedup, "deal", lambda *a, f=suffixdedup.deal: dealt.append(f(*a)) or dealt[-1])
+    rng = np.random.default_rng(6)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage, line = text(90), "\n" + "-" * 40 + "\n"
+    rows = [(i, text(int(rng.integers(0, 60))) + (passage if i % 3 else line) + text(int(rng.integers(20, 60)))) for i in range(600)]
+    got = {r[0]: tuple(r)[1:] for r in suffixdedup.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_removed(rows)
+    loads = dealt[0].groupBy((dealt[0]["shard"] < 0).alias("hot"), "shard").agg({"n": "sum"}).collect()
+    assert sum(r[2] for r in loads if r["hot"]) > 3000  # the windows of the hot anchors
+    assert max(r[2] for r in loads if not r["hot"]) < 400 and max(r[2] for r in loads if r["hot"]) < 1500
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
     s = np.concatenate([rng.integers(0, 3, 400), [9]])
