@@ -19,6 +19,8 @@ BANDS, ROWS = 50, 7
 REMEMBER = 400_000
 #: Members of a component that are compared in one block, and rows with sets that are brought to one task at a time.
 BLOCK, TASK_ROWS = 512, 3000
+#: Shingles that a task is sized for: as many as TASK_ROWS sets of 500.
+TASK_SHINGLES = 500 * TASK_ROWS
 _known: dict[bytes, int] = {}
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -142,7 +144,7 @@ def block_links(t: pa.Table, percent: int) -> pa.Table:
     blocks: dict[tuple, tuple[list, list]] = {}
     for i, (asks, units) in enumerate(zip(t.column("asks").to_pylist(), t.column("units").to_pylist(), strict=True)):
         for u in units:
-            blocks.setdefault((u["group"], u["block"]), ([], []))[asks].append(i)
+            blocks.setdefault((u["group"], u["block"], u["salt"]), ([], []))[asks].append(i)
     one, two = [], []
     for members, asking in blocks.values():
         if not members or not asking:
@@ -164,13 +166,35 @@ def block_links(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
 
 
+def deal(asks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``task, node, asks, units``: the documents that ask a group (``asks``: node, size, group, n members) and the
+    group's members (of ``nodes``), each with its units (group, block, salt).
+
+    A unit has at most about BLOCK members and the askers of one salt, so it is bounded however many ask a group.
+    Tasks are as many as the rows and the shingles of all units need.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    room = F.greatest(F.count("*") / TASK_ROWS, F.sum("size") / TASK_SHINGLES)
+    wanted = asks.groupBy("group", "n").agg(F.ceil(room).cast("int").alias("salts"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    members = nodes.join(wanted, "group").select("node", "size", F.lit(0).alias("asks"), "group", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), each(F.col("salts")).alias("salt"))
+    salted = asks.join(F.broadcast(wanted.filter("salts > 1").select("group", "salts")), "group", "left").withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.coalesce("salts", F.lit(1))).cast("int"))
+    asking = salted.select("node", "size", F.lit(1).alias("asks"), "group", each(blocks).alias("block"), "salt")
+    both = members.union(asking)
+    rows, shingles = both.agg(F.count("*"), F.sum("size")).first()
+    tasks = max(1, rows // TASK_ROWS, (shingles or 0) // TASK_SHINGLES)
+    task = F.pmod(F.xxhash64("group", "block", "salt"), F.lit(tasks))
+    return both.withColumn("task", task).groupBy("task", "node", "asks").agg(F.collect_list(F.struct("group", "block", "salt")).alias("units"))
+
+
 def cross_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components that share a bucket.
 
     A document is paired with a component, not with its members: (document of the smaller component, larger
     component) is one row however many buckets and members they share. The larger one's members lie in blocks of
     bounded size, each document's set is sent once to every task that has blocks for it, and tasks give out links
-    alone.
+    alone. The documents that ask a block are dealt to salts of bounded rows and shingles by a hash of their id, and
+    the block's members are repeated for each salt.
     """
     state = buckets.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).select("bucket", "hub", "node", "size", "group")
     mixed = state.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("bucket")
@@ -181,14 +205,8 @@ def cross_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     # sizes rule a link out, or the pair is the hub and a single document, which have been compared
     open_ = (100 * F.col("size") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("size")) & ~((F.col("node") == F.col("hub")) & (F.col("larger.n") == 1))
     met = live.join(parts, (F.col("bucket") == F.col("in_bucket")) & (F.struct("n", "group") < F.col("larger")) & open_)
-    asks = materialize(met.select("node", F.col("larger.group").alias("group"), F.col("larger.n").alias("n")).distinct())
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    wanted = asks.select("group", "n").distinct()
-    members = nodes.join(wanted, "group").select("node", F.lit(0).alias("asks"), "group", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    asking = asks.select("node", F.lit(1).alias("asks"), "group", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    both = members.union(asking)
-    tasks = max(1, both.count() // TASK_ROWS)
-    dealt = both.withColumn("task", F.pmod(F.xxhash64("group", "block"), F.lit(tasks))).groupBy("task", "node", "asks").agg(F.collect_list(F.struct("group", "block")).alias("units"))
+    asks = materialize(met.select("node", "size", F.col("larger.group").alias("group"), F.col("larger.n").alias("n")).distinct())
+    dealt = deal(asks, nodes)
     rows = dealt.join(sets.withColumnRenamed("doc_id", "node"), "node")
     return rows.groupBy("task").applyInArrow(lambda t: block_links(t, percent), "a long, b long")
 

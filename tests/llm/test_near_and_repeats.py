@@ -72,6 +72,22 @@ def test_chains_of_edits(spark, monkeypatch, block):
     assert got == brute_components({i: shingle_set(t, 2) for i, t in rows})
 
 
+def test_many_near_misses_of_a_large_group(spark, monkeypatch):
+    """Those that ask one block go to several tasks, by their number and by the size of their sets, and find all links."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "TASK_ROWS", 40)
+    monkeypatch.setattr(neardup, "TASK_SHINGLES", 40 * 200)
+    dealt = []
+    monkeypatch.setattr(neardup, "deal", lambda *a, f=neardup.deal: dealt.append(f(*a)) or dealt[-1])
+    base = [f"w{i}" for i in range(200)]
+    change = lambda n, mark: [f"{mark}{i}" if i < n else w for i, w in enumerate(base)]
+    rows = [(i, " ".join(change(i % 12, f"a{i}x"))) for i in range(40)] + [(1000 + i, " ".join(change(28 + i % 8, f"b{i}x"))) for i in range(300)]
+    got = dict(neardup.link(spark.createDataFrame(rows, "doc_id long, text string"), words=2).select("doc_id", "component_id").collect())
+    assert got == brute_components({i: shingle_set(t, 2) for i, t in rows})
+    units = dealt[0].selectExpr("asks", "inline(units)").groupBy("group", "block", "salt").agg({"asks": "sum"}).collect()
+    assert sum(r[3] for r in units) > 300 and max(r[3] for r in units) < 80
+
+
 def test_odd_rows(odd, none):
     got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in neardup.link(odd, words=2).collect()}
     assert got[(1, 0)] == (1, True) and got[(2, 0)] == (2, True) and got[(3, 0)] == (3, True)
