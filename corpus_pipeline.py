@@ -18,8 +18,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: the one with the smallest id."""
-    return keep_one(docs)
+    """Keep one document of each group of near copies: the one with the smallest id. Copies are told by runs of
+    five words; the two-word runs are those of ``op2_neardup`` alone."""
+    return keep_one(docs, words=5)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -251,7 +251,7 @@ def op2_neardup(spark, sf_dir: str) -> DataFrame:
     return link(documents(spark, sf_dir), words=2)
 
 
-def keep_one(docs: DataFrame, words: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """One row of each group of near copies, with its own columns: the row whose id names the group."""
     gone = materialize(link(docs, words=words).filter("not kept").select(F.col("doc_id").alias("_neardup_id")).distinct())
     return docs.join(gone, F.col("doc_id") == F.col("_neardup_id"), "left_anti").select(*docs.columns)

@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline
 from sigmill.llm import quality
 from tests.llm.conftest import SF
+from tests.llm.test_near_and_repeats import brute_components, shingle_set
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +34,13 @@ def test_each_stage_works_on_what_the_one_before_kept(spark, stages):
     assert mixed.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 3
 
 
+def test_near_copies_share_runs_of_five_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    groups = brute_components({r[0]: shingle_set(r[1], 5) for r in docs.select("doc_id", "text").collect()})
+    got = {r[0] for r in corpus_pipeline.neardup(spark, docs, SF).select("doc_id").collect()}
+    assert got == {i for i, g in groups.items() if i == g}
+
+
 def test_run_packs_all_tokens(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert got.agg({"length": "sum"}).first()[0] == stages[-1].agg({"length": "sum"}).first()[0]
