@@ -150,20 +150,17 @@ def window_operator(kind: str, n: int, fs: float, low: float, high: float, order
     return zero_phase(sections, gain, np.eye(n), pad)
 
 
-def filter_rows(x: np.ndarray, kind: str, fs: float, low: float = 0.2, high: float = 50.0, order: int = 4, q: float = 30.0) -> np.ndarray:
-    """Zero-phase filter of each row; NaN where a row is too short or the band doesn't fit the rate."""
+def filter_rows(x: np.ndarray, kind: str, fs: float, low: float = 0.2, high: float = 50.0, order: int = 4, q: float = 30.0) -> np.ndarray | None:
+    """Zero-phase filter of each row; None where rows are too short or the band doesn't fit the rate. NaN stays in its row."""
     fs = round(float(fs), 6)
     n = x.shape[1]
     try:
-        pad = named_filter(kind, fs, low, high, order, q)[2]
-        if n <= pad:
-            return np.full(x.shape, np.nan)
-        if n <= 1024:
-            return x @ window_operator(kind, n, fs, low, high, order, q)
         sections, gain, pad = named_filter(kind, fs, low, high, order, q)
-        return zero_phase(sections, gain, x, pad)
+        if n <= pad:
+            return None
+        return x @ window_operator(kind, n, fs, low, high, order, q) if n <= 1024 else zero_phase(sections, gain, x, pad)
     except ValueError:
-        return np.full(x.shape, np.nan)
+        return None
 
 
 @lru_cache(16)
@@ -318,6 +315,18 @@ def kalman_gains(n: int, q: float = 0.5, r: float = 0.5, p0: float = 1000.0) ->
     return out
 
 
+def kalman_memory(q: float = 0.5, r: float = 0.5, p0: float = 1000.0, small: float = 1e-17) -> tuple[float, int]:
+    """The settled gain, and the number of samples after which gain and value have forgotten how they began."""
+    settled = (-q + np.sqrt(q * q + 4 * q * r)) / 2  # variance after an update, at rest
+    gain = (settled + q) / (settled + q + r)
+    if gain <= 0:
+        raise ValueError("a filter without noise in its state never forgets: q must be above 0")
+    if gain >= 1:
+        return 1.0, 1
+    fade = int(np.ceil(np.log(small) / np.log1p(-gain)))
+    return float(gain), fade + 1
+
+
 def kalman(z: np.ndarray, q: float = 0.5, r: float = 0.5, p0: float = 1000.0) -> np.ndarray:
     gains, x, out = kalman_gains(z.shape[1], q, r, p0), np.zeros(z.shape[0]), np.empty_like(z)
     for k, g in enumerate(gains):

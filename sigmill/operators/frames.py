@@ -128,11 +128,15 @@ def order_by_time_in_buckets(frames: DataFrame, seconds: float = 3600.0) -> Data
 
 
 def capture_first(frames: DataFrame, seconds: float = 5.0) -> DataFrame:
-    """Samples of the first seconds of each recording, with the one that crosses the limit."""
-    w = Window.partitionBy("recording_id").orderBy("t_s", "sample_idx")
+    """Samples of the first seconds of each recording, with the one that crosses the limit.
+
+    The crossing sample is the least of those behind the limit, found by a partial aggregation: no recording is sorted.
+    """
     first = frames.groupBy("recording_id").agg(F.min("t_s").alias("_t0"))
-    timed = frames.join(first, "recording_id").withColumn("_lag", F.lag(F.col("t_s") - F.col("_t0")).over(w))
-    return timed.filter(F.col("_lag").isNull() | (F.col("_lag") < seconds)).drop("_lag", "_t0")
+    timed = frames.join(first, "recording_id").withColumn("_late", F.col("t_s") - F.col("_t0") >= seconds)
+    crossing = timed.filter("_late").groupBy("recording_id").agg(F.min(F.struct("t_s", "sample_idx")).alias("_x"))
+    inside = timed.join(crossing, "recording_id", "left").filter(~F.col("_late") | (F.struct("t_s", "sample_idx") == F.col("_x")))
+    return inside.drop("_t0", "_late", "_x")
 
 
 def mid_slice(frames: DataFrame, seconds: float = 4.0) -> DataFrame:
@@ -195,6 +199,16 @@ def zscore(samples: DataFrame) -> DataFrame:
     return samples.join(s, keys).withColumn("z", F.when(F.col("_s") > 0, (F.col("value") - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
 
 
+def zscore_array(x: Column) -> Column:
+    """The array less its mean over its population deviation; null where the deviation is 0."""
+    # a value that an inner lambda uses is bound as a lambda's own variable, else it would be worked out for every element
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
+    spread = lambda m: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(x))
+    scaled = lambda m, s: F.when(s > 0, F.transform(x, lambda v: (v - m) / s))
+    return F.when(F.size(x) > 0, bound(mean, lambda m: bound(spread(m), lambda s: scaled(m, s))))
+
+
 def minmax_channels(powers: DataFrame) -> DataFrame:
     """Values of a band scaled over the channels by the least and largest size; 0 where all are equal."""
     w = Window.partitionBy("recording_id", "epoch", "band")
@@ -205,15 +219,26 @@ def minmax_channels(powers: DataFrame) -> DataFrame:
 def rolling_range(samples: DataFrame, n: int, pad: float = 0.1, prefill_zero: bool = False) -> DataFrame:
     """Least, largest and padded display range over the last ``n`` values of a channel.
 
-    ``prefill_zero`` counts the values before the first as zeros.
+    The series is cut into blocks of ``n`` samples. The last ``n`` values at a sample are an end of the block before and
+    a beginning of its own, so running extremes forward in each block and backward in the one before give the answer:
+    the work is linear whatever ``n`` is, and no task sorts more than a block. ``prefill_zero`` counts the values
+    before the first as zeros. ``sample_idx`` counts from 0 without gaps.
     """
-    w = Window.partitionBy("recording_id", "channel").orderBy("sample_idx")
-    tail = w.rowsBetween(-(n - 1), 0)
-    lo, hi = F.min("value").over(tail), F.max("value").over(tail)
+    keys = ["recording_id", "channel"]
+    placed = samples.withColumn("_b", F.floor(F.col("sample_idx") / n))
+    block = Window.partitionBy(*keys, "_b").orderBy("sample_idx")
+    ahead = block.rowsBetween(Window.unboundedPreceding, 0)
+    behind = block.rowsBetween(0, Window.unboundedFollowing)
+    runs = placed.withColumn("_lo", F.min("value").over(ahead)).withColumn("_hi", F.max("value").over(ahead))
+    # a suffix that starts at place j serves the sample at place j - 1 of the next block
+    ends = placed.select(*keys, (F.col("sample_idx") + n - 1).alias("sample_idx"), F.min("value").over(behind).alias("_lo2"), F.max("value").over(behind).alias("_hi2"), (F.col("sample_idx") % n).alias("_j"))
+    ends = ends.filter("_j > 0").drop("_j")
+    both = runs.join(ends, [*keys, "sample_idx"], "left")
+    lo, hi = F.least("_lo", "_lo2"), F.greatest("_hi", "_hi2")
     if prefill_zero:
-        short = F.row_number().over(w) < n
+        short = F.col("sample_idx") < n - 1
         lo, hi = F.when(short, F.least(lo, F.lit(0.0))).otherwise(lo), F.when(short, F.greatest(hi, F.lit(0.0))).otherwise(hi)
-    out = samples.withColumn("lo", lo).withColumn("hi", hi)
+    out = both.withColumn("lo", lo).withColumn("hi", hi).select(*samples.columns, "lo", "hi")
     room = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) * pad).otherwise(0.0)
     return out.withColumn("shown_lo", F.col("lo") - room).withColumn("shown_hi", F.col("hi") + room)
 
@@ -235,28 +260,33 @@ def hop_epochs(samples: DataFrame, *keys: str, size: int = 250, hop: int = 50, l
     """
     i = F.col("sample_idx")
     if lossless:
-        kept = samples.withColumn("_k", i)
+        kept = samples.withColumn("_k", i).withColumn("_eaten", F.lit(False))
     else:
         j = i - size
-        kept = samples.withColumn("_k", F.when(i < size, i).when(j % (hop + 1) < hop, size + hop * F.floor(j / (hop + 1)) + j % (hop + 1))).filter(F.col("_k").isNotNull())
+        # the eaten sample goes with the block before it, only to say that it has come
+        place = size + hop * F.floor(j / (hop + 1)) + F.least(j % (hop + 1), F.lit(hop - 1))
+        kept = samples.withColumn("_k", F.when(i < size, i).otherwise(place)).withColumn("_eaten", (i >= size) & (j % (hop + 1) == hop))
     blocks = kept.groupBy("recording_id", *keys, F.floor(F.col("_k") / hop).alias("_b")).agg(
-        F.array_sort(F.collect_list(F.struct("_k", "value"))).alias("_x"), F.min(F.struct("_k", "t_s")).alias("_t"), F.max("sample_idx").alias("_last")
-    ).filter(F.size("_x") == hop)
+        F.array_sort(F.collect_list(F.when(~F.col("_eaten"), F.struct("_k", "value")))).alias("_x"), F.min(F.struct("_k", "t_s")).alias("_t"), F.max("sample_idx").alias("_last")
+    ).withColumn("_n", F.max("_last").over(Window.partitionBy("recording_id", *keys))).filter(F.size("_x") == hop)
     parts = size // hop
     w = Window.partitionBy("recording_id", *keys).orderBy("_b").rowsBetween(0, parts - 1)
-    out = blocks.select("recording_id", *keys, F.col("_b").alias("epoch"), F.col("_t.t_s").alias("t0"), F.flatten(F.collect_list("_x").over(w)).alias("_x"))
-    out = out.filter(F.size("_x") == size).select("recording_id", *keys, "epoch", "t0", F.transform("_x", lambda s: s["value"]).alias("x"))
-    if lossless:
-        return out
-    # an epoch comes out when the sample that triggers the next hop has arrived
-    last = samples.groupBy("recording_id", *keys).agg(F.max("sample_idx").alias("_n"))
-    return out.filter("epoch >= 1").join(last, ["recording_id", *keys]).filter(F.col("_n") >= (size - 1) + (hop + 1) * F.col("epoch")).drop("_n")
+    out = blocks.select("recording_id", *keys, "_n", F.col("_b").alias("epoch"), F.col("_t.t_s").alias("t0"), F.flatten(F.collect_list("_x").over(w)).alias("_x"))
+    out = out.filter(F.size("_x") == size)
+    if not lossless:
+        # an epoch comes out when the sample that triggers the next hop has arrived
+        out = out.filter((F.col("epoch") >= 1) & (F.col("_n") >= (size - 1) + (hop + 1) * F.col("epoch")))
+    return out.select("recording_id", *keys, "epoch", "t0", F.transform("_x", lambda s: s["value"]).alias("x"))
 
 
 def trailing_windows(samples: DataFrame, n: int, *keys: str) -> DataFrame:
-    """The last ``n`` values at every sample from the ``n + 1``-th on."""
+    """The last ``n`` values at every sample from the ``n + 1``-th on, counted from the recording's first sample at which
+    some channel is not zero; what comes before is a recorder filling up."""
+    seen = F.when(F.col("value").isNotNull() & (F.col("value") != 0), F.col("sample_idx"))
+    start = samples.groupBy("recording_id").agg(F.min(seen).alias("_start")).filter("_start is not null")
+    live = samples.join(start, "recording_id").filter("sample_idx >= _start")
     w = Window.partitionBy("recording_id", *keys).orderBy("sample_idx").rowsBetween(-(n - 1), 0)
-    return samples.withColumn("x", F.collect_list("value").over(w)).filter(F.col("sample_idx") >= n)
+    return live.withColumn("x", F.collect_list("value").over(w)).filter(F.col("sample_idx") - F.col("_start") >= n).drop("_start")
 
 
 # ---- spectra as rows: recording_id, channel, epoch, f, p ----------------------------------------------------------
@@ -266,10 +296,19 @@ def band_bins(spectrum: DataFrame, fmin: float, fmax: float) -> DataFrame:
     return spectrum.filter(F.col("f").between(fmin, fmax))
 
 
-def band_mean(spectrum: DataFrame, bands: DataFrame, *keys: str) -> DataFrame:
-    """Mean of the bins of each band, both ends inclusive; ``bands`` is a handful of rows."""
-    joined = spectrum.join(F.broadcast(bands), F.col("f").between(F.col("fmin"), F.col("fmax")))
-    return joined.groupBy("recording_id", *keys, "band").agg(F.avg("p").alias("power"))
+def band_mean(spectra: DataFrame, bands: list[tuple[str, float, float]]) -> DataFrame:
+    """Mean of the bins of each band, both ends inclusive, as rows ``band, power`` beside the keys.
+
+    ``spectra`` has a spectrum a row: the array ``p`` whose bin ``i`` lies at ``i * step``. The means are taken inside the
+    array, so that a row becomes as many rows as bands, not bins. A band without a bin has no row.
+    """
+    def one(low: float, high: float) -> Column:
+        inside = F.filter("p", lambda v, i: (i * F.col("step")).between(low, high))
+        return F.aggregate(inside, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(inside), F.lit(0))
+
+    means = F.array(*[F.struct(F.lit(b).alias("band"), one(float(lo), float(hi)).alias("power")) for b, lo, hi in bands])
+    keys = [c for c in spectra.columns if c not in ("p", "step")]
+    return spectra.select(*keys, F.inline(means)).filter(F.col("power").isNotNull())
 
 
 def band_power_trapz(spectrum: DataFrame, fmin: float, fmax: float, *keys: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -19,29 +19,45 @@ from sigmill.functions import kernels as K
 CHUNK = 1000
 
 
-def by_length(x: pd.Series, run: Callable[[np.ndarray], list[np.ndarray]], outputs: int = 1) -> list[list]:
-    """Apply ``run`` (matrix -> ``outputs`` matrices) to the rows of each length; null rows and all-NaN results are None."""
-    out: list[list] = [[None] * len(x) for _ in range(outputs)]
-    sizes = np.array([-1 if v is None else len(v) for v in x])
-    for n in np.unique(sizes[sizes > 0]):
-        at = np.flatnonzero(sizes == n)
-        for k, result in enumerate(run(np.stack([np.asarray(x.iloc[i], float) for i in at]))):
+def by_length(run: Callable, outputs: int, *columns: pd.Series, rate: pd.Series | None = None) -> list[list]:
+    """Apply ``run`` (a matrix for each column, then the rate if there is one -> ``outputs`` matrices) to rows of equal
+    length and rate.
+
+    A row has None if an array is null or empty, if its arrays differ in length, if its rate is null or not positive, or
+    if ``run`` gives None for its length and rate. NaN values stay in their rows, and leave as nulls in the array.
+    """
+    out: list[list] = [[None] * len(columns[0]) for _ in range(outputs)]
+    groups: dict[tuple, list[int]] = {}
+    for i, row in enumerate(zip(*columns, strict=True)):
+        sizes = {0 if v is None else len(v) for v in row}
+        f = 1.0 if rate is None else rate.iloc[i]
+        if len(sizes) == 1 and min(sizes) and f is not None and f > 0:
+            groups.setdefault((sizes.pop(), round(float(f), 6)), []).append(i)
+    for (_, f), at in groups.items():
+        rows = [np.stack([np.asarray(c.iloc[i], float) for i in at]) for c in columns]
+        for k, result in enumerate(run(*rows, *([] if rate is None else [f])) or []):
             for i, row in zip(at, result, strict=True):
-                if not np.isnan(row).all():
-                    out[k][i] = row
+                out[k][i] = row
     return out
 
 
-def _array_udf(run: Callable[[np.ndarray], np.ndarray]):
+def _rated(run: Callable[[np.ndarray, float], np.ndarray | None]) -> Callable[[Column, Column | float], Column]:
+    """A column function of arrays and their sampling rates from a function of a matrix and a rate."""
+
+    def some(m: np.ndarray, f: float) -> list | None:
+        result = run(m, f)
+        return None if result is None else [result]
+
     @pandas_udf("array<double>")
-    def call(x: pd.Series) -> pd.Series:
-        return pd.Series(by_length(x, lambda m: [run(m)])[0], dtype=object)
+    def call(x: pd.Series, fs: pd.Series) -> pd.Series:
+        return pd.Series(by_length(some, 1, x, rate=fs)[0], dtype=object)
 
-    return call
+    return lambda x, fs: call(x, fs if isinstance(fs, Column) else F.lit(float(fs)))
 
 
-def zero_phase(x: Column, kind: str, fs: float, low: float, high: float = 0.0, order: int = 4, q: float = 30.0) -> Column:
-    return _array_udf(lambda m: K.filter_rows(m, kind, fs, low, high, order, q))(x)
+def zero_phase(x: Column, kind: str, fs: Column | float, low: float, high: float = 0.0, order: int = 4, q: float = 30.0) -> Column:
+    """Zero-phase filter of every array at its own rate; null where it is too short or the band doesn't fit the rate."""
+    return _rated(lambda m, f: K.filter_rows(m, kind, f, low, high, order, q))(x, fs)
 
 
 def bandpass(windows: DataFrame, fs: float, low: float = 0.2, high: float = 50.0, order: int = 4) -> DataFrame:
@@ -62,12 +78,22 @@ def lowpass(windows: DataFrame, fs: float, fp: float = 0.45, fst: float = 30.0,
     return windows.withColumn("x", zero_phase(F.col("x"), "lowpass", fs, 0.0, float(cut), order))
 
 
+def envelope(x: Column, fs: Column | float, low: float = 8.0, high: float = 13.0) -> Column:
+    """Size of the analytic signal of the band-passed array."""
+
+    def run(m: np.ndarray, f: float) -> np.ndarray | None:
+        y = K.filter_rows(m, "bandpass", f, low, high, 4)
+        return None if y is None else K.envelope(y)
+
+    return _rated(run)(x, fs)
+
+
 def alpha_envelope(windows: DataFrame, fs: float, low: float = 8.0, high: float = 13.0) -> DataFrame:
-    return windows.withColumn("x", _array_udf(lambda m: K.envelope(K.filter_rows(m, "bandpass", fs, low, high, 4)))(F.col("x")))
+    return windows.withColumn("x", envelope(F.col("x"), fs, low, high))
 
 
 def wavelet_reference(windows: DataFrame, level: int = 7, soften: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
-    return windows.withColumn("ref", _array_udf(lambda m: K.wavelet_reference(m, level, soften))(F.col("x")))
+    return windows.withColumn("ref", _rated(lambda m, _: K.wavelet_reference(m, level, soften))(F.col("x"), 1.0))
 
 
 def waaf(windows: DataFrame, level: int = 7, soften: tuple[int, ...] = (1, 2, 3, 4), forget: float = 0.98, p0: float = 1e4) -> DataFrame:
@@ -75,19 +101,20 @@ def waaf(windows: DataFrame, level: int = 7, soften: tuple[int, ...] = (1, 2, 3,
 
     @pandas_udf("struct<clean array<double>, ref array<double>, weight array<double>>")
     def call(x: pd.Series) -> pd.DataFrame:
-        clean, ref, weight = by_length(x, lambda m: list(K.waaf(m, level, soften, forget, p0)), 3)
+        clean, ref, weight = by_length(lambda m: K.waaf(m, level, soften, forget, p0), 3, x)
         return pd.DataFrame({"clean": clean, "ref": ref, "weight": weight})
 
     return windows.withColumn("_w", call("x")).select(*windows.columns, "_w.clean", "_w.ref", "_w.weight")
 
 
 def rls_cancel(windows: DataFrame, forget: float = 0.98, p0: float = 1e4) -> DataFrame:
-    """Cancel ``ref`` in ``x``: ``error`` and ``weight`` arrays."""
+    """Cancel ``ref`` in ``x``: ``error`` and ``weight`` arrays, null where one of the two is null or they differ in
+    length. All windows of a length go through the recursion together."""
 
     @pandas_udf("struct<error array<double>, weight array<double>>")
     def call(x: pd.Series, ref: pd.Series) -> pd.DataFrame:
-        rows = [K.rls_cancel(np.asarray(a, float)[None], np.asarray(b, float)[None], forget, p0) for a, b in zip(x, ref, strict=True)]
-        return pd.DataFrame({"error": [e[0] for e, _ in rows], "weight": [w[0] for _, w in rows]})
+        error, weight = by_length(lambda a, b: K.rls_cancel(a, b, forget, p0), 2, x, ref)
+        return pd.DataFrame({"error": error, "weight": weight})
 
     return windows.withColumn("_r", call("x", "ref")).select(*windows.columns, "_r.error", "_r.weight")
 
@@ -95,115 +122,204 @@ def rls_cancel(windows: DataFrame, forget: float = 0.98, p0: float = 1e4) -> Dat
 # ---- series with a short memory: chunks that see the end of the one before --------------------------------------
 
 
-def _in_chunks(samples: DataFrame, keys: tuple[str, ...], run, size: int = CHUNK) -> DataFrame:
-    """Pack a series into chunks, give each the chunk before it, and unpack what ``run`` makes of the two."""
-    chunk = F.floor(F.col("sample_idx") / size)
-    packed = samples.groupBy("recording_id", *keys, chunk.alias("_c")).agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value", "t_s"))).alias("_s"))
-    value = F.transform("_s", lambda s: s["value"])
-    w = Window.partitionBy("recording_id", *keys).orderBy("_c")
-    both = packed.withColumn("_x", value).withColumn("_before", F.lag("_x").over(w))
-    done = both.select("recording_id", *keys, F.inline(F.arrays_zip(F.col("_s").alias("s"), run("_before", "_x").alias("y"))))
-    return done.select("recording_id", *keys, "s.sample_idx", "s.t_s", F.col("y").alias("value"))
+def first_signal(samples: DataFrame) -> DataFrame:
+    """``recording_id, _start``: the first sample of each recording at which some channel is not zero. Recorders fill
+    up before they start, and what comes before is no signal."""
+    seen = F.when(F.col("value").isNotNull() & (F.col("value") != 0), F.col("sample_idx"))
+    return samples.groupBy("recording_id").agg(F.min(seen).alias("_start")).filter("_start is not null")
+
+
+def from_first_signal(samples: DataFrame) -> DataFrame:
+    """The samples from the recording's first signal on, with its place as ``_start``."""
+    return samples.join(first_signal(samples), "recording_id").filter("sample_idx >= _start")
+
+
+def _in_chunks(samples: DataFrame, keys: tuple[str, ...], make: Callable[[np.ndarray, int, bool], list[np.ndarray]], outputs: list[str], tail: int, size: int) -> DataFrame:
+    """Series in chunks of ``size`` samples, each with the last ``tail`` samples before it, in one shuffle.
+
+    The samples at the end of a chunk are sent to the next one too, so no task sees a whole series.
+    ``make(values, number of those before the chunk, whether it is the first chunk) -> outputs``. ``samples`` have
+    ``_start``, where their series begins.
+    """
+    if size < tail:
+        raise ValueError("a chunk must hold what the next one needs of it")
+    k = F.col("sample_idx") - F.col("_start")
+    c = F.floor(k / size)
+    to = F.explode(F.when(k % size >= size - tail, F.array(c, c + 1)).otherwise(F.array(c)))
+    rows = samples.select("recording_id", *keys, "_start", "sample_idx", "t_s", "value", to.alias("_c"))
+    packed = rows.groupBy("recording_id", *keys, "_start", "_c").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value", "t_s"))).alias("_s"))
+    own = F.filter("_s", lambda s: s["sample_idx"] >= F.col("_start") + F.col("_c") * size)
+    packed = packed.withColumn("_own", own).filter(F.size("_own") > 0)
+
+    @pandas_udf(f"struct<{', '.join(f'{o} array<double>' for o in outputs)}>")
+    def call(x: pd.Series, n_own: pd.Series, first: pd.Series) -> pd.DataFrame:
+        rows = [make(np.asarray(v, float), len(v) - n, bool(f)) for v, n, f in zip(x, n_own, first, strict=True)]
+        return pd.DataFrame({o: [r[i] for r in rows] for i, o in enumerate(outputs)})
+
+    found = call(F.transform("_s", lambda s: s["value"]), F.size("_own"), F.col("_c") == 0)
+    done = packed.withColumn("_r", found).select("recording_id", *keys, F.inline(F.arrays_zip(F.col("_own").alias("s"), *[F.col(f"_r.{o}").alias(o) for o in outputs])))
+    return done.select("recording_id", *keys, "s.sample_idx", "s.t_s", *outputs)
+
+
+def _trailing(h: np.ndarray, v: np.ndarray, before: int) -> np.ndarray:
+    """Products of ``h`` with the last values at every sample behind the first ``before``; NaN where there are too few."""
+    short = max(0, len(h) - 1 - before)
+    return np.convolve(np.concatenate([np.full(short, np.nan), v[max(0, before - len(h) + 1) :]]), h[::-1], "valid")
 
 
 def trailing_filter(samples: DataFrame, *keys: str, n: int = 125, fs: float = 250.0) -> DataFrame:
     """Notch and band-pass of the last ``n`` values at every sample, of which the last value is kept.
 
-    Both passes are linear in a window of fixed length, so the value is a product with fixed weights. The first
-    output is at the ``n + 1``-th sample.
+    Both passes are linear in a window of fixed length, so the value is a product with fixed weights. Leading samples
+    at which all channels of the recording are zero are left out; the first output is at the ``n + 1``-th sample after.
     """
     h = K.trailing_weights(n, fs)
+    done = _in_chunks(from_first_signal(samples).withColumn("_from", F.col("_start")), (*keys, "_from"), lambda v, before, _: [_trailing(h, v, before)], ["value"], n - 1, max(CHUNK, n))
+    return done.filter(F.col("sample_idx") - F.col("_from") >= n).drop("_from")
 
-    @pandas_udf("array<double>")
-    def call(before: pd.Series, x: pd.Series) -> pd.Series:
-        out = []
-        for b, v in zip(before, x, strict=True):
-            v = np.asarray(v, float)
-            head = np.asarray(b, float)[-(n - 1) :] if b is not None else np.full(n - 1, np.nan)
-            out.append(np.convolve(np.concatenate([head, v]), h[::-1], "valid"))
-        return pd.Series(out, dtype=object)
 
-    return _in_chunks(samples, keys, call, max(CHUNK, n)).filter(F.col("sample_idx") >= n)
+def _smoothed(z: np.ndarray, before: int, first: bool, q: float, r: float, p0: float) -> np.ndarray:
+    """Kalman means of the values behind the first ``before``: by the recursion at the series' beginning, else as a
+    weighted sum of the last values."""
+    if first:
+        return K.kalman(z[None], q, r, p0)[0]
+    gain, memory = K.kalman_memory(q, r, p0)
+    return _trailing((gain * (1 - gain) ** np.arange(memory))[::-1], z, before)
 
 
-def kalman_smooth(samples: DataFrame, *keys: str, q: float = 0.5, r: float = 0.5, p0: float = 1000.0, memory: int = 64) -> DataFrame:
+def kalman_smooth(samples: DataFrame, *keys: str, q: float = 0.5, r: float = 0.5, p0: float = 1000.0) -> DataFrame:
     """Random-walk Kalman filter of each series.
 
-    The gains don't depend on the data and settle within ``memory`` samples; from then on a value is a weighted sum
-    of the last ``memory`` ones, so chunks after the first need only the end of the one before.
+    The gains don't depend on the data and settle; from then on a value is a weighted sum of the last ones. How many
+    follows from the settled gain, so chunks are as long as small noise ratios need.
     """
-    g = K.kalman_gains(memory, q, r, p0)[-1]
-    taps = g * (1 - g) ** np.arange(memory)
+    memory = K.kalman_memory(q, r, p0)[1]
+    whole = samples.withColumn("_start", F.lit(0).cast("long"))
+    return _in_chunks(whole, keys, lambda v, before, first: [_smoothed(v, before, first, q, r, p0)], ["value"], memory - 1, max(CHUNK, 2 * memory))
 
-    @pandas_udf("array<double>")
-    def call(before: pd.Series, x: pd.Series) -> pd.Series:
-        out = []
-        for b, v in zip(before, x, strict=True):
-            v = np.asarray(v, float)
-            out.append(K.kalman(v[None], q, r, p0)[0] if b is None else np.convolve(np.concatenate([np.asarray(b, float)[-(memory - 1) :], v]), taps, "valid"))
-        return pd.Series(out, dtype=object)
 
-    return _in_chunks(samples, keys, call, max(CHUNK, memory))
+def trailing_and_kalman(samples: DataFrame, *keys: str, n: int = 125, fs: float = 250.0, q: float = 0.5, r: float = 0.5, p0: float = 1000.0) -> DataFrame:
+    """``filtered`` and its ``kalman`` smoothing in one pass: a chunk brings what both need of the one before."""
+    h, memory = K.trailing_weights(n, fs), K.kalman_memory(q, r, p0)[1]
+
+    def make(v: np.ndarray, before: int, first: bool) -> list[np.ndarray]:
+        if first:  # the smoother begins with the filter's first output
+            f = _trailing(h, v, 0)
+            smooth = np.full(len(f), np.nan)
+            if len(f) > n:
+                smooth[n:] = K.kalman(f[None, n:], q, r, p0)[0]
+            return [f, smooth]
+        warm = min(before, memory - 1)  # filtered values before the chunk, whose own window reaches further back
+        f = _trailing(h, v, before - warm)
+        return [f[warm:], _smoothed(f, warm, False, q, r, p0)]
+
+    rows = from_first_signal(samples).withColumn("_from", F.col("_start"))
+    done = _in_chunks(rows, (*keys, "_from"), make, ["filtered", "kalman"], n + memory - 2, max(CHUNK, n + 2 * memory))
+    return done.filter(F.col("sample_idx") - F.col("_from") >= n).drop("_from")
+
+
+#: Slots of the causal chain's average; a channel that a recording lacks counts as zero.
+SLOTS = 8
 
 
 def causal_chain(frames: DataFrame, channel: int = 0, fs: float = 250.0) -> DataFrame:
-    """Sample-by-sample band-pass from its steady state, common average, and mains stop of one channel.
+    """Sample-by-sample band-pass, average over eight slots, and mains stop of one channel.
 
     Recordings of any length are filtered in blocks: every block gives its output and end state from a zero state on
     its own task, a scan of the small states per recording finds what each block starts from, and that is added.
+    A channel that a frame lacks counts as zero in the average, of eight channels always; a null or NaN value makes all
+    later values null, as in any recursive filter, so repair malformed frames before.
     """
     band, gain, _ = K.named_filter("bandpass", fs)
     stop, stop_gain, _ = K.named_filter("bandstop", fs, 59.0, 61.0)
-    picked = frames.select("recording_id", "sample_idx", "t_s", F.col("ch"))
-    # the average of filtered channels is the filter of the average: one series remains, after a row-local step;
-    # the steady-state start isn't scaled by the first sample, so it is the same for all channels and cancels
-    centred = picked.select("recording_id", "sample_idx", "t_s", (F.element_at("ch", channel + 1) - F.aggregate("ch", F.lit(0.0), lambda a, x: a + x) / F.size("ch")).alias("value"))
-    first = blockwise(centred, band, gain, np.zeros(2 * len(band)))
+    # the average of filtered channels is the filter of the average: one series remains, after a row-local step; every
+    # channel starts from the steady state of an input of 1, of which the average takes the share of the slots in use
+    used = F.slice("ch", 1, SLOTS)
+    value = F.try_element_at("ch", F.lit(channel + 1)) - F.aggregate(used, F.lit(0.0), lambda a, x: a + x) / SLOTS
+    centred = frames.select("recording_id", "sample_idx", "t_s", value.alias("value"), (1 - F.size(used) / F.lit(float(SLOTS))).alias("_share"))
+    first = blockwise(centred, band, gain, K.steady_state(band, gain).ravel(), share="_share")
     return blockwise(first, stop, stop_gain, K.steady_state(stop, stop_gain).ravel())
 
 
-def blockwise(samples: DataFrame, sections: np.ndarray, gain: float, start: np.ndarray, size: int = CHUNK) -> DataFrame:
-    """Causal filter of a series per recording by an exact block scan; ``start`` is the state before the first sample."""
+def blockwise(samples: DataFrame, sections: np.ndarray, gain: float, start: np.ndarray, size: int = CHUNK, share: str | None = None) -> DataFrame:
+    """Causal filter of a series per recording by an exact block scan; ``start`` is the state before the first sample,
+    times the first sample's column ``share`` if it is named."""
     chunk = F.floor(F.col("sample_idx") / size)
-    packed = samples.groupBy("recording_id", chunk.alias("block")).agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value", "t_s"))).alias("_s"))
+    part = F.min_by(share, "sample_idx") if share else F.lit(1.0)
+    packed = samples.groupBy("recording_id", chunk.alias("block")).agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value", "t_s"))).alias("_s"), part.alias("_part"))
 
     @pandas_udf("struct<y array<double>, state array<double>>")
     def alone(x: pd.Series) -> pd.DataFrame:
-        y, state = by_length(x, lambda m: [(r := K.block_responses(sections, gain, m))[0], r[1].reshape(-1, len(m)).T], 2)
+        y, state = by_length(lambda m: [(r := K.block_responses(sections, gain, m))[0], r[1].reshape(-1, len(m)).T], 2, x)
         return pd.DataFrame({"y": y, "state": state})
 
-    done = packed.withColumn("_r", alone(F.transform("_s", lambda s: s["value"]))).select("recording_id", "block", "_s", "_r.y", "_r.state")
+    done = packed.withColumn("_r", alone(F.transform("_s", lambda s: s["value"]))).select("recording_id", "block", "_part", "_s", "_r.y", "_r.state")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         ends = np.stack(pdf["state"].map(np.asarray).tolist())
-        return pdf[["recording_id", "block"]].assign(start=list(K.chain_blocks(sections, ends, start, size)))
+        return pdf[["recording_id", "block"]].assign(start=list(K.chain_blocks(sections, ends, start * pdf["_part"].iloc[0], size)))
 
     kind = dict(samples.dtypes)["recording_id"]
-    starts = done.select("recording_id", "block", "state").groupBy("recording_id").applyInPandas(scan, f"recording_id {kind}, block long, start array<double>")
+    starts = done.select("recording_id", "block", "_part", "state").groupBy("recording_id").applyInPandas(scan, f"recording_id {kind}, block long, start array<double>")
 
     @pandas_udf("array<double>")
     def joined(y: pd.Series, state: pd.Series) -> pd.Series:
         return pd.Series([K.add_state(sections, np.asarray(a)[None], np.asarray(s)[None])[0] for a, s in zip(y, state, strict=True)], dtype=object)
 
-    out = done.drop("state").join(starts, ["recording_id", "block"])
+    out = done.drop("state", "_part").join(starts, ["recording_id", "block"])
     return out.select("recording_id", F.inline(F.arrays_zip(F.col("_s").alias("s"), joined("y", "start").alias("y")))).select("recording_id", "s.sample_idx", "s.t_s", F.col("y").alias("value"))
 
 
 # ---- spectra -----------------------------------------------------------------------------------------------------
 
 
+def segment(n: Column, nperseg: int | None = None) -> Column:
+    """Length of Welch's segments for arrays of length ``n``: a quarter, 256 at most, or ``nperseg``."""
+    return F.least(F.lit(nperseg) if nperseg else F.greatest(F.lit(1), F.least(F.lit(256), F.floor(n / 4))), n)
+
+
+def density(x: Column, fs: Column | float, nperseg: int | None = None) -> Column:
+    """Welch's power density of every array; bin ``i`` lies at ``i * fs / segment(size)``."""
+    return _rated(lambda m, f: K.welch(m, f, nperseg or max(1, min(256, m.shape[1] // 4)))[1])(x, fs)
+
+
 def welch_psd(windows: DataFrame, fs: float, nperseg: int | None = None) -> DataFrame:
     """Power density of each window as rows ``f, p`` beside its keys; ``nperseg`` is a quarter of the window, 256 at most."""
-    size = F.lit(nperseg) if nperseg else F.least(F.lit(256), F.floor(F.size("x") / 4))
-    size = F.least(size, F.size("x"))
-    run = _array_udf(lambda m: K.welch(m, fs, nperseg or max(1, min(256, m.shape[1] // 4)))[1])
+    return _as_rows(welch_spectra(windows, fs, nperseg))
+
+
+def band_area(p: Column, step: Column, low: float, high: float) -> Column:
+    """Area by the trapezoid rule under the bins ``i * step`` of an array that lie in the band, both ends inclusive."""
+    inside = F.filter(p, lambda v, i: (i * step).between(low, high))
+    total = F.aggregate(inside, F.lit(0.0), lambda a, v: a + v)
+    return F.when(F.size(inside) > 1, step * (total - (F.element_at(inside, 1) + F.element_at(inside, -1)) / 2)).when(p.isNotNull(), F.lit(0.0))
+
+
+def alpha_power(windows: DataFrame, fs: float, low: float = 8.0, high: float = 13.0) -> DataFrame:
+    """``power``: the area under each window's Welch density between ``low`` and ``high``, beside its keys."""
+    found = welch_spectra(windows, fs)
+    return found.withColumn("power", band_area(F.col("p"), F.col("step"), low, high)).drop("p", "step")
+
+
+def welch_spectra(windows: DataFrame, fs: float, nperseg: int | None = None) -> DataFrame:
+    """Welch's density of each window as an array ``p`` with its bin width ``step``, beside the window's keys."""
     keys = [c for c in windows.columns if c != "x"]
-    return windows.withColumn("_n", size).withColumn("_p", run(F.col("x"))).select(*keys, "_n", F.posexplode("_p").alias("_i", "p")).withColumn("f", F.col("_i") * F.lit(float(fs)) / F.col("_n")).drop("_i", "_n")
+    return windows.select(*keys, density(F.col("x"), fs, nperseg).alias("p"), (F.lit(float(fs)) / segment(F.size("x"), nperseg)).alias("step"))
 
 
-def fft_power(windows: DataFrame, fs: float, size: int = 256) -> DataFrame:
-    """``|FFT|^2 / size`` of each window, filled up with zeros, as rows ``f, p``."""
-    run = _array_udf(lambda m: K.fft_power(m, fs, size)[1])
+def fft_spectra(windows: DataFrame, fs: float, size: int = 256) -> DataFrame:
+    """``|FFT|^2 / size`` of each window, filled up with zeros, as an array ``p`` with its bin width ``step``."""
     keys = [c for c in windows.columns if c != "x"]
-    return windows.withColumn("_p", run(F.col("x"))).select(*keys, F.posexplode("_p").alias("_i", "p")).withColumn("f", F.col("_i") * F.lit(float(fs)) / size).drop("_i")
+    power = _rated(lambda m, _: K.fft_power(m, fs, size)[1])(F.col("x"), fs)
+    return windows.select(*keys, power.alias("p"), F.lit(float(fs) / size).alias("step"))
+
+
+def _as_rows(spectra: DataFrame) -> DataFrame:
+    keys = [c for c in spectra.columns if c not in ("p", "step")]
+    return spectra.select(*keys, "step", F.posexplode("p").alias("_i", "p")).withColumn("f", F.col("_i") * F.col("step")).drop("_i", "step")
+
+
+def fft_power(windows: DataFrame, fs: float, size: int = 256) -> DataFrame:
+    """``fft_spectra`` as rows ``f, p``."""
+    return _as_rows(fft_spectra(windows, fs, size))

@@ -25,7 +25,7 @@ def denoise_recordings(frames: DataFrame, seconds: float = 4.0, alpha: tuple[flo
     ``recording_id, channel, fs, n, z (array), power_raw, power_proc, difference, percent, envelope_raw,
     envelope_proc``. One aggregation gives both the rate and the bounds of the slice; the slice is cut before anything
     is packed. The common average is taken row by row, before the filters, which it commutes with, so that channels
-    are apart from the one real shuffle on. Filters, canceller, z-score, spectra and envelopes are one Python pass.
+    are apart from the one real shuffle on. The steps are the library's operators, on arrays at their own rates.
     Channels whose slice is too short for the filters have null results.
     """
     info = frames.groupBy("recording_id").agg(F.count("t_s").alias("_n"), F.min("t_s").alias("_a"), F.max("t_s").alias("_b"))
@@ -35,80 +35,64 @@ def denoise_recordings(frames: DataFrame, seconds: float = 4.0, alpha: tuple[flo
     rows = cut.select("recording_id", "fs", "sample_idx", pairs.alias("channel", "v")).select("recording_id", "channel", "fs", "sample_idx", "v.raw", "v.car")
     collected, arrays = _packed("raw", "car")
     windows = rows.groupBy("recording_id", "channel").agg(F.first("fs").alias("fs"), collected).select("recording_id", "channel", "fs", *arrays)
-
-    @pandas_udf("struct<z array<double>, power_raw double, power_proc double, envelope_raw double, envelope_proc double>")
-    def clean(raw: pd.Series, car: pd.Series, fs: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({c: [None] * len(raw) for c in ("z", "power_raw", "power_proc", "envelope_raw", "envelope_proc")}, dtype=object)
-        groups: dict[tuple, list[int]] = {}
-        for i, (v, f) in enumerate(zip(raw, fs, strict=True)):
-            if f is not None and not np.isnan(f):
-                groups.setdefault((len(v), round(float(f), 6)), []).append(i)
-        for (_, f), at in groups.items():
-            x, y = (np.stack([np.asarray(s.iloc[i], float) for i in at]) for s in (raw, car))
-            y = K.filter_rows(K.filter_rows(y, "bandpass", f), "bandstop", f, 59.0, 61.0)
-            if np.isnan(y).all():
-                continue
-            y = K.waaf(y)[0]
-            spread = y.std(1, keepdims=True)
-            z = np.divide(y - y.mean(1, keepdims=True), spread, out=np.full_like(y, np.nan), where=spread > 0)
-            power = []
-            for m in (x, y):
-                bins, p = K.welch(m, f, max(1, min(256, m.shape[1] // 4)))
-                inside = (bins >= alpha[0]) & (bins <= alpha[1])
-                power.append(np.trapezoid(p[:, inside], bins[inside], axis=1))
-            envelopes = [K.envelope(K.filter_rows(m, "bandpass", f, *alpha)).mean(1) for m in (x, y)]
-            for k, i in enumerate(at):
-                out.iloc[i] = [z[k], power[0][k], power[1][k], envelopes[0][k], envelopes[1][k]]
-        return out
-
-    done = windows.withColumn("_r", clean("raw", "car", "fs")).select("recording_id", "channel", "fs", F.size("raw").alias("n"), "_r.*")
+    fs = F.col("fs")
+    filtered = S.zero_phase(S.zero_phase(F.col("car"), "bandpass", fs, 0.2, 50.0), "bandstop", fs, 59.0, 61.0)
+    done = S.waaf(windows.withColumn("x", filtered)).withColumnRenamed("clean", "proc").withColumn("raw", F.when(F.col("proc").isNotNull(), F.col("raw")))
+    done = done.withColumn("_step", fs / S.segment(F.size("raw")))
+    for side in ("raw", "proc"):
+        envelope = S.envelope(F.col(side), fs, *alpha)
+        done = done.withColumn(f"_p_{side}", S.density(F.col(side), fs)).withColumn(f"_e_{side}", envelope)
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
+    power = [S.band_area(F.col(f"_p_{side}"), F.col("_step"), *alpha).alias(f"power_{side}") for side in ("raw", "proc")]
+    envelopes = [mean(F.col(f"_e_{side}")).alias(f"envelope_{side}") for side in ("raw", "proc")]
+    done = done.select("recording_id", "channel", "fs", F.size("car").alias("n"), O.zscore_array(F.col("proc")).alias("z"), *power, *envelopes)
     gap = F.col("power_proc") - F.col("power_raw")
     return done.withColumn("difference", gap).withColumn("percent", F.when(F.col("power_raw") > 0, gap / F.col("power_raw") * 100).otherwise(0.0))
 
 
-def denoise_windows(frames: DataFrame, n: int = 1000, fs: float = 250.0) -> DataFrame:
+def denoise_windows(samples: DataFrame, n: int = 1000, fs: float = 250.0) -> DataFrame:
     """The three stages of windowed cleaning: ``recording_id, channel, window_idx, filtered, car, stopped``.
 
-    All channels of a window are one row of the shuffle; filtering is by the fixed-window matrices.
+    ``samples`` are long rows with ``channel_idx``. All channels of a window meet in one shuffle; filtering is by the
+    fixed-window matrices. A channel that lacks a sample of the window, or has a null there, is left out of it and of
+    its average.
     """
-    rows = F.array_sort(F.collect_list(F.struct("sample_idx", "ch")))
-    packed = frames.groupBy("recording_id", F.floor(F.col("sample_idx") / n).alias("window_idx")).agg(rows.alias("_s"))
-    packed = packed.filter(F.size("_s") == n).select("recording_id", "window_idx", F.flatten(F.transform("_s", lambda s: s["ch"])).alias("_x"))
+    rows = F.array_sort(F.collect_list(F.struct("channel_idx", "sample_idx", "value")))
+    good = samples.filter(F.col("value").isNotNull())
+    packed = good.groupBy("recording_id", F.floor(F.col("sample_idx") / n).alias("window_idx")).agg(rows.alias("_s"))
+    column = lambda c: F.transform("_s", lambda s: s[c])
 
     @pandas_udf("array<struct<channel int, filtered array<double>, car array<double>, stopped array<double>>>")
-    def stages(flat: pd.Series) -> pd.Series:
+    def stages(channels: pd.Series, values: pd.Series) -> pd.Series:
         out = []
-        for v in flat:
-            x = K.filter_rows(np.asarray(v, float).reshape(n, -1).T, "bandpass", fs)
-            car = x - x.mean(0)
-            stop = K.filter_rows(car, "bandstop", fs, 59.0, 61.0)
-            out.append([{"channel": c, "filtered": x[c], "car": car[c], "stopped": stop[c]} for c in range(len(x))])
+        for c, v in zip(channels, values, strict=True):
+            number, at, size = np.unique(np.asarray(c), return_index=True, return_counts=True)
+            number, at = number[size == n], at[size == n]
+            x = np.asarray(v, float)[at[:, None] + np.arange(n)]
+            y = K.filter_rows(x, "bandpass", fs) if len(number) else None
+            car = None if y is None else y - y.mean(0)
+            stop = None if y is None else K.filter_rows(car, "bandstop", fs, 59.0, 61.0)
+            out.append([{"channel": k, "filtered": a, "car": b, "stopped": d} for k, a, b, d in zip(number, y, car, stop, strict=True)] if stop is not None else [])
         return pd.Series(out)
 
-    return packed.select("recording_id", "window_idx", F.inline(stages("_x")))
+    return packed.select("recording_id", "window_idx", F.inline(stages(column("channel_idx"), column("value"))))
 
 
 def filter_rolling(frames: DataFrame, channels: int = 3, factor: float = O.MICROVOLTS, n: int = 125, fs: float = 250.0) -> DataFrame:
-    """Rolling filter and its Kalman smoothing of the first channels: ``recording_id, channel_idx, sample_idx, filtered, kalman``."""
+    """Rolling filter and its Kalman smoothing of the first channels: ``recording_id, channel_idx, sample_idx, t_s, filtered, kalman``."""
     good = O.counts_to_microvolts(O.fill_malformed(frames, channels), factor)
     samples = O.frames_to_samples(good).select("recording_id", "channel_idx", "sample_idx", "t_s", "value")
-    filtered = S.trailing_filter(samples, "channel_idx", n=n, fs=fs)
-    # the smoother's first sample is the filter's first output
-    smooth = S.kalman_smooth(filtered.withColumn("sample_idx", F.col("sample_idx") - n), "channel_idx").withColumn("sample_idx", F.col("sample_idx") + n)
-    keys = ["recording_id", "channel_idx", "sample_idx"]
-    return filtered.select(*keys, F.col("value").alias("filtered")).join(smooth.select(*keys, F.col("value").alias("kalman")), keys)
+    return S.trailing_and_kalman(samples, "channel_idx", n=n, fs=fs)
 
 
-def band_power_epochs(frames: DataFrame, bands: DataFrame, fs: float = 250.0) -> DataFrame:
+def band_power_epochs(frames: DataFrame, bands: list[tuple[str, float, float]], fs: float = 250.0) -> DataFrame:
     """Band powers of the hopping epochs, scaled over the channels: ``recording_id, epoch, t0, band, channel, power, scaled``."""
     samples = O.frames_to_samples(frames).withColumnRenamed("channel_idx", "channel")
-    epochs = O.hop_epochs(samples, "channel")
-    powers = O.band_mean(S.fft_power(epochs, fs), bands, "channel", "epoch", "t0")
-    return O.minmax_channels(powers)
+    return O.minmax_channels(O.band_mean(S.fft_spectra(O.hop_epochs(samples, "channel"), fs), bands))
 
 
-def psd_windows(frames: DataFrame, bands: DataFrame, channels: int = 3, n: int = 40, fs: float = 100.0) -> DataFrame:
+def psd_windows(frames: DataFrame, bands: list[tuple[str, float, float]], channels: int = 3, n: int = 40, fs: float = 100.0) -> DataFrame:
     """Mean Welch density of five bands in windows of 40 samples, as long rows."""
     samples = O.frames_to_samples(O.first_n_channels(frames, channels)).withColumn("channel", F.col("channel_idx") + 1)
     windows = O.tumbling_windows(samples, n, "channel")
-    return O.band_mean(S.welch_psd(windows, fs, 100), bands, "channel", "window_idx")
+    return O.band_mean(S.welch_spectra(windows, fs, 100).drop("t0"), bands)

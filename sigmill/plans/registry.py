@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.functions import kernels as K
 from sigmill.operators import frames as O
 from sigmill.operators import signals as S
+from sigmill.plans import filter_sql as Q
 from sigmill.plans import jobs
 from sigmill.sources import recordings as R
 from sigmill.sources import views as V
+from sigmill.streaming import stateful
 
 FR, LO, IR, BA = V.FRAMES_SQL, V.LONG_SQL, V.IRREGULAR_SQL, V.BANDS_SQL
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,25 +58,117 @@ def _folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/recordings-{uuid.uuid4().hex}"
 
 
-@query(FLAT + "frames", FR)
+DEVICE = [f"Channel_{i}" for i in range(1, 9)]
+CLINICAL = ["Fp1", "Fp2", "C3", "C4", "P3", "P4", "O1", "O2"]
+
+
+@query("""select recording_id, row_number() over (partition by recording_id order by t_s nulls last, ch) - 1 as sample_idx, t_s is null as bad_time, len(ch) as n_channels,
+round(t_s, 3) as t_s, round(list_sum(ch), 6) + 0.0 as total from (
+select recording_id::varchar as recording_id, case when sample_idx % 97 = 5 then null when recording_id < 4 then t_s else 1700000000 + t_s end as t_s, ch from frames)""", FR)
 def read_recordings(spark, sf_dir):
-    """Frames written as device CSV and read back through header sniffing."""
+    """Frames written as device and as clinical CSV (quotes, brackets, a row of units, bad times, columns that are no
+    channels) and read back as two header families."""
+    path = _folder(spark)
+    f = V.frames(spark, sf_dir)
+    bad = F.col("sample_idx") % 97 == 5
+    number = lambda i: F.element_at("ch", i + 1).cast("string")
+    device = f.filter("recording_id < 4").select("recording_id", F.when(bad, "late").otherwise(F.col("t_s").cast("string")).alias("timestamp"), F.lit("x").alias("note"), *[number(i).alias(c) for i, c in enumerate(DEVICE)])
+    device.write.partitionBy("recording_id").option("header", True).csv(path + "/device")
+    clock = F.date_format(F.timestamp_micros(F.lit(1700000000000000) + F.col("sample_idx") * 4000), "HH:mm:ss.SSSSSS dd/MM/yyyy")
+    quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
+    time = F.when(bad, F.lit("'no time'")).otherwise(quoted(F.concat(F.lit("["), clock, F.lit("]"))))
+    rows = f.filter("recording_id >= 4").select("recording_id", time.alias("'Time and date'"), *[quoted(number(i)).alias(f"'{c}'") for i, c in enumerate(CLINICAL)])
+    units = f.filter("recording_id >= 4").select("recording_id").distinct().select("recording_id", F.lit("").alias("'Time and date'"), *[F.lit("uV").alias(f"'{c}'") for c in CLINICAL])
+    rows.unionByName(units).write.partitionBy("recording_id").option("header", True).csv(path + "/clinical")
+    got = R.read_families(spark, [path + "/device", path + "/clinical"])
+    total = F.aggregate("ch", F.lit(0.0), lambda a, x: a + x)
+    return got.select("recording_id", "sample_idx", "bad_time", F.size("ch").cast("long").alias("n_channels"), r6("t_s", "t_s", 3), r6(total, "total"))
+
+
+@query("""select recording_id, round(t_s, 6) + 0.0 as timestamp, channel_idx, value from (select recording_id, t_s, unnest(range(0, 8))::int as channel_idx, round(unnest(ch), 6) + 0.0 as value from frames)""", FR)
+def write_recording(spark, sf_dir):
+    """Frames written as device CSV, and the files as they are."""
     path = _folder(spark)
-    R.write_recording(V.frames(spark, sf_dir), path, [f"Channel_{i}" for i in range(1, 9)])
+    R.write_recording(V.frames(spark, sf_dir), path, DEVICE)
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    names = R.clean_headers(raw)
-    time, channels = R.detect_time_column(names.columns), R.detect_channels(names.columns)
-    got = names.select(F.col("recording_id").cast("int").alias("recording_id"), O.clean_numeric(F.col(time)).alias("t_s"), F.array(*[O.clean_numeric(F.col(c)) for c in channels]).alias("ch"))
-    return flat(got.withColumn("sample_idx", F.round(F.col("t_s") * V.FS).cast("long")))
+    values = F.posexplode(F.array(*[F.col(c).cast("double") for c in DEVICE]))
+    return raw.select(F.col("recording_id").cast("int").alias("recording_id"), r6(F.col("timestamp").cast("double"), "timestamp"), values.alias("channel_idx", "v")).withColumn("value", r6("v")).drop("v")
+
+
+@query("""select 'aura_data_1' as recording, count(*) as n_frames, round(sum(ch[1]), 6) + 0.0 as total from frames where recording_id = 1""", FR)
+def latest_recording(spark, sf_dir):
+    """Recordings written one after the other, the last of which is chosen by its files' times and read."""
+    path = _folder(spark)
+    f = V.frames(spark, sf_dir)
+    for name, which in (("aura_data_2", 2), ("other_3", 3), ("aura_data_0", 0), ("aura_data_1", 1), ("other_4", 4)):
+        R.wide(f.filter(F.col("recording_id") == which), DEVICE).drop("recording_id").write.option("header", True).csv(f"{path}/{name}")
+    found = R.latest_recording(R.files(spark, path), "aura_data_").first()  # one row
+    got = R.read_recordings(spark, f"{path}/{found['recording']}")
+    return got.groupBy(F.col("recording_id").alias("recording")).agg(F.count("*").alias("n_frames"), r6(F.sum(F.col("ch")[0]), "total"))
+
+
+def _published(frames: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Frames as JSON lines, read as a stream, put through ``work``, published to files until the source is empty, and read."""
+    spark = frames.sparkSession
+    path = _folder(spark)
+    # event times at the very beginning of the epoch would count as late
+    frames.select(F.col("recording_id").cast("string").alias("recording_id"), "sample_idx", (F.col("t_s") + 1000.0).alias("t_s"), "ch").write.json(path + "/in")
+    R.publish(work(R.read_sample_stream(spark, path + "/in")), path + "/out", path + "/checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(path + "/out")
 
 
-@query("select recording_id, round(t_s, 6) as t_s, round(ch[1], 6) + 0.0 as \"Canal1\", round(ch[2], 6) + 0.0 as \"Canal2\", round(ch[3], 6) + 0.0 as \"Canal3\" from frames", FR)
+@query("select recording_id::varchar as recording_id, sample_idx, round(1000 + t_s, 6) as ts, channel_idx, value from (select recording_id, sample_idx, t_s, unnest(range(0, len(ch)))::int as channel_idx, round(unnest(ch), 6) + 0.0 as value from frames)", FR)
+def read_sample_stream(spark, sf_dir):
+    """The frames as a stream with event time, as they arrive."""
+    got = _published(V.frames(spark, sf_dir), lambda stream: stream)
+    return flat(got.withColumn("ts", r6(F.unix_micros("ts") / F.lit(1e6))), "ts")
+
+
+@query("""select recording_id, sample_idx, round(x[1], 6) + 0.0 as "Canal1", round(x[2], 6) + 0.0 as "Canal2", round(x[3], 6) + 0.0 as "Canal3", round(k[1], 6) + 0.0 as "Kalman1", round(k[2], 6) + 0.0 as "Kalman2", round(k[3], 6) + 0.0 as "Kalman3"
+from (select recording_id, sample_idx, ch[1:3] as x, ch[1:3] as k from frames)""", FR)
 def write_filtered_pair(spark, sf_dir):
-    """Both tables written and the first read back."""
+    """Both tables written and read back, the smoothed one with other values."""
     path = _folder(spark)
-    R.write_filtered_pair(V.frames(spark, sf_dir).withColumn("kalman", F.col("ch")), path + "/a", path + "/b")
-    got = spark.read.option("header", True).csv(path + "/a")
-    return got.select(F.col("recording_id").cast("int").alias("recording_id"), r6(F.col("Timestamp").cast("double"), "t_s"), *[r6(F.col(f"Canal{i}").cast("double"), f"Canal{i}") for i in (1, 2, 3)])
+    R.write_filtered_pair(V.frames(spark, sf_dir).withColumn("kalman", F.transform("ch", lambda x: x * 2 + 1)), path + "/a", path + "/b")
+    read = lambda p, name: spark.read.option("header", True).csv(path + p).select(F.col("recording_id").cast("int").alias("recording_id"), F.col("Timestamp").cast("double").alias("t"), *[F.col(f"Canal{i}").cast("double").alias(f"{name}{i}") for i in (1, 2, 3)])
+    both = read("/a", "Canal").join(read("/b", "Kalman"), ["recording_id", "t"])
+    return both.select("recording_id", F.round(F.col("t") * V.FS).cast("long").alias("sample_idx"), *[r6(f"Canal{i}", f"Canal{i}") for i in (1, 2, 3)], *[r6((F.col(f"Kalman{i}") - 1) / 2, f"Kalman{i}") for i in (1, 2, 3)])
+
+
+#: Names of a dirty header: what the rules must find among them, and what not.
+DIRTY = [" 'Fp1'", "Channel_2 ", "'CH3'", "note", "o2", "chx", "Canal7", "C4"]
+
+
+def _dirty(spark, sf_dir) -> DataFrame:
+    return V.frames(spark, sf_dir).select("recording_id", F.col("t_s").alias("'Time and date' "), *[F.col("ch")[i].alias(c) for i, c in enumerate(DIRTY)])
+
+
+def _sums(t: DataFrame, columns: list[str]) -> DataFrame:
+    """Sums of the columns by recording, as rows."""
+    rows = t.select("recording_id", F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("v")) for c in columns])))
+    return rows.groupBy("recording_id", "name").agg(r6(F.sum("v"), "total"))
+
+
+def _sums_sql(names: dict[str, str]) -> str:
+    return " union all ".join(f"select recording_id, '{n}' as name, round(sum({x}), 6) + 0.0 as total from frames group by 1" for n, x in names.items())
+
+
+@query(_sums_sql({"Time and date": "t_s", "Fp1": "ch[1]", "Channel_2": "ch[2]", "CH3": "ch[3]", "note": "ch[4]", "o2": "ch[5]", "chx": "ch[6]", "Canal7": "ch[7]", "C4": "ch[8]"}), FR)
+def clean_headers(spark, sf_dir):
+    t = R.clean_headers(_dirty(spark, sf_dir))
+    return _sums(t, [c for c in t.columns if c != "recording_id"])
+
+
+@query(_sums_sql({"Time and date": "t_s"}), FR)
+def detect_time_column(spark, sf_dir):
+    t = R.clean_headers(_dirty(spark, sf_dir))
+    return _sums(t, [R.detect_time_column(t.columns)])
+
+
+@query(_sums_sql({"Fp1": "ch[1]", "Channel_2": "ch[2]", "CH3": "ch[3]", "o2": "ch[5]", "Canal7": "ch[7]", "C4": "ch[8]"}), FR)
+def detect_channels(spark, sf_dir):
+    t = R.clean_headers(_dirty(spark, sf_dir))
+    return _sums(t, R.detect_channels(t.columns, canal=True))
 
 
 @query("""select recording_id, strftime(make_timestamp(t_us), '%Y-%m-%d %H:%M:%S.%f') as clock, round(value, 6) + 0.0 as value
@@ -275,50 +369,74 @@ def hop_epochs(spark, sf_dir):
     return e.select("recording_id", "channel", "epoch", r6("t0", "t0"), F.size("x").cast("long").alias("n"), r6(total / F.size("x"), "mean"), r6(F.element_at("x", -1), "last"))
 
 
-@query("""select recording_id, sample_idx, round(avg(value) over w, 6) + 0.0 as mean, round(first_value(value) over w, 6) + 0.0 as first from (select recording_id, sample_idx, ch[1] as value from frames)
-window w as (partition by recording_id order by sample_idx rows 124 preceding) qualify sample_idx >= 125""", FR)
+CHANNELS = "samples as (select recording_id, sample_idx, t_s, unnest(range(0, 8))::int as channel, unnest(ch) as value from frames)"
+
+
+def _samples(spark, sf_dir) -> DataFrame:
+    return O.frames_to_samples(V.frames(spark, sf_dir)).withColumnRenamed("channel_idx", "channel")
+
+
+# the first 30 frames are silent, as of a recorder that fills up
+SILENT = "silent as (select recording_id, sample_idx, channel, case when sample_idx < 30 then 0 else value end as value from samples)"
+
+
+@query("""select recording_id, channel, sample_idx, round(avg(value) over w, 6) + 0.0 as mean, round(first_value(value) over w, 6) + 0.0 as first from silent where sample_idx >= 30
+window w as (partition by recording_id, channel order by sample_idx rows 124 preceding) qualify sample_idx >= 155""", FR, CHANNELS, SILENT)
 def trailing_windows(spark, sf_dir):
-    w = O.trailing_windows(O.pick_channel(V.frames(spark, sf_dir), 0), 125)
+    quiet = _samples(spark, sf_dir).withColumn("value", F.when(F.col("sample_idx") < 30, 0.0).otherwise(F.col("value")))
+    w = O.trailing_windows(quiet, 125, "channel")
     total = F.aggregate("x", F.lit(0.0), lambda a, x: a + x)
-    return w.select("recording_id", "sample_idx", r6(total / 125, "mean"), r6(F.element_at("x", 1), "first"))
+    return w.select("recording_id", "channel", "sample_idx", r6(total / 125, "mean"), r6(F.element_at("x", 1), "first"))
 
 
 # ---- filters -----------------------------------------------------------------------------------------------------
 
+#: The rolling filter's weights: what notch and band-pass make of the last value of each unit window.
+WEIGHTS = [
+    *Q.response("notch125", "notch", 0, 50.0, 0.0, V.FS, 143), *Q.response("band125", "bandpass", 5, 1.0, 50.0, V.FS, 191),
+    "units as (select k, [case when i = k then 1 else 0 end::double for i in range(125)] as x from (select range as k from range(125)))",
+    *Q.zero_phase("notched", "units", "k", "notch125", 9, 143), *Q.zero_phase("banded", "notched", "k", "band125", 33, 191),
+    "weights as materialized (select list(x[125] order by k) as w from banded)",
+]
+TRAILING = """rolled as (select recording_id, channel, sample_idx, list_dot_product(x, w) as value from (
+  select recording_id, channel, sample_idx, list(value) over (partition by recording_id, channel order by sample_idx rows 124 preceding) as x from samples), weights where sample_idx >= 125)"""
+
 
-@query(f"""select recording_id, sample_idx, round(list_dot_product(x, [{', '.join(repr(float(v)) for v in K.trailing_weights(125, 250.0))}]::double[]), 6) + 0.0 as value
-from (select recording_id, sample_idx, list(value) over (partition by recording_id order by sample_idx rows 124 preceding) as x from (select recording_id, sample_idx, ch[1] as value from frames)) where sample_idx >= 125""", FR)
+@query("select recording_id, channel, sample_idx, round(value, 6) + 0.0 as value from rolled", FR, CHANNELS, *WEIGHTS, TRAILING)
 def trailing_filter(spark, sf_dir):
-    return S.trailing_filter(O.pick_channel(V.frames(spark, sf_dir), 0)).select("recording_id", "sample_idx", r6("value", "value"))
+    return S.trailing_filter(_samples(spark, sf_dir), "channel").select("recording_id", "channel", "sample_idx", r6("value", "value"))
 
 
-@query("""select recording_id, sample_idx, round(x, 6) + 0.0 as value from walk""",
-FR, """s as (select recording_id, sample_idx, ch[1] as z from frames)""",
-"""walk as (with recursive w as (
-  select recording_id, sample_idx, z * (1000.5 / 1001.0)::double as x, (1000.5 * (1 - 1000.5 / 1001.0))::double as p from s where sample_idx = 0
+def kalman_sql(source: str, first: int) -> str:
+    """The random-walk filter of ``source`` from sample ``first`` on, as a walk over the samples."""
+    return f"""walk as (with recursive w as (
+  select recording_id, channel, sample_idx, value as z, value * (1000.5 / 1001.0)::double as x, (1000.5 * (1 - 1000.5 / 1001.0))::double as p from {source} where sample_idx = {first}
   union all
-  select s.recording_id, s.sample_idx, w.x + (w.p + 0.5) / (w.p + 1.0) * (s.z - w.x), (w.p + 0.5) * (1 - (w.p + 0.5) / (w.p + 1.0)) from w join s on s.recording_id = w.recording_id and s.sample_idx = w.sample_idx + 1
-) select * from w)""")
+  select s.recording_id, s.channel, s.sample_idx, s.value, w.x + (w.p + 0.5) / (w.p + 1.0) * (s.value - w.x), (w.p + 0.5) * (1 - (w.p + 0.5) / (w.p + 1.0))
+  from w join {source} s on s.recording_id = w.recording_id and s.channel = w.channel and s.sample_idx = w.sample_idx + 1
+) select * from w)"""
+
+
+@query("select recording_id, channel, sample_idx, round(x, 6) + 0.0 as value from walk", FR, CHANNELS, kalman_sql("samples", 0))
 def kalman_smooth(spark, sf_dir):
-    return S.kalman_smooth(O.pick_channel(V.frames(spark, sf_dir), 0)).select("recording_id", "sample_idx", r6("value", "value"))
+    return S.kalman_smooth(_samples(spark, sf_dir), "channel").select("recording_id", "channel", "sample_idx", r6("value", "value"))
 
 
-RLS = """pairs as (select recording_id, sample_idx, sample_idx // 250 as w, sample_idx % 250 as k, ch[1] as x, ch[2] as ref from frames),
+RLS = """pairs as (select recording_id, channel, sample_idx // 250 as w, sample_idx % 250 as k, ch[channel + 1] as x, ch[(channel + 1) % 8 + 1] as ref from (select *, unnest(range(0, 8))::int as channel from frames)),
 whole as (select * from pairs where w < (select max(sample_idx) + 1 from frames) // 250),
-sums as (select a.recording_id, a.w, a.k, a.x, a.ref,
+sums as (select a.recording_id, a.channel, a.w, a.k, a.x, a.ref,
     0.98::double ** a.k / 1e4::double + coalesce(sum(0.98::double ** (a.k - 1 - b.k) * b.ref * b.ref), 0) as square,
     0.98::double ** a.k / 1e4::double + coalesce(sum(0.98::double ** (a.k - 1 - b.k) * b.ref * b.x), 0) as cross_sum
-  from whole a left join whole b on a.recording_id = b.recording_id and a.w = b.w and b.k < a.k group by a.recording_id, a.w, a.k, a.x, a.ref)"""
+  from whole a left join whole b on a.recording_id = b.recording_id and a.channel = b.channel and a.w = b.w and b.k < a.k group by a.recording_id, a.channel, a.w, a.k, a.x, a.ref)"""
 
 
-@query("select recording_id, w as window_idx, k, round(x - cross_sum / square * ref, 6) + 0.0 as error, round(cross_sum / square, 6) + 0.0 as weight from sums", FR, RLS)
+@query("select recording_id, channel, w as window_idx, k, round(x - cross_sum / square * ref, 6) + 0.0 as error, round(cross_sum / square, 6) + 0.0 as weight from sums", FR, RLS)
 def rls_cancel(spark, sf_dir):
-    f = V.frames(spark, sf_dir)
-    both = F.array_sort(F.collect_list(F.struct("sample_idx", "ch")))
-    w = f.groupBy("recording_id", F.floor(F.col("sample_idx") / 250).alias("window_idx")).agg(both.alias("_s")).filter(F.size("_s") == 250)
-    w = w.select("recording_id", "window_idx", F.transform("_s", lambda s: s["ch"][0]).alias("x"), F.transform("_s", lambda s: s["ch"][1]).alias("ref"))
-    done = S.rls_cancel(w).select("recording_id", "window_idx", F.posexplode(F.arrays_zip("error", "weight")).alias("k", "v"))
-    return done.select("recording_id", "window_idx", F.col("k").cast("long").alias("k"), r6("v.error", "error"), r6("v.weight", "weight"))
+    """Every channel with the next one as its reference."""
+    w = _windows(spark, sf_dir).drop("t0")
+    ref = w.select("recording_id", "window_idx", ((F.col("channel") + 7) % 8).alias("channel"), F.col("x").alias("ref"))
+    done = S.rls_cancel(w.join(ref, ["recording_id", "window_idx", "channel"])).select("recording_id", "channel", "window_idx", F.posexplode(F.arrays_zip("error", "weight")).alias("k", "v"))
+    return done.select("recording_id", "channel", "window_idx", F.col("k").cast("long").alias("k"), r6("v.error", "error"), r6("v.weight", "weight"))
 
 
 def _windows(spark, sf_dir, n: int = 250) -> DataFrame:
@@ -337,42 +455,73 @@ WINDOWS = """windows as (select recording_id, channel, sample_idx // 250 as wind
   select recording_id, sample_idx, unnest(range(0, 8))::int as channel, unnest(ch) as value from frames) group by 1, 2, 3 having count(*) = 250)"""
 
 
-@query(None)
+KEYS = "recording_id, channel, window_idx"
+
+
+def summary_sql(source: str, column: str = "x") -> str:
+    return f"select {KEYS}, len({column})::int as n, round(list_dot_product({column}, {column}) / len({column}), 6) + 0.0 as power, round({column}[1], 6) + 0.0 as first, round({column}[len({column})], 6) + 0.0 as last from {source}"
+
+
+def filtered_sql(name: str, source: str, kind: str, order: int, low: float, high: float, n: int = 250, keys: str = KEYS, column: str = "x") -> list[str]:
+    """CTEs that end in ``name``: lists of ``n`` values or fewer filtered at 250 Hz, with the padding of the filter's order."""
+    pad = {"notch": 9, "lowpass": 3 * (order + 1)}.get(kind, 3 * (2 * order + 1))
+    room = n + 2 * pad
+    return Q.response(f"{name}_h", kind, order, low, high, V.FS, room) + Q.zero_phase(name, source, keys, f"{name}_h", pad, room, column)
+
+
+@query(summary_sql("done"), FR, WINDOWS, *filtered_sql("done", "windows", "bandpass", 4, 0.2, 50.0))
 def bandpass(spark, sf_dir):
     return _summary(S.bandpass(_windows(spark, sf_dir), V.FS))
 
 
-@query(None)
+@query(summary_sql("done"), FR, WINDOWS, *filtered_sql("done", "windows", "bandstop", 4, 59.0, 61.0))
 def bandstop(spark, sf_dir):
     return _summary(S.bandstop(_windows(spark, sf_dir), V.FS))
 
 
-@query(None)
+@query(summary_sql("done"), FR, WINDOWS, *filtered_sql("done", "windows", "notch", 0, 50.0, 0.0))
 def notch(spark, sf_dir):
     return _summary(S.notch(_windows(spark, sf_dir), V.FS))
 
 
-@query(None)
+# least order for 60 dB at 30 Hz, and the cut-off at which 0.45 Hz loses exactly 1 dB
+LOSS = 10**0.1 - 1
+ORDER = math.ceil(math.log10((10**6 - 1) / LOSS) / (2 * math.log10(math.tan(math.pi * 30 / V.FS) / math.tan(math.pi * 0.45 / V.FS))))
+CUT = V.FS / math.pi * math.atan(math.tan(math.pi * 0.45 / V.FS) * LOSS ** (-1 / (2 * ORDER)))
+
+
+@query(summary_sql("done"), FR, WINDOWS, *filtered_sql("done", "windows", "lowpass", ORDER, 0.0, CUT))
 def lowpass(spark, sf_dir):
     return _summary(S.lowpass(_windows(spark, sf_dir), V.FS))
 
 
-@query(None)
+@query(summary_sql("done"), FR, WINDOWS, *filtered_sql("alpha", "windows", "bandpass", 4, 8.0, 13.0), *Q.envelope("done", "alpha", KEYS))
 def alpha_envelope(spark, sf_dir):
     return _summary(S.alpha_envelope(_windows(spark, sf_dir), V.FS))
 
 
-@query(None)
+@query(summary_sql("done", "ref"), FR, WINDOWS, *Q.wavelet("done", "windows", KEYS))
 def wavelet_reference(spark, sf_dir):
     return _summary(S.wavelet_reference(_windows(spark, sf_dir)), "ref")
 
 
-@query(None)
+@query(summary_sql("done", "clean"), FR, WINDOWS, *Q.wavelet("softened", "windows", KEYS), *Q.cancel("done", "softened", KEYS, 250))
 def waaf(spark, sf_dir):
     return _summary(S.waaf(_windows(spark, sf_dir)), "clean")
 
 
-@query(None)
+# all eight channels are filtered from a steady state of 1 and averaged, as the recorder does it
+CAUSAL = [
+    *Q.response("causal_h", "bandpass", 4, 0.2, 50.0, V.FS, 20000), *Q.response("causal_s", "bandstop", 4, 59.0, 61.0, V.FS, 20000),
+    "series as (select recording_id, channel, list(value order by sample_idx) as x from samples group by 1, 2)",
+    f"passed as (select recording_id, channel, {Q.one_pass('causal_h', 'x', 20000, '1')} as x from series, causal_h)",
+    "mean8 as (select recording_id, list(m order by i) as m from (select recording_id, i, sum(v) / 8 as m from (select recording_id, unnest(range(len(x))) as i, unnest(x) as v from passed) group by 1, 2) group by 1)",
+    "centred as (select recording_id, [x[i + 1] - m[i + 1] for i in range(len(x))] as x from passed join mean8 using (recording_id) where channel = 0)",
+    f"chain as (select recording_id, {Q.one_pass('causal_s', 'x', 20000, '1')} as x from centred, causal_s)",
+]
+
+
+@query("select recording_id, unnest(range(len(x))) as sample_idx, round(unnest(x), 6) + 0.0 as value from chain", FR, CHANNELS, *CAUSAL)
 def causal_chain(spark, sf_dir):
     return S.causal_chain(V.frames(spark, sf_dir)).select("recording_id", "sample_idx", r6("value", "value"))
 
@@ -385,7 +534,7 @@ def fft_power(spark, sf_dir):
     return S.fft_power(_windows(spark, sf_dir), V.FS).select("recording_id", "channel", "window_idx", r6("f", "f"), r6("p", "p"))
 
 
-WELCH = """samples40 as (select recording_id, sample_idx // 40 as window_idx, sample_idx % 40 as j, unnest(range(1, 4))::int as channel, unnest(ch[1:3]) as v from frames),
+WELCH = """samples40 as (select recording_id, sample_idx // 40 as window_idx, sample_idx % 40 as j, unnest(range(1, 9))::int as channel, unnest(ch) as v from frames),
 full40 as (select recording_id, channel, window_idx, j, v, v - avg(v) over w as c from samples40 window w as (partition by recording_id, channel, window_idx) qualify count(*) over w = 40),
 hann as (select range as j, 0.5 - 0.5 * cos(2 * pi() * range / 40) as h from range(40)),
 psd as (select recording_id, channel, window_idx, i * 2.5::double as f,
@@ -395,34 +544,34 @@ psd as (select recording_id, channel, window_idx, i * 2.5::double as f,
 
 @query("select recording_id, channel, window_idx, round(f, 6) as f, round(p, 9) + 0.0 as p from psd", FR, WELCH)
 def welch_psd(spark, sf_dir):
-    s = O.frames_to_samples(O.first_n_channels(V.frames(spark, sf_dir), 3)).withColumn("channel", F.col("channel_idx") + 1)
+    s = O.frames_to_samples(V.frames(spark, sf_dir)).withColumn("channel", F.col("channel_idx") + 1)
     return S.welch_psd(O.tumbling_windows(s, 40, "channel"), 100.0, 100).select("recording_id", "channel", "window_idx", r6("f", "f"), r6("p", "p", 9))
 
 
-@query("""select recording_id, channel, window_idx, band, round(avg(p), 9) + 0.0 as power from psd join (select * from bands where scheme = 'welch5') on f between fmin and fmax group by 1, 2, 3, 4""", FR, WELCH, BA)
+@query("""select recording_id, channel, window_idx, band, round(avg(p), 9) + 0.0 as power from psd join (select * from bands where scheme = 'welch5') on f between fmin and fmax where channel <= 3 group by 1, 2, 3, 4""", FR, WELCH, BA)
 def welch_bands(spark, sf_dir):
-    return jobs.psd_windows(V.frames(spark, sf_dir), V.bands(spark, "welch5")).select("recording_id", "channel", "window_idx", "band", r6("power", "power", 9))
+    return jobs.psd_windows(V.frames(spark, sf_dir), V.bands("welch5")).select("recording_id", "channel", "window_idx", "band", r6("power", "power", 9))
 
 
 @query("""select recording_id, window_idx, """ + ", ".join(f"round(max(power) filter (band = '{b.lower()}' and channel = {i}), 9) + 0.0 as \"{b}{i}\"" for i in (1, 2, 3) for b in ("Delta", "Theta", "Alpha", "Beta", "Gamma")) + """
 from (select recording_id, channel, window_idx, band, avg(p) as power from psd join (select * from bands where scheme = 'welch5') on f between fmin and fmax group by 1, 2, 3, 4) group by 1, 2""", FR, WELCH, BA)
 def psd_stream(spark, sf_dir):
     """Batch twin of the density stream: the table of 15 columns."""
-    t = R.band_table(jobs.psd_windows(V.frames(spark, sf_dir), V.bands(spark, "welch5")), "window_idx")
+    t = R.band_table(jobs.psd_windows(V.frames(spark, sf_dir), V.bands("welch5")), "window_idx")
     return t.select("recording_id", "window_idx", *[r6(c, c, 9) for c in R.BAND_COLUMNS])
 
 
 @query("""select recording_id, channel, window_idx, round(sum((f - f0) * (p + p0) / 2), 9) + 0.0 as power from (
 select *, lag(f) over w as f0, lag(p) over w as p0 from psd where f between 8 and 30 window w as (partition by recording_id, channel, window_idx order by f)) group by 1, 2, 3""", FR, WELCH)
 def band_power_trapz(spark, sf_dir):
-    s = O.frames_to_samples(O.first_n_channels(V.frames(spark, sf_dir), 3)).withColumn("channel", F.col("channel_idx") + 1)
+    s = O.frames_to_samples(V.frames(spark, sf_dir)).withColumn("channel", F.col("channel_idx") + 1)
     psd = S.welch_psd(O.tumbling_windows(s, 40, "channel"), 100.0, 100)
     return O.band_power_trapz(psd, 8, 30, "channel", "window_idx").select("recording_id", "channel", "window_idx", r6("power", "power", 9))
 
 
 @query("select recording_id, channel, window_idx, round(f, 6) as f, round(p, 9) + 0.0 as p from psd where f between 8 and 13", FR, WELCH)
 def band_bins(spark, sf_dir):
-    s = O.frames_to_samples(O.first_n_channels(V.frames(spark, sf_dir), 3)).withColumn("channel", F.col("channel_idx") + 1)
+    s = O.frames_to_samples(V.frames(spark, sf_dir)).withColumn("channel", F.col("channel_idx") + 1)
     return O.band_bins(S.welch_psd(O.tumbling_windows(s, 40, "channel"), 100.0, 100), 8, 13).select("recording_id", "channel", "window_idx", r6("f", "f"), r6("p", "p", 9))
 
 
@@ -439,7 +588,7 @@ powers as (select recording_id, channel, epoch, band, avg(p) as power from fft j
 @query("select recording_id, channel, epoch, band, round(power, 6) + 0.0 as power from powers", FR, BA, EPOCHS)
 def band_mean(spark, sf_dir):
     samples = O.frames_to_samples(V.frames(spark, sf_dir)).withColumnRenamed("channel_idx", "channel")
-    p = O.band_mean(S.fft_power(O.hop_epochs(samples, "channel"), V.FS), V.bands(spark, "fft5"), "channel", "epoch")
+    p = O.band_mean(S.fft_spectra(O.hop_epochs(samples, "channel"), V.FS), V.bands("fft5"))
     return p.select("recording_id", "channel", "epoch", "band", r6("power", "power"))
 
 
@@ -450,44 +599,99 @@ then (power - min(abs(power)) over w) / (max(abs(power)) over w - min(abs(power)
 @query(SCALED, FR, BA, EPOCHS)
 def minmax_channels(spark, sf_dir):
     samples = O.frames_to_samples(V.frames(spark, sf_dir)).withColumnRenamed("channel_idx", "channel")
-    p = O.band_mean(S.fft_power(O.hop_epochs(samples, "channel"), V.FS), V.bands(spark, "fft5"), "channel", "epoch")
+    p = O.band_mean(S.fft_spectra(O.hop_epochs(samples, "channel"), V.FS), V.bands("fft5"))
     return O.minmax_channels(p).select("recording_id", "channel", "epoch", "band", r6("scaled", "scaled"))
 
 
-@query(SCALED, FR, BA, EPOCHS)
+POWERS = "select recording_id::varchar as recording_id, epoch, band, channel, round(power, 6) + 0.0 as power, round(scaled, 6) + 0.0 as scaled from (" + SCALED.replace("select recording_id", "select power, recording_id", 1) + ")"
+
+
+@query(POWERS, FR, BA, EPOCHS)
 def band_power_stream(spark, sf_dir):
-    """Batch twin of the band-power stream."""
-    return jobs.band_power_epochs(V.frames(spark, sf_dir), V.bands(spark, "fft5")).select("recording_id", "channel", "epoch", "band", r6("scaled", "scaled"))
+    """The band-power stream itself, run over the frames until they end."""
+    got = _published(V.frames(spark, sf_dir), lambda stream: stateful.band_power(stream, V.bands("fft5")))
+    return got.select("recording_id", "epoch", "band", "channel", r6("power", "power"), r6("scaled", "scaled"))
+
+
+@query("select recording_id, window_idx, " + ", ".join(f"round(max(power) filter (band = '{b.lower()}' and channel = {i}), 9) + 0.0 as \"{b}{i}\"" for i in (1, 2, 3) for b in ("Delta", "Theta", "Alpha", "Beta", "Gamma")) + """
+from (select recording_id, channel, window_idx, band, avg(p) as power from psd join (select * from bands where scheme = 'welch5') on f between fmin and fmax group by 1, 2, 3, 4) group by 1, 2""", FR, WELCH, BA)
+def write_band_table(spark, sf_dir):
+    """The band table written as CSV and read back."""
+    path = _folder(spark)
+    R.write_band_table(jobs.psd_windows(V.frames(spark, sf_dir), V.bands("welch5")), path, "window_idx")
+    got = spark.read.option("header", True).csv(path)
+    return got.select(F.col("recording_id").cast("int").alias("recording_id"), F.col("window_idx").cast("long").alias("window_idx"), *[r6(F.col(c).cast("double"), c, 9) for c in R.BAND_COLUMNS])
 
 
-@query(None)
+@query(f"select recording_id, channel, round(raw, 6) + 0.0 as power_raw, round(proc, 6) + 0.0 as power_proc, round(proc - raw, 6) + 0.0 as difference, round(case when raw > 0 then (proc - raw) / raw * 100 else 0 end, 6) + 0.0 as percent "
+f"from (select recording_id, channel, sum({Q.alpha_area('a.x', '250.0::double')}) as raw, sum({Q.alpha_area('b.x', '250.0::double')}) as proc from windows a join done b using (recording_id, channel, window_idx) group by 1, 2)", FR, WINDOWS, *filtered_sql("done", "windows", "bandpass", 4, 0.2, 50.0))
 def alpha_power(spark, sf_dir):
-    d = jobs.denoise_recordings(V.frames(spark, sf_dir), 4.0)
-    return d.select("recording_id", "channel", r6("power_raw", "power_raw"), r6("power_proc", "power_proc"), r6("percent", "percent"))
+    """Alpha power of all windows of a channel before and after the band-pass."""
+    w = _windows(spark, sf_dir).drop("t0")
+    total = lambda windows: S.alpha_power(windows, V.FS).groupBy("recording_id", "channel").agg(F.sum("power").alias("power"))
+    both = O.compare_stages(total(w), total(S.bandpass(w, V.FS)))
+    return both.select("recording_id", "channel", *[r6(c, c) for c in ("power_raw", "power_proc", "difference", "percent")])
 
 
 # ---- whole chains ------------------------------------------------------------------------------------------------
 
-
-@query(None)
+TWO = "recording_id, channel"
+OFFLINE = [
+    "info as (select recording_id, (count(*) - 1) / (max(t_s) - min(t_s)) as fs, min(t_s) + (max(t_s) - min(t_s)) / 2 as mid from frames group by 1)",
+    "slice as (select recording_id, channel, fs, list(value order by sample_idx) as x from samples join info using (recording_id) where t_s between mid and mid + 4 group by 1, 2, 3)",
+    *filtered_sql("passed", "slice", "bandpass", 4, 0.2, 50.0, 1001, TWO),
+    "mean8 as (select recording_id, list(m order by i) as m from (select recording_id, i, avg(v) as m from (select recording_id, unnest(range(len(x))) as i, unnest(x) as v from passed) group by 1, 2) group by 1)",
+    "centred as (select recording_id, channel, [x[i + 1] - m[i + 1] for i in range(len(x))] as x from passed join mean8 using (recording_id))",
+    *filtered_sql("stopped", "centred", "bandstop", 4, 59.0, 61.0, 1001, TWO),
+    *Q.wavelet("softened", "stopped", TWO), *Q.cancel("cleaned", "softened", TWO, 1001),
+    "stages as (select recording_id, channel, fs, s.x as raw, c.clean as proc from slice s join cleaned c using (recording_id, channel))",
+    *filtered_sql("raw_alpha", "stages", "bandpass", 4, 8.0, 13.0, 1001, TWO, "raw"), *Q.envelope("raw_size", "raw_alpha", TWO, "raw"),
+    *filtered_sql("proc_alpha", "stages", "bandpass", 4, 8.0, 13.0, 1001, TWO, "proc"), *Q.envelope("proc_size", "proc_alpha", TWO, "proc"),
+    f"powers as (select {TWO}, fs, len(raw)::int as n, proc, {Q.alpha_area('raw', 'fs')} as a, {Q.alpha_area('proc', 'fs')} as b from stages)",
+]
+
+
+@query("""select recording_id, channel, n, round(fs, 6) + 0.0 as fs, round(a, 6) + 0.0 as power_raw, round(b, 6) + 0.0 as power_proc, round(b - a, 6) + 0.0 as difference, round(case when a > 0 then (b - a) / a * 100 else 0 end, 6) + 0.0 as percent,
+round(list_avg(r.raw), 6) + 0.0 as envelope_raw, round(list_avg(q.proc), 6) + 0.0 as envelope_proc, round(list_max([abs(v - list_avg(p.proc)) for v in p.proc]) / list_aggregate(p.proc, 'stddev_pop'), 6) + 0.0 as peak_z
+from powers p join raw_size r using (recording_id, channel) join proc_size q using (recording_id, channel)""", FR, CHANNELS, *OFFLINE)
 def denoise_recordings(spark, sf_dir):
     d = jobs.denoise_recordings(V.frames(spark, sf_dir))
     peak = F.aggregate("z", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
     return d.select("recording_id", "channel", "n", *[r6(c, c) for c in ("fs", "power_raw", "power_proc", "difference", "percent", "envelope_raw", "envelope_proc")], r6(peak, "peak_z"))
 
 
-@query(None)
+WINDOWED = [
+    "wide as (select recording_id, (channel - 1)::int as channel, sample_idx // 1000 as window_idx, list(value order by sample_idx) as x from long_samples group by 1, 2, 3 having count(*) = 1000)",
+    *filtered_sql("filtered", "wide", "bandpass", 4, 0.2, 50.0, 1000),
+    "means as (select recording_id, window_idx, list(m order by i) as m from (select recording_id, window_idx, i, avg(v) as m from (select recording_id, window_idx, unnest(range(1000)) as i, unnest(x) as v from filtered) group by 1, 2, 3) group by 1, 2)",
+    "car as (select recording_id, channel, window_idx, [x[i + 1] - m[i + 1] for i in range(1000)] as x from filtered join means using (recording_id, window_idx))",
+    *filtered_sql("stopped", "car", "bandstop", 4, 59.0, 61.0, 1000),
+]
+
+
+@query("""select recording_id, channel, window_idx, round(list_dot_product(f.x, f.x) / 1e9::double, 3) + 0.0 as filtered, round(list_dot_product(c.x, c.x) / 1e9::double, 3) + 0.0 as car, round(list_dot_product(s.x, s.x) / 1e9::double, 3) + 0.0 as stopped
+from filtered f join car c using (recording_id, channel, window_idx) join stopped s using (recording_id, channel, window_idx)""", LO, *WINDOWED)
 def denoise_stream_windows(spark, sf_dir):
     """Batch twin of the windowed cleaning stream, over the long series of every line-item recording."""
-    l = V.long_samples(spark, sf_dir).select("recording_id", "sample_idx", "t_s", (F.col("channel") - 1).alias("channel_idx"), "value")
-    f = O.samples_to_frames(l).filter(F.size("ch") == 7)
-    d = jobs.denoise_windows(f)
+    l = V.long_samples(spark, sf_dir).withColumn("channel_idx", F.col("channel") - 1)
     power = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x) / F.size(c)
-    return d.select("recording_id", "channel", "window_idx", *[r6(power(c), c, 3) for c in ("filtered", "car", "stopped")])
+    return jobs.denoise_windows(l).select("recording_id", "channel", "window_idx", *[r6(power(c) / 1e6, c, 3) for c in ("filtered", "car", "stopped")])
+
 
+FIRST3 = TRAILING.replace("from samples)", "from samples where channel < 3)")
+ROLLING = "select recording_id{0}, channel as channel_idx, sample_idx, round(z, 6) + 0.0 as filtered, round(x, 6) + 0.0 as kalman from walk"
 
-@query(None)
+
+@query(ROLLING.format(""), FR, CHANNELS, *WEIGHTS, FIRST3, kalman_sql("rolled", 125))
 def filter_stream_rolling(spark, sf_dir):
     """Batch twin of the rolling filter stream."""
     d = jobs.filter_rolling(V.frames(spark, sf_dir), factor=1.0)
     return d.select("recording_id", "channel_idx", "sample_idx", r6("filtered", "filtered"), r6("kalman", "kalman"))
+
+
+@query(ROLLING.format("::varchar as recording_id"), FR, CHANNELS, *WEIGHTS, FIRST3, kalman_sql("rolled", 125))
+def publish_filtered(spark, sf_dir):
+    """The rolling filter stream itself, published until the frames end."""
+    got = _published(V.frames(spark, sf_dir), lambda stream: stateful.trailing_and_kalman(stream, factor=1.0))
+    pairs = F.posexplode(F.arrays_zip("filtered", "kalman"))
+    return got.select("recording_id", "sample_idx", pairs.alias("channel_idx", "v")).select("recording_id", "channel_idx", "sample_idx", r6("v.filtered", "filtered"), r6("v.kalman", "kalman"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigmill.operators.frames import clean_numeric, parse_clock_time
@@ -47,31 +47,43 @@ def first_channel(columns: Sequence[str]) -> str:
 
 
 def recording_name(path: Column) -> Column:
-    """File name without folder and ending."""
-    return F.regexp_extract(path, r"([^/]+?)(?:\.csv(?:\.gz)?)?$", 1)
+    """File name without folder and ending; a part file of a table is named by the table's folder (or its value)."""
+    own = F.regexp_extract(path, r"([^/]+?)(?:\.csv(?:\.gz)?)?$", 1)
+    folder = F.regexp_extract(path, r"([^/=]+?)(?:\.csv)?/part-[^/]*$", 1)
+    return F.when(folder != "", folder).otherwise(own)
 
 
-def read_recordings(spark: SparkSession, path: str | list[str], units_row: str | bool = "auto", canal: bool = False) -> DataFrame:
+def read_recordings(spark: SparkSession, path: str | list[str], units_row: bool = True, canal: bool = False) -> DataFrame:
     """CSV recordings of one header family as frames: ``recording_id, sample_idx, t_s, ts, ch, bad_time, channel_names``.
 
-    All columns are read as text and cast after the header is sniffed. A clinical export has a row of units below the
-    header: ``auto`` drops rows whose time does not parse while no channel is a number, ``True`` requires and
-    ``False`` keeps them. Order is by time; a time like ``[hh:mm:ss.mmm dd/mm/yyyy]`` gives ``ts`` and seconds of the
-    day's epoch in ``t_s``, a numeric one goes to ``t_s`` directly. Rows whose time is bad stay, with ``bad_time``.
-    Files with other headers are read apart and united with ``unionByName(allowMissingColumns=True)``.
+    All columns are read as text and cast after the header is sniffed; a file with another header fails the job. A
+    clinical export has a row of units below the header: with ``units_row``, rows whose time does not parse while no
+    channel is a number are dropped. ``sample_idx`` is the order by time within the recording, rows of bad time last,
+    by their values. A time like ``[hh:mm:ss.mmm dd/mm/yyyy]`` gives ``ts`` and seconds of the epoch in ``t_s``, a
+    numeric one goes to ``t_s`` directly. Rows whose time is bad stay, with ``bad_time``.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
     names = [clean_header(c) for c in raw.columns]
     time, channels = detect_time_column(names), detect_channels(names, canal)
-    tagged = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(raw.columns, names, strict=True)], recording_name(F.col("_metadata.file_path")).alias("recording_id"))
-    number = clean_numeric(F.col(f"`{time}`"))
-    ts = parse_clock_time(F.col(f"`{time}`"))
-    t_s = F.coalesce(number, F.unix_micros(ts) / F.lit(1e6))
-    ch = F.array(*[clean_numeric(F.col(f"`{c}`")) for c in channels])
+    tagged = raw.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(raw.columns)], recording_name(F.col("_metadata.file_path")).alias("recording_id"))
+    column = lambda c: F.col(f"_{names.index(c)}")
+    ts = parse_clock_time(column(time))
+    t_s = F.coalesce(clean_numeric(column(time)), F.unix_micros(ts) / F.lit(1e6))
+    ch = F.array(*[clean_numeric(column(c)) for c in channels])
     out = tagged.select("recording_id", t_s.alias("t_s"), ts.alias("ts"), ch.alias("ch"))
-    if units_row in ("auto", True):
+    if units_row:
         out = out.filter(F.col("t_s").isNotNull() | F.exists("ch", lambda x: x.isNotNull()))
+    w = Window.partitionBy("recording_id").orderBy(F.col("t_s").asc_nulls_last(), "ch")
     out = out.withColumn("bad_time", F.col("t_s").isNull()).withColumn("channel_names", F.array(*[F.lit(c) for c in channels]))
+    return out.select("recording_id", (F.row_number().over(w).cast("long") - 1).alias("sample_idx"), "t_s", "ts", "ch", "bad_time", "channel_names")
+
+
+def read_families(spark: SparkSession, paths: Sequence[str | list[str]], **options) -> DataFrame:
+    """Recordings of several header families, each read with its own header, as one table of frames."""
+    tables = [read_recordings(spark, p, **options) for p in paths]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
     return out
 
 

@@ -42,9 +42,9 @@ def irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("recording_id", (F.row_number().over(w).cast("long") - 1).alias("sample_idx"), "t_s", "value")
 
 
-def bands(spark: SparkSession, scheme: str) -> DataFrame:
-    """``scheme, band, fmin, fmax``: a handful of rows, made for broadcast joins."""
-    return spark.createDataFrame([b for b in BANDS if b[0] == scheme], "scheme string, band string, fmin double, fmax double")
+def bands(scheme: str) -> list[tuple[str, float, float]]:
+    """``(band, fmin, fmax)`` of a scheme."""
+    return [b[1:] for b in BANDS if b[0] == scheme]
 
 
 FRAMES_SQL = """frames as (

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sigmill.functions import kernels as K
 from sigmill.operators.frames import MICROVOLTS
+from sigmill.operators.signals import SLOTS
 
 #: A recording loses its state when the watermark has passed its last sample by this much.
 IDLE_MS = 600_000
@@ -22,10 +23,24 @@ def _expire(held: GroupState, last_s: float) -> None:
 
 
 def _frames(pdfs: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray]:
-    """The frames of a recording in a micro-batch, in time order, and their channels as a matrix (channels x time)."""
+    """The frames of a recording in a micro-batch, in time order, and their channels as a matrix (channels x time).
+    Frames without channels are left out; channels that a frame lacks are NaN."""
     pdf = pd.concat(list(pdfs)).sort_values(["t_s", "sample_idx"])
     pdf = pdf[pdf["ch"].map(lambda c: c is not None and len(c) > 0)]
-    return pdf, (np.stack(pdf["ch"].map(lambda c: np.asarray(c, float)).tolist()).T if len(pdf) else np.empty((0, 0)))
+    width = max(map(len, pdf["ch"]), default=0)
+    x = np.full((width, len(pdf)), np.nan)
+    for i, c in enumerate(pdf["ch"]):
+        x[: len(c), i] = np.asarray(c, float)
+    return pdf, x
+
+
+def _beside(x: np.ndarray, flat: list[float], before: int) -> np.ndarray:
+    """Kept frames (``before`` of them, flat) and new ones as one matrix; channels that one of the two lacks are NaN."""
+    old = np.asarray(flat, float).reshape(-1, before) if before else np.empty((0, 0))
+    both = np.full((max(len(old), len(x)), before + x.shape[1]), np.nan)
+    both[: len(old), :before] = old
+    both[: len(x), before:] = x
+    return both
 
 
 def _stateful(stream: DataFrame, step, output: str, state: str) -> DataFrame:
@@ -61,7 +76,7 @@ def tumbling(stream: DataFrame, n: int, make=_each_channel, columns: str = "wind
     def step(held, pdf: pd.DataFrame, x: np.ndarray):
         index, times, flat = held if held else (0, [], [])
         times = np.concatenate([np.asarray(times, float), pdf["t_s"].to_numpy()])
-        x = np.concatenate([np.asarray(flat, float).reshape(len(x), -1), x], 1) if len(flat) else x
+        x = _beside(x, flat, len(times) - len(pdf))
         whole = x.shape[1] // n
         rows = [r for k in range(whole) for r in make(index + k, float(times[k * n]), x[:, k * n : (k + 1) * n])]
         x, times = x[:, whole * n :], times[whole * n :]
@@ -78,18 +93,16 @@ def hopping(stream: DataFrame, size: int = 250, hop: int = 50, make=_each_channe
 
     def step(held, pdf: pd.DataFrame, x: np.ndarray):
         seen, epoch, times, flat = held if held else (0, 1, [], [])
-        times, kept = list(times), list(np.asarray(flat, float).reshape(-1, len(x)))
+        place = seen + np.arange(x.shape[1]) - size
+        trigger = (place >= 0) & (place % (hop + 1) == hop)
+        x = _beside(x[:, ~trigger], flat, len(times))
+        kept = len(times) + np.cumsum(~trigger)  # frames kept so far at each new one
+        times = np.concatenate([np.asarray(times, float), pdf["t_s"].to_numpy()[~trigger]])
         rows = []
-        for t, v in zip(pdf["t_s"].to_numpy(), x.T, strict=True):
-            if seen >= size and (seen - size) % (hop + 1) == hop:
-                rows += make(epoch, float(times[-size]), np.stack(kept[-size:]).T)
-                epoch += 1
-            else:
-                kept.append(v)
-                times.append(t)
-            seen += 1
-        kept, times = kept[-size:], times[-size:]
-        return pd.DataFrame(rows, columns=names), (seen, epoch, [float(t) for t in times], np.ravel(kept).tolist())
+        for end in kept[trigger]:
+            rows += make(epoch, float(times[end - size]), x[:, end - size : end])
+            epoch += 1
+        return pd.DataFrame(rows, columns=names), (seen + len(pdf), epoch, times[-size:].tolist(), x[:, -size:].ravel().tolist())
 
     return _stateful(stream, step, columns, "s long, e long, t array<double>, x array<double>")
 
@@ -98,10 +111,12 @@ def denoise_windows(stream: DataFrame, n: int = 1000, fs: float = 250.0) -> Data
     """The three stages of windowed cleaning as windows fill."""
 
     def make(index: int, t0: float, x: np.ndarray) -> list[tuple]:
-        y = K.filter_rows(x, "bandpass", fs)
-        car = y - y.mean(0)
-        stop = K.filter_rows(car, "bandstop", fs, 59.0, 61.0)
-        return [(index, c, y[c], car[c], stop[c]) for c in range(len(x))]
+        whole = np.flatnonzero(~np.isnan(x).any(1))  # a channel that lacks a sample is left out
+        y = K.filter_rows(x[whole], "bandpass", fs) if len(whole) else None
+        stop = None if y is None else K.filter_rows(y - y.mean(0), "bandstop", fs, 59.0, 61.0)
+        if stop is None:
+            return []
+        return [(index, int(c), a, b, d) for c, a, b, d in zip(whole, y, y - y.mean(0), stop, strict=True)]
 
     return tumbling(stream, n, make, "window_idx long, channel int, filtered array<double>, car array<double>, stopped array<double>")
 
@@ -139,7 +154,8 @@ def band_power(stream: DataFrame, bands: list[tuple[str, float, float]], fs: flo
 def trailing_and_kalman(stream: DataFrame, channels: int = 3, n: int = 125, fs: float = 250.0, factor: float = MICROVOLTS) -> DataFrame:
     """The rolling filter and its Kalman smoothing, sample by sample: ``sample_idx, t_s, filtered, kalman`` (arrays).
 
-    A malformed frame repeats the last good one. State: the last ``n - 1`` good frames and the filter's mean and
+    A malformed frame repeats the last good one; leading frames before the first good one, or without any signal, are
+    left out. State: the last ``n - 1`` good frames and the filter's mean and
     variance, so both streams come out of one step and need no join.
     """
     h = K.trailing_weights(n, fs)
@@ -149,24 +165,30 @@ def trailing_and_kalman(stream: DataFrame, channels: int = 3, n: int = 125, fs:
             held.remove()
             return
         tail, mean, p, seen = held.get if held.exists else ([], [0.0] * channels, 1000.0, 0)
-        tail, mean = [np.asarray(tail[i : i + channels], float) for i in range(0, len(tail), channels)], np.asarray(mean, float)
-        rows = []
+        tail = np.asarray(tail, float).reshape(-1, channels)
         pdf = pd.concat(list(pdfs)).sort_values(["t_s", "sample_idx"])
-        for idx, t, ch in pdf[["sample_idx", "t_s", "ch"]].itertuples(index=False):
-            good = ch is not None and len(ch) >= channels
-            if not good and not tail:
-                continue
-            tail.append(np.asarray(ch[:channels], float) * factor if good else tail[-1])
-            tail = tail[-n:]
-            seen += 1
-            if seen > n:
-                value = h @ np.stack(tail)
+        good = pdf["ch"].map(lambda c: c is not None and len(c) >= channels).to_numpy(bool)
+        new = np.full((len(pdf), channels), np.nan)
+        for i in np.flatnonzero(good):
+            new[i] = np.asarray(pdf["ch"].iloc[i][:channels], float) * factor
+        # the row of the last good frame, or of the one that was kept
+        last = np.maximum.accumulate(np.where(good, np.arange(len(pdf)), -1))
+        new = np.where((last >= 0)[:, None], new[last], tail[-1] if len(tail) else np.nan)
+        live = np.ones(len(pdf), bool) if len(tail) else np.maximum.accumulate((last >= 0) & (new != 0).any(1))
+        pdf, new = pdf[live], new[live]
+        x = np.concatenate([tail, new])
+        number = seen + np.arange(1, len(new) + 1)  # place of each new frame, from 1
+        rows, mean = [], np.asarray(mean, float)
+        if len(x) >= n:
+            value = np.lib.stride_tricks.sliding_window_view(x, n, axis=0) @ h  # ends at frames n - 1, n, ... of x
+            value = np.concatenate([np.full((len(x) - len(value), channels), np.nan), value])[len(tail) :]
+            for k in np.flatnonzero(number > n):
                 p += 0.5
                 gain = p / (p + 0.5)
-                mean, p = mean + gain * (value - mean), (1 - gain) * p
-                rows.append((key[0], idx, t, value, mean))
-        held.update((np.ravel(tail).tolist(), mean.tolist(), float(p), seen))
-        _expire(held, pdf["t_s"].iloc[-1])
+                mean, p = mean + gain * (value[k] - mean), (1 - gain) * p
+                rows.append((key[0], pdf["sample_idx"].iloc[k], pdf["t_s"].iloc[k], value[k], mean))
+        held.update((x[-n:].ravel().tolist(), mean.tolist(), float(p), seen + len(new)))
+        _expire(held, pdf["t_s"].iloc[-1] if len(pdf) else 0.0)
         yield pd.DataFrame(rows, columns=["recording_id", "sample_idx", "t_s", "filtered", "kalman"])
 
     out = "recording_id string, sample_idx long, t_s double, filtered array<double>, kalman array<double>"
@@ -174,13 +196,17 @@ def trailing_and_kalman(stream: DataFrame, channels: int = 3, n: int = 125, fs:
 
 
 def causal_stream(stream: DataFrame, channel: int = 0, fs: float = 250.0) -> DataFrame:
-    """Causal band-pass, common average and mains stop of one channel. State: the filters' memory alone."""
+    """Causal band-pass, average over eight slots and mains stop of one channel. State: the filters' memory alone."""
     band, gain, _ = K.named_filter("bandpass", fs)
     stop, stop_gain, _ = K.named_filter("bandstop", fs, 59.0, 61.0)
 
     def step(held, pdf: pd.DataFrame, x: np.ndarray):
-        first, second = held if held else (np.zeros(2 * len(band)), K.steady_state(stop, stop_gain).ravel())
-        y, a = K.run_sections(band, gain, (x[channel] - x.mean(0))[None], np.asarray(first, float).reshape(-1, 2, 1))
+        x = x[:SLOTS]
+        # a channel that is missing counts as zero, also in the state from which the average starts
+        opening = K.steady_state(band, gain).ravel() * (1 - len(x) / SLOTS)
+        first, second = held if held else (opening, K.steady_state(stop, stop_gain).ravel())
+        own = x[channel] if channel < len(x) else np.full(x.shape[1], np.nan)
+        y, a = K.run_sections(band, gain, (own - np.nansum(x, 0) / SLOTS)[None], np.asarray(first, float).reshape(-1, 2, 1))
         y, b = K.run_sections(stop, stop_gain, y, np.asarray(second, float).reshape(-1, 2, 1))
         rows = pd.DataFrame({"sample_idx": pdf["sample_idx"].to_numpy(), "t_s": pdf["t_s"].to_numpy(), "value": y[0]})
         return rows, (a.ravel().tolist(), b.ravel().tolist())

@@ -62,9 +62,9 @@ def test_hopping(spark, fed, tmp_path):
 def test_windowed_jobs(spark, fed, tmp_path):
     folder, batch = fed
     for k, (stream, twin, keys, values) in enumerate([
-        (stateful.psd_windows(source(spark, folder), [b[1:] for b in V.BANDS if b[0] == "welch5"]), jobs.psd_windows(batch, V.bands(spark, "welch5")), ("window_idx", "channel", "band"), ("power",)),
-        (stateful.band_power(source(spark, folder), [b[1:] for b in V.BANDS if b[0] == "fft5"]), jobs.band_power_epochs(batch, V.bands(spark, "fft5")), ("epoch", "channel", "band"), ("t0", "power", "scaled")),
-        (stateful.denoise_windows(source(spark, folder), 200), jobs.denoise_windows(batch, 200), ("window_idx", "channel"), ("filtered", "car", "stopped")),
+        (stateful.psd_windows(source(spark, folder), V.bands("welch5")), jobs.psd_windows(batch, V.bands("welch5")), ("window_idx", "channel", "band"), ("power",)),
+        (stateful.band_power(source(spark, folder), V.bands("fft5")), jobs.band_power_epochs(batch, V.bands("fft5")), ("epoch", "channel", "band"), ("t0", "power", "scaled")),
+        (stateful.denoise_windows(source(spark, folder), 200), jobs.denoise_windows(O.frames_to_samples(batch), 200), ("window_idx", "channel"), ("filtered", "car", "stopped")),
     ]):
         as_dict = lambda df: {tuple(r[c] for c in ("recording_id", *keys)): np.concatenate([np.ravel(r[c]) for c in values]) for r in df.collect()}  # noqa: B023, E731
         got, want = as_dict(drained(spark, stream, tmp_path / str(k))), as_dict(twin)
@@ -106,3 +106,22 @@ def test_pair_of_sinks(spark, fed, tmp_path):
     for p in ("f", "k"):
         t = spark.read.option("header", True).csv(str(tmp_path / p))
         assert t.columns == ["recording_id", "Timestamp", "Canal1", "Canal2", "Canal3"] and t.count() == 2 * (N - 125)
+
+
+def test_malformed_and_silent_frames(spark, tmp_path):
+    """Silent and empty frames at the beginning, short ones within: batch and stream agree and none fails."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(400):
+        ch = [0.0] * 4 if i < 20 else rng.normal(size=4).tolist()
+        rows.append(("a", i, 1000 + i / 250.0, [] if i == 5 else ch[:2] if i in (60, 61) else ch))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "0.json").write_text("".join(json.dumps(dict(zip(("recording_id", "sample_idx", "t_s", "ch"), r, strict=True))) + "\n" for r in rows))
+    batch = spark.createDataFrame(rows, "recording_id string, sample_idx long, t_s double, ch array<double>")
+    got = {r["sample_idx"]: r for r in drained(spark, stateful.trailing_and_kalman(source(spark, str(folder)), factor=1.0), tmp_path / "k").collect()}
+    want = {(r["sample_idx"], r["channel_idx"]): r for r in jobs.filter_rolling(batch, factor=1.0).collect()}
+    assert {i for i, _ in want} == set(got) == set(range(145, 400))
+    assert all(abs(got[i]["kalman"][c] - r["kalman"]) < 1e-9 for (i, c), r in want.items())
+    windows = drained(spark, stateful.denoise_windows(source(spark, str(folder)), 100), tmp_path / "w").groupBy("window_idx").count().collect()
+    assert {r["window_idx"]: r["count"] for r in windows} == {0: 2, 1: 4, 2: 4}
