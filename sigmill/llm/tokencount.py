@@ -14,8 +14,8 @@ from sigmill.llm.common import documents
 MARK = "▁"
 #: What an unknown character costs beyond the worst piece, as in the public unigram tokenizers.
 UNKNOWN_PENALTY = 10.0
-#: Word counts that one worker remembers.
-REMEMBER = 600_000
+#: Word counts that a task remembers: so many words of at most so many characters (about 40 MB).
+REMEMBER, LONGEST = 250_000, 48
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
@@ -53,34 +53,43 @@ class Counter:
                 self.automaton.add_word(piece, (len(piece), value))
         self.automaton.make_automaton()
         self.unknown = min(v for _, v in vocabulary) - UNKNOWN_PENALTY
+        self.longest = max(len(p) for p, _ in vocabulary)
         self.known: dict[str, int] = {}
 
     def word(self, word: str) -> int:
-        """Pieces of one word (with its mark)."""
+        """Pieces of one word (with its mark). What is kept reaches back as far as the longest piece does."""
+        matches = self.automaton.iter(word)
+        match = next(matches, None)
+        size = self.longest + 1
+        score, count = [0.0] * size, [0] * size
+        open_run = [False] * size  # the best path ends in an unknown character that isn't written in bytes
         n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(word):
-            ends[end].append(match)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
-        open_run = [False] * (n + 1)  # the best path ends in an unknown character that isn't written in bytes
         for end in range(1, n + 1):
+            found = []
+            while match and match[0] == end - 1:
+                found.append(match[1])
+                match = next(matches, None)
             best = None
             single = False
-            for length, value in sorted(ends[end - 1], reverse=True):  # the longest piece starts first
-                s = score[end - length] + value
+            if len(found) > 1:
+                found.sort(reverse=True)  # the longest piece starts first
+            for length, value in found:
+                s = score[(end - length) % size] + value
                 single |= length == 1
                 if best is None or s > best:
-                    best, pieces, run = s, count[end - length] + 1, False
+                    best, pieces, run = s, count[(end - length) % size] + 1, False
             if not single:
-                s = score[end - 1] + self.unknown
+                before = (end - 1) % size
+                s = score[before] + self.unknown
                 if best is None or s > best:
                     codes = word[end - 1].encode()
                     if all(f"<0x{b:02X}>" in self.pieces for b in codes):
-                        best, pieces, run = s, count[end - 1] + len(codes), False
+                        best, pieces, run = s, count[before] + len(codes), False
                     else:
-                        best, pieces, run = s, count[end - 1] + (not open_run[end - 1]), True
-            score[end], count[end], open_run[end] = best, pieces, run
-        return count[n]
+                        best, pieces, run = s, count[before] + (not open_run[before]), True
+            at = end % size
+            score[at], count[at], open_run[at] = best, pieces, run
+        return count[n % size]
 
     def text(self, text: str) -> int:
         """Pieces of a text: a mark stands before it (unless it has one) and for every space."""
@@ -90,14 +99,20 @@ class Counter:
         if words[0] == "" and len(words) > 1:
             words = words[1:]  # the text's own space is its first mark
         known = self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) + len(new) > REMEMBER:
-                known.clear()
-                new = set(words)
-            for w in new:
-                known[w] = self.word(MARK + w)
-        return sum(map(known.__getitem__, words))
+        new = {w for w in set(words).difference(known) if len(w) <= LONGEST}
+        if len(known) + len(new) > REMEMBER:
+            known.clear()
+        for w in new:
+            known[w] = self.word(MARK + w)
+        total = 0
+        for w in words:
+            n = known.get(w)
+            if n is None:  # too long to be remembered, or forgotten just now
+                n = self.word(MARK + w)
+                if len(w) <= LONGEST:
+                    known[w] = n
+            total += n
+        return total
 
 
 @lru_cache(2)
@@ -108,7 +123,9 @@ def counter(path: str) -> Counter:
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` of every whole text.
 
-    Null and empty text have 0 tokens; repeated rows are counted each; nothing is shuffled.
+    Null and empty text have 0 tokens; repeated rows are counted each and a null id stays null; a text without a space
+    is one word, walked with a memory as long as the longest piece; an empty table gives an empty table. Nothing is
+    shuffled.
     """
     path = path or vocabulary_path()
 
@@ -119,6 +136,8 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
             tokens = np.fromiter((count.text(t or "") for t in texts), np.int64, len(texts))
             sizes = np.fromiter((len((t or "").encode()) for t in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(tokens)], ["doc_id", "n_bytes", "n_tokens"])
+        count.known.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 

@@ -396,3 +396,18 @@ def test_pages_of_the_table(spark):
 
 def test_no_pages(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_few_fitting_documents_are_cut(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").coalesce(1)
+    pieces = packing.pack(docs).toPandas()
+    fit = pieces[pieces["doc_tokens"] <= 4096].groupby("doc_id").size()
+    assert (fit > 1).mean() < 0.1 and pieces["tier"].nunique() > 3
+
+
+def test_a_gap_is_filled_from_shorter_tiers():
+    packer = packing.Packer(0, 2)
+    for doc, n in enumerate([3000, 96, 500, 500, 40]):
+        packer.add(doc, np.full(n, doc, np.uint32))
+    packer.window(4096, list(packing.TIERS))
+    assert {r[0]: r[2] for r in packer.rows} == {0: 3000, 1: 96, 2: 500, 3: 500} and packer.waiting == 1
