@@ -21,6 +21,27 @@ NAMES = {
     "op10_suffixdedup": "suffixdedup",
 }
 
+#: Kinds of secrets in order, their patterns, the group that must be so long, and that length.
+SECRETS = [
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16),
+    ("login", r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.=-]{3,}""", 0, 0),
+    ("blob", "[A-Za-z0-9+/_=-]+", 0, 0),
+    ("endpoint", r"""(?:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}""", 0, 0),
+]
+
+
+def _located_sql() -> str:
+    """CTEs ``patterns`` and ``cut``: matches, their values and the text between them, for every kind."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({k}, '{name}', {least})" for k, (name, _, _, least) in enumerate(SECRETS))
+    cut = " union all ".join(
+        f"select doc_id, {k} as kind, regexp_extract_all(t, {text(p)}) as hits, regexp_extract_all(t, {text(p)}, {g}) as vals, regexp_split_to_array(t, {text(p)}) as gaps from texts"
+        for k, (_, p, g, _) in enumerate(SECRETS)
+    )
+    return f"patterns(kind, name, least) as (values {values}),\ncut as ({cut})"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_neardup": r"""
 with recursive words as (
@@ -38,6 +59,32 @@ ways as (select a, b from links union all select b, a from links),
 reach as (select doc_id, doc_id as other from documents union select reach.doc_id, ways.b from reach join ways on ways.a = reach.other)
 select doc_id, coalesce(max(n), 0) as n_shingles, min(other) as component_id, doc_id = min(other) as kept
 from reach left join sizes using (doc_id) group by doc_id""",
+    "op5_secrets": r"""
+with texts as (select doc_id, coalesce(text, '') as t from documents),
+PATTERNS,
+each as (select doc_id, kind, unnest(range(len(hits))) as i, unnest(hits) as hit, unnest(vals) as val, unnest(gaps[1:len(hits)]) as gap from cut where len(hits) > 0),
+placed as (
+  select doc_id, kind, hit, val, (sum(length(gap) + length(hit)) over (partition by doc_id, kind order by i) - length(hit))::bigint as a from each),
+-- a blob is what a run of such characters begins with, and must be long and mixed
+shaped as (
+  select doc_id, kind, a, val, case when kind = 4 then regexp_extract(hit, '^[A-Za-z0-9+/_-]+={0,2}') else hit end as hit, regexp_extract(hit, '^[A-Za-z0-9+/_-]+') as body from placed),
+spans as (
+  select doc_id, kind, a, a + length(hit) as b from shaped join patterns using (kind)
+  where length(val) >= least and (kind <> 4 or (length(body) >= 24 and regexp_matches(body, '[0-9]') and regexp_matches(body, '[A-Z]') and regexp_matches(body, '[a-z]')))),
+live as (
+  select * from spans s where kind < 3 or not exists (select 1 from spans x where x.doc_id = s.doc_id and x.kind < 3 and x.a < s.b and s.a < x.b)),
+met as (
+  select s.doc_id, s.kind, s.a, s.b, bool_or(coalesce(x.kind in (1, 3), false)) as identifier, bool_or(coalesce(x.kind in (0, 2, 4), false)) as secret
+  from live s left join live x on x.doc_id = s.doc_id and abs(x.a - s.a) <= 512 where s.kind >= 3 group by 1, 2, 3, 4),
+told as (
+  select doc_id, kind, a, b from spans where kind < 3 union all
+  select doc_id, kind, a, b from met where (kind = 3 and secret) or (kind = 4 and identifier) or (kind = 5 and identifier and secret)),
+written as (
+  select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
+    coalesce(string_agg(name || ':' || a || ':' || b, ',' order by a, kind) filter (kind < 3), '') as base, string_agg(name || ':' || a || ':' || b, ',' order by a, kind) as spans
+  from told join patterns using (kind) group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from documents left join written using (doc_id)""".replace("PATTERNS", _located_sql()),
     "op10_suffixdedup": """
 with sized as (select doc_id, encode(coalesce(text, '')) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
 windows as (

@@ -15,13 +15,34 @@ ASSIGN_VALUE = 12
 
 # Weak candidates: each alone says little.
 LOGIN = r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.=-]{3,}"""
-BLOB = r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,64}[0-9])(?=[A-Za-z0-9+/_-]{0,64}[A-Z])(?=[A-Za-z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]{24,}={0,2}"""
+BLOB = r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{24,}={0,2}"""
 ENDPOINT = r"""(?:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}"""
 
 #: Order of kinds at equal starts; the first three are the base.
 KINDS = ("assign", "access", "hex", "login", "blob", "endpoint")
-#: Parts are complementary if they lie within one scope: blocks of this many code points that overlap by half.
+#: Kinds that can be each part of a credential.
+IDENTIFIER, SECRET, END = (1, 3), (0, 2, 4), (5,)
+#: Parts belong together if they start at most so many code points apart.
 SCOPE = 512
+#: Items that are gathered before they are put with the others: appending to one long array copies it every time.
+RUN = 256
+#: Code points of the blocks in which a text is cut apart.
+BLOCK = 4096
+SPAN = "struct<start:int,kind:int,end:int>"
+
+
+def _gather(items: Column, start: Column, step, kind: str) -> Column:
+    """Fold ``items`` and gather an array: ``step(at, item) -> (new at, array of what is added)``; linear in their number."""
+    empty, more = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def walk(acc: Column, x: Column) -> Column:
+        at, add = step(acc["at"], x)
+        run = F.concat(acc["run"], add)
+        full = F.size(run) >= RUN
+        return F.struct(at.alias("at"), F.when(full, empty).otherwise(run).alias("run"), F.when(full, F.concat(acc["out"], F.array(run))).otherwise(acc["out"]).alias("out"))
+
+    zero = F.struct(start.alias("at"), empty.alias("run"), more.alias("out"))
+    return F.aggregate(items, zero, walk, lambda acc: F.struct(acc["at"].alias("at"), F.flatten(F.concat(acc["out"], F.array(acc["run"]))).alias("items")))
 
 
 def _located(text: Column, pattern: str, kind: int, minimum: int = 0) -> Column:
@@ -35,65 +56,75 @@ def _located(text: Column, pattern: str, kind: int, minimum: int = 0) -> Column:
     rest = F.split(text, pattern, -1)
     value = F.regexp_extract_all(text, p, F.lit(2)) if minimum else got
     steps = F.arrays_zip(F.slice(rest, F.lit(1), F.size(got)).alias("gap"), got.alias("hit"), value.alias("value"))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
-    def walk(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["hit"])
         span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        keep = F.length(x["value"]) >= minimum
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return end, F.when(F.length(x["value"]) >= minimum, span).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    return F.when(text.rlike(pattern), _gather(steps, F.lit(0), step, SPAN)["items"]).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(steps, zero, walk)["out"]).otherwise(empty)
+
+def _base(text: Column) -> Column:
+    return F.concat(_located(text, ASSIGN, 0, ASSIGN_VALUE), _located(text, ACCESS, 1), _located(text, HEX, 2))
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, base, weak``: the spans of the base kinds and of the weak kinds of every whole text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = [_located(text, ASSIGN, 0, ASSIGN_VALUE), _located(text, ACCESS, 1), _located(text, HEX, 2)]
-    weak = [_located(text, LOGIN, 3), _located(text, BLOB, 4), _located(text, ENDPOINT, 5)]
-    return docs.select("doc_id", F.concat(*base).alias("base"), F.concat(*weak).alias("weak"))
+    """``doc_id, digest, base, weak``: the spans of the base kinds and of the weak kinds of every whole text; ``digest``
+    tells texts apart that share an id."""
+    weak = F.concat(_located(_text(), LOGIN, 3), _located(_text(), BLOB, 4), _located(_text(), ENDPOINT, 5))
+    return docs.select("doc_id", F.md5(_text().cast("binary")).alias("digest"), _base(_text()).alias("base"), weak.alias("weak"))
 
 
 def linked(found: DataFrame) -> DataFrame:
-    """``doc_id, extra``: the weak spans that have their complement within a scope.
+    """``link_id, link_digest, extra``: the weak spans that have their complement within a scope.
 
-    Each span of a document with weak spans is laid on the scopes that hold its start; every scope knows which
-    parts it has (an access identifier, a secret, an endpoint), with partial sums before the shuffle, and an
-    equi-join on (document, scope) brings that to the weak spans. No pair of spans is made.
-    A weak login counts where a secret is, a blob where an identifier is, an endpoint where both are.
+    An interval join: spans belong together if their starts are at most SCOPE apart. Blocks of SCOPE code points are
+    the join's key, and a span looks into its own block and the two beside it; of each part (identifier, secret,
+    endpoint) a block gives its first and last start, summed up before the shuffle, which is enough to tell whether one
+    lies within reach. So the answer depends on distances alone, not on where in a text the parts stand, and no pair of
+    spans is made. A weak login counts where a secret is, a blob where an identifier is, an endpoint where both are.
     Blobs and logins inside a base span are that span and are left out.
     """
-    half = SCOPE // 2
-    spans = found.filter(F.size("weak") > 0).withColumn("own", F.concat("base", "weak"))
+    keys = ["doc_id", "digest"]
+    spans = found.filter(F.size("weak") > 0).dropDuplicates(keys)
     clear = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    each = spans.select("doc_id", F.explode(F.concat("base", clear)).alias("s")).select("doc_id", "s.*")
-    block = F.floor(F.col("start") / half)
-    each = each.withColumn("scope", F.explode(F.array(block, block - 1)))
-    has = lambda kinds, name: F.max(F.col("kind").isin(*kinds).cast("int")).alias(name)
-    scopes = each.groupBy("doc_id", "scope").agg(has([1, 3], "identifier"), has([0, 4], "secret"), has([5], "endpoint"))
-    joined = each.filter("kind >= 3").join(scopes, ["doc_id", "scope"])
-    complete = (
-        ((F.col("kind") == 3) & (F.col("secret") == 1))
-        | ((F.col("kind") == 4) & (F.col("identifier") == 1))
-        | ((F.col("kind") == 5) & (F.col("identifier") == 1) & (F.col("secret") == 1))
-    )
-    kept = joined.filter(complete).select("doc_id", "start", "kind", "end")
-    return kept.groupBy("doc_id").agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))
+    each = spans.select(F.coalesce("doc_id", F.lit(0)).alias("link_id"), F.col("doc_id").isNull().alias("no_id"), "digest", F.explode(F.concat("base", clear)).alias("s")).select("link_id", "no_id", "digest", "s.*")
+    row = ["link_id", "no_id", "digest"]
+    each = each.withColumn("block", F.floor(F.col("start") / SCOPE))
+    ends = lambda kinds, name: (F.min(F.when(F.col("kind").isin(*kinds), F.col("start"))).alias(f"{name}_first"), F.max(F.when(F.col("kind").isin(*kinds), F.col("start"))).alias(f"{name}_last"))
+    parts = {"identifier": IDENTIFIER, "secret": SECRET}
+    blocks = each.filter(F.col("kind").isin(*IDENTIFIER, *SECRET)).groupBy(*row, "block").agg(*[x for n, k in parts.items() for x in ends(k, n)])
+    asks = each.filter("kind >= 3").withColumn("block", F.explode(F.array(*[F.col("block") + k for k in (-1, 0, 1)])))
+    near = lambda n: F.coalesce(F.col(f"{n}_first").between(F.col("start") - SCOPE, F.col("start") + SCOPE) | F.col(f"{n}_last").between(F.col("start") - SCOPE, F.col("start") + SCOPE), F.lit(False))
+    met = asks.join(blocks, [*row, "block"]).groupBy(*row, "start", "kind", "end").agg(*[F.max(near(n)).alias(n) for n in parts])
+    complete = ((F.col("kind") == 3) & F.col("secret")) | ((F.col("kind") == 4) & F.col("identifier")) | ((F.col("kind") == 5) & F.col("identifier") & F.col("secret"))
+    kept = met.filter(complete).groupBy(*row).agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra"))
+    return kept.select(F.when(~F.col("no_id"), F.col("link_id")).alias("link_id"), F.col("digest").alias("link_digest"), "extra")
+
+
+def _beside(rows: DataFrame, digest: Column, extra: DataFrame) -> DataFrame:
+    """``rows`` with the linked spans of their own text, which are none for most."""
+    none = F.array().cast(f"array<{SPAN}>")
+    both = rows.join(extra, F.col("doc_id").eqNullSafe(F.col("link_id")) & (digest == F.col("link_digest")), "left")
+    return both.withColumn("extra", F.coalesce("extra", none)).drop("link_id", "link_digest")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, base, extra`` of every row; spans are sorted by start and kind.
 
-    Null text is empty and has no spans. Rows that share an id are each returned with their own base spans; the
-    spans linked for the id go to all of them. Rows with a null id have base spans only.
+    Null text is empty and has no spans. Every row has the spans of its own text: rows that share an id, or have none,
+    are told apart by the text. Very long texts and texts with very many matches take time in proportion. An empty
+    table gives an empty table.
     """
     found = materialize(candidates(docs))
-    extra = linked(found).withColumnRenamed("doc_id", "_id")
-    both = found.join(extra, F.col("doc_id") == F.col("_id"), "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return both.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.coalesce("extra", none)).alias("extra"))
+    both = _beside(found, F.col("digest"), linked(found))
+    return both.select("doc_id", F.array_sort("base").alias("base"), F.array_sort("extra").alias("extra"))
 
 
 def _written(spans: Column) -> Column:
@@ -114,27 +145,45 @@ def op5_secrets(spark, sf_dir: str) -> DataFrame:
     return report(scan(documents(spark, sf_dir)))
 
 
+def _pieces(blocks: Column, gaps: Column) -> Column:
+    """The code points ``[start, end)`` of a text that lies in blocks of BLOCK, for every gap: each touches its own
+    blocks alone."""
+    def piece(g: Column) -> Column:
+        first, last = F.floor(g["start"] / BLOCK).cast("int"), F.floor((g["end"] - 1) / BLOCK).cast("int")
+        at = lambda i: F.coalesce(F.try_element_at(blocks, i + 1), F.lit(""))
+        one = F.substring(at(first), g["start"] % BLOCK + 1, g["end"] - g["start"])
+        middle = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        many = F.concat(F.substring(at(first), g["start"] % BLOCK + 1, F.lit(BLOCK)), middle, F.substring(at(last), F.lit(1), (g["end"] - 1) % BLOCK + 1))
+        return F.when(g["end"] <= g["start"], F.lit("")).when(first == last, one).otherwise(many)
+
+    return F.transform(gaps, piece)
+
+
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every found span replaced by ``mark``; ``n_chars`` follows where the table has it.
 
-    Overlapping spans are replaced once. Only documents with weak spans take part in a shuffle of spans; texts are
-    joined to their linked spans by id.
+    Overlapping spans are replaced once. Every row loses the spans of its own text, whatever ids it shares. Null text
+    stays null; texts without spans stay as they are; an empty table gives an empty table. Only documents with weak
+    spans take part in a shuffle of spans; texts are joined to their linked spans by id and digest.
     """
     found = materialize(candidates(docs).filter(F.size("weak") > 0))
-    extra = linked(found).select(F.col("doc_id").alias("_secret_id"), F.col("extra").alias("_secret_extra"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.concat(_located(text, ASSIGN, 0, ASSIGN_VALUE), _located(text, ACCESS, 1), _located(text, HEX, 2))
-    joined = docs.join(extra, F.col("doc_id") == F.col("_secret_id"), "left").withColumn("_secret_spans", F.array_sort(F.concat(base, F.coalesce("_secret_extra", none))))
-
-    def cut(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        before = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, before).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("_secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut)
-    clean = F.when(F.size("_secret_spans") == 0, F.col("text")).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    changed = joined.withColumn("text", clean)
+    extra = linked(found).select(F.col("link_id").alias("_secret_id"), F.col("link_digest").alias("_secret_digest"), F.col("extra").alias("_secret_extra"))
+    same = F.col("doc_id").eqNullSafe(F.col("_secret_id")) & (F.md5(_text().cast("binary")) == F.col("_secret_digest"))
+    none = F.array().cast(f"array<{SPAN}>")
+    joined = docs.join(extra, same, "left").withColumn("_secret_spans", F.array_sort(F.concat(_base(_text()), F.coalesce("_secret_extra", none))))
+    gap = "struct<start:int,end:int>"
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        before = F.array(F.struct(at.alias("start"), s["start"].alias("end")))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, before).otherwise(F.array().cast(f"array<{gap}>"))
+
+    joined = joined.withColumn("_secret_gaps", _gather(F.col("_secret_spans"), F.lit(0), step, gap))
+    kept = F.concat(F.col("_secret_gaps.items"), F.array(F.struct(F.col("_secret_gaps.at").alias("start"), F.length("text").alias("end"))))
+    blocks = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    # bound as a lambda's own variable, else the blocks would be cut anew for every piece
+    clean = F.element_at(F.transform(F.array(F.struct(blocks.alias("blocks"), kept.alias("gaps"))), lambda x: F.array_join(_pieces(x["blocks"], x["gaps"]), mark)), 1)
+    hit = F.size("_secret_spans") > 0
+    changed = joined.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("_secret_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        changed = changed.withColumn("n_chars", F.when(hit, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)
