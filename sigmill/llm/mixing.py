@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigmill.llm.common import documents, materialize, n_words
 
-#: Places of the rounding threshold: a document's own place is the first 16 bits of the MD5 of its id.
+#: Places of the rounding threshold.
 SLOTS = 65536
+#: Decimal places of sums over documents: such sums don't depend on the order in which Spark adds.
+EXACT = "decimal(38,9)"
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
@@ -38,60 +40,103 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap:
     return table.withColumn("target", F.least(F.col("weight") * F.lit(float(level or 0.0)), room))
 
 
-def tilt(targets: DataFrame, steps: int = 60, tolerance: float = 1e-12) -> DataFrame:
-    """Solve the dual of entropy balancing by Newton steps and add each source's ``rate``.
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, source, size`` and a place in [0, 1) from the MD5 of the id, which decides how the rate is rounded."""
+    place = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), place.alias("place"), *more)
 
-    The unit of mass is the word: minimise ``sum size * (r ln r - r)`` over document rates ``r`` subject to
-    ``sum size * r = target`` in every source. The rates are ``r = exp(lambda_source)``, and the dual
-    ``sum (source_size * exp(lambda) - lambda * target)`` is smooth and convex with a diagonal Hessian, so a Newton
-    step is a column expression per source; the driver sees the largest remaining violation alone.
-    Sources with target 0 have the rate 0.
+
+def rate(lam: Column, size: Column, mean: Column, cap: float) -> Column:
+    """A document's rate: the exponential of its multiplier times its size, measured in its source's mean, up to ``cap``.
+    Rounded, so that the last bits of a sum can't move a document."""
+    return F.round(F.least(F.lit(float(cap)), F.exp(F.least(lam * size / mean, F.lit(50.0)))), 9)
+
+
+def tilt(sizes: DataFrame, targets: DataFrame, cap: float = 3.0, steps: int = 80, tolerance: float = 1e-8) -> DataFrame:
+    """Solve the dual of entropy balancing by Newton steps and add each source's ``mean`` and multiplier ``lam``.
+
+    Of all rates ``0 <= r_d <= cap`` with ``sum size_d * r_d = target`` in every source, those nearest to one copy of
+    every document are sought: minimise ``sum r_d ln r_d - r_d`` over documents. The solution is
+    ``r_d = min(cap, exp(lam * x_d))`` with ``x_d`` the document's size in means of its source, and the dual, whose
+    gradient is ``target - sum size_d r_d`` and whose curvature is ``sum size_d x_d r_d`` over the rates below the cap,
+    is concave. Every step sums both over all documents; documents of equal source and size have equal terms and are
+    counted once, so a step reads one row for each size that occurs. A step that leaves the bracket of signs seen so
+    far is replaced by its middle. The driver sees the largest remaining violation alone. A source whose target is
+    ``cap`` times its size has every document at the cap; one with target 0 has no rates.
     """
-    state = targets.withColumn("lam", F.lit(0.0))
-    live = (F.col("target") > 0) & (F.col("source_size") > 0)
-    mass = F.col("source_size") * F.exp("lam")
-    step = (F.col("target") - mass) / mass
+    levels = materialize(sizes.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")))
+    counts = levels.groupBy("source").agg(F.sum("n").alias("n"))
+    state = targets.alias("t").join(counts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.*", (F.col("t.source_size") / F.col("n")).alias("mean"))
+    full = F.col("target") >= F.col("source_size") * F.lit(cap * (1 - 1e-12))
+    state = materialize(state.withColumn("lam", F.when(full, F.lit(1e9)).otherwise(F.lit(0.0))).withColumn("lo", F.lit(-1e6)).withColumn("hi", F.lit(1e6)).withColumn("open", (F.col("target") > 0) & ~full))
     for k in range(steps):
-        state = state.withColumn("lam", F.when(live, F.col("lam") + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step))).otherwise(F.lit(0.0)))
-        if k % 4 == 3:
+        both = levels.alias("l").join(state.filter("open").select("source", "mean", "lam").alias("s"), F.col("l.source").eqNullSafe(F.col("s.source"))).select("s.source", "size", "n", "mean", rate(F.col("lam"), F.col("size"), F.col("mean"), cap).alias("r"))
+        mass = F.col("n") * F.col("size") * F.col("r")
+        sums = both.groupBy("source").agg(F.sum(mass.cast(EXACT)).cast("double").alias("mass"), F.sum(F.when(F.col("r") < cap, mass * F.col("size") / F.col("mean")).otherwise(0.0).cast(EXACT)).cast("double").alias("slope"))
+        gap = F.col("target") - F.col("mass")
+        state = state.alias("t").join(sums.alias("m"), F.col("t.source").eqNullSafe(F.col("m.source")), "left").select("t.*", "mass", "slope")
+        state = state.withColumn("lo", F.when(gap > 0, F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(gap < 0, F.col("lam")).otherwise(F.col("hi")))
+        step = F.col("lam") + gap / F.nullif(F.col("slope"), F.lit(0.0))
+        near = (step > F.col("lo")) & (step < F.col("hi"))
+        done = F.abs(gap) <= F.col("target") * tolerance
+        state = state.withColumn("lam", F.when(~F.col("open") | done, F.col("lam")).when(near, step).otherwise((F.col("lo") + F.col("hi")) / 2)).withColumn("open", F.col("open") & ~F.coalesce(done, F.lit(False))).drop("mass", "slope")
+        if k % 3 == 2:
             state = materialize(state)
-            worst = state.agg(F.max(F.when(live, F.abs(mass / F.col("target") - 1)))).first()[0]
-            if worst is None or worst < tolerance:
+            if not state.filter("open").limit(1).count():
                 break
-    return state.withColumn("rate", F.when(live, F.exp("lam")).otherwise(0.0)).drop("lam")
+    return state.drop("lo", "hi", "open")
+
+
+def _slot(r: Column, place: Column) -> Column:
+    """The place of a document among those that can get one copy more: early if its rate has a large fraction and its
+    own place is low."""
+    return F.floor((place - (r - F.floor(r)) + 1) * (SLOTS // 2)).cast("int")
+
+
+def solve(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+    """A row a source: ``source, source_size, target, mean, lam, threshold``; all that copies are read off.
+
+    A document has ``floor(rate)`` copies and one more if its slot lies below its source's threshold. At a threshold in
+    the middle that is rounding by chance; the threshold is moved to where the words taken come nearest to the target.
+    It is found on a histogram of words by slot, at most SLOTS rows a source, so a source misses its target by less
+    than the words that share one slot. Documents at the cap get no copy more.
+    """
+    sizes = materialize(sized(docs))
+    sources = tilt(sizes, source_targets(sizes, weights, cap), cap)
+    sources = materialize(sources)
+    same = F.col("d.source").eqNullSafe(F.col("s.source"))
+    rated = sizes.alias("d").join(sources.filter("target > 0").alias("s"), same).select("s.source", "size", "place", rate(F.col("lam"), F.col("size"), F.col("mean"), cap).alias("r"))
+    histogram = rated.filter("size > 0").groupBy("source", F.when(F.col("r") < cap, _slot(F.col("r"), F.col("place"))).alias("slot")).agg(F.sum("size").alias("words"), F.sum((F.floor("r") * F.col("size")).cast("long")).alias("whole"))
+    histogram = materialize(histogram)
+    whole = histogram.groupBy("source").agg(F.sum("whole").alias("whole"))
+    need = sources.alias("s").join(whole.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source")), "left").select("s.source", (F.col("target") - F.coalesce("whole", F.lit(0))).alias("need"))
+    running = F.sum("words").over(Window.partitionBy("source").orderBy("slot"))
+    filled = histogram.filter("slot is not null").alias("h").join(need.alias("n"), F.col("h.source").eqNullSafe(F.col("n.source"))).select("n.source", "slot", "words", "need").withColumn("upto", running)
+    gap = F.struct(F.abs(F.col("upto") - F.col("need")), F.col("slot") + 1)
+    edge = filled.groupBy("source").agg(F.min(gap).alias("best"), F.first("need").alias("need"))
+    edge = edge.select("source", F.when(F.abs(F.col("need")) <= F.col("best.col1"), 0).otherwise(F.col("best.col2")).alias("threshold"))
+    found = sources.alias("s").join(edge.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left")
+    return materialize(found.select("s.*", F.coalesce("threshold", F.lit(0)).alias("threshold")))
+
+
+def _planned(sizes: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
+    """Every row of ``sizes`` with what its source's row says of it; nothing is joined by id."""
+    r = F.when(F.col("s.target") > 0, F.when(F.col("d.size") > 0, rate(F.col("s.lam"), F.col("d.size"), F.col("s.mean"), cap)).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))
+    joined = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    rated = joined.select("d.*", F.col("s.source_size").alias("source_size"), F.col("s.target").alias("target"), F.col("s.threshold").alias("threshold"), r.alias("rate"))
+    more = (F.col("size") > 0) & (F.col("rate") < cap) & (_slot(F.col("rate"), F.col("place")) < F.col("threshold"))
+    return rated.withColumn("copies", F.floor("rate") + more.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("threshold", "place")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
-    """Copies of every document: ``doc_id, source, size, source_size, target, rate, copies, taken``.
+    """Copies of every row: ``doc_id, source, size, source_size, target, rate, copies, taken``.
 
-    ``copies`` is ``floor(rate)``, plus one for the documents whose fixed place (from the MD5 of the id) lies below
-    their source's threshold. The threshold is read off a histogram of words by place, so a source misses its
-    target by less than the words that share one of ``SLOTS`` places. Null text has size 0 and is never taken;
-    equal ids share a place; a document's copies never exceed ``ceil(cap)``.
+    Null text has size 0: the row is kept once (its source has a target) and takes no words. Rows are rated by their own
+    source and size, and rounded by their id, so repeated rows fare alike and rows that share an id may differ; a null
+    id has a place like any other. Equal sizes tie to the same rate. A row's copies never exceed ``cap``. Very long
+    texts are only counted. An empty table gives an empty table.
     """
-    place = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 4), 16, 10).cast("int")
-    sizes = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), place.alias("place")))
-    sources = materialize(
-        tilt(source_targets(sizes, weights, cap)).withColumn(
-            # a rate within rounding of a whole number is that number
-            "whole", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.floor("rate")).cast("long")
-        )
-    )
-    histogram = sizes.groupBy("source", "place").agg(F.sum("size").alias("words"))  # at most SLOTS rows a source
-    same = F.col("h.source").eqNullSafe(F.col("s.source"))
-    filled = histogram.alias("h").join(sources.alias("s"), same).select("s.source", "place", "words", (F.col("target") - F.col("whole") * F.col("source_size")).alias("need"))
-    running = F.sum("words").over(Window.partitionBy("source").orderBy("place"))
-    gap = F.struct(F.abs(F.col("upto") - F.col("need")), F.col("place") + 1)
-    edge = filled.withColumn("upto", running).groupBy("source").agg(
-        F.min(gap).alias("best"), F.first("need").alias("need")
-    ).select("source", F.when(F.abs(F.col("need")) <= F.col("best.col1"), 0).otherwise(F.col("best.col2")).alias("threshold"))
-    edges = materialize(sources.alias("s").join(edge.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left").select("s.*", F.coalesce("threshold", F.lit(0)).alias("threshold")))
-    copies = F.col("whole") + (F.col("place") < F.col("threshold")).cast("long")
-    return (
-        sizes.alias("d").join(edges.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-        .select("doc_id", "d.source", "size", "source_size", "target", "rate", copies.alias("copies"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-    )
+    return _planned(sized(docs), solve(docs, weights, cap), cap).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
@@ -99,11 +144,11 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
-def repeat_copies(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as many times as it has copies, with its own columns.
+def repeat_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+    """The mix itself: each row as many times as it has copies, with its own columns. Edge cases are those of ``mix``.
 
-    Rows that share an id all get the copies of one of them.
-    """
-    plan = mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("_mix_copies"))
-    joined = docs.join(plan.dropDuplicates(["_mix_id"]), F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_mix_copy", F.explode("_mix_copies")).select(*docs.columns)
+    A row's copies follow from the row and its source's few numbers, so texts are not shuffled."""
+    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_mix_row"))
+    planned = _planned(sized(whole, "_mix_row"), solve(docs, weights, cap), cap).filter("copies > 0")
+    copies = planned.select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_mix_copy"))
+    return copies.select(*[F.col("_mix_row")[c].alias(c) for c in docs.columns])

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sigmill.llm import fingerprints, htmltext, media, mixing, packing, quality, secrets, tokencount
 from sigmill.llm.common import with_position
@@ -87,6 +88,32 @@ def test_mixing_meets_its_targets(spark):
     assert pandas(mixing.op4_mixing(spark, SF)).equals(got)
 
 
+def test_rates_are_the_entropy_solution(spark):
+    """Against a search for each source's multiplier in NumPy, and the copies of every document against its rate."""
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    got = pandas(mixing.op4_mixing(spark, SF)).merge(docs[["doc_id", "source"]], on="doc_id")
+    varied = 0
+    for _, rows in got.groupby("source"):
+        size, target = rows["size"].to_numpy(float), rows["target"].iloc[0]
+        x = size / size[size > 0].mean()
+        lo, hi = -1e4, 1e4
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (size * np.minimum(3, np.exp(np.minimum(mid * x, 50)))).sum() < target else (lo, mid)
+        want = np.minimum(3, np.exp(np.minimum(lo * x, 50)))
+        assert np.allclose(rows["rate"], want, atol=1e-6)
+        assert ((rows["copies"] - rows["rate"]).abs() <= 1 + 1e-9).all() and (rows["copies"] >= np.floor(rows["rate"])).all()
+        varied += rows["rate"].nunique() > 10
+    assert varied > 10
+
+
+def test_rows_that_share_an_id_are_mixed_apart(spark):
+    rows = [(7, "w " * 10, "a")] * 20 + [(7, "w " * 4, "b")] * 20 + [(None, "w " * 5, "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    twice = [sorted(map(str, mixing.repeat_copies(docs.repartition(n)).collect())) for n in (2, 5)]
+    assert twice[0] == twice[1] and len(twice[0]) == mixing.mix(docs).agg({"copies": "sum"}).first()[0]
+
+
 def test_mixing_caps_and_odd_rows(spark, odd, none):
     rows = [(i, "w " * 10, "a") for i in range(200)] + [(1000 + i, "w " * 3, "b") for i in range(5)] + [(2000, "w w", None), (2001, None, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -194,6 +221,50 @@ def test_secrets_of_cases(spark):
     assert extra[4] == set() and extra[5] == set()  # alone, or too far apart
 
 
+def all_spans(text):
+    """Base spans and the weak ones that have their complement near, by brute force."""
+    base = base_spans(text)
+    weak = [(m.start(), 3, m.end()) for m in re.finditer(secrets.LOGIN, text, re.A)] + [(m.start(), 5, m.end()) for m in re.finditer(secrets.ENDPOINT, text, re.A)]
+    weak += [(m.start(), 4, m.end()) for m in re.finditer(secrets.BLOB, text, re.A)]
+    live = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+    near = lambda s, kinds: any(x[1] in kinds and abs(x[0] - s[0]) <= 512 for x in base + live)
+    rule = {3: lambda s: near(s, (0, 2, 4)), 4: lambda s: near(s, (1, 3)), 5: lambda s: near(s, (1, 3)) and near(s, (0, 2, 4))}
+    return sorted(base + [w for w in live if rule[w[1]](w)])
+
+
+def test_linked_spans_of_the_table_and_of_shifted_texts(spark):
+    parts = "user: alice" + " " * 380 + "Zx9" + "Ab1/" * 8 + " " * 300 + "https://db.example.org/x"
+    rows = [(k, "." * (50 * k) + " " + parts) for k in range(24)] + [(100, "user: bob " + "aB" * 60 + "9")] + [(101, "user: eve\n" * 700 + "password=abcdef123456")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 1000))
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(secrets.scan(docs)).collect()}
+    for d, t in [tuple(r) for r in docs.collect()]:
+        assert got[d] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in all_spans(t or "")), d
+    assert all(len(got[k].split(",")) == 2 for k in range(24))  # the endpoint is out of the login's reach
+    assert "blob" in got[100] and got[101].count("login") == 51
+
+
+def test_rows_that_share_an_id_lose_their_own_spans(spark):
+    plain = "a text that has nothing to hide and is long enough to be cut wrongly " * 3
+    rows = [(1, "user: alice key Zx9" + "Ab1/" * 8), (1, plain), (None, "user: bob key Yx9" + "Ab1/" * 8), (None, plain)]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [t for _, t in got] == sorted([plain, "[secret] key [secret]"]) * 2
+
+
+def test_redaction_across_blocks(spark):
+    rng = np.random.default_rng(3)
+    text = "".join("é😀xy "[i] for i in rng.integers(0, 5, 9000))
+    for at in (8100, 4090, 100, 0):
+        text = text[:at] + " token=abcdefghijklmnop " + text[at:]
+    text = text[:300] + "f" * 9000 + text[300:]
+    spans, want, at = base_spans(text), "", 0
+    for a, _, b in spans:
+        if a >= at:
+            want += text[at:a] + "[secret]"
+        at = max(at, b)
+    docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    assert secrets.redact(docs).first()["text"] == want + text[at:]
+
+
 def test_redaction(spark, odd, none):
     docs = spark.createDataFrame([(d, t, len(t or "")) for d, t in CASES], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
