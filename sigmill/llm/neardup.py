@@ -15,12 +15,16 @@ from sigmill.llm.components import components
 
 #: Bands and values in a band. At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**7)**50 = 8e-6.
 BANDS, ROWS = 50, 7
-#: Word hashes that one task remembers.
-REMEMBER = 400_000
+#: Word hashes that one task remembers (about 45 MB).
+REMEMBER = 250_000
 #: Members of a component that are compared in one block, and rows with sets that are brought to one task at a time.
 BLOCK, TASK_ROWS = 512, 3000
 #: Shingles that a task is sized for: as many as TASK_ROWS sets of 500.
 TASK_SHINGLES = 500 * TASK_ROWS
+#: Components up to which a bucket's members ask each larger one by itself; with more, they ask the bucket as a whole.
+FEW = 4
+#: Longer words are not remembered.
+LONGEST = 64
 _known: dict[bytes, int] = {}
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -41,12 +45,13 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     if not parts:
         return np.empty(0, np.uint64)
     new = set(parts).difference(_known)
-    if new:
-        if len(_known) + len(new) > REMEMBER:
-            _known.clear()
-            new = set(parts)
-        _known.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
-    h = np.fromiter(map(_known.__getitem__, parts), np.uint64, len(parts))
+    if len(_known) + len(new) > REMEMBER:
+        _known.clear()
+        new = set(parts)
+    coded = dict(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
+    if len(new) < REMEMBER:  # what a very long text brings isn't remembered
+        _known.update((w, x) for w, x in coded.items() if len(w) <= LONGEST)
+    h = np.fromiter((coded[w] if w in coded else _known[w] for w in parts), np.uint64, len(parts)) if coded else np.fromiter(map(_known.__getitem__, parts), np.uint64, len(parts))
     k = min(words, len(h))
     n = len(h) - k + 1
     mix = np.full(n, k, np.uint64)
@@ -136,11 +141,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def block_links(t: pa.Table, percent: int) -> pa.Table:
-    """Links between the documents that ask (``asks``) and the members of the same blocks, from their whole sets."""
+    """Links between the documents that ask (``asks``) and the members of the same blocks, from their whole sets.
+
+    Only links that join components (``comp``) which nothing in this task has joined before are given out, so they are
+    fewer than the components, however many pairs are near.
+    """
     flat = t.column("shingles").combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     at, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-    nodes = t.column("node").to_numpy()
+    nodes, comp = t.column("node").to_pylist(), t.column("comp").to_pylist()
+    parent: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = parent.get(up, up)
+            c = up
+        return c
+
     blocks: dict[tuple, tuple[list, list]] = {}
     for i, (asks, units) in enumerate(zip(t.column("asks").to_pylist(), t.column("units").to_pylist(), strict=True)):
         for u in units:
@@ -161,53 +178,75 @@ def block_links(t: pa.Table, percent: int) -> pa.Table:
             hits = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
             both = np.bincount(hits, minlength=len(members))
             for k in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)):
-                one.append(nodes[i])
-                two.append(nodes[members[k]])
+                x, y = top(comp[i]), top(comp[members[k]])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    one.append(nodes[i])
+                    two.append(nodes[members[k]])
     return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
 
 
 def deal(asks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``task, node, asks, units``: the documents that ask a group (``asks``: node, size, group, n members) and the
-    group's members (of ``nodes``), each with its units (group, block, salt).
+    """``task, node, comp, asks, units``: the documents that ask a group (``asks``: node, size, comp, group, n members)
+    and the group's members (of ``nodes``), each with its units (group, block, salt).
 
     A unit has at most about BLOCK members and the askers of one salt, so it is bounded however many ask a group.
     Tasks are as many as the rows and the shingles of all units need.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     room = F.greatest(F.count("*") / TASK_ROWS, F.sum("size") / TASK_SHINGLES)
-    wanted = asks.groupBy("group", "n").agg(F.ceil(room).cast("int").alias("salts"))
+    wanted = materialize(asks.groupBy("group", "n").agg(F.ceil(room).cast("int").alias("salts")))
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    members = nodes.join(wanted, "group").select("node", "size", F.lit(0).alias("asks"), "group", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), each(F.col("salts")).alias("salt"))
-    salted = asks.join(F.broadcast(wanted.filter("salts > 1").select("group", "salts")), "group", "left").withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.coalesce("salts", F.lit(1))).cast("int"))
-    asking = salted.select("node", "size", F.lit(1).alias("asks"), "group", each(blocks).alias("block"), "salt")
+    # written at once: nothing above the join needs a group's rows together, so that Spark can split a large group
+    found = materialize(nodes.join(wanted, "group"))
+    members = found.select("node", "size", "comp", F.lit(0).alias("asks"), "group", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), each(F.col("salts")).alias("salt"))
+    salted = asks.join(wanted.filter("salts > 1").select("group", "salts"), "group", "left").withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.coalesce("salts", F.lit(1))).cast("int"))
+    asking = salted.select("node", "size", "comp", F.lit(1).alias("asks"), "group", each(blocks).alias("block"), "salt")
     both = members.union(asking)
     rows, shingles = both.agg(F.count("*"), F.sum("size")).first()
     tasks = max(1, rows // TASK_ROWS, (shingles or 0) // TASK_SHINGLES)
     task = F.pmod(F.xxhash64("group", "block", "salt"), F.lit(tasks))
-    return both.withColumn("task", task).groupBy("task", "node", "asks").agg(F.collect_list(F.struct("group", "block", "salt")).alias("units"))
+    return both.withColumn("task", task).groupBy("task", "node", "comp", "asks").agg(F.collect_list(F.struct("group", "block", "salt")).alias("units"))
 
 
-def cross_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components that share a bucket.
+def cross_asks(buckets: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Who asks whom between different components that share a bucket: ``asks`` and ``nodes`` as ``deal`` takes them.
 
-    A document is paired with a component, not with its members: (document of the smaller component, larger
-    component) is one row however many buckets and members they share. The larger one's members lie in blocks of
-    bounded size, each document's set is sent once to every task that has blocks for it, and tasks give out links
-    alone. The documents that ask a block are dealt to salts of bounded rows and shingles by a hash of their id, and
-    the block's members are repeated for each salt.
+    A document is paired with a component, not with its members: (document of the smaller component, larger component)
+    is one row however many buckets and members they share. In a bucket of more than FEW components, whose members
+    would ask that many, they ask the bucket itself: one row a member. So the rows are in proportion to the buckets'
+    entries however many components meet in one.
     """
-    state = buckets.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).select("bucket", "hub", "node", "size", "group")
-    mixed = state.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("bucket")
-    nodes = state.select("node", "size", "group").distinct()
-    order = nodes.groupBy("group").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
-    live = materialize(state.join(mixed, "bucket").join(order, "group"))
-    parts = live.select(F.col("bucket").alias("in_bucket"), F.struct("n", "group").alias("larger"), F.col("least").alias("low"), F.col("most").alias("high")).distinct()
+    state = buckets.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("bucket", "hub", "node", "size", "comp")
+    mixed = state.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+    nodes = materialize(state.select("node", "size", "comp").distinct())
+    order = nodes.groupBy("comp").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
+    live = materialize(state.join(mixed, "bucket").join(order, "comp"))
+    parts = materialize(live.select("bucket", F.struct("n", "comp").alias("larger"), F.col("least").alias("low"), F.col("most").alias("high")).distinct())
+    many = materialize(parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max("larger").alias("largest")).filter(F.col("parts") > FEW).select("bucket", "largest"))
+
     # sizes rule a link out, or the pair is the hub and a single document, which have been compared
     open_ = (100 * F.col("size") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("size")) & ~((F.col("node") == F.col("hub")) & (F.col("larger.n") == 1))
-    met = live.join(parts, (F.col("bucket") == F.col("in_bucket")) & (F.struct("n", "group") < F.col("larger")) & open_)
-    asks = materialize(met.select("node", "size", F.col("larger.group").alias("group"), F.col("larger.n").alias("n")).distinct())
-    dealt = deal(asks, nodes)
-    rows = dealt.join(sets.withColumnRenamed("doc_id", "node"), "node")
+    few = parts.join(many, "bucket", "left_anti").withColumnRenamed("bucket", "in_bucket")
+    met = live.join(few, (F.col("bucket") == F.col("in_bucket")) & (F.struct("n", "comp") < F.col("larger")) & open_)
+    name = lambda c, kind: F.xxhash64(F.col(c), F.lit(kind))
+    asks = met.select("node", "size", "comp", name("larger.comp", "component").alias("group"), F.col("larger.n").alias("n")).distinct()
+
+    crowd = materialize(live.join(many, "bucket").select("node", "size", "comp", name("bucket", "bucket").alias("group"), (F.struct("n", "comp") < F.col("largest")).alias("asks")))
+    counts = crowd.groupBy("group").agg(F.count("*").alias("n"))
+    crowded = crowd.filter("asks").join(counts, "group").select("node", "size", "comp", "group", "n")
+    whole = nodes.select("node", "size", "comp", name("comp", "component").alias("group"))
+    return materialize(asks.union(crowded)), whole.union(crowd.select("node", "size", "comp", "group"))
+
+
+def cross_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components that share a bucket.
+
+    The members that are asked lie in blocks of bounded size, each document's set is sent once to every task that has
+    blocks for it, and tasks give out the links alone. The documents that ask a block are dealt to salts of bounded
+    rows and shingles by a hash of their id, and the block's members are repeated for each salt.
+    """
+    rows = deal(*cross_asks(buckets, groups, percent)).join(sets.withColumnRenamed("doc_id", "node"), "node")
     return rows.groupBy("task").applyInArrow(lambda t: block_links(t, percent), "a long, b long")
 
 
@@ -218,7 +257,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS,
     2. Band keys put classes into buckets. Every member is confirmed, on whole sets, against the smallest member of
        its buckets, and the links are joined to components. This closes all pairs inside a component.
        What may still be missed are links between components that share a bucket: ``cross_links`` compares each
-       document of the smaller one with the whole larger one.
+       document of the smaller one with the whole larger one, or with the whole bucket.
     3. Components of classes are given to their rows.
 
     Null text is empty; rows without words have no set and stay alone; repeated rows are one class; rows that share
@@ -252,6 +291,10 @@ def op2_neardup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One row of each group of near copies, with its own columns: the row whose id names the group."""
+    """One row of each group of near copies, with its own columns: the row whose id names the group.
+
+    Edge cases are those of ``link``: texts without words and rows with a null id stay; rows that share an id are one
+    document and go or stay together.
+    """
     gone = materialize(link(docs, words=words).filter("not kept").select(F.col("doc_id").alias("_neardup_id")).distinct())
     return docs.join(gone, F.col("doc_id") == F.col("_neardup_id"), "left_anti").select(*docs.columns)

@@ -183,3 +183,30 @@ def test_repeats_of_odd_rows(odd, none):
     rows = {(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None}
     assert got == brute_removed(rows)
     assert suffixdedup.remove(none).count() == 0
+
+
+def test_a_bucket_of_unlike_members_asks_in_proportion(spark):
+    """Two thousand components in one bucket: one row a member, and tasks join them without giving out all pairs."""
+    n = 2000
+    buckets = spark.createDataFrame([(5, 0, i, 100) for i in range(n)], "bucket long, hub long, node long, size long")
+    groups = spark.createDataFrame([], "node long, component long")
+    asks, nodes = neardup.cross_asks(buckets, groups, 80)
+    assert asks.count() == n - 1 and nodes.count() == 2 * n
+    same = spark.createDataFrame([(i, list(range(100)) + [10**6 + i]) for i in range(n)], "doc_id long, shingles array<long>")
+    got = neardup.cross_links(buckets, groups, same, 80)
+    assert got.count() < 6 * n and dict(components(got).collect()) == dict.fromkeys(range(n), 0)
+
+
+def test_recall_near_the_threshold():
+    """Pairs of a similarity of 0.80 to 0.85 share a band (the candidates of all later steps)."""
+    rng = np.random.default_rng(8)
+    family = neardup.MinMax()
+    met = 0
+    for k in range(2000):
+        union = int(rng.integers(60, 600))
+        both = int(np.ceil(union * rng.uniform(0.8, 0.85)))
+        x = rng.integers(0, 1 << 63, union, dtype=np.uint64)
+        a, b = x[: both + (union - both) // 2], np.concatenate([x[:both], x[both + (union - both) // 2 :]])
+        met += bool((family.keys(np.unique(a)) == family.keys(np.unique(b))).any())
+    print(met)
+    assert met >= 1996
