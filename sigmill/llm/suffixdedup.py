@@ -26,8 +26,8 @@ from sigmill.llm.common import documents, materialize
 
 MATCH, GRAM = 50, 24
 SIDE = MATCH - GRAM  # how far a window can reach before its anchor
-#: Window starts of a piece of a document, and bytes that are hashed at once.
-PIECE, BUFFER = 1 << 18, 1 << 19
+#: Window starts of a piece of a document, bytes that are hashed at once, and bytes whose anchors are packed together.
+PIECE, BUFFER, GATHER = 1 << 18, 1 << 19, 4 << 20
 #: Bytes of text per bucket of anchors; contexts per shard bucket; symbols of one suffix array.
 BUCKET_BYTES, BUCKET_CONTEXTS, SHARD = 4 << 20, 15_000, 1 << 18
 #: Different contexts above which an anchor is hot; bytes of text that are sampled to find hot anchors beforehand.
@@ -125,21 +125,24 @@ def pack_anchors(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Anchors of all documents, packed by bucket of their gram hash, ``hot`` ones by their context in buckets from
     ``buckets`` on.
 
-    Of equal contexts that one buffer holds only those of the smallest id go on; the others are repeats and leave as
+    Of equal contexts that are packed together only those of the smallest id go on; the others are repeats and leave as
     finished spans in rows of negative buckets (docs, starts in ``hs``, ends in ``places``).
     """
 
-    def flush(pieces: list) -> Iterator[pa.RecordBatch]:
+    def hashed(pieces: list) -> tuple[np.ndarray, ...]:
         starts = np.cumsum([0, *(len(p[1]) for p in pieces)])
         buffer = np.frombuffer(b"".join(p[1] for p in pieces), np.uint8)
         spans = np.array([(s, s + len(p[1]), s + p[3], s + p[4]) for s, p in zip(starts, pieces, strict=False)])
         ids, offsets = np.array([p[0] for p in pieces], np.int64), np.array([p[2] for p in pieces], np.int64)
         pos, h, c, owner = anchors(buffer, spans)
-        doc, place = ids[owner], pos - spans[owner, 0] + offsets[owner]
-        order = np.lexsort((doc, c, h))
-        h, c, doc, place = h[order], c[order], doc[order], place[order]
+        return h, c, ids[owner], pos - spans[owner, 0] + offsets[owner]
+
+    def packed(found: list) -> Iterator[pa.RecordBatch]:
+        h, c, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
         if not len(h):
             return
+        order = np.lexsort((doc, c, h))
+        h, c, doc, place = h[order], c[order], doc[order], place[order]
         head = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
         least = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
         gone = doc > least
@@ -148,21 +151,20 @@ def pack_anchors(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             d, s, e = _merged(doc[gone], np.maximum(0, place[gone] - SIDE), place[gone] + MATCH)
             rows.append((-1 - int(d[0] % buckets), len(d), _planes(s, 8), b"", _planes(d, 8), _planes(e, 8)))
         h, c, doc, place = h[~gone], c[~gone], doc[~gone], place[~gone]
-        to = ((h >> np.uint64(44)) * np.uint64(buckets)) >> np.uint64(20)  # order by h is order by bucket
+        to = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # order by h is order by bucket
         known = np.isin(h >> np.uint64(16), hot)
         if known.any():
             to = np.where(known, np.uint64(buckets) + (c >> np.uint64(8)) % np.uint64(buckets), to)
             order = np.argsort(to, kind="stable")
             h, c, doc, place, to = h[order], c[order], doc[order], place[order], to[order]
-        edges = np.searchsorted(to, np.arange((2 if len(hot) else 1) * buckets + 1))
-        for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
-            if i < j:
-                rows.append((b, int(j - i), _planes(h[i:j] >> np.uint64(16), 6), _planes(c[i:j] >> np.uint64(8), 7), _planes(doc[i:j], 8), _planes(place[i:j], 8)))
+        edges = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]]).tolist() if len(to) else [0]
+        for i, j in zip(edges, edges[1:], strict=False):  # only the buckets that have anchors here
+            rows.append((int(to[i]), j - i, _planes(h[i:j] >> np.uint64(16), 6), _planes(c[i:j] >> np.uint64(8), 7), _planes(doc[i:j], 8), _planes(place[i:j], 8)))
         kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "n", "hs", "contexts", "docs", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, filled = [], 0
+        pieces, filled, found, gathered = [], 0, [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = text.as_py().encode()
@@ -173,10 +175,17 @@ def pack_anchors(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                     pieces.append((doc, part, low, a - low, b - low))
                     filled += len(part)
                     if filled >= BUFFER:
-                        yield from flush(pieces)
+                        found.append(hashed(pieces))
+                        gathered += filled
                         pieces, filled = [], 0
+                        if gathered >= GATHER:
+                            yield from packed(found)
+                            found, gathered = [], 0
         if pieces:
-            yield from flush(pieces)
+            found.append(hashed(pieces))
+        if found:
+            yield from packed(found)
+        pa.default_memory_pool().release_unused()
 
     rows = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= MATCH)).select("doc_id", "text")
     return rows.mapInArrow(run, PACKED)
@@ -445,10 +454,11 @@ def remove(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and with ``keep_text`` the kept ``bytes``) of every row.
 
     Null text is empty; texts under 50 bytes lose nothing and take nothing from others. Equal ids are one document:
-    they take nothing from each other, and repeated rows lose the same. Rows with a null id are left whole.
+    they take nothing from each other, and repeated rows lose the same. Rows with a null id are left whole. Very long
+    texts are hashed in pieces. An empty table gives an empty table.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(1, min(1 << 20, total // BUCKET_BYTES + 1)))
+    buckets = int(total // BUCKET_BYTES + 1)
     found = materialize(settle(pack_anchors(docs, buckets, hot_anchors(docs, total, buckets)), buckets))
     inside = found.filter("kind = 0").select("doc_id", "start", "end")
     borders = materialize(border_spans(docs, found.filter("kind > 0").select("kind", "doc_id", "start", "h")))
