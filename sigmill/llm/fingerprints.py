@@ -14,13 +14,16 @@ LANE, WIDTH = 20, 21
 ONES = sum(1 << (WIDTH * j) for j in range(3))
 FULL = ((1 << LANE) - 1) * ONES
 LANES = HASHES * 3 * WIDTH
-#: Paragraphs end at line breaks; a paragraph is the multiset of its sentences.
-UNIT_GAP = r"[\r\n]+|(?<=[.!?])\x20+"
+#: Paragraphs end at line breaks; a paragraph is the multiset of its sentences, in any script's marks.
+UNIT_GAP = r"[\r\n]+|(?<=[.!?؟।])\x20+|(?<=[。！？])"
+#: A sentence of more code points is cut again before words of nine characters and more: by what it holds, not by place.
+LONG, WORD_GAP = 200, r"\x20+(?=[^\x20]{9})"
 
 
 def units(text: Column) -> Column:
-    """The multiset that a text stands for: its sentences, without empty ones."""
-    return F.filter(F.split(text, UNIT_GAP), lambda u: u != "")
+    """The multiset that a text stands for: its sentences, or the parts of long ones, without empty ones."""
+    parts = F.transform(F.split(text, UNIT_GAP), lambda u: F.when(F.length(u) > LONG, F.split(u, WORD_GAP)).otherwise(F.array(u)))
+    return F.filter(F.flatten(parts), lambda u: u != "")
 
 
 def _wide(unit: Column) -> Column:
@@ -76,7 +79,8 @@ def _energy(lanes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two fingerprints, 0 to 1, exactly 1 for equal ones.
+    """Likeness of two fingerprints, 0 to 1, exactly 1 for equal ones. It is meant for texts of fewer than 2**20 units:
+    counts are kept modulo that, so beyond it only equality tells.
 
     The expected squared distance of the signed lanes is the number of units in which the multisets differ, so
     ``1 - |a - b|^2 / (|a|^2 + |b|^2)`` estimates the shared part.
@@ -102,7 +106,7 @@ def edits(docs: DataFrame) -> DataFrame:
     next document. Texts are shuffled once by id; what goes on to the document before are the next one's first
     code points, no more than are needed there, and its fingerprint. Null text is empty; of rows that share an id
     the one with the least text is the next document; rows with a null id have no next one: their edited text is
-    their own and ``near_next`` is 0.
+    their own and ``near_next`` is 0. Very long texts are folded unit by unit. An empty table gives an empty table.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     every = docs.select("doc_id", text.alias("text")).withColumn("vector", fingerprint(F.col("text")))
