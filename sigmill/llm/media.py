@@ -107,9 +107,9 @@ def chunk(docs: DataFrame, with_data: bool = True) -> DataFrame:
 CHUNK = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("ord", pa.int32()), ("n_chunks", pa.int32()), ("n_bytes", pa.int64()), ("size", pa.int32()), ("digest", pa.binary()), ("data", pa.binary())])
 
 
-def store(chunks: DataFrame, *more: str) -> DataFrame:
+def store(chunks: DataFrame) -> DataFrame:
     """``digest, data``: every distinct chunk once."""
-    return chunks.filter(F.col("data").isNotNull()).groupBy("digest", *more).agg(F.first("data").alias("data"))
+    return chunks.filter(F.col("data").isNotNull()).groupBy("digest").agg(F.first("data").alias("data"))
 
 
 def recipes(docs: DataFrame) -> DataFrame:
@@ -117,10 +117,14 @@ def recipes(docs: DataFrame) -> DataFrame:
     return chunk(docs, with_data=False).drop("data")
 
 
-def hot_digests(lists: DataFrame, share: int = 5000) -> DataFrame:
-    """Digests that make up more than ``1 / share`` of all list entries: fewer than ``share`` rows, so they may be broadcast."""
-    least = max(lists.count() / share, 50)
-    return materialize(lists.groupBy("digest").count().filter(F.col("count") > least).select("digest", F.lit(True).alias("hot")))
+#: List entries of one digest that one task takes.
+ENTRIES = 1000
+
+
+def hot_digests(lists: DataFrame, entries: int = ENTRIES) -> DataFrame:
+    """``digest, salts`` of every digest with more than ``entries`` list entries: so many copies of it are stored that
+    each serves ``entries`` of them at most."""
+    return materialize(lists.groupBy("digest").count().filter(F.col("count") > entries).select("digest", F.ceil(F.col("count") / entries).cast("int").alias("salts")))
 
 
 def features(samples: np.ndarray) -> str:
@@ -135,20 +139,20 @@ def features(samples: np.ndarray) -> str:
     return f"mean={x.mean():.4f};std={x.std():.4f};peak={int(np.abs(x).max())};zc={crossings};bands=" + ",".join(f"{b:.3f}" for b in bands)
 
 
-def rebuild(lists: DataFrame, chunks: DataFrame, hot: DataFrame, salts: int = 32) -> DataFrame:
+def rebuild(lists: DataFrame, chunks: DataFrame, hot: DataFrame) -> DataFrame:
     """Join the chunk lists with the distinct chunks, put every document together, check it and describe it.
 
     ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``. Every chunk
-    is held against its digest when read; a missing or damaged one raises. The join is dealt by digest; hot digests
-    are kept ``salts`` times in the store and their list entries are dealt over these copies. A document of one chunk
+    is held against its digest when read; a missing or damaged one raises. The join is dealt by digest; a hot digest
+    is kept as often in the store as its entries need, and they are dealt over these copies. A document of one chunk
     is whole after the join; the chunks of others are brought together in order by sorting their partition, so a task
     holds one document at a time.
     """
-    hot = F.broadcast(hot)
-    entries = lists.join(hot, "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("row", F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("hot")
-    spread = chunks.filter(F.col("data").isNotNull()).select("digest", "data").join(hot, "digest", "left")
-    spread = spread.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    stored = store(spread, "salt")  # both joins below read the same exchange of it
+    many = F.coalesce("salts", F.lit(1))
+    # Spark broadcasts the hot digests while they are few
+    entries = lists.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("row"), many).cast("int")).drop("salts")
+    spread = store(chunks).join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("salts")
+    stored = spread  # both joins below read the same exchange of it
     single = entries.filter("n_chunks = 1").join(stored, ["digest", "salt"])
     several = entries.filter("n_chunks > 1").join(stored, ["digest", "salt"])
     dealt = several.repartition("row").sortWithinPartitions("row", "ord")
@@ -183,7 +187,8 @@ def rebuild(lists: DataFrame, chunks: DataFrame, hot: DataFrame, salts: int = 32
 def op8_media(spark, sf_dir: str) -> DataFrame:
     """Store every text of ``documents`` as media chunks, read it back and describe it.
 
-    Null and empty texts are 192 spaces. Repeated rows are stored once and returned each.
+    Null and empty texts are 192 spaces. Repeated rows are stored once and returned each; rows with a null id as well.
+    A very long text is many chunks, of which a task holds one document's. An empty table gives an empty table.
     """
     docs = documents(spark, sf_dir)
     lists = materialize(recipes(docs))

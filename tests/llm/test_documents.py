@@ -408,8 +408,8 @@ def test_cuts_are_found_again_after_an_insertion():
 def test_hot_chunks_are_spread(spark):
     docs = spark.createDataFrame([(i, "the same text again") for i in range(300)], "doc_id long, text string")
     lists = media.recipes(docs)
-    hot = media.hot_digests(lists)
-    assert hot.count() == 1
+    hot = media.hot_digests(lists, 100)
+    assert hot.first()["salts"] == 3 and hot.count() == 1
     assert media.rebuild(lists, media.chunk(docs), hot).select("feature").distinct().count() == 1
 
 
