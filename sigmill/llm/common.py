@@ -17,10 +17,13 @@ GAP_CHARS = " \t\n\x0b\x0c\r"
 def scratch(spark: SparkSession) -> str:
     """A new folder name below the shared checkpoint folder that the cluster names.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, notebooks) a local folder is used.
+    Where ``spark.checkpoint.dir`` is unset, a local session (tests, notebooks) gets a folder of its own; on a cluster
+    that is an error, since executors don't share local folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sigmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/sigmill-{uuid.uuid4().hex}"

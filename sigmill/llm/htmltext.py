@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import html
+import os
 import re
-from bisect import bisect_left
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from sigmill.llm.common import documents, with_position
+from sigmill.llm.common import documents, materialize, with_position
 
 # Element names and words of class, id and role attributes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -138,95 +141,175 @@ def blocks(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def line_hashes(page: str | None) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in blocks(page or "")]
+def line_hashes(found: list[tuple[str, bool]]) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in found]
 
 
-def common_lines(a: list[int], b: list[int]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b`` (Hunt-Szymanski: an increasing chain of matches)."""
-    where = defaultdict(list)
+#: Cells of a table of line pairs that are kept as bits for finding the way back (32 MB).
+CELLS = 1 << 28
+
+
+def _rows(a: Sequence[int], b: Sequence[int], keep: bool) -> list[int]:
+    """Bit rows of the longest common subsequence: bit ``j`` of row ``i`` is 0 where one line more of ``b`` makes it
+    longer. Without ``keep``, the last row alone."""
+    where: dict[int, int] = {}
     for j, x in enumerate(b):
-        where[x].append(j)
-    tails: list[int] = []
-    last: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(tails, j)
-            node = (i, last[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                last.append(node)
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row, rows = full, [full]
+    for x in a:
+        hit = row & where.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        if keep:
+            rows.append(row)
+    return rows if keep else [row]
+
+
+def common_lines(a: Sequence[int], b: Sequence[int]) -> set[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``.
+
+    Equal ends are taken off first. The table of the rest is worked out a row of bits at a time, so many equal lines
+    cost no more than different ones; a table of more than CELLS is halved, each half with the part of ``b`` that
+    serves it best, so memory stays bounded.
+    """
+    found: set[int] = set()
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            found.add(i)
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            found.add(n)
+        if i == n or j == m:
+            continue
+        if (n - i) * (m - j) > CELLS and n - i > 1:
+            mid = (i + n) // 2
+            gains = lambda row, size: np.concatenate([[0], np.cumsum(1 - np.unpackbits(np.frombuffer(row.to_bytes(-(-size // 8), "little"), np.uint8), bitorder="little")[:size].astype(np.int64))])
+            ahead = gains(_rows(a[i:mid], b[j:m], False)[0], m - j)
+            behind = gains(_rows(a[mid:n][::-1], b[j:m][::-1], False)[0], m - j)[::-1]
+            cut = j + int((ahead + behind).argmax())
+            todo += [(i, mid, j, cut), (mid, n, cut, m)]
+            continue
+        rows = _rows(a[i:n], b[j:m], True)
+        x, y = n - i, m - j
+        while x and y:
+            if a[i + x - 1] == b[j + y - 1]:
+                x, y = x - 1, y - 1
+                found.add(i + x)
+            elif rows[x] >> (y - 1) & 1:
+                y -= 1
             else:
-                tails[k], last[k] = j, node
-    found, node = set(), last[-1] if last else None
-    while node:
-        found.add(node[0])
-        node = node[1]
+                x -= 1
     return found
 
 
-def main_text(page: str | None, mate: list[int] | None, copies: float = 0.8) -> str:
-    """The article of a page.
+def dropped(own: Sequence[int], inside: Sequence[bool], mate: Sequence[int] | None) -> list[int] | None:
+    """Numbers of a page's lines that go, or None if the page stays as it is.
 
-    Blocks of an article or main element are the article; where there is none, the blocks that the page has in
-    common, in order, with its nearest page are its template and go. If they hold more than ``copies`` of the text,
-    the two pages are copies and tell nothing about the template: the blocks stay.
+    Lines that the page has in common, in order, with its nearest page are their site's template and go, except those
+    of an article or main element: two articles may share a paragraph. Where there is an article but no mate to
+    tell, all lines outside it go.
     """
-    found = blocks(page or "")
-    if any(inside for _, inside in found):
-        return "\n".join(t for t, inside in found if inside)
-    if mate:
-        own = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in found]
+    if mate is None:
+        gone = [i for i, x in enumerate(inside) if not x] if any(inside) else []
+    else:
         shared = common_lines(own, mate)
-        if sum(len(found[i][0]) for i in shared) <= copies * sum(len(t) for t, _ in found):
-            found = [x for i, x in enumerate(found) if i not in shared]
-    return "\n".join(t for t, _ in found)
+        gone = [i for i in sorted(shared) if not inside[i]]
+    return gone or None
+
+
+def main_text(page: str | None, gone: Sequence[int] | None) -> str:
+    """The blocks of a page without those whose numbers are in ``gone``."""
+    gone = set(gone or ())
+    return "\n".join(t for i, (t, _) in enumerate(blocks(page or "")) if i not in gone)
+
+
+@pandas_udf(T.IntegerType())
+def _shared_start(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the common beginning; -1 where there is nothing to compare."""
+    return pd.Series([-1 if x is None or y is None else len(os.path.commonprefix([x, y])) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def nearest(pages: DataFrame) -> DataFrame:
-    """``page_id, mate_id``: of the two neighbours in the order of URL paths within the host, the one with the longer
-    common beginning of the path (the former on a tie). Pages alone on their host, or without a URL, have none."""
+    """``page, mate`` of ``page, host, path``: of the two neighbours in the order of URL paths within the host, the one
+    with the longer common beginning of the path (the former on a tie). Pages alone on their host have none."""
+    placed = materialize(with_position(pages, "host", "path", "page"))
+    other = placed.select("pos", F.struct("page", "host", "path").alias("x"))
+    near = placed.join(other.select((F.col("pos") + 1).alias("pos"), F.col("x").alias("a")), "pos", "left").join(other.select((F.col("pos") - 1).alias("pos"), F.col("x").alias("b")), "pos", "left")
+    path = lambda x: F.when(F.col(f"{x}.host") == F.col("host"), F.col(f"{x}.path"))
+    near = near.select("page", "a", "b", _shared_start("path", path("a")).alias("na"), _shared_start("path", path("b")).alias("nb"))
+    mate = F.when(F.greatest("na", "nb") < 0, F.lit(None)).when(F.col("na") >= F.col("nb"), F.col("a.page")).otherwise(F.col("b.page"))
+    return near.select("page", mate.alias("mate")).filter("mate is not null")
+
+
+def template_lines(pages: DataFrame) -> DataFrame:
+    """``page_id, digest, gone``: of every page that loses lines, their numbers.
+
+    Every page is parsed to the hashes of its lines. Pages of a host with equal lines tell nothing about each other:
+    they count as one page, at the first of their URLs, and the nearest page with other lines is their mate. So copies
+    lose the same lines, and a group of copies is compared once.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                found = [blocks(h or "") for h in part.column(4).to_pylist()]
+                lines = [line_hashes(f) for f in found]
+                one = [xxhash.xxh3_64_intdigest(np.array([*own, *(m for _, m in f)], np.int64).tobytes()) - (1 << 63) for own, f in zip(lines, found, strict=True)]
+                columns = [*(part.column(i) for i in range(4)), pa.array(one, pa.int64()), pa.array(lines, pa.list_(pa.int64())), pa.array([[m for _, m in f] for f in found], pa.list_(pa.bool_()))]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "digest", "host", "path", "content", "lines", "inside"])
+
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)
-    keyed = pages.filter(F.col("url").isNotNull() & F.col("page_id").isNotNull()).select("page_id", host.alias("host"), path.alias("path"))
-    placed = with_position(keyed, "host", "path", "page_id")
-    other = placed.select("pos", F.struct("page_id", "host", "path").alias("x"))
-    near = placed.select("pos", "page_id", "host", "path").join(other.withColumn("pos", F.col("pos") + 1).withColumnRenamed("x", "a"), "pos", "left").join(other.withColumn("pos", F.col("pos") - 1).withColumnRenamed("x", "b"), "pos", "left")
+    # pages without a URL have no neighbours; each is its own host
+    home = F.coalesce(host, F.concat(F.lit("\x00"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), _digest()))
+    rows = pages.select("page_id", _digest().alias("digest"), home.alias("host"), F.coalesce(path, F.lit("")).alias("path"), "html")
+    lines = materialize(rows.mapInArrow(parse, "page_id long, digest string, host string, path string, content long, lines array<long>, inside array<boolean>"))
+    first = lines.groupBy("host", "content").agg(F.min("path").alias("path"))
+    name = lambda: F.struct("host", "content")
+    mates = nearest(first.select(name().alias("page"), "host", "path"))
+    what = lines.select("host", "content", "lines", "inside").dropDuplicates(["host", "content"]).select(name().alias("page"), "lines", "inside")
+    what = materialize(what)
+    pairs = what.join(mates, "page", "left").join(what.select(F.col("page").alias("mate"), F.col("lines").alias("other")), "mate", "left").select("page", "lines", "inside", "other")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [dropped(a, i, b) for a, i, b in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], ["page", "gone"])
+            yield out.filter(out.column(1).is_valid())
 
-    def shared(x: str):
-        n = F.least(F.length("path"), F.length(f"{x}.path"))
-        same = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substring("path", F.lit(1), k) != F.substring(f"{x}.path", F.lit(1), k))
-        return F.when(F.col(f"{x}.host") == F.col("host"), F.coalesce(F.array_min(same) - 1, n)).otherwise(F.lit(-1))
+    gone = materialize(pairs.mapInArrow(differ, "page struct<host:string,content:long>, gone array<int>")).select("page.host", "page.content", "gone")
+    return lines.select("page_id", "digest", "host", "content").join(gone, ["host", "content"]).select("page_id", "digest", "gone").dropDuplicates(["page_id", "digest", "gone"])
 
-    a, b = F.coalesce(shared("a"), F.lit(-1)), F.coalesce(shared("b"), F.lit(-1))
-    mate = F.when((a < 0) & (b < 0), F.lit(None)).when(a >= b, F.col("a.page_id")).otherwise(F.col("b.page_id"))
-    return near.select("page_id", mate.alias("mate_id")).filter("mate_id is not null")
+
+def _digest():
+    return F.md5(F.concat_ws("\x00", F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))).cast("binary"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row.
 
-    Null html gives empty text; a page whose id is null or occurs more than once is extracted without (or with any
-    one) mate of that id; very long pages are parsed in one pass.
+    Boilerplate elements are left out while parsing; what remains is held against the nearest page of the site, whose
+    lines in common go unless an article holds them. Null html gives empty text; a null or unreadable URL gives a page
+    without neighbours. Rows that share an id are told apart by what they hold, and repeated rows have the same text.
+    URLs that tie are ordered by what their pages hold. Very long pages are parsed in one pass each, and differenced in
+    bounded memory. An empty table gives an empty table.
     """
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                lists = [line_hashes(h) for h in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, pa.list_(pa.int64()))], ["mate_id", "mate"])
-
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                out = [main_text(h, mate) for h, mate in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                out = [main_text(h, gone) for h, gone in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    lines = pages.filter(F.col("page_id").isNotNull()).select("page_id", "html").mapInArrow(hashes, "mate_id long, mate array<long>")
-    mates = nearest(pages).join(lines, "mate_id").groupBy("page_id").agg(F.first("mate").alias("mate"))
-    return pages.select("page_id", "url", "html").join(mates, "page_id", "left").select("page_id", "url", "html", "mate").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    gone = materialize(template_lines(pages)).select(F.col("page_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "gone")
+    same = F.col("page_id").eqNullSafe(F.col("gone_id")) & (_digest() == F.col("gone_digest"))
+    both = pages.select("page_id", "url", "html").join(gone, same, "left")
+    return both.select("page_id", "url", "html", "gone").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
 
 
 def op3_htmltext(spark, sf_dir: str) -> DataFrame:

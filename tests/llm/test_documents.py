@@ -421,22 +421,51 @@ PAGE = """<!doctype html><html><head><title>x</title><style>p{}</style><script>v
 <script>x<y</script><ul><li>a<li>b</ul><div class="comments"><p>bad</div><form><input>q</form></article></main><aside>s</aside><footer>f</footer></body"""
 
 
-def test_article_of_a_page():
-    assert htmltext.main_text(PAGE, None) == "Title & more\nOne bold two three\nFour five <x> é\na\nb"
+def test_article_of_a_page(spark):
+    outside = lambda page: [i for i, (_, inside) in enumerate(htmltext.blocks(page)) if not inside]
+    assert htmltext.main_text(PAGE, outside(PAGE)) == "Title & more\nOne bold two three\nFour five <x> é\na\nb"
     assert htmltext.main_text(None, None) == "" and htmltext.main_text("", [1]) == "" and htmltext.main_text("<p", None) == ""
     assert htmltext.main_text("<p>a &amp b &am", None) == "a & b &am"
     assert htmltext.main_text("<div>" * 2000 + "deep" + "</div>" * 2000, None) == "deep"
 
 
-def test_shared_lines_go_where_no_article_is_marked(spark):
+def test_shared_lines_go(spark):
     page = lambda k: f"<body><div>Our site</div><div>All news</div><p>Story {k} is long enough to count.</p><p>More of {k}.</p><div>Contact us</div></body>"
     rows = [(i, f"https://h.example.org/news/{i}", page(i)) for i in range(20)] + [(50, "https://other.example.org/", page(0)), (51, None, page(7)), (52, "https://h.example.org/zzz", None)]
-    rows += [(60, "https://c.example.org/a", page(1)), (61, "https://c.example.org/a?p=2", page(1))]
+    rows += [(60, "https://c.example.org/a", page(1)), (61, "https://c.example.org/a?p=2", page(1)), (62, "https://c.example.org/b", page(2))]
     got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
     for i in range(20):
         assert got[i] == f"Story {i} is long enough to count.\nMore of {i}."
     assert got[50].startswith("Our site") and got[51].startswith("Our site") and got[52] == ""
-    assert got[60] == got[61] and "Story 1" in got[60]  # copies tell nothing about the template
+    assert got[60] == got[61] == "Story 1 is long enough to count.\nMore of 1."  # copies tell nothing; the next page does
+
+
+def test_the_mate_decides_on_pages_with_an_article(spark):
+    """Pages of the given shape with lines outside the article: what the mate has too is template, the rest is text."""
+    page = lambda k: f"<html><body><nav>menu {k}</nav><div>Edited by staff of the site</div><div>Lead of {k}</div><article><h1>Title {k}</h1><p>Body {k}</p><p>Shared paragraph</p></article><footer>end {k}</footer></body></html>"
+    rows = [(1, "https://h.example.org/en/1", page(1)), (2, "https://h.example.org/en/2", page(2))]
+    text = lambda some: {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(some, "page_id long, url string, html string")).collect()}
+    assert text(rows)[1] == "Lead of 1\nTitle 1\nBody 1\nShared paragraph"
+    assert text(rows[:1])[1] == "Title 1\nBody 1\nShared paragraph"
+
+
+def test_mates_are_the_nearest(spark):
+    rng = np.random.default_rng(4)
+    paths = sorted({"/" + "".join("ab/"[i] for i in rng.integers(0, 3, rng.integers(0, 7))) for _ in range(60)})
+    rows = [(i, f"h{i % 3}", p) for i, p in enumerate(paths)]
+    got = dict(htmltext.nearest(spark.createDataFrame(rows, "page long, host string, path string")).collect())
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    for i, h, p in rows:
+        assert common(p, paths[got[i]]) == max(common(p, q) for j, g, q in rows if g == h and j != i) and rows[got[i]][1] == h
+
+
+def test_long_pages_are_differenced_in_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 4, 300).tolist(), rng.integers(0, 4, 280).tolist()
+    whole = len(htmltext.common_lines(a, b))
+    monkeypatch.setattr(htmltext, "CELLS", 50)
+    assert len(htmltext.common_lines(a, b)) == whole
+    assert len(htmltext.common_lines([7] * 5000, [7] * 4000 + [8])) == 4000
 
 
 def test_common_lines_are_longest():
