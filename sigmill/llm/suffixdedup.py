@@ -26,8 +26,8 @@ from sigmill.llm.common import documents, materialize
 
 MATCH, GRAM = 50, 24
 SIDE = MATCH - GRAM  # how far a window can reach before its anchor
-#: Window starts of a piece of a document, bytes that are hashed at once, and bytes whose anchors are packed together.
-PIECE, BUFFER, GATHER = 1 << 18, 1 << 19, 4 << 20
+#: Window starts of a piece of a document, and bytes that are hashed and whose anchors are packed together.
+PIECE, BUFFER = 1 << 18, 1 << 19
 #: Bytes of text per bucket of anchors; contexts per shard bucket; symbols of one suffix array.
 BUCKET_BYTES, BUCKET_CONTEXTS, SHARD = 4 << 20, 15_000, 1 << 18
 #: Different contexts above which an anchor is hot; bytes of text that are sampled to find hot anchors beforehand.
@@ -137,8 +137,8 @@ def pack_anchors(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
         pos, h, c, owner = anchors(buffer, spans)
         return h, c, ids[owner], pos - spans[owner, 0] + offsets[owner]
 
-    def packed(found: list) -> Iterator[pa.RecordBatch]:
-        h, c, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    def packed(pieces: list) -> Iterator[pa.RecordBatch]:
+        h, c, doc, place = hashed(pieces)
         if not len(h):
             return
         order = np.lexsort((doc, c, h))
@@ -164,7 +164,7 @@ def pack_anchors(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "n", "hs", "contexts", "docs", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, filled, found, gathered = [], 0, [], 0
+        pieces, filled = [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = text.as_py().encode()
@@ -175,16 +175,10 @@ def pack_anchors(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                     pieces.append((doc, part, low, a - low, b - low))
                     filled += len(part)
                     if filled >= BUFFER:
-                        found.append(hashed(pieces))
-                        gathered += filled
+                        yield from packed(pieces)
                         pieces, filled = [], 0
-                        if gathered >= GATHER:
-                            yield from packed(found)
-                            found, gathered = [], 0
         if pieces:
-            found.append(hashed(pieces))
-        if found:
-            yield from packed(found)
+            yield from packed(pieces)
         pa.default_memory_pool().release_unused()
 
     rows = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= MATCH)).select("doc_id", "text")
@@ -213,10 +207,12 @@ def settle(packed: DataFrame, buckets: int) -> DataFrame:
         head = new_h | np.concatenate([[True], c[1:] != c[:-1]])
         least = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
         gone = doc > least
-        group = np.cumsum(new_h) - 1
+        group = np.cumsum(new_h, dtype=np.int32) - 1
         classes = np.bincount(group, head)
         hot = t.column("bucket")[0].as_py() >= buckets
         ask = ~gone & (hot | (classes[group] > 1))
+        del get, order, c, new_h, head, least, group, classes
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables([
             table(0, doc[gone], np.maximum(0, place[gone] - SIDE), place[gone] + MATCH, np.zeros(int(gone.sum()))),
             table(1 + hot, doc[ask], place[ask], place[ask], h[ask]),
