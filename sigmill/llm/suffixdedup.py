@@ -39,6 +39,7 @@ _rng = np.random.default_rng(50)
 TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = int(_rng.integers(1 << 60, 1 << 62)) * 8 + 5
 INVERSE = pow(BASE, -1, 1 << 64)
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -92,7 +93,8 @@ def anchors(buffer: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarr
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(one * _powers(BASE, room)[:n])])
     context = (total[end] - total[first]) * _powers(INVERSE, room)[first]
     context = _mixed(context + ((pos - first) * 128 + (end - first)).astype(np.uint64))
-    return pos, grams[pos], context, owner
+    # anchors are minima, so their hashes crowd at the low end; times an odd number they are spread over all buckets
+    return pos, grams[pos] * SPREAD, context, owner
 
 
 def _planes(a: np.ndarray, width: int) -> bytes:
