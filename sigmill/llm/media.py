@@ -107,9 +107,9 @@ def chunk(docs: DataFrame, with_data: bool = True) -> DataFrame:
 CHUNK = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("ord", pa.int32()), ("n_chunks", pa.int32()), ("n_bytes", pa.int64()), ("size", pa.int32()), ("digest", pa.binary()), ("data", pa.binary())])
 
 
-def store(chunks: DataFrame) -> DataFrame:
+def store(chunks: DataFrame, *more: str) -> DataFrame:
     """``digest, data``: every distinct chunk once."""
-    return chunks.filter(F.col("data").isNotNull()).groupBy("digest").agg(F.first("data").alias("data"))
+    return chunks.filter(F.col("data").isNotNull()).groupBy("digest", *more).agg(F.first("data").alias("data"))
 
 
 def recipes(docs: DataFrame) -> DataFrame:
@@ -151,8 +151,9 @@ def rebuild(lists: DataFrame, chunks: DataFrame, hot: DataFrame) -> DataFrame:
     many = F.coalesce("salts", F.lit(1))
     # Spark broadcasts the hot digests while they are few
     entries = lists.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("row"), many).cast("int")).drop("salts")
-    spread = store(chunks).join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("salts")
-    stored = spread  # both joins below read the same exchange of it
+    # salted before it is summed up, so that the store is dealt once, as the joins need it
+    spread = chunks.filter(F.col("data").isNotNull()).select("digest", "data").join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1)))
+    stored = store(spread, "salt")  # both joins below read the same exchange of it
     single = entries.filter("n_chunks = 1").join(stored, ["digest", "salt"])
     several = entries.filter("n_chunks > 1").join(stored, ["digest", "salt"])
     dealt = several.repartition("row").sortWithinPartitions("row", "ord")
