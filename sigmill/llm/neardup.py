@@ -220,7 +220,8 @@ def cross_asks(buckets: DataFrame, groups: DataFrame, percent: int) -> tuple[Dat
     state = buckets.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("bucket", "hub", "node", "size", "comp")
     mixed = state.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
     nodes = materialize(state.select("node", "size", "comp").distinct())
-    order = nodes.groupBy("comp").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
+    # written: only a join of plain exchanges can be split where one component has very many rows
+    order = materialize(nodes.groupBy("comp").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most")))
     live = materialize(state.join(mixed, "bucket").join(order, "comp"))
     parts = materialize(live.select("bucket", F.struct("n", "comp").alias("larger"), F.col("least").alias("low"), F.col("most").alias("high")).distinct())
     many = materialize(parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max("larger").alias("largest")).filter(F.col("parts") > FEW).select("bucket", "largest"))
@@ -266,7 +267,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS,
     """
     found = materialize(signatures(docs, words, bands, rows))
     whole = found.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = whole.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
+    # written, so that the join can be split where one text has very many copies
+    classes = materialize(whole.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id")))
     member = materialize(whole.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
     heads = found.select("doc_id", "n_shingles", "keys").join(member.filter("doc_id = class_id").select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
     placed = heads.select(F.explode("keys").alias("bucket"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"))
