@@ -19,6 +19,9 @@ NAMES = {
     "op8_media": "media",
     "op9_tokencount": "tokencount",
     "op10_suffixdedup": "suffixdedup",
+    "op11_filteraudit": "filteraudit",
+    "op12_runs": "runs",
+    "op13_bestfit": "patterns",
 }
 
 #: Kinds of secrets in order, their patterns, the group that must be so long, and that length.
@@ -102,6 +105,31 @@ joined as (
   from sized s left join pieces p using (doc_id) group by s.doc_id, s.x, s.n)
 select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, n_spans,
   sha256(unhex(coalesce(head, '') || hex(x[coalesce(last, 0) + 1 : n]))) as kept_sha256 from joined""",
+    # every document goes through every step of every order
+    "op11_filteraudit": r"""
+with texts as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as w,
+    doc_id in (select doc_id from labels where quality = 1) as good, doc_id in (select doc_id from labels where toxic = 1) as toxic from documents),
+firsts as (select t, min(doc_id) as least from texts group by t),
+judged as (
+  select part, good, toxic, map {'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+    'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > least, false)} as fails
+  from texts join firsts using (t)),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps as (select filter_order, unnest(range(1, 6)) as step from orders),
+gone as (
+  select part, good, toxic, filter_order, [x for x in string_split(filter_order, '') if fails[x]] as failed, len([x for x in string_split(filter_order, '') if fails[x]]) as n
+  from judged, orders),
+met as (
+  select part, filter_order, step, filter_order[step] as f, count(*) filter (len(failed) = 0 or instr(filter_order, failed[1]) > step) as kept,
+    count(*) filter (failed[1] = filter_order[step]) as removed, count(*) filter (list_contains(failed, filter_order[step]) and failed[1] <> filter_order[step]) as redundant,
+    count(*) filter (n = 1 and failed[1] = filter_order[step]) as unique_fails, count(*) filter (good and failed[1] = filter_order[step]) as good_lost,
+    count(*) filter (toxic and failed[1] = filter_order[step]) as toxic_lost
+  from gone join steps using (filter_order) group by part, filter_order, step)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, f)::bigint as shapley from met""",
 }
 
 
