@@ -143,13 +143,43 @@ def named_filter(kind: str, fs: float, low: float = 0.2, high: float = 50.0, ord
     return sections, gain, 3 * (order * (1 if kind == "lowpass" else 2) + 1)
 
 
-@lru_cache(64)
 def window_operator(kind: str, n: int, fs: float, low: float, high: float, order: int, q: float) -> np.ndarray:
     """The zero-phase filter of windows of ``n`` samples as a matrix: all rows of a batch are filtered by one product."""
     sections, gain, pad = named_filter(kind, fs, low, high, order, q)
     return zero_phase(sections, gain, np.eye(n), pad)
 
 
+class Operators:
+    """The matrices of filters and lengths that have met enough rows to be worth it, in ``limit`` bytes, and the rows of the
+    others so far."""
+
+    def __init__(self, limit: int = 64 << 20):
+        self.limit, self.bytes = limit, 0
+        self.kept: dict[tuple, np.ndarray] = {}
+        self.rows: dict[tuple, int] = {}
+
+    def get(self, key: tuple, rows: int) -> np.ndarray | None:
+        """The matrix, if there is one by now. Its making is as much work as filtering as many rows as it has."""
+        n = key[1]
+        if key in self.kept:
+            self.kept[key] = self.kept.pop(key)  # the last one used goes last
+            return self.kept[key]
+        self.rows[key] = self.rows.get(key, 0) + rows
+        if self.rows[key] < n or 8 * n * n > self.limit // 4:
+            if len(self.rows) > 4096:
+                self.rows.clear()
+            return None
+        del self.rows[key]
+        made = window_operator(*key)
+        while self.kept and self.bytes + made.nbytes > self.limit:
+            self.bytes -= self.kept.pop(next(iter(self.kept))).nbytes
+        self.kept[key], self.bytes = made, self.bytes + made.nbytes
+        return made
+
+
+OPERATORS = Operators()
+
+
 def filter_rows(x: np.ndarray, kind: str, fs: float, low: float = 0.2, high: float = 50.0, order: int = 4, q: float = 30.0) -> np.ndarray | None:
     """Zero-phase filter of each row; None where rows are too short or the band doesn't fit the rate. NaN stays in its row."""
     fs = round(float(fs), 6)
@@ -158,7 +188,8 @@ def filter_rows(x: np.ndarray, kind: str, fs: float, low: float = 0.2, high: flo
         sections, gain, pad = named_filter(kind, fs, low, high, order, q)
         if n <= pad:
             return None
-        return x @ window_operator(kind, n, fs, low, high, order, q) if n <= 1024 else zero_phase(sections, gain, x, pad)
+        matrix = OPERATORS.get((kind, n, fs, low, high, order, q), len(x))
+        return zero_phase(sections, gain, x, pad) if matrix is None else x @ matrix
     except ValueError:
         return None
 
@@ -178,7 +209,7 @@ def block_responses(sections: np.ndarray, gain: float, x: np.ndarray) -> tuple[n
     return run_sections(sections, gain, x, np.zeros((len(sections), 2, x.shape[0])))
 
 
-@lru_cache(16)
+@lru_cache(64)
 def _transition(key: tuple, length: int) -> tuple[np.ndarray, np.ndarray]:
     sections = np.array(key).reshape(-1, 5)
     m = 2 * len(sections)
@@ -188,13 +219,14 @@ def _transition(key: tuple, length: int) -> tuple[np.ndarray, np.ndarray]:
     return state.reshape(m, m), y
 
 
-def chain_blocks(sections: np.ndarray, ends: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """State at the start of every block from the zero-state end states (blocks x 2*sections) and the first state."""
-    step, _ = _transition(tuple(sections.ravel()), length)
+def chain_blocks(sections: np.ndarray, ends: np.ndarray, start: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+    """State at the start of every block from the zero-state end states (blocks x 2*sections), the blocks' lengths and the
+    first state."""
+    key = tuple(sections.ravel())
     out, state = np.empty_like(ends), start
-    for b in range(len(ends)):
+    for b, n in enumerate(np.broadcast_to(lengths, len(ends))):
         out[b] = state
-        state = step @ state + ends[b]
+        state = _transition(key, int(n))[0] @ state + ends[b]
     return out
 
 

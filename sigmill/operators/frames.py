@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from sigmill.operators import series
+
 #: Microvolts of one count of the 24-bit converter at gain 24.
 MICROVOLTS = 4500000 / 24 / (2**23 - 1)
 
@@ -87,11 +89,11 @@ def samples_to_frames(samples: DataFrame) -> DataFrame:
     return samples.groupBy("recording_id", "sample_idx").agg(F.min("t_s").alias("t_s"), F.transform(packed, lambda s: s["value"]).alias("ch"))
 
 
-def fill_malformed(frames: DataFrame, n: int) -> DataFrame:
-    """A frame with fewer than ``n`` channels repeats the last good one; frames before the first good one go."""
-    w = Window.partitionBy("recording_id").orderBy("t_s", "sample_idx").rowsBetween(Window.unboundedPreceding, 0)
-    good = F.last(F.when(F.size("ch") >= n, F.slice("ch", 1, n)), ignorenulls=True).over(w)
-    return frames.withColumn("ch", good).filter(F.col("ch").isNotNull())
+def fill_malformed(frames: DataFrame, n: int, seconds: float = series.SECONDS) -> DataFrame:
+    """A frame with fewer than ``n`` channels repeats the last good one; frames before the first good one go. Recordings of
+    any length: no task sorts more than ``seconds`` of one."""
+    good = F.when(F.size("ch") >= n, F.slice("ch", 1, n))
+    return series.carry(frames, ["recording_id"], ["t_s", "sample_idx"], good, "ch", seconds).filter(F.col("ch").isNotNull())
 
 
 def missing_samples(frames: DataFrame) -> DataFrame:
@@ -99,32 +101,38 @@ def missing_samples(frames: DataFrame) -> DataFrame:
 
 
 def relative_time(frames: DataFrame) -> DataFrame:
-    """Seconds since the recording's first sample: one partial aggregation, joined back."""
-    first = frames.groupBy("recording_id").agg(F.min("t_s").alias("_t0"))
-    return frames.join(first, "recording_id").withColumn("t_s", F.col("t_s") - F.col("_t0")).drop("_t0")
+    """Seconds since the recording's first sample: one partial aggregation, joined back. Where frames have a clock time
+    ``ts``, whole microseconds are subtracted: seconds of the epoch as a double are too coarse for a rate."""
+    if "ts" not in frames.columns:
+        first = frames.groupBy("recording_id").agg(F.min("t_s").alias("_t0"))
+        return frames.join(first, "recording_id").withColumn("t_s", F.col("t_s") - F.col("_t0")).drop("_t0")
+    first = frames.groupBy("recording_id").agg(F.min("t_s").alias("_t0"), F.min(F.unix_micros("ts")).alias("_u0"))
+    since = F.coalesce((F.unix_micros("ts") - F.col("_u0")) / F.lit(1e6), F.col("t_s") - F.col("_t0"))
+    return frames.join(first, "recording_id").withColumn("t_s", since).drop("_t0", "_u0")
 
 
 def drop_invalid_time(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Frames with a time, and how many each recording has lost."""
+    """Frames with a time, and how many each recording has lost; the second is an aggregate of its own, over the input again."""
     lost = frames.groupBy("recording_id").agg(F.count_if(F.col("t_s").isNull()).alias("n_dropped"))
     return frames.filter(F.col("t_s").isNotNull()), lost
 
 
-def order_by_time(frames: DataFrame) -> DataFrame:
-    """``sample_idx`` by time within the recording; never a global sort."""
-    w = Window.partitionBy("recording_id").orderBy("t_s", "sample_idx")
-    return frames.withColumn("sample_idx", F.row_number().over(w).cast("long") - 1)
+def drop_invalid_time_observed(frames: DataFrame, name: str = "invalid_time") -> tuple[DataFrame, Observation]:
+    """Frames with a time, and the counts ``n_rows`` and ``n_dropped`` of all recordings, which the scan that computes the
+    frames yields on its way: ``observation.get`` waits for the first action on them. No second pass."""
+    seen = Observation(name)
+    counted = frames.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("t_s").isNull()).alias("n_dropped"))
+    return counted.filter(F.col("t_s").isNotNull()), seen
+
+
+def order_by_time(frames: DataFrame, seconds: float = series.SECONDS) -> DataFrame:
+    """``sample_idx`` by time within the recording; never a global sort, and no task sorts more than ``seconds`` of a recording."""
+    return series.number(frames, ["recording_id"], ["t_s", "sample_idx"], seconds)
 
 
 def order_by_time_in_buckets(frames: DataFrame, seconds: float = 3600.0) -> DataFrame:
-    """The same numbers for very long recordings: rows are numbered inside time buckets, and the sizes of the buckets
-    before (one row a bucket) are added, so that no task sorts a whole recording."""
-    placed = frames.withColumn("_b", F.floor(F.col("t_s") / seconds))
-    sizes = placed.groupBy("recording_id", "_b").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("recording_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("recording_id", "_b", before.alias("_before"))
-    at = F.row_number().over(Window.partitionBy("recording_id", "_b").orderBy("t_s", "sample_idx")) - 1
-    return placed.withColumn("_at", at).join(offsets, ["recording_id", "_b"]).withColumn("sample_idx", F.col("_before") + F.col("_at")).drop("_b", "_at", "_before")
+    """``order_by_time`` with the buckets' length named."""
+    return order_by_time(frames, seconds)
 
 
 def capture_first(frames: DataFrame, seconds: float = 5.0) -> DataFrame:
@@ -176,15 +184,16 @@ def sampling_rate(frames: DataFrame) -> DataFrame:
     return s.select("recording_id", "n", F.when((F.col("n") > 1) & (F.col("_d") > 0), (F.col("n") - 1) / F.col("_d")).otherwise(0.0).alias("rate"))
 
 
-def sample_intervals(frames: DataFrame) -> DataFrame:
-    w = Window.partitionBy("recording_id").orderBy("t_s", "sample_idx")
-    return frames.withColumn("dt", F.col("t_s") - F.lag("t_s").over(w))
+def sample_intervals(frames: DataFrame, seconds: float = series.SECONDS) -> DataFrame:
+    """``dt``: the time since the sample before, null at the first one."""
+    found = series.previous(frames, ["recording_id"], ["t_s", "sample_idx"], "t_s", "_before", seconds)
+    return found.withColumn("dt", F.col("t_s") - F.col("_before")).drop("_before")
 
 
-def recording_profile(samples: DataFrame) -> DataFrame:
+def recording_profile(samples: DataFrame, seconds: float = series.SECONDS) -> DataFrame:
     """Rows, values, times, intervals and rate of each recording; a recording of one row has null intervals, rate 0."""
     mean = F.avg("dt")
-    g = sample_intervals(samples).groupBy("recording_id").agg(
+    g = sample_intervals(samples, seconds).groupBy("recording_id").agg(
         F.count("*").alias("n_rows"), F.count("value").alias("n_values"), F.min("t_s").alias("t_first"), F.max("t_s").alias("t_last"),
         mean.alias("dt_mean"), F.min("dt").alias("dt_min"), F.max("dt").alias("dt_max"), F.stddev_pop("dt").alias("dt_std"),
     )
@@ -216,33 +225,6 @@ def minmax_channels(powers: DataFrame) -> DataFrame:
     return powers.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("scaled", F.when(F.col("_hi") > F.col("_lo"), (F.col("power") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")
 
 
-def rolling_range(samples: DataFrame, n: int, pad: float = 0.1, prefill_zero: bool = False) -> DataFrame:
-    """Least, largest and padded display range over the last ``n`` values of a channel.
-
-    The series is cut into blocks of ``n`` samples. The last ``n`` values at a sample are an end of the block before and
-    a beginning of its own, so running extremes forward in each block and backward in the one before give the answer:
-    the work is linear whatever ``n`` is, and no task sorts more than a block. ``prefill_zero`` counts the values
-    before the first as zeros. ``sample_idx`` counts from 0 without gaps.
-    """
-    keys = ["recording_id", "channel"]
-    placed = samples.withColumn("_b", F.floor(F.col("sample_idx") / n))
-    block = Window.partitionBy(*keys, "_b").orderBy("sample_idx")
-    ahead = block.rowsBetween(Window.unboundedPreceding, 0)
-    behind = block.rowsBetween(0, Window.unboundedFollowing)
-    runs = placed.withColumn("_lo", F.min("value").over(ahead)).withColumn("_hi", F.max("value").over(ahead))
-    # a suffix that starts at place j serves the sample at place j - 1 of the next block
-    ends = placed.select(*keys, (F.col("sample_idx") + n - 1).alias("sample_idx"), F.min("value").over(behind).alias("_lo2"), F.max("value").over(behind).alias("_hi2"), (F.col("sample_idx") % n).alias("_j"))
-    ends = ends.filter("_j > 0").drop("_j")
-    both = runs.join(ends, [*keys, "sample_idx"], "left")
-    lo, hi = F.least("_lo", "_lo2"), F.greatest("_hi", "_hi2")
-    if prefill_zero:
-        short = F.col("sample_idx") < n - 1
-        lo, hi = F.when(short, F.least(lo, F.lit(0.0))).otherwise(lo), F.when(short, F.greatest(hi, F.lit(0.0))).otherwise(hi)
-    out = both.withColumn("lo", lo).withColumn("hi", hi).select(*samples.columns, "lo", "hi")
-    room = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) * pad).otherwise(0.0)
-    return out.withColumn("shown_lo", F.col("lo") - room).withColumn("shown_hi", F.col("hi") + room)
-
-
 def tumbling_windows(samples: DataFrame, n: int, *keys: str) -> DataFrame:
     """Whole windows of ``n`` samples as arrays: ``recording_id, <keys>, window_idx, t0, x``; an unfilled last one goes."""
     packed = F.array_sort(F.collect_list(F.struct("sample_idx", "value")))
@@ -250,33 +232,38 @@ def tumbling_windows(samples: DataFrame, n: int, *keys: str) -> DataFrame:
     return g.agg(F.min("t_s").alias("t0"), packed.alias("_x")).filter(F.size("_x") == n).select("recording_id", *keys, "window_idx", "t0", F.transform("_x", lambda s: s["value"]).alias("x"))
 
 
-def hop_epochs(samples: DataFrame, *keys: str, size: int = 250, hop: int = 50, lossless: bool = False) -> DataFrame:
+def hop_epochs(samples: DataFrame, *keys: str, size: int = 250, hop: int = 50, lossless: bool = False, group: int = 16) -> DataFrame:
     """Epochs of ``size`` samples every ``hop``: ``recording_id, <keys>, epoch, t0, x``.
 
     As the recorder does it, the first full epoch is not given out and every hop eats one sample more, the one that
     triggers it: of samples from ``size`` on, each ``hop + 1``-th is dropped and the others are numbered on.
-    ``lossless`` is the plain rule. Samples are packed into blocks of ``hop`` before the shuffle; only the blocks of
-    an epoch are put together after it.
+    ``lossless`` is the plain rule. ``group`` epochs that follow each other are cut out of one array; what a group needs
+    of the next one's first samples is sent to both, in the one shuffle, and no window runs along a series. Epochs that
+    lack a sample or, by the recorder's rule, their trigger, are left out. ``size`` is a multiple of ``hop``.
     """
-    i = F.col("sample_idx")
+    i, parts = F.col("sample_idx"), size // hop
     if lossless:
         kept = samples.withColumn("_k", i).withColumn("_eaten", F.lit(False))
     else:
         j = i - size
-        # the eaten sample goes with the block before it, only to say that it has come
+        # the eaten sample goes with the block before it, the last of the epoch that it triggers
         place = size + hop * F.floor(j / (hop + 1)) + F.least(j % (hop + 1), F.lit(hop - 1))
         kept = samples.withColumn("_k", F.when(i < size, i).otherwise(place)).withColumn("_eaten", (i >= size) & (j % (hop + 1) == hop))
-    blocks = kept.groupBy("recording_id", *keys, F.floor(F.col("_k") / hop).alias("_b")).agg(
-        F.array_sort(F.collect_list(F.when(~F.col("_eaten"), F.struct("_k", "value")))).alias("_x"), F.min(F.struct("_k", "t_s")).alias("_t"), F.max("sample_idx").alias("_last")
-    ).withColumn("_n", F.max("_last").over(Window.partitionBy("recording_id", *keys))).filter(F.size("_x") == hop)
-    parts = size // hop
-    w = Window.partitionBy("recording_id", *keys).orderBy("_b").rowsBetween(0, parts - 1)
-    out = blocks.select("recording_id", *keys, "_n", F.col("_b").alias("epoch"), F.col("_t.t_s").alias("t0"), F.flatten(F.collect_list("_x").over(w)).alias("_x"))
-    out = out.filter(F.size("_x") == size)
+    block = F.floor(F.col("_k") / hop)
+    to = F.sequence(F.floor((block - (parts - 1)) / group), F.floor(block / group))  # groups with an epoch that holds the block
+    rows = kept.withColumn("_block", block).select("recording_id", *keys, "_k", "_eaten", "_block", "t_s", "value", F.explode(to).alias("_g"))
+    packed = rows.groupBy("recording_id", *keys, "_g").agg(
+        F.array_sort(F.collect_list(F.when(~F.col("_eaten"), F.struct("_k", "value", "t_s")))).alias("_s"),
+        F.collect_list(F.when(F.col("_eaten"), F.col("_block"))).alias("_fired"),
+    ).filter("_g >= 0").withColumn("_at", F.transform("_s", lambda s: s["_k"]))
+    first = F.col("_g") * group
+    epochs = F.explode(F.transform(F.sequence(first, first + (group - 1)), lambda e: F.struct(e.alias("epoch"), F.array_position("_at", e * hop).cast("int").alias("at"))))
+    found = packed.select("recording_id", *keys, "_s", "_fired", epochs.alias("_e")).filter("_e.at > 0")
+    found = found.select("recording_id", *keys, "_fired", F.col("_e.epoch").alias("epoch"), F.slice("_s", F.col("_e.at"), F.lit(size)).alias("_x"))
+    found = found.filter((F.size("_x") == size) & (F.element_at("_x", -1)["_k"] == F.col("epoch") * hop + (size - 1)))
     if not lossless:
-        # an epoch comes out when the sample that triggers the next hop has arrived
-        out = out.filter((F.col("epoch") >= 1) & (F.col("_n") >= (size - 1) + (hop + 1) * F.col("epoch")))
-    return out.select("recording_id", *keys, "epoch", "t0", F.transform("_x", lambda s: s["value"]).alias("x"))
+        found = found.filter((F.col("epoch") >= 1) & F.array_contains("_fired", F.col("epoch") + (parts - 1)))
+    return found.select("recording_id", *keys, "epoch", F.element_at("_x", 1)["t_s"].alias("t0"), F.transform("_x", lambda s: s["value"]).alias("x"))
 
 
 def trailing_windows(samples: DataFrame, n: int, *keys: str) -> DataFrame:

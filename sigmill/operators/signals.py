@@ -19,20 +19,21 @@ from sigmill.functions import kernels as K
 CHUNK = 1000
 
 
-def by_length(run: Callable, outputs: int, *columns: pd.Series, rate: pd.Series | None = None) -> list[list]:
+def by_length(run: Callable, outputs: int, *columns: pd.Series, rate: pd.Series | None = None, same: bool = True) -> list[list]:
     """Apply ``run`` (a matrix for each column, then the rate if there is one -> ``outputs`` matrices) to rows of equal
-    length and rate.
+    lengths and rate.
 
-    A row has None if an array is null or empty, if its arrays differ in length, if its rate is null or not positive, or
-    if ``run`` gives None for its length and rate. NaN values stay in their rows, and leave as nulls in the array.
+    A row has None if an array is null or empty, if its arrays differ in length (allowed without ``same``), if its rate is
+    null or not positive, or if ``run`` gives None for its length and rate. NaN values stay in their rows, and leave as
+    nulls in the array.
     """
     out: list[list] = [[None] * len(columns[0]) for _ in range(outputs)]
     groups: dict[tuple, list[int]] = {}
     for i, row in enumerate(zip(*columns, strict=True)):
-        sizes = {0 if v is None else len(v) for v in row}
+        sizes = tuple(0 if v is None else len(v) for v in row)
         f = 1.0 if rate is None else rate.iloc[i]
-        if len(sizes) == 1 and min(sizes) and f is not None and f > 0:
-            groups.setdefault((sizes.pop(), round(float(f), 6)), []).append(i)
+        if min(sizes) and (not same or len(set(sizes)) == 1) and f is not None and f > 0:
+            groups.setdefault((sizes, round(float(f), 6)), []).append(i)
     for (_, f), at in groups.items():
         rows = [np.stack([np.asarray(c.iloc[i], float) for i in at]) for c in columns]
         for k, result in enumerate(run(*rows, *([] if rate is None else [f])) or []):
@@ -134,12 +135,13 @@ def from_first_signal(samples: DataFrame) -> DataFrame:
     return samples.join(first_signal(samples), "recording_id").filter("sample_idx >= _start")
 
 
-def _in_chunks(samples: DataFrame, keys: tuple[str, ...], make: Callable[[np.ndarray, int, bool], list[np.ndarray]], outputs: list[str], tail: int, size: int) -> DataFrame:
+def _in_chunks(samples: DataFrame, keys: tuple[str, ...], make: Callable[[np.ndarray], list[np.ndarray]], outputs: list[str], tail: int, size: int) -> DataFrame:
     """Series in chunks of ``size`` samples, each with the last ``tail`` samples before it, in one shuffle.
 
-    The samples at the end of a chunk are sent to the next one too, so no task sees a whole series.
-    ``make(values, number of those before the chunk, whether it is the first chunk) -> outputs``. ``samples`` have
-    ``_start``, where their series begins.
+    The samples at the end of a chunk are sent to the next one too, so no task sees a whole series. A gap in
+    ``sample_idx`` ends a segment, and what follows begins anew, wherever chunks end: ``make(values of a segment) ->
+    outputs`` sees a segment from its beginning, or from ``tail`` samples before the chunk, and must give the same values
+    for the chunk's samples either way. ``samples`` have ``_start``, where their series begins.
     """
     if size < tail:
         raise ValueError("a chunk must hold what the next one needs of it")
@@ -152,70 +154,122 @@ def _in_chunks(samples: DataFrame, keys: tuple[str, ...], make: Callable[[np.nda
     packed = packed.withColumn("_own", own).filter(F.size("_own") > 0)
 
     @pandas_udf(f"struct<{', '.join(f'{o} array<double>' for o in outputs)}>")
-    def call(x: pd.Series, n_own: pd.Series, first: pd.Series) -> pd.DataFrame:
-        rows = [make(np.asarray(v, float), len(v) - n, bool(f)) for v, n, f in zip(x, n_own, first, strict=True)]
+    def call(x: pd.Series, at: pd.Series, n_own: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v, i, n in zip(x, at, n_own, strict=True):
+            parts = [make(part) for part in np.split(np.asarray(v, float), np.flatnonzero(np.diff(i) != 1) + 1)]
+            rows.append([np.concatenate(p)[-n:] for p in zip(*parts, strict=True)])
         return pd.DataFrame({o: [r[i] for r in rows] for i, o in enumerate(outputs)})
 
-    found = call(F.transform("_s", lambda s: s["value"]), F.size("_own"), F.col("_c") == 0)
+    found = call(F.transform("_s", lambda s: s["value"]), F.transform("_s", lambda s: s["sample_idx"]), F.size("_own"))
     done = packed.withColumn("_r", found).select("recording_id", *keys, F.inline(F.arrays_zip(F.col("_own").alias("s"), *[F.col(f"_r.{o}").alias(o) for o in outputs])))
     return done.select("recording_id", *keys, "s.sample_idx", "s.t_s", *outputs)
 
 
-def _trailing(h: np.ndarray, v: np.ndarray, before: int) -> np.ndarray:
-    """Products of ``h`` with the last values at every sample behind the first ``before``; NaN where there are too few."""
-    short = max(0, len(h) - 1 - before)
-    return np.convolve(np.concatenate([np.full(short, np.nan), v[max(0, before - len(h) + 1) :]]), h[::-1], "valid")
+def _trailing(h: np.ndarray, v: np.ndarray, first: int) -> np.ndarray:
+    """Products of ``h`` with the last values at every sample from the place ``first`` on; NaN before."""
+    out = np.full(len(v), np.nan)
+    if len(v) > first:
+        out[first:] = np.convolve(v[first - len(h) + 1 :], h[::-1], "valid")
+    return out
 
 
 def trailing_filter(samples: DataFrame, *keys: str, n: int = 125, fs: float = 250.0) -> DataFrame:
     """Notch and band-pass of the last ``n`` values at every sample, of which the last value is kept.
 
     Both passes are linear in a window of fixed length, so the value is a product with fixed weights. Leading samples
-    at which all channels of the recording are zero are left out; the first output is at the ``n + 1``-th sample after.
+    at which all channels of the recording are zero are left out; the first output is at the ``n + 1``-th sample after,
+    and at the ``n + 1``-th after a gap in ``sample_idx``: no window reaches across one.
     """
     h = K.trailing_weights(n, fs)
-    done = _in_chunks(from_first_signal(samples).withColumn("_from", F.col("_start")), (*keys, "_from"), lambda v, before, _: [_trailing(h, v, before)], ["value"], n - 1, max(CHUNK, n))
-    return done.filter(F.col("sample_idx") - F.col("_from") >= n).drop("_from")
+    done = _in_chunks(from_first_signal(samples), keys, lambda v: [_trailing(h, v, n), np.arange(len(v)) >= n], ["value", "_full"], n, max(CHUNK, n))
+    return done.filter("_full > 0").drop("_full")
 
 
-def _smoothed(z: np.ndarray, before: int, first: bool, q: float, r: float, p0: float) -> np.ndarray:
-    """Kalman means of the values behind the first ``before``: by the recursion at the series' beginning, else as a
-    weighted sum of the last values."""
-    if first:
-        return K.kalman(z[None], q, r, p0)[0]
+def _smoothed(z: np.ndarray, q: float, r: float, p0: float) -> np.ndarray:
+    """Kalman means of a segment: by the recursion until its gains have settled, then as a weighted sum of the last values."""
     gain, memory = K.kalman_memory(q, r, p0)
-    return _trailing((gain * (1 - gain) ** np.arange(memory))[::-1], z, before)
+    out = _trailing((gain * (1 - gain) ** np.arange(memory))[::-1], z, memory)
+    out[:memory] = K.kalman(z[None, :memory], q, r, p0)[0]
+    return out
 
 
 def kalman_smooth(samples: DataFrame, *keys: str, q: float = 0.5, r: float = 0.5, p0: float = 1000.0) -> DataFrame:
-    """Random-walk Kalman filter of each series.
+    """Random-walk Kalman filter of each series, begun anew after a gap in ``sample_idx``.
 
     The gains don't depend on the data and settle; from then on a value is a weighted sum of the last ones. How many
-    follows from the settled gain, so chunks are as long as small noise ratios need.
+    follows from the settled gain, so chunks are as long as small noise ratios need. A null or NaN value makes the
+    values null whose sums it is in, the same number of them wherever it stands.
     """
     memory = K.kalman_memory(q, r, p0)[1]
     whole = samples.withColumn("_start", F.lit(0).cast("long"))
-    return _in_chunks(whole, keys, lambda v, before, first: [_smoothed(v, before, first, q, r, p0)], ["value"], memory - 1, max(CHUNK, 2 * memory))
+    return _in_chunks(whole, keys, lambda v: [_smoothed(v, q, r, p0)], ["value"], memory, max(CHUNK, 2 * memory))
 
 
 def trailing_and_kalman(samples: DataFrame, *keys: str, n: int = 125, fs: float = 250.0, q: float = 0.5, r: float = 0.5, p0: float = 1000.0) -> DataFrame:
-    """``filtered`` and its ``kalman`` smoothing in one pass: a chunk brings what both need of the one before."""
+    """``filtered`` and its ``kalman`` smoothing in one pass: a chunk brings what both need of the one before. The
+    smoother begins with the filter's first output, and both begin anew after a gap in ``sample_idx``."""
     h, memory = K.trailing_weights(n, fs), K.kalman_memory(q, r, p0)[1]
 
-    def make(v: np.ndarray, before: int, first: bool) -> list[np.ndarray]:
-        if first:  # the smoother begins with the filter's first output
-            f = _trailing(h, v, 0)
-            smooth = np.full(len(f), np.nan)
-            if len(f) > n:
-                smooth[n:] = K.kalman(f[None, n:], q, r, p0)[0]
-            return [f, smooth]
-        warm = min(before, memory - 1)  # filtered values before the chunk, whose own window reaches further back
-        f = _trailing(h, v, before - warm)
-        return [f[warm:], _smoothed(f, warm, False, q, r, p0)]
+    def make(v: np.ndarray) -> list[np.ndarray]:
+        f = _trailing(h, v, n)
+        return [f, np.concatenate([np.full(min(n, len(f)), np.nan), _smoothed(f[n:], q, r, p0)]), np.arange(len(v)) >= n]
+
+    done = _in_chunks(from_first_signal(samples), keys, make, ["filtered", "kalman", "_full"], n + memory, max(CHUNK, n + 2 * memory))
+    return done.filter("_full > 0").drop("_full")
+
+
+# ---- rolling extremes --------------------------------------------------------------------------------------------
 
-    rows = from_first_signal(samples).withColumn("_from", F.col("_start"))
-    done = _in_chunks(rows, (*keys, "_from"), make, ["filtered", "kalman"], n + memory - 2, max(CHUNK, n + 2 * memory))
-    return done.filter(F.col("sample_idx") - F.col("_from") >= n).drop("_from")
+
+def rolling_range(samples: DataFrame, n: int, pad: float = 0.1, prefill_zero: bool = False) -> DataFrame:
+    """Least, largest and padded display range over the last ``n`` places of a channel, beside the samples' columns.
+
+    The places are those of ``sample_idx`` (unique in a series): at sample i, the values from i - n + 1 to i that are
+    there. Blocks of ``n`` places are sent to themselves and to the next block, in one shuffle; the last ``n`` places at
+    a sample are an end of the block before and a beginning of its own, so that running extremes backward in the one and
+    forward in the other give the answer: the work is linear whatever ``n`` is, and no task sorts more than two
+    blocks. Nulls and NaN are no values; where there is none at all, the range is null. ``prefill_zero`` counts the
+    places before 0 as zeros.
+    """
+    keys = ["recording_id", "channel"]
+    rest = [c for c in samples.columns if c not in keys]
+    c = F.floor(F.col("sample_idx") / n)
+    rows = samples.withColumn("_c", F.explode(F.array(c, c + 1)))
+    packed = rows.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(F.struct("sample_idx", *[x for x in rest if x != "sample_idx"]))).alias("_s"))
+    packed = packed.withColumn("_own", F.filter("_s", lambda s: s["sample_idx"] >= F.col("_c") * n)).filter(F.size("_own") > 0)
+
+    @pandas_udf("struct<lo array<double>, hi array<double>>")
+    def call(at: pd.Series, x: pd.Series, block: pd.Series) -> pd.DataFrame:
+        lows, highs = [], []
+        step = max(1, (1 << 21) // n)
+        for k in range(0, len(at), step):
+            some, base = at.iloc[k : k + step], block.iloc[k : k + step].to_numpy()
+            size = some.map(len).to_numpy()
+            row = np.repeat(np.arange(len(some)), size)
+            place = np.concatenate(some.tolist()).astype(np.int64) - np.repeat((base - 1) * n, size)
+            dense = np.full((len(some), 2 * n), np.nan)
+            dense[row, place] = np.concatenate([np.asarray(v, float) for v in x.iloc[k : k + step]])
+            for best, out in ((np.fmin, lows), (np.fmax, highs)):
+                ahead = best.accumulate(dense[:, n:], axis=1)
+                behind = best.accumulate(dense[:, n - 1 :: -1], axis=1)[:, ::-1]  # from place j to the block's end
+                ahead[:, :-1] = best(ahead[:, :-1], behind[:, 1:])
+                own = place >= n
+                out += np.split(ahead[row[own], place[own] - n], np.cumsum(np.bincount(row[own], minlength=len(some)))[:-1])
+        return pd.DataFrame({"lo": lows, "hi": highs})
+
+    found = call(F.transform("_s", lambda s: s["sample_idx"]), F.transform("_s", lambda s: s["value"].cast("double")), F.col("_c"))
+    done = packed.withColumn("_r", found).select(*keys, F.inline(F.arrays_zip(F.col("_own").alias("s"), F.col("_r.lo").alias("lo"), F.col("_r.hi").alias("hi"))))
+    lo, hi = F.nanvl("lo", F.lit(None).cast("double")), F.nanvl("hi", F.lit(None).cast("double"))
+    if prefill_zero:
+        short = F.col("s.sample_idx") < n - 1
+        lo, hi = F.when(short, F.least(lo, F.lit(0.0))).otherwise(lo), F.when(short, F.greatest(hi, F.lit(0.0))).otherwise(hi)
+    out = done.select(*keys, *[f"s.{x}" for x in rest], lo.alias("lo"), hi.alias("hi")).select(*samples.columns, "lo", "hi")
+    room = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) * pad).otherwise(0.0)
+    return out.withColumn("shown_lo", F.col("lo") - room).withColumn("shown_hi", F.col("hi") + room)
+
+
+# ---- recursive filters of long series: blocks in parallel, small states in order ---------------------------------
 
 
 #: Slots of the causal chain's average; a channel that a recording lacks counts as zero.
@@ -241,34 +295,113 @@ def causal_chain(frames: DataFrame, channel: int = 0, fs: float = 250.0) -> Data
     return blockwise(first, stop, stop_gain, K.steady_state(stop, stop_gain).ravel())
 
 
-def blockwise(samples: DataFrame, sections: np.ndarray, gain: float, start: np.ndarray, size: int = CHUNK, share: str | None = None) -> DataFrame:
-    """Causal filter of a series per recording by an exact block scan; ``start`` is the state before the first sample,
-    times the first sample's column ``share`` if it is named."""
-    chunk = F.floor(F.col("sample_idx") / size)
-    part = F.min_by(share, "sample_idx") if share else F.lit(1.0)
-    packed = samples.groupBy("recording_id", chunk.alias("block")).agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value", "t_s"))).alias("_s"), part.alias("_part"))
+def _blocks(samples: DataFrame, keys: tuple[str, ...], size: int, *more: Column) -> DataFrame:
+    packed = F.array_sort(F.collect_list(F.struct("sample_idx", "value", "t_s"))).alias("_s")
+    return samples.groupBy("recording_id", *keys, F.floor(F.col("sample_idx") / size).alias("block")).agg(packed, *more)
+
+
+def _alone(sections: np.ndarray, gain: float):
+    """Column function: output and end state of an array filtered from a zero state."""
 
     @pandas_udf("struct<y array<double>, state array<double>>")
-    def alone(x: pd.Series) -> pd.DataFrame:
+    def call(x: pd.Series) -> pd.DataFrame:
         y, state = by_length(lambda m: [(r := K.block_responses(sections, gain, m))[0], r[1].reshape(-1, len(m)).T], 2, x)
         return pd.DataFrame({"y": y, "state": state})
 
-    done = packed.withColumn("_r", alone(F.transform("_s", lambda s: s["value"]))).select("recording_id", "block", "_part", "_s", "_r.y", "_r.state")
+    return call
+
+
+def _from_state(sections: np.ndarray):
+    """Column function: a block's zero-state output with what its start state puts on it."""
+
+    @pandas_udf("array<double>")
+    def call(y: pd.Series, state: pd.Series) -> pd.Series:
+        return pd.Series(by_length(lambda m, s: [K.add_state(sections, m, s)], 1, y, state, same=False)[0], dtype=object)
+
+    return call
+
+
+def blockwise(samples: DataFrame, sections: np.ndarray, gain: float, start: np.ndarray, size: int = CHUNK, share: str | None = None) -> DataFrame:
+    """Causal filter of a series per recording by an exact block scan; ``start`` is the state before the first sample,
+    times the first sample's column ``share`` if it is named. Samples that are not there are passed over."""
+    packed = _blocks(samples, (), size, (F.min_by(share, "sample_idx") if share else F.lit(1.0)).alias("_part"))
+    done = packed.withColumn("_r", _alone(sections, gain)(F.transform("_s", lambda s: s["value"]))).select("recording_id", "block", "_part", "_s", "_r.y", "_r.state")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         ends = np.stack(pdf["state"].map(np.asarray).tolist())
-        return pdf[["recording_id", "block"]].assign(start=list(K.chain_blocks(sections, ends, start * pdf["_part"].iloc[0], size)))
+        return pdf[["recording_id", "block"]].assign(start=list(K.chain_blocks(sections, ends, start * pdf["_part"].iloc[0], pdf["n"].to_numpy())))
 
     kind = dict(samples.dtypes)["recording_id"]
-    starts = done.select("recording_id", "block", "_part", "state").groupBy("recording_id").applyInPandas(scan, f"recording_id {kind}, block long, start array<double>")
+    starts = done.select("recording_id", "block", "_part", "state", F.size("y").alias("n")).groupBy("recording_id").applyInPandas(scan, f"recording_id {kind}, block long, start array<double>")
+    out = done.drop("state", "_part").join(starts, ["recording_id", "block"])
+    return out.select("recording_id", F.inline(F.arrays_zip(F.col("_s").alias("s"), _from_state(sections)("y", "start").alias("y")))).select("recording_id", "s.sample_idx", "s.t_s", F.col("y").alias("value"))
 
-    @pandas_udf("array<double>")
-    def joined(y: pd.Series, state: pd.Series) -> pd.Series:
-        return pd.Series([K.add_state(sections, np.asarray(a)[None], np.asarray(s)[None])[0] for a, s in zip(y, state, strict=True)], dtype=object)
 
-    out = done.drop("state", "_part").join(starts, ["recording_id", "block"])
-    return out.select("recording_id", F.inline(F.arrays_zip(F.col("_s").alias("s"), joined("y", "start").alias("y")))).select("recording_id", "s.sample_idx", "s.t_s", F.col("y").alias("value"))
+def zero_phase_series(samples: DataFrame, kind: str, fs: float, low: float, high: float = 0.0, *keys: str, order: int = 4, q: float = 30.0, size: int = CHUNK) -> DataFrame:
+    """Zero-phase filter of whole series of any length: ``recording_id, <keys>, sample_idx, t_s, value``.
+
+    The same numbers as ``zero_phase`` of the series as one array. Blocks of ``size`` samples are filtered forward from a
+    zero state, each in its own task; a scan of what is small of every block (end state, first and last samples) finds
+    the states that they start from, the odd extensions at both ends of the series included; and that is added. The
+    same is done backward, in the same blocks, which are not shuffled again. Samples that are not there are
+    passed over; series of no more samples than the padding, and bands that don't fit the rate, give null values.
+    """
+    try:
+        sections, gain, pad = K.named_filter(kind, fs, low, high, order, q)
+    except ValueError:
+        return samples.select("recording_id", *keys, "sample_idx", "t_s", F.lit(None).cast("double").alias("value"))
+    steady = K.steady_state(sections, gain)
+    by = ["recording_id", *keys]
+    kinds = ", ".join(f"{c} {dict(samples.dtypes)[c]}" for c in by)
+    packed = _blocks(samples, keys, size)
+    values = F.transform("_s", lambda s: s["value"].cast("double"))
+    ahead = packed.withColumn("_x", values).withColumn("_r", _alone(sections, gain)("_x")).select(*by, "block", "_s", "_x", "_r.y", "_r.state")
+
+    def run(x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y, after = K.run_sections(sections, gain, x[None], state.reshape(-1, 2, 1))
+        return y[0], after.ravel()
+
+    def gathered(parts: list) -> np.ndarray:
+        """The first ``pad + 1`` samples of the series, from the blocks in order."""
+        out: list = []
+        for p in parts:
+            out += list(p)
+            if len(out) > pad:
+                break
+        return np.asarray(out[: pad + 1], float)
+
+    def forward(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block", ignore_index=True)
+        n = pdf["n"].to_numpy()
+        if n.sum() <= pad:
+            return pdf[[*by, "block"]].assign(start=None, back=None)
+        head, tail = gathered(pdf["first"].tolist()), gathered([p[::-1] for p in pdf["last"][::-1]])
+        before, after = 2 * head[0] - head[:0:-1], 2 * tail[0] - tail[1:]
+        _, state = run(before, steady.ravel() * before[0])
+        ends = np.stack(pdf["state"].map(np.asarray).tolist())
+        starts = K.chain_blocks(sections, ends, state, n)
+        y, _ = run(after, K.chain_blocks(sections, np.concatenate([ends, ends[:1]]), state, np.append(n, 1))[-1])
+        _, back = run(y[::-1], steady.ravel() * y[-1])
+        return pdf[[*by, "block"]].assign(start=list(starts), back=[back] * len(pdf))
+
+    edge = lambda c: (F.slice(c, 1, pad + 1).alias("first"), F.when(F.size(c) > pad + 1, F.slice(c, -(pad + 1), pad + 1)).otherwise(F.col(c)).alias("last"))
+    small = ahead.select(*by, "block", "state", F.size("y").alias("n"), *edge("_x"))
+    starts = small.groupBy(*by).applyInPandas(forward, f"{kinds}, block long, start array<double>, back array<double>")
+    turned = ahead.drop("state", "_x").join(starts, [*by, "block"]).withColumn("y", F.reverse(_from_state(sections)("y", "start")))
+    behind = turned.withColumn("_r", _alone(sections, gain)("y")).select(*by, "block", "_s", "back", "_r.y", "_r.state")
+
+    def backward(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block", ascending=False, ignore_index=True)
+        if pdf["back"].iloc[0] is None or pdf["state"].isna().any():
+            return pdf[[*by, "block"]].assign(start=None)
+        ends = np.stack(pdf["state"].map(np.asarray).tolist())
+        return pdf[[*by, "block"]].assign(start=list(K.chain_blocks(sections, ends, np.asarray(pdf["back"].iloc[0], float), pdf["n"].to_numpy())))
+
+    returns = behind.select(*by, "block", "back", "state", F.size("_s").alias("n")).groupBy(*by).applyInPandas(backward, f"{kinds}, block long, start array<double>")
+    done = behind.drop("state", "back").join(returns, [*by, "block"]).withColumn("y", F.reverse(_from_state(sections)("y", "start")))
+    done = done.withColumn("y", F.coalesce("y", F.transform("_s", lambda s: F.lit(None).cast("double"))))
+    return done.select(*by, F.inline(F.arrays_zip(F.col("_s").alias("s"), F.col("y").alias("y")))).select(*by, "s.sample_idx", "s.t_s", F.col("y").alias("value"))
 
 
 # ---- spectra -----------------------------------------------------------------------------------------------------
@@ -302,6 +435,40 @@ def alpha_power(windows: DataFrame, fs: float, low: float = 8.0, high: float = 1
     return found.withColumn("power", band_area(F.col("p"), F.col("step"), low, high)).drop("p", "step")
 
 
+def welch_series(samples: DataFrame, fs: float, *keys: str, nperseg: int = 256, group: int = 64) -> DataFrame:
+    """Welch's density of whole series of any length: ``recording_id, <keys>, n_segments, p, step``.
+
+    The same numbers as ``welch_spectra`` of the series as one array. ``group`` segments that follow each other are cut out
+    of one array; the samples that a group shares with the one before are sent to both, in the one shuffle; the powers of
+    a group are summed up in its task, and the groups of a series by Spark. Segments are counted from ``sample_idx`` 0;
+    one that lacks a sample or has a null is left out, and a series without any has no row.
+    """
+    hop = nperseg - nperseg // 2
+    span = group * hop
+    g = F.floor(F.col("sample_idx") / span)
+    to = F.when(F.col("sample_idx") % span < nperseg - hop, F.array(g, g - 1)).otherwise(F.array(g))
+    rows = samples.filter("value is not null").select("recording_id", *keys, "sample_idx", "value", F.explode(to).alias("_g"))
+    packed = rows.groupBy("recording_id", *keys, "_g").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))).alias("_s")).filter("_g >= 0")
+
+    @pandas_udf("struct<n long, p array<double>>")
+    def powers(at: pd.Series, x: pd.Series, first: pd.Series) -> pd.DataFrame:
+        out = []
+        for i, v, a in zip(at, x, first, strict=True):
+            dense = np.full(span + nperseg - hop, np.nan)
+            dense[np.asarray(i, np.int64) - a * span] = v
+            cut = np.lib.stride_tricks.sliding_window_view(dense, nperseg)[::hop]
+            cut = cut[~np.isnan(cut).any(1)]
+            out.append((len(cut), K.welch(cut, fs, nperseg)[1].sum(0) if len(cut) else None))
+        return pd.DataFrame(out, columns=["n", "p"])
+
+    part = packed.select("recording_id", *keys, powers(F.transform("_s", lambda s: s["sample_idx"]), F.transform("_s", lambda s: s["value"].cast("double")), F.col("_g")).alias("_r"))
+    bins = part.filter("_r.n > 0").select("recording_id", *keys, "_r.n", F.posexplode("_r.p").alias("_i", "_p"))
+    sums = bins.groupBy("recording_id", *keys, "_i").agg(F.sum("n").alias("_n"), F.sum("_p").alias("_p"))
+    line = F.array_sort(F.collect_list(F.struct("_i", (F.col("_p") / F.col("_n")).alias("p"))))
+    found = sums.groupBy("recording_id", *keys).agg(F.first("_n").alias("n_segments"), F.transform(line, lambda s: s["p"]).alias("p"))
+    return found.withColumn("step", F.lit(float(fs) / nperseg))
+
+
 def welch_spectra(windows: DataFrame, fs: float, nperseg: int | None = None) -> DataFrame:
     """Welch's density of each window as an array ``p`` with its bin width ``step``, beside the window's keys."""
     keys = [c for c in windows.columns if c != "x"]

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from sigmill.functions import kernels as K
 from sigmill.operators import frames as O
 from sigmill.operators import signals as S
+from sigmill.sources import recordings as R
 
 
 def _packed(*columns: str):
@@ -35,21 +36,58 @@ def denoise_recordings(frames: DataFrame, seconds: float = 4.0, alpha: tuple[flo
     rows = cut.select("recording_id", "fs", "sample_idx", pairs.alias("channel", "v")).select("recording_id", "channel", "fs", "sample_idx", "v.raw", "v.car")
     collected, arrays = _packed("raw", "car")
     windows = rows.groupBy("recording_id", "channel").agg(F.first("fs").alias("fs"), collected).select("recording_id", "channel", "fs", *arrays)
-    fs = F.col("fs")
-    filtered = S.zero_phase(S.zero_phase(F.col("car"), "bandpass", fs, 0.2, 50.0), "bandstop", fs, 59.0, 61.0)
-    done = S.waaf(windows.withColumn("x", filtered)).withColumnRenamed("clean", "proc").withColumn("raw", F.when(F.col("proc").isNotNull(), F.col("raw")))
-    done = done.withColumn("_step", fs / S.segment(F.size("raw")))
-    for side in ("raw", "proc"):
-        envelope = S.envelope(F.col(side), fs, *alpha)
-        done = done.withColumn(f"_p_{side}", S.density(F.col(side), fs)).withColumn(f"_e_{side}", envelope)
-    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
-    power = [S.band_area(F.col(f"_p_{side}"), F.col("_step"), *alpha).alias(f"power_{side}") for side in ("raw", "proc")]
-    envelopes = [mean(F.col(f"_e_{side}")).alias(f"envelope_{side}") for side in ("raw", "proc")]
-    done = done.select("recording_id", "channel", "fs", F.size("car").alias("n"), O.zscore_array(F.col("proc")).alias("z"), *power, *envelopes)
+
+    def clean(raw: np.ndarray, car: np.ndarray, fs: float) -> list | None:
+        y = K.filter_rows(car, "bandpass", fs, 0.2, 50.0)
+        stopped = None if y is None else K.filter_rows(y, "bandstop", fs, 59.0, 61.0)
+        if stopped is None:
+            return None
+        proc = K.waaf(stopped)[0]
+        both = np.concatenate([raw, proc])  # every later step once for both sides
+        p = K.welch(both, fs, max(1, min(256, both.shape[1] // 4)))[1]
+        narrow = K.filter_rows(both, "bandpass", fs, *alpha)
+        size = [None] * len(both) if narrow is None else K.envelope(narrow).mean(1).tolist()
+        n = len(raw)
+        return [proc, p[:n], p[n:], size[:n], size[n:]]
+
+    outputs = {"proc": "array<double>", "p_raw": "array<double>", "p_proc": "array<double>", "envelope_raw": "double", "envelope_proc": "double"}
+
+    @pandas_udf("struct<" + ", ".join(f"{c}: {t}" for c, t in outputs.items()) + ">")
+    def chain(raw: pd.Series, car: pd.Series, fs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(outputs, S.by_length(clean, len(outputs), raw, car, rate=fs), strict=True)))
+
+    done = windows.withColumn("_c", chain("raw", "car", "fs")).select("recording_id", "channel", "fs", F.size("car").alias("n"), (F.col("fs") / S.segment(F.size("raw"))).alias("_step"), "_c.*")
+    power = [S.band_area(F.col(f"p_{side}"), F.col("_step"), *alpha).alias(f"power_{side}") for side in ("raw", "proc")]
+    done = done.select("recording_id", "channel", "fs", "n", O.zscore_array(F.col("proc")).alias("z"), *power, "envelope_raw", "envelope_proc")
     gap = F.col("power_proc") - F.col("power_raw")
     return done.withColumn("difference", gap).withColumn("percent", F.when(F.col("power_raw") > 0, gap / F.col("power_raw") * 100).otherwise(0.0))
 
 
+def denoise_files(spark: SparkSession, path: str, seconds: float = 4.0, canal: bool = False) -> DataFrame:
+    """``denoise_recordings`` of a folder of raw exports, from the files on: ``n_rows`` and ``n_dropped`` beside its columns.
+
+    Headers are found and cleaned, time and channel columns detected, times parsed, rows without one dropped and counted,
+    times taken from the recording's first one, cells cleaned. ``channel`` is the place among the file's channels and
+    ``name`` its name. A recording that has no row with a time has no result.
+    """
+    frames = R.read_folder(spark, path, canal=canal)
+    counts = frames.groupBy("recording_id").agg(F.count("*").alias("n_rows"), F.count_if("bad_time").alias("n_dropped"), F.first("channel_names").alias("_names"))
+    done = denoise_recordings(O.relative_time(frames.filter(~F.col("bad_time"))), seconds)
+    return done.join(counts, "recording_id").withColumn("name", F.try_element_at("_names", F.col("channel") + 1)).drop("_names")
+
+
+def profile_files(spark: SparkSession, path: str, channel: str | None = None, canal: bool = False) -> DataFrame:
+    """``recording_profile`` of every file of a folder, from the files on, for its channel of that name, or else its first
+    channel by the usual aliases: ``channel`` says which. A file that lacks the named channel has no row."""
+    frames = R.read_folder(spark, path, canal=canal)
+    which = F.lit(channel) if channel else R.first_channel_column(F.col("channel_names"))
+    value = F.try_element_at("ch", F.nullif(F.array_position("channel_names", which), F.lit(0)).cast("int"))
+    samples = frames.withColumn("channel", which).filter(F.array_contains("channel_names", F.col("channel")))
+    samples = samples.select("recording_id", "sample_idx", "t_s", F.nanvl(value, F.lit(None).cast("double")).alias("value"), "channel", "bad_time")
+    names = samples.groupBy("recording_id").agg(F.first("channel").alias("channel"), F.count_if("bad_time").alias("n_dropped"))
+    return O.recording_profile(samples.filter(~F.col("bad_time"))).join(names, "recording_id")
+
+
 def denoise_windows(samples: DataFrame, n: int = 1000, fs: float = 250.0) -> DataFrame:
     """The three stages of windowed cleaning: ``recording_id, channel, window_idx, filtered, car, stopped``.
 
@@ -64,15 +102,23 @@ def denoise_windows(samples: DataFrame, n: int = 1000, fs: float = 250.0) -> Dat
 
     @pandas_udf("array<struct<channel int, filtered array<double>, car array<double>, stopped array<double>>>")
     def stages(channels: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
+        numbers, rows = [], []
         for c, v in zip(channels, values, strict=True):
             number, at, size = np.unique(np.asarray(c), return_index=True, return_counts=True)
-            number, at = number[size == n], at[size == n]
-            x = np.asarray(v, float)[at[:, None] + np.arange(n)]
-            y = K.filter_rows(x, "bandpass", fs) if len(number) else None
-            car = None if y is None else y - y.mean(0)
-            stop = None if y is None else K.filter_rows(car, "bandstop", fs, 59.0, 61.0)
-            out.append([{"channel": k, "filtered": a, "car": b, "stopped": d} for k, a, b, d in zip(number, y, car, stop, strict=True)] if stop is not None else [])
+            numbers.append(number[size == n])
+            rows.append(np.asarray(v, float)[at[size == n][:, None] + np.arange(n)])
+        count = np.array([len(x) for x in numbers])
+        out: list[list] = [[] for _ in numbers]
+        whole = np.flatnonzero(count)
+        y = K.filter_rows(np.concatenate(rows), "bandpass", fs) if len(whole) else None  # all windows in one product
+        if y is None:
+            return pd.Series(out)
+        first = np.cumsum(count[whole]) - count[whole]
+        car = y - np.repeat(np.add.reduceat(y, first) / count[whole, None], count[whole], axis=0)
+        stop = K.filter_rows(car, "bandstop", fs, 59.0, 61.0)
+        if stop is not None:
+            for w, a in zip(whole, first, strict=True):
+                out[w] = [{"channel": k, "filtered": y[a + i], "car": car[a + i], "stopped": stop[a + i]} for i, k in enumerate(numbers[w])]
         return pd.Series(out)
 
     return packed.select("recording_id", "window_idx", F.inline(stages(column("channel_idx"), column("value"))))

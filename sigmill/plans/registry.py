@@ -15,7 +15,8 @@ from sigmill.plans import filter_sql as Q
 from sigmill.plans import jobs
 from sigmill.sources import recordings as R
 from sigmill.sources import views as V
-from sigmill.streaming import stateful
+from sigmill.streaming import keyed, stateful
+from sigmill.streaming import windows as event_time
 
 FR, LO, IR, BA = V.FRAMES_SQL, V.LONG_SQL, V.IRREGULAR_SQL, V.BANDS_SQL
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,8 +54,12 @@ FLAT = "select recording_id, sample_idx, unnest(range(0, len(ch)))::int as chann
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared place that the session names."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder in the shared place that the session names; local sessions that name none get one below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/recordings-{uuid.uuid4().hex}"
 
 
@@ -62,6 +67,27 @@ DEVICE = [f"Channel_{i}" for i in range(1, 9)]
 CLINICAL = ["Fp1", "Fp2", "C3", "C4", "P3", "P4", "O1", "O2"]
 
 
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit("'"), c, F.lit("'"))
+
+
+def _clock(micros: Column) -> Column:
+    """``'[hh:mm:ss.ffffff dd/mm/yyyy]'`` of microseconds of the epoch."""
+    return _quoted(F.concat(F.lit("["), F.date_format(F.timestamp_micros(micros), "HH:mm:ss.SSSSSS dd/MM/yyyy"), F.lit("]")))
+
+
+def _write_dirty(f: DataFrame, path: str, bad: Column) -> None:
+    """Frames as device exports (recordings 0 to 3) and clinical ones (from 4): quotes, brackets, a row of units, times
+    that are none where ``bad``, columns that are no channels."""
+    number = lambda i: F.element_at("ch", i + 1).cast("string")
+    device = f.filter("recording_id < 4").select("recording_id", F.when(bad, "late").otherwise(F.col("t_s").cast("string")).alias("timestamp"), F.lit("x").alias("note"), *[number(i).alias(c) for i, c in enumerate(DEVICE)])
+    device.write.partitionBy("recording_id").option("header", True).csv(path + "/device")
+    time = F.when(bad, F.lit("'no time'")).otherwise(_clock(F.lit(1700000000000000) + F.col("sample_idx") * 4000))
+    rows = f.filter("recording_id >= 4").select("recording_id", time.alias("'Time and date'"), *[_quoted(number(i)).alias(f"'{c}'") for i, c in enumerate(CLINICAL)])
+    units = f.filter("recording_id >= 4").select("recording_id").distinct().select("recording_id", F.lit("").alias("'Time and date'"), *[F.lit("uV").alias(f"'{c}'") for c in CLINICAL])
+    rows.unionByName(units).write.partitionBy("recording_id").option("header", True).csv(path + "/clinical")
+
+
 @query("""select recording_id, row_number() over (partition by recording_id order by t_s nulls last, ch) - 1 as sample_idx, t_s is null as bad_time, len(ch) as n_channels,
 round(t_s, 3) as t_s, round(list_sum(ch), 6) + 0.0 as total from (
 select recording_id::varchar as recording_id, case when sample_idx % 97 = 5 then null when recording_id < 4 then t_s else 1700000000 + t_s end as t_s, ch from frames)""", FR)
@@ -69,17 +95,7 @@ def read_recordings(spark, sf_dir):
     """Frames written as device and as clinical CSV (quotes, brackets, a row of units, bad times, columns that are no
     channels) and read back as two header families."""
     path = _folder(spark)
-    f = V.frames(spark, sf_dir)
-    bad = F.col("sample_idx") % 97 == 5
-    number = lambda i: F.element_at("ch", i + 1).cast("string")
-    device = f.filter("recording_id < 4").select("recording_id", F.when(bad, "late").otherwise(F.col("t_s").cast("string")).alias("timestamp"), F.lit("x").alias("note"), *[number(i).alias(c) for i, c in enumerate(DEVICE)])
-    device.write.partitionBy("recording_id").option("header", True).csv(path + "/device")
-    clock = F.date_format(F.timestamp_micros(F.lit(1700000000000000) + F.col("sample_idx") * 4000), "HH:mm:ss.SSSSSS dd/MM/yyyy")
-    quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
-    time = F.when(bad, F.lit("'no time'")).otherwise(quoted(F.concat(F.lit("["), clock, F.lit("]"))))
-    rows = f.filter("recording_id >= 4").select("recording_id", time.alias("'Time and date'"), *[quoted(number(i)).alias(f"'{c}'") for i, c in enumerate(CLINICAL)])
-    units = f.filter("recording_id >= 4").select("recording_id").distinct().select("recording_id", F.lit("").alias("'Time and date'"), *[F.lit("uV").alias(f"'{c}'") for c in CLINICAL])
-    rows.unionByName(units).write.partitionBy("recording_id").option("header", True).csv(path + "/clinical")
+    _write_dirty(V.frames(spark, sf_dir), path, F.col("sample_idx") % 97 == 5)
     got = R.read_families(spark, [path + "/device", path + "/clinical"])
     total = F.aggregate("ch", F.lit(0.0), lambda a, x: a + x)
     return got.select("recording_id", "sample_idx", "bad_time", F.size("ch").cast("long").alias("n_channels"), r6("t_s", "t_s", 3), r6(total, "total"))
@@ -107,21 +123,29 @@ def latest_recording(spark, sf_dir):
     return got.groupBy(F.col("recording_id").alias("recording")).agg(F.count("*").alias("n_frames"), r6(F.sum(F.col("ch")[0]), "total"))
 
 
+def _fed(frames: DataFrame, path: str) -> None:
+    """Frames as JSON lines, with text ids."""
+    frames.select(F.col("recording_id").cast("string").alias("recording_id"), "sample_idx", "t_s", "ch").write.json(path)
+
+
+def _drained(stream: DataFrame, path: str) -> DataFrame:
+    """A stream published to files until its source is empty, and what it has written."""
+    R.publish(stream, path + "/out", path + "/checkpoint", available_now=True).awaitTermination()
+    return stream.sparkSession.read.parquet(path + "/out")
+
+
 def _published(frames: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Frames as JSON lines, read as a stream, put through ``work``, published to files until the source is empty, and read."""
-    spark = frames.sparkSession
-    path = _folder(spark)
-    # event times at the very beginning of the epoch would count as late
-    frames.select(F.col("recording_id").cast("string").alias("recording_id"), "sample_idx", (F.col("t_s") + 1000.0).alias("t_s"), "ch").write.json(path + "/in")
-    R.publish(work(R.read_sample_stream(spark, path + "/in")), path + "/out", path + "/checkpoint", available_now=True).awaitTermination()
-    return spark.read.parquet(path + "/out")
+    spark, path = frames.sparkSession, _folder(frames.sparkSession)
+    _fed(frames, path + "/in")
+    return _drained(work(R.read_sample_stream(spark, path + "/in")), path)
 
 
-@query("select recording_id::varchar as recording_id, sample_idx, round(1000 + t_s, 6) as ts, channel_idx, value from (select recording_id, sample_idx, t_s, unnest(range(0, len(ch)))::int as channel_idx, round(unnest(ch), 6) + 0.0 as value from frames)", FR)
+@query("select recording_id::varchar as recording_id, sample_idx, round(t_s, 6) as t_s, channel_idx, value from (select recording_id, sample_idx, t_s, unnest(range(0, len(ch)))::int as channel_idx, round(unnest(ch), 6) + 0.0 as value from frames)", FR)
 def read_sample_stream(spark, sf_dir):
-    """The frames as a stream with event time, as they arrive."""
+    """The frames as a stream, as they arrive, from the sample at time 0 on."""
     got = _published(V.frames(spark, sf_dir), lambda stream: stream)
-    return flat(got.withColumn("ts", r6(F.unix_micros("ts") / F.lit(1e6))), "ts")
+    return flat(got.withColumn("t_s", r6("t_s")), "t_s")
 
 
 @query("""select recording_id, sample_idx, round(x[1], 6) + 0.0 as "Canal1", round(x[2], 6) + 0.0 as "Canal2", round(x[3], 6) + 0.0 as "Canal3", round(k[1], 6) + 0.0 as "Kalman1", round(k[2], 6) + 0.0 as "Kalman2", round(k[3], 6) + 0.0 as "Kalman3"
@@ -197,6 +221,17 @@ def drop_invalid_time(spark, sf_dir):
     return lost.join(n, "recording_id", "left").select(F.col("recording_id").alias("recording"), (F.coalesce("_k", F.lit(0)) + F.col("n_dropped")).alias("n_rows"), "n_dropped")
 
 
+@query("""select count(*) as n_rows, count(*) filter (event_id % 9 = 0) as n_dropped, count(*) filter (event_id % 9 <> 0) as n_written from events""")
+def drop_invalid_time_observed(spark, sf_dir):
+    """The counts that the one scan yields which also writes the frames."""
+    path = _folder(spark)
+    e = V.table(spark, sf_dir, "events")
+    kept, seen = O.drop_invalid_time_observed(e.select(F.col("event_type").alias("recording_id"), F.when(F.col("event_id") % 9 != 0, F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t_s")))
+    kept.write.parquet(path)
+    got = seen.get
+    return spark.read.parquet(path).agg(F.lit(got["n_rows"]).cast("long").alias("n_rows"), F.lit(got["n_dropped"]).cast("long").alias("n_dropped"), F.count("*").alias("n_written"))
+
+
 # ---- projections -------------------------------------------------------------------------------------------------
 
 
@@ -313,11 +348,31 @@ def sample_intervals(spark, sf_dir):
 @query("""select recording_id, count(*) as n_rows, count(value) as n_values, round(max(t_s) - min(t_s), 3) + 0.0 as duration, round(avg(dt), 3) + 0.0 as dt_mean,
 round(min(dt), 3) + 0.0 as dt_min, round(max(dt), 3) + 0.0 as dt_max, round(stddev_pop(dt), 3) + 0.0 as dt_std, round(1 / avg(dt), 9) + 0.0 as rate
 from (select *, t_s - lag(t_s) over (partition by recording_id order by t_s) as dt from irregular) group by 1""", IR)
-def profile_recordings(spark, sf_dir):
+def recording_profile(spark, sf_dir):
+    """Profiles of series that are in a table already."""
     p = O.recording_profile(V.irregular(spark, sf_dir))
     return p.select("recording_id", "n_rows", "n_values", *[r6(c, c, 3) for c in ("duration", "dt_mean", "dt_min", "dt_max", "dt_std")], r6("rate", "rate", 9))
 
 
+@query("""select recording_id, case when recording_id in ('click', 'view') then 'channel_1' else 'Fp1' end as channel, count(*) as n_rows, count(*) filter (sample_idx % 10 <> 3) as n_values,
+count(*) filter (sample_idx % 50 = 7) as n_dropped, round(max(t_s) - min(t_s), 3) + 0.0 as duration, round(avg(dt), 3) + 0.0 as dt_mean,
+round(min(dt), 3) + 0.0 as dt_min, round(max(dt), 3) + 0.0 as dt_max, round(stddev_pop(dt), 3) + 0.0 as dt_std, round(1 / avg(dt), 9) + 0.0 as rate
+from (select *, t_s - lag(t_s) over (partition by recording_id order by t_s) as dt from irregular) group by 1, 2""", IR)
+def profile_recordings(spark, sf_dir):
+    """A folder of raw exports of two header families, with cells that are no numbers and rows without a time between the
+    others, profiled file by file."""
+    path = _folder(spark)
+    s = V.irregular(spark, sf_dir)
+    s = s.withColumn("_cell", F.when(F.col("sample_idx") % 10 == 3, "n/a").otherwise(F.col("value").cast("string"))).withColumn("_us", F.round(F.col("t_s") * 1e6).cast("long"))
+    # every 50th row comes once more, with a time that is none
+    s = s.withColumn("_bad", F.explode(F.when(F.col("sample_idx") % 50 == 7, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    device = F.col("recording_id").isin("click", "view")
+    s.filter(device).select("recording_id", F.when(F.col("_bad"), "?").otherwise(F.format_string("%.6f", "t_s")).alias("timestamp"), F.col("_cell").alias("channel_1"), F.lit("1.5").alias("o1")).write.partitionBy("recording_id").option("header", True).csv(path + "/device")
+    s.filter(~device).select("recording_id", F.lit("x").alias("note"), F.when(F.col("_bad"), "''").otherwise(_clock(F.col("_us"))).alias("'Time and date'"), _quoted(F.col("_cell")).alias("'Fp1'")).write.partitionBy("recording_id").option("header", True).csv(path + "/clinical")
+    p = jobs.profile_files(spark, path)
+    return p.select("recording_id", "channel", "n_rows", "n_values", "n_dropped", *[r6(c, c, 3) for c in ("duration", "dt_mean", "dt_min", "dt_max", "dt_std")], r6("rate", "rate", 9))
+
+
 # ---- joins, aggregates, windows ----------------------------------------------------------------------------------
 
 
@@ -343,7 +398,7 @@ def zscore(spark, sf_dir):
 @query("""select recording_id, channel, sample_idx, round(lo, 6) + 0.0 as lo, round(hi, 6) + 0.0 as hi, round(lo - 0.1::double * (hi - lo), 4) + 0.0 as shown_lo, round(hi + 0.1::double * (hi - lo), 4) + 0.0 as shown_hi
 from (select *, min(value) over w as lo, max(value) over w as hi from long_samples window w as (partition by recording_id, channel order by sample_idx rows 99 preceding))""", LO)
 def rolling_range(spark, sf_dir):
-    r = O.rolling_range(V.long_samples(spark, sf_dir), 100)
+    r = S.rolling_range(V.long_samples(spark, sf_dir), 100)
     return r.select("recording_id", "channel", "sample_idx", r6("lo", "lo"), r6("hi", "hi"), r6("shown_lo", "shown_lo", 4), r6("shown_hi", "shown_hi", 4))
 
 
@@ -422,6 +477,35 @@ def kalman_smooth(spark, sf_dir):
     return S.kalman_smooth(_samples(spark, sf_dir), "channel").select("recording_id", "channel", "sample_idx", r6("value", "value"))
 
 
+# what a lossy link leaves of the frames, in segments without a gap that begin at sample ``first``
+LOSSY = ["lossy as (select * from samples where not ((sample_idx between 100 and 104) or (sample_idx between 260 and 449 and channel % 2 = 0) or sample_idx = 999))",
+    "parts as (select *, min(sample_idx) over (partition by recording_id, channel, part) as first from (select *, sample_idx - row_number() over (partition by recording_id, channel order by sample_idx) as part from lossy))"]
+
+
+def _lossy(spark, sf_dir) -> DataFrame:
+    i = F.col("sample_idx")
+    return _samples(spark, sf_dir).filter(~(i.between(100, 104) | (i.between(260, 449) & (F.col("channel") % 2 == 0)) | (i == 999)))
+
+
+@query("""select recording_id, channel, sample_idx, round(list_dot_product(x, w), 6) + 0.0 as value from (
+  select recording_id, channel, sample_idx, first, list(value) over (partition by recording_id, channel, first order by sample_idx rows 124 preceding) as x from parts), weights where sample_idx >= first + 125""", FR, CHANNELS, *WEIGHTS, *LOSSY)
+def trailing_filter_gaps(spark, sf_dir):
+    """The rolling filter begins anew after every gap."""
+    return S.trailing_filter(_lossy(spark, sf_dir), "channel").select("recording_id", "channel", "sample_idx", r6("value", "value"))
+
+
+@query("select recording_id, channel, sample_idx, round(x, 6) + 0.0 as value from walk", FR, CHANNELS, *LOSSY, kalman_sql("parts", 0).replace("where sample_idx = 0", "where sample_idx = first"))
+def kalman_smooth_gaps(spark, sf_dir):
+    return S.kalman_smooth(_lossy(spark, sf_dir), "channel").select("recording_id", "channel", "sample_idx", r6("value", "value"))
+
+
+@query("""select recording_id, channel, sample_idx, round(min(value) over w, 6) + 0.0 as lo, round(max(value) over w, 6) + 0.0 as hi from lossy
+window w as (partition by recording_id, channel order by sample_idx range 99 preceding)""", FR, CHANNELS, LOSSY[0])
+def rolling_range_gaps(spark, sf_dir):
+    """Extremes over the last 100 places, of which some are empty."""
+    return S.rolling_range(_lossy(spark, sf_dir), 100).select("recording_id", "channel", "sample_idx", r6("lo", "lo"), r6("hi", "hi"))
+
+
 RLS = """pairs as (select recording_id, channel, sample_idx // 250 as w, sample_idx % 250 as k, ch[channel + 1] as x, ch[(channel + 1) % 8 + 1] as ref from (select *, unnest(range(0, 8))::int as channel from frames)),
 whole as (select * from pairs where w < (select max(sample_idx) + 1 from frames) // 250),
 sums as (select a.recording_id, a.channel, a.w, a.k, a.x, a.ref,
@@ -510,6 +594,23 @@ def waaf(spark, sf_dir):
     return _summary(S.waaf(_windows(spark, sf_dir)), "clean")
 
 
+SERIES = "series as (select recording_id, channel, list(value order by sample_idx) as x from samples group by 1, 2)"
+PLACES = "select recording_id, channel, unnest(range(len(x))) as sample_idx, round(unnest(x), 6) + 0.0 as value from done"
+
+
+@query(PLACES, FR, CHANNELS, SERIES, *filtered_sql("done", "series", "bandpass", 4, 0.2, 50.0, 2000, "recording_id, channel"))
+def bandpass_series(spark, sf_dir):
+    """Whole recordings forward and backward, in blocks of 64 samples."""
+    done = S.zero_phase_series(_samples(spark, sf_dir), "bandpass", V.FS, 0.2, 50.0, "channel", size=64)
+    return done.select("recording_id", "channel", "sample_idx", r6("value", "value"))
+
+
+@query(PLACES, FR, CHANNELS, SERIES, *filtered_sql("done", "series", "bandstop", 4, 59.0, 61.0, 2000, "recording_id, channel"))
+def bandstop_series(spark, sf_dir):
+    done = S.zero_phase_series(_samples(spark, sf_dir), "bandstop", V.FS, 59.0, 61.0, "channel", size=64)
+    return done.select("recording_id", "channel", "sample_idx", r6("value", "value"))
+
+
 # all eight channels are filtered from a steady state of 1 and averaged, as the recorder does it
 CAUSAL = [
     *Q.response("causal_h", "bandpass", 4, 0.2, 50.0, V.FS, 20000), *Q.response("causal_s", "bandstop", 4, 59.0, 61.0, V.FS, 20000),
@@ -633,6 +734,19 @@ def alpha_power(spark, sf_dir):
     return both.select("recording_id", "channel", *[r6(c, c) for c in ("power_raw", "power_proc", "difference", "percent")])
 
 
+@query("""select recording_id, channel, n_segments, round(i * 250.0::double / 128, 6) as f, round(p, 9) + 0.0 as p from (
+  select recording_id, channel, i, count(*) as n_segments, avg(p) as p from (
+    select recording_id, channel, s, i, (sum(c * h * cos(2 * pi() * ((i * j) % 128) / 128)) ** 2 + sum(c * h * sin(2 * pi() * ((i * j) % 128) / 128)) ** 2) / (250 * (select sum((0.5 - 0.5 * cos(2 * pi() * range / 128)) ** 2) from range(128))) * case when i in (0, 64) then 1 else 2 end as p
+    from (select recording_id, channel, s, j, value - avg(value) over v as c, 0.5 - 0.5 * cos(2 * pi() * j / 128) as h
+      from (select recording_id, channel, value, s, sample_idx - 64 * s as j from samples, lateral (select unnest([sample_idx // 64 - 1, sample_idx // 64]) as s) where s >= 0)
+      window v as (partition by recording_id, channel, s) qualify count(*) over v = 128), (select range as i from range(65)) group by recording_id, channel, s, i) group by 1, 2, 3)""", FR, CHANNELS)
+def welch_series(spark, sf_dir):
+    """Density of whole recordings from groups of three segments."""
+    found = S.welch_series(_samples(spark, sf_dir), V.FS, "channel", nperseg=128, group=3)
+    rows = found.select("recording_id", "channel", "n_segments", "step", F.posexplode("p").alias("_i", "_p"))
+    return rows.select("recording_id", "channel", "n_segments", r6(F.col("_i") * F.col("step"), "f"), r6("_p", "p", 9))
+
+
 # ---- whole chains ------------------------------------------------------------------------------------------------
 
 TWO = "recording_id, channel"
@@ -651,22 +765,34 @@ OFFLINE = [
 ]
 
 
-@query("""select recording_id, channel, n, round(fs, 6) + 0.0 as fs, round(a, 6) + 0.0 as power_raw, round(b, 6) + 0.0 as power_proc, round(b - a, 6) + 0.0 as difference, round(case when a > 0 then (b - a) / a * 100 else 0 end, 6) + 0.0 as percent,
+@query("""select recording_id::varchar as recording_id, channel, case when recording_id < 4 then 'Channel_' || (channel + 1) else ['Fp1', 'Fp2', 'C3', 'C4', 'P3', 'P4', 'O1', 'O2'][channel + 1] end as name, lost.n_rows, lost.n_dropped,
+n, round(fs, 6) + 0.0 as fs, round(a, 6) + 0.0 as power_raw, round(b, 6) + 0.0 as power_proc, round(b - a, 6) + 0.0 as difference, round(case when a > 0 then (b - a) / a * 100 else 0 end, 6) + 0.0 as percent,
 round(list_avg(r.raw), 6) + 0.0 as envelope_raw, round(list_avg(q.proc), 6) + 0.0 as envelope_proc, round(list_max([abs(v - list_avg(p.proc)) for v in p.proc]) / list_aggregate(p.proc, 'stddev_pop'), 6) + 0.0 as peak_z
-from powers p join raw_size r using (recording_id, channel) join proc_size q using (recording_id, channel)""", FR, CHANNELS, *OFFLINE)
+from powers p join raw_size r using (recording_id, channel) join proc_size q using (recording_id, channel)
+join (select recording_id, count(*) filter (sample_idx % 97 = 5) as n_dropped, count(*) + count(*) filter (sample_idx % 97 = 5) as n_rows from frames group by 1) lost using (recording_id)""", FR, CHANNELS, *OFFLINE)
 def denoise_recordings(spark, sf_dir):
-    d = jobs.denoise_recordings(V.frames(spark, sf_dir))
+    """A folder of dirty exports of two header families cleaned from the files on; some frames come twice, once with a time
+    that is none."""
+    path, f = _folder(spark), V.frames(spark, sf_dir)
+    f = f.withColumn("_bad", F.explode(F.when(F.col("sample_idx") % 97 == 5, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    _write_dirty(f, path, F.col("_bad"))
+    d = jobs.denoise_files(spark, path)
     peak = F.aggregate("z", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    return d.select("recording_id", "channel", "n", *[r6(c, c) for c in ("fs", "power_raw", "power_proc", "difference", "percent", "envelope_raw", "envelope_proc")], r6(peak, "peak_z"))
+    return d.select("recording_id", "channel", "name", "n_rows", "n_dropped", "n", *[r6(c, c) for c in ("fs", "power_raw", "power_proc", "difference", "percent", "envelope_raw", "envelope_proc")], r6(peak, "peak_z"))
+
 
+def windowed_sql(n: int, source: str) -> list[str]:
+    """The three stages of windowed cleaning of ``source`` (recording_id, channel, sample_idx, value) in windows of ``n``."""
+    return [
+        f"wide as (select recording_id, channel, sample_idx // {n} as window_idx, list(value order by sample_idx) as x from {source} group by 1, 2, 3 having count(*) = {n})",
+        *filtered_sql("filtered", "wide", "bandpass", 4, 0.2, 50.0, n),
+        f"means as (select recording_id, window_idx, list(m order by i) as m from (select recording_id, window_idx, i, avg(v) as m from (select recording_id, window_idx, unnest(range({n})) as i, unnest(x) as v from filtered) group by 1, 2, 3) group by 1, 2)",
+        f"car as (select recording_id, channel, window_idx, [x[i + 1] - m[i + 1] for i in range({n})] as x from filtered join means using (recording_id, window_idx))",
+        *filtered_sql("stopped", "car", "bandstop", 4, 59.0, 61.0, n),
+    ]
 
-WINDOWED = [
-    "wide as (select recording_id, (channel - 1)::int as channel, sample_idx // 1000 as window_idx, list(value order by sample_idx) as x from long_samples group by 1, 2, 3 having count(*) = 1000)",
-    *filtered_sql("filtered", "wide", "bandpass", 4, 0.2, 50.0, 1000),
-    "means as (select recording_id, window_idx, list(m order by i) as m from (select recording_id, window_idx, i, avg(v) as m from (select recording_id, window_idx, unnest(range(1000)) as i, unnest(x) as v from filtered) group by 1, 2, 3) group by 1, 2)",
-    "car as (select recording_id, channel, window_idx, [x[i + 1] - m[i + 1] for i in range(1000)] as x from filtered join means using (recording_id, window_idx))",
-    *filtered_sql("stopped", "car", "bandstop", 4, 59.0, 61.0, 1000),
-]
+
+WINDOWED = windowed_sql(1000, "(select recording_id, (channel - 1)::int as channel, sample_idx, value from long_samples)")
 
 
 @query("""select recording_id, channel, window_idx, round(list_dot_product(f.x, f.x) / 1e9::double, 3) + 0.0 as filtered, round(list_dot_product(c.x, c.x) / 1e9::double, 3) + 0.0 as car, round(list_dot_product(s.x, s.x) / 1e9::double, 3) + 0.0 as stopped
@@ -695,3 +821,122 @@ def publish_filtered(spark, sf_dir):
     got = _published(V.frames(spark, sf_dir), lambda stream: stateful.trailing_and_kalman(stream, factor=1.0))
     pairs = F.posexplode(F.arrays_zip("filtered", "kalman"))
     return got.select("recording_id", "sample_idx", pairs.alias("channel_idx", "v")).select("recording_id", "channel_idx", "sample_idx", r6("v.filtered", "filtered"), r6("v.kalman", "kalman"))
+
+
+# ---- streams, run until their source is empty --------------------------------------------------------------------
+
+
+def _streamed(spark, sf_dir, *cuts: int) -> tuple[DataFrame, str]:
+    """The frames as a stream and a folder for what is made of it; with ``cuts``, in as many batches, one after the other."""
+    path, f = _folder(spark), V.frames(spark, sf_dir)
+    if not cuts:
+        _fed(f, path + "/in")
+        return R.read_sample_stream(spark, path + "/in"), path
+    for k, (low, high) in enumerate(zip((0, *cuts), (*cuts, 1 << 40), strict=True)):
+        _fed(f.filter((F.col("sample_idx") >= low) & (F.col("sample_idx") < high)).coalesce(1), f"{path}/in/{k}")
+    return R.read_sample_stream(spark, path + "/in/*", files_per_batch=1), path
+
+
+def _total(x: str) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
+@query("""select recording_id::varchar as recording_id, channel, sample_idx // 100 as window_idx, round(min(t_s), 6) as t0, round(avg(value), 6) + 0.0 as mean, round(arg_max(value, sample_idx), 6) + 0.0 as last
+from samples group by 1, 2, 3 having count(*) = 100""", FR, CHANNELS)
+def tumbling_stream(spark, sf_dir):
+    """Windows of 100 frames on keyed state, in three batches that end within windows."""
+    stream, path = _streamed(spark, sf_dir, 130, 390)
+    got = _drained(keyed.tumbling(stream, 100), path)
+    return got.select("recording_id", "channel", "window_idx", r6("t0", "t0"), r6(_total("x") / 100, "mean"), r6(F.element_at("x", -1), "last"))
+
+
+@query("""select recording_id::varchar as recording_id, channel, epoch, round(min(t_s), 6) as t0, count(*) as n, round(avg(value), 6) + 0.0 as mean, round(arg_max(value, k), 6) + 0.0 as last from fired group by 1, 2, 3""", FR, CHANNELS, HOPS.replace("long_samples", "samples"))
+def hopping_stream(spark, sf_dir):
+    """Epochs by the recorder's rule on keyed state, in three batches."""
+    stream, path = _streamed(spark, sf_dir, 130, 390)
+    got = _drained(keyed.hopping(stream), path)
+    return got.select("recording_id", "channel", "epoch", r6("t0", "t0"), F.size("x").cast("long").alias("n"), r6(_total("x") / F.size("x"), "mean"), r6(F.element_at("x", -1), "last"))
+
+
+@query("select recording_id::varchar as recording_id, unnest(range(len(x))) as sample_idx, round(unnest(x), 6) + 0.0 as value from chain", FR, CHANNELS, *CAUSAL)
+def causal_stream(spark, sf_dir):
+    """The causal chain on keyed state, in three batches."""
+    stream, path = _streamed(spark, sf_dir, 130, 390)
+    return _drained(keyed.causal(stream), path).select("recording_id", "sample_idx", r6("value", "value"))
+
+
+@query("""select recording_id::varchar as recording_id, channel, window_idx, round(list_dot_product(f.x, f.x) / 200, 6) + 0.0 as filtered, round(list_dot_product(c.x, c.x) / 200, 6) + 0.0 as car, round(list_dot_product(s.x, s.x) / 200, 6) + 0.0 as stopped
+from filtered f join car c using (recording_id, channel, window_idx) join stopped s using (recording_id, channel, window_idx)""", FR, CHANNELS, *windowed_sql(200, "samples"))
+def denoise_windows_stream(spark, sf_dir):
+    """The windowed cleaning stream itself, in windows of 200 frames."""
+    got = _published(V.frames(spark, sf_dir), lambda stream: stateful.denoise_windows(stream, 200))
+    power = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x) / F.size(c)
+    return got.select("recording_id", "channel", "window_idx", *[r6(power(c), c) for c in ("filtered", "car", "stopped")])
+
+
+@query("select recording_id::varchar as recording_id, window_idx, " + ", ".join(f"round(max(power) filter (band = '{b.lower()}' and channel = {i}), 9) + 0.0 as \"{b}{i}\"" for i in (1, 2, 3) for b in ("Delta", "Theta", "Alpha", "Beta", "Gamma")) + """
+from (select recording_id, channel, window_idx, band, avg(p) as power from psd join (select * from bands where scheme = 'welch5') on f between fmin and fmax group by 1, 2, 3, 4) group by 1, 2""", FR, WELCH, BA)
+def psd_windows_stream(spark, sf_dir):
+    """The density stream itself, in three batches, written as the band table once and read back."""
+    stream, path = _streamed(spark, sf_dir, 130, 390)
+    stateful.write_band_table(stateful.psd_windows(stream, V.bands("welch5")), path + "/table", path + "/checkpoint", "window_idx", available_now=True).awaitTermination()
+    got = spark.read.option("header", True).csv(path + "/table")
+    return got.select(F.col("recording_id").cast("string").alias("recording_id"), F.col("window_idx").cast("long").alias("window_idx"), *[r6(F.col(c).cast("double"), c, 9) for c in R.BAND_COLUMNS])
+
+
+@query("""select recording_id::varchar as recording_id, sample_idx, round(t_s, 6) as t, round(f[1], 6) + 0.0 as "Canal1", round(f[2], 6) + 0.0 as "Canal2", round(f[3], 6) + 0.0 as "Canal3", round(k[1], 6) + 0.0 as "Kalman1", round(k[2], 6) + 0.0 as "Kalman2", round(k[3], 6) + 0.0 as "Kalman3"
+from (select recording_id, sample_idx, list(z order by channel) as f, list(x order by channel) as k from walk group by 1, 2) join frames using (recording_id, sample_idx)""", FR, CHANNELS, *WEIGHTS, FIRST3, kalman_sql("rolled", 125))
+def write_pair_stream(spark, sf_dir):
+    """Both tables of the rolling filter stream, in three batches, read back and joined."""
+    stream, path = _streamed(spark, sf_dir, 130, 390)
+    stateful.write_pair(stateful.trailing_and_kalman(stream, factor=1.0), path + "/f", path + "/k", path + "/checkpoint", available_now=True).awaitTermination()
+    read = lambda p, name: spark.read.option("header", True).csv(path + p).select(F.col("recording_id").cast("string").alias("recording_id"), F.col("Timestamp").cast("double").alias("t"), *[F.col(f"Canal{i}").cast("double").alias(f"{name}{i}") for i in (1, 2, 3)])
+    both = read("/f", "Canal").join(read("/k", "Kalman"), ["recording_id", "t"])
+    return both.select("recording_id", F.round(F.col("t") * V.FS).cast("long").alias("sample_idx"), r6("t", "t"), *[r6(f"{name}{i}", f"{name}{i}") for name in ("Canal", "Kalman") for i in (1, 2, 3)])
+
+
+@query("select recording_id::varchar as recording_id, sample_idx, round(ch[1], 6) + 0.0 as value, round(ch[5], 6) + 0.0 as other from frames", FR)
+def align_stream(spark, sf_dir):
+    """Two streams of the same recordings paired sample by sample."""
+    path, f = _folder(spark), V.frames(spark, sf_dir)
+    _fed(f.withColumn("ch", F.slice("ch", 1, 4)), path + "/a")
+    _fed(f.withColumn("ch", F.slice("ch", 5, 4)), path + "/b")
+    a, b = (R.read_sample_stream(spark, f"{path}/{x}", watermark="10 minutes").withColumn("value", F.col("ch")[0]) for x in "ab")
+    return _drained(stateful.align(a, b, "5 minutes"), path).select("recording_id", "sample_idx", r6("value", "value"), r6("other", "other"))
+
+
+@query("select recording_id::varchar as recording_id, sample_idx, unnest(range(0, len(ch)))::int as channel_idx, round(unnest(ch), 6) + 0.0 as value from (select * from frames qualify row_number() over (partition by recording_id order by sample_idx desc) <= 120)", FR)
+def latest_n_stream(spark, sf_dir):
+    """The ring of the last 120 frames after three batches: the last view of each recording."""
+    stream, path = _streamed(spark, sf_dir, 130, 390)
+    got = _drained(keyed.latest_n(stream, 120), path)
+    last = got.groupBy("recording_id").agg(F.max("view").alias("view"))
+    return flat(got.join(last, ["recording_id", "view"]).drop("view"))
+
+
+@query("""select recording_id::varchar as recording_id, channel, sample_idx, round(lo, 6) + 0.0 as lo, round(hi, 6) + 0.0 as hi, round(lo - 0.1::double * (hi - lo), 6) + 0.0 as shown_lo, round(hi + 0.1::double * (hi - lo), 6) + 0.0 as shown_hi
+from (select *, min(value) over w as lo, max(value) over w as hi from samples window w as (partition by recording_id, channel order by sample_idx rows 99 preceding))""", FR, CHANNELS)
+def rolling_range_stream(spark, sf_dir):
+    """Rolling extremes by monotonic queues, in three batches."""
+    stream, path = _streamed(spark, sf_dir, 130, 390)
+    got = _drained(keyed.rolling_range(stream, 100), path)
+    return got.select("recording_id", "channel", "sample_idx", *[r6(c, c) for c in ("lo", "hi", "shown_lo", "shown_hi")])
+
+
+@query("""select recording_id, channel, floor(sample_idx / 500.0)::bigint as second, count(*) as n, round(avg(value), 6) + 0.0 as mean, round(arg_max(value, sample_idx), 6) + 0.0 as last from (
+  select * from long_samples where not (sample_idx % 100 = 7 and sample_idx <= 1249))
+where (floor(sample_idx / 500.0) + 1) * 500 <= (select max(sample_idx) from long_samples) - 250 group by 1, 2, 3""", LO)
+def event_windows(spark, sf_dir):
+    """Windows of two seconds of event time. One row in a hundred of the first six seconds comes only with the third batch, and
+    some come twice: those that the watermark of the second batch has passed are late and are dropped."""
+    path = _folder(spark)
+    s = V.long_samples(spark, sf_dir).withColumn("ts", F.timestamp_micros(F.col("sample_idx") * 4000 + 1700000000000000))
+    held, again = (F.col("sample_idx") % 100 == 7), (F.col("sample_idx") % 50 == 20)
+    early, next_ = F.col("sample_idx") < 1500, F.col("sample_idx").between(1500, 1599)
+    rest = s.filter(~early & ~next_ | early & held).union(s.filter(again & (F.col("sample_idx") > 1400)))
+    for k, part in enumerate((s.filter(early & ~held), s.filter(next_), rest)):
+        part.coalesce(1).write.json(f"{path}/in/{k}")
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).json(path + "/in/*").withWatermark("ts", "1 second")
+    got = _drained(event_time.event_windows(stream, "channel", seconds=2, whole=False), path)
+    second = ((F.unix_micros("start") - 1700000000000000) / 2000000).cast("long")
+    return got.select("recording_id", "channel", second.alias("second"), F.col("n").cast("long").alias("n"), r6(_total("x") / F.col("n"), "mean"), r6(F.element_at("x", -1), "last"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +14,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sigmill.functions import kernels as K
 from sigmill.operators.frames import MICROVOLTS
 from sigmill.operators.signals import SLOTS
+from sigmill.sources import recordings as R
+
+# Spark itself joins empty frames to the state's rows in the workers that import this
+warnings.filterwarnings("ignore", "The behavior of DataFrame concatenation", FutureWarning)
 
 #: A recording loses its state when the watermark has passed its last sample by this much.
 IDLE_MS = 600_000
 
 
-def _expire(held: GroupState, last_s: float) -> None:
-    held.setTimeoutTimestamp(int(max(last_s * 1000, held.getCurrentWatermarkMs())) + IDLE_MS)
+def last_ms(pdf: pd.DataFrame) -> int:
+    """The latest event time of the rows, in milliseconds."""
+    return int(pdf["ts"].max().timestamp() * 1000)
+
+
+def _expire(held: GroupState, last: int) -> None:
+    held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + IDLE_MS)
 
 
 def _frames(pdfs: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray]:
@@ -54,7 +64,7 @@ def _stateful(stream: DataFrame, step, output: str, state: str) -> DataFrame:
         if len(pdf):
             rows, new = step(held.get if held.exists else None, pdf, x)
             held.update(new)
-            _expire(held, pdf["t_s"].iloc[-1])
+            _expire(held, last_ms(pdf))
             if len(rows):
                 rows.insert(0, "recording_id", key[0])
                 yield rows
@@ -155,8 +165,8 @@ def trailing_and_kalman(stream: DataFrame, channels: int = 3, n: int = 125, fs:
     """The rolling filter and its Kalman smoothing, sample by sample: ``sample_idx, t_s, filtered, kalman`` (arrays).
 
     A malformed frame repeats the last good one; leading frames before the first good one, or without any signal, are
-    left out. State: the last ``n - 1`` good frames and the filter's mean and
-    variance, so both streams come out of one step and need no join.
+    left out. After a gap in ``sample_idx`` both begin anew, as in the batch form. State: the last ``n`` good frames, the
+    filter's mean and variance and the last frame's number, so both streams come out of one step and need no join.
     """
     h = K.trailing_weights(n, fs)
 
@@ -164,9 +174,10 @@ def trailing_and_kalman(stream: DataFrame, channels: int = 3, n: int = 125, fs:
         if held.hasTimedOut:
             held.remove()
             return
-        tail, mean, p, seen = held.get if held.exists else ([], [0.0] * channels, 1000.0, 0)
+        tail, mean, p, seen, before = held.get if held.exists else ([], [0.0] * channels, 1000.0, 0, -1)
         tail = np.asarray(tail, float).reshape(-1, channels)
         pdf = pd.concat(list(pdfs)).sort_values(["t_s", "sample_idx"])
+        until = last_ms(pdf)
         good = pdf["ch"].map(lambda c: c is not None and len(c) >= channels).to_numpy(bool)
         new = np.full((len(pdf), channels), np.nan)
         for i in np.flatnonzero(good):
@@ -176,23 +187,33 @@ def trailing_and_kalman(stream: DataFrame, channels: int = 3, n: int = 125, fs:
         new = np.where((last >= 0)[:, None], new[last], tail[-1] if len(tail) else np.nan)
         live = np.ones(len(pdf), bool) if len(tail) else np.maximum.accumulate((last >= 0) & (new != 0).any(1))
         pdf, new = pdf[live], new[live]
-        x = np.concatenate([tail, new])
-        number = seen + np.arange(1, len(new) + 1)  # place of each new frame, from 1
-        rows, mean = [], np.asarray(mean, float)
-        if len(x) >= n:
-            value = np.lib.stride_tricks.sliding_window_view(x, n, axis=0) @ h  # ends at frames n - 1, n, ... of x
-            value = np.concatenate([np.full((len(x) - len(value), channels), np.nan), value])[len(tail) :]
-            for k in np.flatnonzero(number > n):
-                p += 0.5
-                gain = p / (p + 0.5)
-                mean, p = mean + gain * (value[k] - mean), (1 - gain) * p
-                rows.append((key[0], pdf["sample_idx"].iloc[k], pdf["t_s"].iloc[k], value[k], mean))
-        held.update((x[-n:].ravel().tolist(), mean.tolist(), float(p), seen + len(new)))
-        _expire(held, pdf["t_s"].iloc[-1] if len(pdf) else 0.0)
-        yield pd.DataFrame(rows, columns=["recording_id", "sample_idx", "t_s", "filtered", "kalman"])
+        index = pdf["sample_idx"].to_numpy()
+        rows = []
+        breaks = np.flatnonzero(np.diff(np.append(before, index)) != 1) if len(index) else np.empty(0, np.int64)
+        for part in np.split(np.arange(len(index)), breaks):
+            if not len(part):
+                continue
+            if part[0] in breaks:  # nothing of what was before counts
+                tail, mean, p, seen = tail[:0], [0.0] * channels, 1000.0, 0
+            x = np.concatenate([tail, new[part]])
+            number = seen + np.arange(1, len(part) + 1)  # place of each new frame, from 1
+            mean = np.asarray(mean, float)
+            if len(x) >= n:
+                value = np.lib.stride_tricks.sliding_window_view(x, n, axis=0) @ h  # ends at frames n - 1, n, ... of x
+                value = np.concatenate([np.full((len(x) - len(value), channels), np.nan), value])[len(tail) :]
+                for k in np.flatnonzero(number > n):
+                    p += 0.5
+                    gain = p / (p + 0.5)
+                    mean, p = mean + gain * (value[k] - mean), (1 - gain) * p
+                    rows.append((key[0], index[part[k]], pdf["t_s"].iloc[part[k]], value[k], mean))
+            tail, seen, before = x[-n:], seen + len(part), int(index[part[-1]])
+        held.update((tail.ravel().tolist(), np.asarray(mean, float).tolist(), float(p), seen, before))
+        _expire(held, until)
+        if rows:
+            yield pd.DataFrame(rows, columns=["recording_id", "sample_idx", "t_s", "filtered", "kalman"])
 
     out = "recording_id string, sample_idx long, t_s double, filtered array<double>, kalman array<double>"
-    return stream.groupBy("recording_id").applyInPandasWithState(run, out, "t array<double>, m array<double>, p double, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.groupBy("recording_id").applyInPandasWithState(run, out, "t array<double>, m array<double>, p double, n long, i long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def causal_stream(stream: DataFrame, channel: int = 0, fs: float = 250.0) -> DataFrame:
@@ -222,14 +243,12 @@ def align(a: DataFrame, b: DataFrame, slack: str = "5 seconds") -> DataFrame:
     return x.join(y, near).select("recording_id", "sample_idx", "ts", "value", "other")
 
 
-def write_pair(stream: DataFrame, path_filtered: str, path_kalman: str, checkpoint: str):
-    """Both CSV tables of the rolling filter from one query: each micro-batch is kept once and written twice."""
+def write_pair(stream: DataFrame, path_filtered: str, path_kalman: str, checkpoint: str, available_now: bool = False):
+    """Both CSV tables of the rolling filter from one query, every row once in each; see ``write_by_batch``."""
+    sinks = {path_filtered: "filtered", path_kalman: "kalman"}
+    return R.write_by_batch(stream, {p: lambda b, c=c: b.select(*R.pair_columns(c)) for p, c in sinks.items()}, checkpoint, available_now=available_now)
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        for column, path in (("filtered", path_filtered), ("kalman", path_kalman)):
-            columns = [F.element_at(column, i).alias(f"Canal{i}") for i in (1, 2, 3)]
-            batch.select("recording_id", F.col("t_s").alias("Timestamp"), *columns).write.mode("append").option("header", True).csv(path)
-        batch.unpersist()
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+def write_band_table(stream: DataFrame, path: str, checkpoint: str, *keys: str, available_now: bool = False):
+    """The band table of a stream of powers (``channel`` from 1, ``band``) as CSV, every row once; all powers of a window come in one batch."""
+    return R.write_by_batch(stream, {path: lambda b: R.band_table(b, *keys)}, checkpoint, available_now=available_now)

@@ -2,9 +2,11 @@
 
 import json
 import os
+import shutil
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from sigmill.functions import kernels as K
@@ -13,7 +15,7 @@ from sigmill.operators import signals as S
 from sigmill.plans import jobs
 from sigmill.sources import recordings as R
 from sigmill.sources import views as V
-from sigmill.streaming import stateful
+from sigmill.streaming import keyed, stateful, windows
 
 N = 620
 
@@ -96,6 +98,114 @@ def test_aligned_streams(spark, fed, tmp_path):
     assert drained(spark, stateful.align(one, two), tmp_path).count() == batch.count()
 
 
+@pytest.mark.parametrize("form", ["tumbling", "hopping", "causal"])
+def test_keyed_state_across_a_restart(spark, fed, tmp_path, form):
+    """A stream that is stopped after two of five files and goes on from its checkpoint gives what its batch twin gives."""
+    folder, batch = fed
+    first = tmp_path / "in"
+    first.mkdir()
+    samples = O.frames_to_samples(batch).withColumnRenamed("channel_idx", "channel")
+    make = {"tumbling": lambda s: keyed.tumbling(s, 100), "hopping": keyed.hopping, "causal": keyed.causal}[form]
+    twin = {"tumbling": lambda: O.tumbling_windows(samples, 100, "channel"), "hopping": lambda: O.hop_epochs(samples, "channel"), "causal": lambda: S.causal_chain(batch)}[form]
+    keys, value = {"tumbling": (("window_idx", "channel"), "x"), "hopping": (("epoch", "channel"), "x"), "causal": (("sample_idx",), "value")}[form]
+    for files in (range(2), range(2, 5)):
+        for k in files:
+            shutil.copy2(f"{folder}/{k}.json", first / f"{k}.json")
+        q = R.publish(make(source(spark, str(first))), str(tmp_path / "out"), str(tmp_path / "checkpoint"), available_now=True)
+        assert q.awaitTermination(120)
+    as_dict = lambda df: {(r["recording_id"], *(r[k] for k in keys)): np.ravel(r[value]) for r in df.collect()}
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    got, want = as_dict(rows), as_dict(twin())
+    assert rows.count() == len(got) and got.keys() == want.keys() and len(got) > 40
+    assert all(np.allclose(got[k], want[k], atol=1e-7) for k in got)
+
+
+def test_live_views(spark, fed, tmp_path):
+    folder, batch = fed
+    got = {(r["recording_id"], r["channel"], r["sample_idx"]): (r["lo"], r["hi"], r["shown_lo"], r["shown_hi"]) for r in drained(spark, keyed.rolling_range(source(spark, folder), 90), tmp_path / "r").collect()}
+    twin = S.rolling_range(O.frames_to_samples(batch).withColumnRenamed("channel_idx", "channel"), 90)
+    want = {(r["recording_id"], r["channel"], r["sample_idx"]): (r["lo"], r["hi"], r["shown_lo"], r["shown_hi"]) for r in twin.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
+    views = drained(spark, keyed.latest_n(source(spark, folder), 70), tmp_path / "l").collect()
+    last = {r: max(v["view"] for v in views if v["recording_id"] == r) for r in ("a", "b")}
+    assert last == {"a": 4, "b": 4}
+    got = {(v["recording_id"], v["sample_idx"]): v["ch"] for v in views if v["view"] == last[v["recording_id"]]}
+    assert got == {(r["recording_id"], r["sample_idx"]): r["ch"] for r in O.latest_n(batch, 70).collect()}
+
+
+def test_first_frame_at_time_zero(spark, tmp_path):
+    """Recordings count their time from 0; none of their frames is late by the clock of arrival, in any batch."""
+    rows = [("a", i, i / 250.0, [float(i), 1.0]) for i in range(500)]
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        text = "".join(json.dumps(dict(zip(("recording_id", "sample_idx", "t_s", "ch"), (f"r{k}", *r[1:]), strict=True))) + "\n" for r in rows)
+        (tmp_path / "in" / f"{k}.json").write_text(text)
+        os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + 3600 * k,) * 2)
+    for k, make in enumerate((stateful.causal_stream, keyed.causal)):
+        stream = R.read_sample_stream(spark, str(tmp_path / "in"), files_per_batch=1)
+        got = drained(spark, make(stream), tmp_path / str(k)).groupBy("recording_id").count().collect()
+        assert {r["recording_id"]: r["count"] for r in got} == {"r0": 500, "r1": 500}
+
+
+def test_gap_in_a_stream(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [("a", i, 1000 + i / 250.0, rng.normal(size=3).tolist()) for i in range(700) if i not in (20, *range(300, 320))]
+    (tmp_path / "in").mkdir()
+    for k, part in enumerate((rows[:150], rows[150:290], rows[290:])):
+        (tmp_path / "in" / f"{k}.json").write_text("".join(json.dumps(dict(zip(("recording_id", "sample_idx", "t_s", "ch"), r, strict=True))) + "\n" for r in part))
+        os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + 10 * k,) * 2)
+    batch = spark.createDataFrame(rows, "recording_id string, sample_idx long, t_s double, ch array<double>")
+    got = {r["sample_idx"]: r for r in drained(spark, stateful.trailing_and_kalman(source(spark, str(tmp_path / "in")), factor=1.0), tmp_path).collect()}
+    want = jobs.filter_rolling(batch, factor=1.0).collect()
+    assert {r["sample_idx"] for r in want} == set(got) == {*range(146, 300), *range(445, 700)}
+    assert all(abs(got[r["sample_idx"]][c][r["channel_idx"]] - r[c]) < 1e-9 for r in want for c in ("filtered", "kalman"))
+
+
+def test_late_and_repeated_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    line = lambda i: json.dumps({"recording_id": "a", "sample_idx": i, "ts": f"2025-01-01T00:00:{i / 10:06.3f}Z", "value": float(i)}) + "\n"
+    batches = [[*range(0, 100), 50, 51, 52], [*range(100, 120)], [*range(120, 200), 99, 98, 3, 20, 21], [*range(200, 300)]]
+    batches[0] = [i for i in batches[0] if i not in (20, 95)]
+    batches[2].append(95)
+    for k, part in enumerate(batches):
+        (tmp_path / "in" / f"{k}.json").write_text("".join(map(line, part)))
+        os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + 10 * k,) * 2)
+    raw = spark.readStream.schema("recording_id string, sample_idx long, ts timestamp, value double").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    stream = windows.event_windows(raw.withWatermark("ts", "2 seconds"), seconds=4, fs=10.0, whole=False)
+    q = R.publish(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), available_now=True)
+    assert q.awaitTermination(90)
+    got = {r["start"].second: r["x"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    due = {s: [float(i) for i in range(10 * s, 10 * s + 40) if i != 20] for s in range(0, 24, 4)}  # 20 comes too late, 95 in time
+    assert got == due
+    assert windows.late_rows(q) == 3  # 3, 20 and 21
+
+
+def test_write_pair_stopped_between_its_writes(spark, fed, tmp_path):
+    """The second table can't be written in the first run; after the restart every row is in both tables once."""
+    folder, _ = fed
+    f, k, checkpoint = (str(tmp_path / x) for x in "fkc")
+    (tmp_path / "k").write_text("a file where the folder is to be")
+    stream = lambda: stateful.trailing_and_kalman(source(spark, folder))
+    q = stateful.write_pair(stream(), f, k, checkpoint, available_now=True)
+    with pytest.raises(StreamingQueryException):
+        q.awaitTermination(90)
+    assert os.listdir(f)  # the first table has the batch already
+    (tmp_path / "k").unlink()
+    assert stateful.write_pair(stream(), f, k, checkpoint, available_now=True).awaitTermination(90)
+    tables = [spark.read.option("header", True).csv(p) for p in (f, k)]
+    for t in tables:
+        assert t.count() == t.select("recording_id", "Timestamp").distinct().count() == 2 * (N - 125)
+    assert tables[0].select("batch", "recording_id", "Timestamp").exceptAll(tables[1].select("batch", "recording_id", "Timestamp")).count() == 0
+
+
+def test_band_table_of_a_stream(spark, fed, tmp_path):
+    folder, batch = fed
+    q = stateful.write_band_table(stateful.psd_windows(source(spark, folder), V.bands("welch5")), str(tmp_path / "t"), str(tmp_path / "c"), "window_idx", available_now=True)
+    assert q.awaitTermination(90)
+    got = spark.read.option("header", True).csv(str(tmp_path / "t"))
+    assert got.count() == 2 * (N // 40) and set(R.BAND_COLUMNS) <= set(got.columns)
+
+
 def test_pair_of_sinks(spark, fed, tmp_path):
     folder, batch = fed
     q = stateful.write_pair(stateful.trailing_and_kalman(source(spark, folder)), str(tmp_path / "f"), str(tmp_path / "k"), str(tmp_path / "c"))
@@ -105,7 +215,7 @@ def test_pair_of_sinks(spark, fed, tmp_path):
         q.stop()
     for p in ("f", "k"):
         t = spark.read.option("header", True).csv(str(tmp_path / p))
-        assert t.columns == ["recording_id", "Timestamp", "Canal1", "Canal2", "Canal3"] and t.count() == 2 * (N - 125)
+        assert t.columns == ["recording_id", "Timestamp", "Canal1", "Canal2", "Canal3", "batch"] and t.count() == 2 * (N - 125)
 
 
 def test_malformed_and_silent_frames(spark, tmp_path):
