@@ -190,12 +190,15 @@ def sample_intervals(frames: DataFrame, seconds: float = series.SECONDS) -> Data
     return found.withColumn("dt", F.col("t_s") - F.col("_before")).drop("_before")
 
 
-def recording_profile(samples: DataFrame, seconds: float = series.SECONDS) -> DataFrame:
-    """Rows, values, times, intervals and rate of each recording; a recording of one row has null intervals, rate 0."""
+def recording_profile(samples: DataFrame, seconds: float = series.SECONDS, *more: Column) -> DataFrame:
+    """Rows, values, times, intervals and rate of each recording; a recording of one row has null intervals, rate 0. Rows
+    without a time are no rows of it; ``more`` are aggregates of all its rows."""
+    timed = F.col("t_s").isNotNull()
     mean = F.avg("dt")
-    g = sample_intervals(samples, seconds).groupBy("recording_id").agg(
-        F.count("*").alias("n_rows"), F.count("value").alias("n_values"), F.min("t_s").alias("t_first"), F.max("t_s").alias("t_last"),
-        mean.alias("dt_mean"), F.min("dt").alias("dt_min"), F.max("dt").alias("dt_max"), F.stddev_pop("dt").alias("dt_std"),
+    found = series.previous(samples, ["recording_id"], ["t_s"], "t_s", "_before", seconds).withColumn("dt", F.col("t_s") - F.col("_before"))
+    g = found.groupBy("recording_id").agg(
+        F.count("t_s").alias("n_rows"), F.count(F.when(timed, F.col("value"))).alias("n_values"), F.min("t_s").alias("t_first"), F.max("t_s").alias("t_last"),
+        mean.alias("dt_mean"), F.min("dt").alias("dt_min"), F.max("dt").alias("dt_max"), F.stddev_pop("dt").alias("dt_std"), *more,
     )
     g = g.withColumn("duration", F.col("t_last") - F.col("t_first")).withColumn("rate", F.when(F.col("dt_mean") > 0, 1 / F.col("dt_mean")).otherwise(0.0))
     return g.withColumn("expected", F.col("duration") * F.col("rate")).withColumn("gap", F.abs(F.col("n_rows") - F.col("expected")))

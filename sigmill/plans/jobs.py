@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -32,6 +32,11 @@ def denoise_recordings(frames: DataFrame, seconds: float = 4.0, alpha: tuple[flo
     info = frames.groupBy("recording_id").agg(F.count("t_s").alias("_n"), F.min("t_s").alias("_a"), F.max("t_s").alias("_b"))
     info = info.select("recording_id", ((F.col("_n") - 1) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0))).alias("fs"), (F.col("_a") + (F.col("_b") - F.col("_a")) / 2).alias("_mid"))
     cut = frames.join(info, "recording_id").filter(F.col("t_s").between(F.col("_mid"), F.col("_mid") + seconds))
+    return _cleaned(cut, alpha)
+
+
+def _cleaned(cut: DataFrame, alpha: tuple[float, float]) -> DataFrame:
+    """``denoise_recordings`` from the slices on: ``recording_id, fs, sample_idx, ch``."""
     pairs = F.posexplode(F.arrays_zip(F.col("ch").alias("raw"), O.common_average(F.col("ch")).alias("car")))
     rows = cut.select("recording_id", "fs", "sample_idx", pairs.alias("channel", "v")).select("recording_id", "channel", "fs", "sample_idx", "v.raw", "v.car")
     collected, arrays = _packed("raw", "car")
@@ -63,29 +68,40 @@ def denoise_recordings(frames: DataFrame, seconds: float = 4.0, alpha: tuple[flo
     return done.withColumn("difference", gap).withColumn("percent", F.when(F.col("power_raw") > 0, gap / F.col("power_raw") * 100).otherwise(0.0))
 
 
-def denoise_files(spark: SparkSession, path: str, seconds: float = 4.0, canal: bool = False) -> DataFrame:
+def denoise_files(spark: SparkSession, path: str, seconds: float = 4.0, alpha: tuple[float, float] = (8.0, 13.0), canal: bool = False) -> DataFrame:
     """``denoise_recordings`` of a folder of raw exports, from the files on: ``n_rows`` and ``n_dropped`` beside its columns.
 
     Headers are found and cleaned, time and channel columns detected, times parsed, rows without one dropped and counted,
     times taken from the recording's first one, cells cleaned. ``channel`` is the place among the file's channels and
     ``name`` its name. A recording that has no row with a time has no result.
     """
-    frames = R.read_folder(spark, path, canal=canal)
-    counts = frames.groupBy("recording_id").agg(F.count("*").alias("n_rows"), F.count_if("bad_time").alias("n_dropped"), F.first("channel_names").alias("_names"))
-    done = denoise_recordings(O.relative_time(frames.filter(~F.col("bad_time"))), seconds)
-    return done.join(counts, "recording_id").withColumn("name", F.try_element_at("_names", F.col("channel") + 1)).drop("_names")
+    frames = R.read_folder(spark, path, canal=canal, numbered=False)
+    # one aggregate has the counts, the rate and the middle; the files are parsed once for it and once for the slices
+    micros, good = F.unix_micros("ts"), ~F.col("bad_time")
+    info = frames.groupBy("recording_id").agg(
+        F.count("*").alias("n_rows"), F.count_if("bad_time").alias("n_dropped"), F.first("channel_names").alias("_names"),
+        F.min("t_s").alias("_t0"), F.max("t_s").alias("_t1"), F.min(micros).alias("_u0"), F.max(micros).alias("_u1"),
+    )
+    # whole microseconds where the times are clock times: seconds of the epoch as a double are too coarse for a rate
+    length = F.coalesce((F.col("_u1") - F.col("_u0")) / F.lit(1e6), F.col("_t1") - F.col("_t0"))
+    info = info.withColumn("fs", (F.col("n_rows") - F.col("n_dropped") - 1) / F.nullif(length, F.lit(0.0))).withColumn("_mid", length / 2).withColumn("name", F.col("_names")).drop("_t1", "_u1", "_names")
+    since = F.coalesce((micros - F.col("_u0")) / F.lit(1e6), F.col("t_s") - F.col("_t0"))
+    cut = frames.filter(good).join(info.select("recording_id", "fs", "_mid", "_t0", "_u0"), "recording_id").withColumn("t_s", since).filter(F.col("t_s").between(F.col("_mid"), F.col("_mid") + seconds))
+    # only the slices are put in order
+    cut = cut.withColumn("sample_idx", F.row_number().over(Window.partitionBy("recording_id").orderBy("t_s", "ch")))
+    done = _cleaned(cut.select("recording_id", "fs", "sample_idx", "ch"), alpha)
+    return done.join(info.select("recording_id", "n_rows", "n_dropped", "name"), "recording_id").withColumn("name", F.try_element_at("name", F.col("channel") + 1))
 
 
 def profile_files(spark: SparkSession, path: str, channel: str | None = None, canal: bool = False) -> DataFrame:
     """``recording_profile`` of every file of a folder, from the files on, for its channel of that name, or else its first
     channel by the usual aliases: ``channel`` says which. A file that lacks the named channel has no row."""
-    frames = R.read_folder(spark, path, canal=canal)
+    frames = R.read_folder(spark, path, canal=canal, numbered=False)
     which = F.lit(channel) if channel else R.first_channel_column(F.col("channel_names"))
     value = F.try_element_at("ch", F.nullif(F.array_position("channel_names", which), F.lit(0)).cast("int"))
     samples = frames.withColumn("channel", which).filter(F.array_contains("channel_names", F.col("channel")))
-    samples = samples.select("recording_id", "sample_idx", "t_s", F.nanvl(value, F.lit(None).cast("double")).alias("value"), "channel", "bad_time")
-    names = samples.groupBy("recording_id").agg(F.first("channel").alias("channel"), F.count_if("bad_time").alias("n_dropped"))
-    return O.recording_profile(samples.filter(~F.col("bad_time"))).join(names, "recording_id")
+    samples = samples.select("recording_id", "t_s", F.nanvl(value, F.lit(None).cast("double")).alias("value"), "channel", "bad_time")
+    return O.recording_profile(samples, O.series.SECONDS, F.first("channel").alias("channel"), F.count_if("bad_time").alias("n_dropped"))
 
 
 def denoise_windows(samples: DataFrame, n: int = 1000, fs: float = 250.0) -> DataFrame:

@@ -402,6 +402,14 @@ def rolling_range(spark, sf_dir):
     return r.select("recording_id", "channel", "sample_idx", r6("lo", "lo"), r6("hi", "hi"), r6("shown_lo", "shown_lo", 4), r6("shown_hi", "shown_hi", 4))
 
 
+@query("""select recording_id, channel, sample_idx, round(case when sample_idx < 99 then least(lo, 0) else lo end, 6) + 0.0 as lo, round(case when sample_idx < 99 then greatest(hi, 0) else hi end, 6) + 0.0 as hi
+from (select *, min(value) over w as lo, max(value) over w as hi from long_samples window w as (partition by recording_id, channel order by sample_idx rows 99 preceding))""", LO)
+def rolling_range_prefilled(spark, sf_dir):
+    """The same over places that hold zeros before the first sample comes."""
+    r = S.rolling_range(V.long_samples(spark, sf_dir), 100, prefill_zero=True)
+    return r.select("recording_id", "channel", "sample_idx", r6("lo", "lo"), r6("hi", "hi"))
+
+
 @query("""select recording_id, channel, sample_idx // 1000 as window_idx, round(min(t_s), 6) as t0, round(avg(value), 6) + 0.0 as mean, round(arg_max(value, sample_idx), 6) as last
 from long_samples group by 1, 2, 3 having count(*) = 1000""", LO)
 def tumbling_windows(spark, sf_dir):
@@ -707,6 +715,13 @@ def minmax_channels(spark, sf_dir):
 POWERS = "select recording_id::varchar as recording_id, epoch, band, channel, round(power, 6) + 0.0 as power, round(scaled, 6) + 0.0 as scaled from (" + SCALED.replace("select recording_id", "select power, recording_id", 1) + ")"
 
 
+@query(POWERS.replace("recording_id::varchar as ", "", 1), FR, BA, EPOCHS)
+def band_power_epochs(spark, sf_dir):
+    """Batch twin of the band-power stream."""
+    got = jobs.band_power_epochs(V.frames(spark, sf_dir), V.bands("fft5"))
+    return got.select("recording_id", "epoch", "band", "channel", r6("power", "power"), r6("scaled", "scaled"))
+
+
 @query(POWERS, FR, BA, EPOCHS)
 def band_power_stream(spark, sf_dir):
     """The band-power stream itself, run over the frames until they end."""
@@ -765,6 +780,16 @@ OFFLINE = [
 ]
 
 
+@query("""select recording_id, channel, n, round(fs, 6) + 0.0 as fs, round(a, 6) + 0.0 as power_raw, round(b, 6) + 0.0 as power_proc, round(b - a, 6) + 0.0 as difference, round(case when a > 0 then (b - a) / a * 100 else 0 end, 6) + 0.0 as percent,
+round(list_avg(r.raw), 6) + 0.0 as envelope_raw, round(list_avg(q.proc), 6) + 0.0 as envelope_proc, round(list_max([abs(v - list_avg(p.proc)) for v in p.proc]) / list_aggregate(p.proc, 'stddev_pop'), 6) + 0.0 as peak_z
+from powers p join raw_size r using (recording_id, channel) join proc_size q using (recording_id, channel)""", FR, CHANNELS, *OFFLINE)
+def denoise_frames(spark, sf_dir):
+    """Cleaning of frames that are in a table already."""
+    d = jobs.denoise_recordings(V.frames(spark, sf_dir))
+    peak = F.aggregate("z", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    return d.select("recording_id", "channel", "n", *[r6(c, c) for c in ("fs", "power_raw", "power_proc", "difference", "percent", "envelope_raw", "envelope_proc")], r6(peak, "peak_z"))
+
+
 @query("""select recording_id::varchar as recording_id, channel, case when recording_id < 4 then 'Channel_' || (channel + 1) else ['Fp1', 'Fp2', 'C3', 'C4', 'P3', 'P4', 'O1', 'O2'][channel + 1] end as name, lost.n_rows, lost.n_dropped,
 n, round(fs, 6) + 0.0 as fs, round(a, 6) + 0.0 as power_raw, round(b, 6) + 0.0 as power_proc, round(b - a, 6) + 0.0 as difference, round(case when a > 0 then (b - a) / a * 100 else 0 end, 6) + 0.0 as percent,
 round(list_avg(r.raw), 6) + 0.0 as envelope_raw, round(list_avg(q.proc), 6) + 0.0 as envelope_proc, round(list_max([abs(v - list_avg(p.proc)) for v in p.proc]) / list_aggregate(p.proc, 'stddev_pop'), 6) + 0.0 as peak_z

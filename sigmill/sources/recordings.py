@@ -61,13 +61,14 @@ def recording_name(path: Column) -> Column:
     return F.when(folder != "", folder).otherwise(own)
 
 
-def read_recordings(spark: SparkSession, path: str | list[str], units_row: bool = True, canal: bool = False, seconds: float = series.SECONDS) -> DataFrame:
+def read_recordings(spark: SparkSession, path: str | list[str], units_row: bool = True, canal: bool = False, seconds: float = series.SECONDS, numbered: bool = True) -> DataFrame:
     """CSV recordings of one header family as frames: ``recording_id, sample_idx, t_s, ts, ch, bad_time, channel_names``.
 
     All columns are read as text and cast after the header is sniffed; a file with another header fails the job. A
     clinical export has a row of units below the header: with ``units_row``, rows whose time does not parse while no
     channel is a number are dropped. ``sample_idx`` is the order by time within the recording, rows of bad time last,
-    by their values; no task sorts more than ``seconds`` of a recording. A time like ``[hh:mm:ss.mmm dd/mm/yyyy]`` gives ``ts`` and seconds of the epoch in ``t_s``, a
+    by their values; no task sorts more than ``seconds`` of a recording. Without
+    ``numbered`` it is left out, and rows come as they are read: nothing is sorted or shuffled. A time like ``[hh:mm:ss.mmm dd/mm/yyyy]`` gives ``ts`` and seconds of the epoch in ``t_s``, a
     numeric one goes to ``t_s`` directly. Rows whose time is bad stay, with ``bad_time``.
     """
     raw = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
@@ -82,6 +83,8 @@ def read_recordings(spark: SparkSession, path: str | list[str], units_row: bool
     if units_row:
         out = out.filter(F.col("t_s").isNotNull() | F.exists("ch", lambda x: x.isNotNull()))
     out = out.withColumn("bad_time", F.col("t_s").isNull()).withColumn("channel_names", F.array(*[F.lit(c) for c in channels]))
+    if not numbered:
+        return out.select("recording_id", "t_s", "ts", "ch", "bad_time", "channel_names")
     # rows of bad time count as of an endless time: they are last, in buckets of their own
     order = [F.coalesce("t_s", F.lit(float("nan"))), "ch"]
     return series.number(out, ["recording_id"], order, seconds).select("recording_id", "sample_idx", "t_s", "ts", "ch", "bad_time", "channel_names")
@@ -122,7 +125,8 @@ def read_folder(spark: SparkSession, path: str | list[str], canal: bool = False,
         raise ValueError("no time or channel in the header of " + ", ".join(r["paths"][0] for r in wrong[:5]))
     paths = [r["paths"] for r in families if usable(r["header"], canal)]
     if not paths:
-        return spark.createDataFrame([], "recording_id string, sample_idx long, t_s double, ts timestamp, ch array<double>, bad_time boolean, channel_names array<string>")
+        none = spark.createDataFrame([], "recording_id string, sample_idx long, t_s double, ts timestamp, ch array<double>, bad_time boolean, channel_names array<string>")
+        return none if options.get("numbered", True) else none.drop("sample_idx")
     return read_families(spark, paths, canal=canal, **options)
 
 
