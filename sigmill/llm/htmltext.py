@@ -38,6 +38,10 @@ HINTS = set(
     "recommendations footer foot masthead topbar popup modal overlay login search pagination pager toolbar copyright "
     "banner".split()
 )
+# Of these, words that mean the same as parts of a longer name within an article, and those that even a paragraph may bear.
+PLAIN_HINTS = set("adsense adbox disqus comment comments newsletter sidebar sidebars breadcrumb breadcrumbs cookie cookies".split())
+ADVERTS = set("ad ads adv advert adverts advertisement advertisements adsense adbox sponsored promo newsletter cookie cookies consent".split())
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"ul", "ol", "dl", "table", "tbody", "thead", "div", "section", "article", "main", "body", "html", "nav", "aside", "header", "footer", "form", "blockquote"}
@@ -48,40 +52,56 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORDS = re.compile(r"[A-Za-z]+")
 
 
-def _is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
+#: How an element is treated: as text, left out unless it holds the only article, left out.
+TEXT, HINTED, OUT = range(3)
+
+
+def _treatment(tag: str, attributes: str, in_main: bool) -> int:
+    """What element name and attributes say. Outside an article any part of a class or id may be a hint, within one a whole
+    class or a part that can't be mistaken, and paragraphs and the like go only as adverts."""
     if tag in NOT_TEXT or (tag == "header" and not in_main):
-        return True
+        return OUT
     if not attributes or tag in ("html", "body"):
-        return False
+        return TEXT
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN.search(value)):
-            return True
+            return OUT
         if name == "role" and value.lower() in ROLES:
-            return True
+            return OUT
         if name in ("class", "id"):
             words = {w.lower() for part in WORDS.findall(value) for w in (part, *re.findall(r"[A-Z]?[a-z]+", part))}
-            if (tag not in WHOLE and words & HINTS) or (tag == "article" and words & {"comment", "comments", "reply", "teaser", "ad", "promo", "related"}):
-                return True
-    return False
+            if tag == "article" and words & {"comment", "comments", "reply", "teaser", "ad", "promo", "related"}:
+                return OUT
+            if tag in WHOLE:
+                continue
+            if in_main:
+                whole = set(value.lower().split())
+                if whole & ADVERTS if tag in TEXTUAL else whole & HINTS or words & PLAIN_HINTS:
+                    return OUT
+            elif words & HINTS:
+                return HINTED
+    return TEXT
 
 
 def blocks(page: str) -> list[tuple[str, bool]]:
     """Text blocks of a page in order, with whether each lies in an article or main element.
 
-    Blocks below boilerplate elements are left out. Inline elements and line breaks don't end a block. Character
-    references are decoded, white space is made one space. A tag that the end of the page cuts off is dropped.
+    Blocks below boilerplate elements are left out. An article or main element below one that a mere hint marks (a wrapper
+    with the class ``no-sidebar``) counts if the page has none elsewhere and it holds more text than the rest. Inline
+    elements and line breaks don't end a block. Character references are decoded, white space is made one space. A tag
+    that the end of the page cuts off is dropped.
     """
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, bool, int]] = []
     words: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, below boilerplate, below article or main
-    at, drop, main = 0, False, False
+    stack: list[tuple[str, int, bool]] = []  # name, treatment, below article or main
+    at, drop, main = 0, TEXT, False
 
     def close() -> None:
         if words:
             text = " ".join("".join(words).split())
             if text:
-                out.append((text, main))
+                out.append((text, main, drop))
             words.clear()
 
     def cut(depth: int) -> None:
@@ -89,12 +109,12 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         if any(name not in INLINE for name, _, _ in stack[depth:]):
             close()
         del stack[depth:]
-        _, drop, main = stack[-1] if stack else ("", False, False)
+        _, drop, main = stack[-1] if stack else ("", TEXT, False)
 
     while True:
         m = TAG.search(page, at)
         chunk = page[at : m.start() if m else len(page)]
-        if chunk and not drop:
+        if chunk and (drop == TEXT or (drop == HINTED and main)):
             words.append(html.unescape(chunk))
         if not m:
             break
@@ -112,7 +132,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
                     close()
             continue
         if tag in VOID:
-            if not drop:
+            if drop != OUT:
                 if tag == "br":
                     words.append(" ")
                 elif tag not in INLINE:
@@ -133,12 +153,14 @@ def blocks(page: str) -> list[tuple[str, bool]]:
             continue
         if m.group(3).endswith("/") and tag in ("svg", "iframe"):
             continue
-        below = drop or _is_boilerplate(tag, m.group(3), main)
+        below = max(drop, _treatment(tag, m.group(3), main))
         inside = main or tag in MAIN
         stack.append((tag, below, inside))
         drop, main = below, inside
     close()
-    return out
+    size = lambda kind: sum(len(t) for t, _, d in out if d == kind)
+    hinted = not any(m and d == TEXT for _, m, d in out) and size(HINTED) > size(TEXT)
+    return [(t, m) for t, m, d in out if d == TEXT or hinted]
 
 
 def line_hashes(found: list[tuple[str, bool]]) -> list[int]:
