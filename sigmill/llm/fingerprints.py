@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from sigmill.llm.common import documents, with_position
 
-#: 64-bit hashes of a unit; each gives 63 lanes, packed three to a long.
-HASHES = 2
+#: 64-bit hashes of a unit, each of which gives 63 lanes, packed three to a long: one of the unit alone, whose sums are the
+#: multiset hash proper, and two of the unit with the number of its copy, from which likeness is told.
+SUMS, COPIES = 1, 2
 #: A lane counts modulo 2**20 and has one guard bit, so that packed sums never carry from lane to lane.
 LANE, WIDTH = 20, 21
 ONES = sum(1 << (WIDTH * j) for j in range(3))
 FULL = ((1 << LANE) - 1) * ONES
-LANES = HASHES * 3 * WIDTH
+LENGTH = 1 + (SUMS + COPIES) * WIDTH
 #: Paragraphs end at line breaks; a paragraph is the multiset of its sentences, in any script's marks.
 UNIT_GAP = r"[\r\n]+|(?<=[.!?؟।])\x20+|(?<=[。！？])"
 #: A sentence of more code points is cut again before words of nine characters and more: by what it holds, not by place.
@@ -26,13 +27,11 @@ def units(text: Column) -> Column:
     return F.filter(F.flatten(parts), lambda u: u != "")
 
 
-def _wide(unit: Column) -> Column:
-    """The wide 0/1 vector of a unit, packed: every bit of its hashes is one lane."""
-    out = [F.lit(1).cast("long")]  # the number of units
-    for i in range(HASHES):
-        h = F.xxhash64(unit, F.lit(i))
-        out += [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ONES)) for k in range(WIDTH)]
-    return F.array(*out)
+def _wide(unit: Column, copy: Column) -> Column:
+    """The wide 0/1 vector of a unit and the number of its copy, packed: every bit of its hashes is one lane."""
+    hashes = [F.xxhash64(unit, F.lit(i)) for i in range(SUMS)] + [F.xxhash64(unit, copy, F.lit(i)) for i in range(COPIES)]
+    lanes = F.transform(F.array(*hashes), lambda h: F.array(*[F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ONES)) for k in range(WIDTH)]))
+    return F.concat(F.array(F.lit(1).cast("long")), F.flatten(lanes))  # the first counts units
 
 
 def _plus(a: Column, b: Column) -> Column:
@@ -45,49 +44,65 @@ def _minus(a: Column, b: Column) -> Column:
 
 
 def empty() -> Column:
-    return F.array_repeat(F.lit(0).cast("long"), HASHES * WIDTH + 1)
+    return F.array_repeat(F.lit(0).cast("long"), LENGTH)
+
+
+def _sum(parts: Column) -> Column:
+    """Sum of the wide vectors of an array of units. Sorted, equal units stand together and are numbered on the way."""
+    copy = lambda acc, u: F.when(acc["unit"] == u, acc["copy"] + 1).otherwise(F.lit(1))
+    start = F.struct(F.lit("").alias("unit"), F.lit(0).alias("copy"), empty().alias("v"))
+    step = lambda acc, u: F.struct(u.alias("unit"), copy(acc, u).alias("copy"), _plus(acc["v"], _wide(u, copy(acc, u))).alias("v"))
+    return F.aggregate(F.array_sort(parts), start, step, lambda acc: acc["v"])
 
 
 def fingerprint(text: Column) -> Column:
     """Sum of the wide vectors of all units, lanes modulo 2**20: the order of units doesn't matter."""
-    return F.aggregate(units(text), empty(), lambda acc, u: _plus(acc, _wide(u)))
+    return _sum(units(text))
+
 
+def _share(text: Column, beside: Column | None) -> Column:
+    """What ``text`` adds to the fingerprint of a document with the units ``beside``: only those that it has too count."""
+    own = units(text)
+    if beside is None:
+        return _sum(own)
+    same = F.filter(beside, lambda u: F.array_contains(own, u))
+    return _minus(_sum(F.concat(same, own)), _sum(same))
 
-def insert(vector: Column, text: Column) -> Column:
-    """The fingerprint after the units of ``text`` are added."""
-    return _plus(vector, fingerprint(text))
 
+def insert(vector: Column, text: Column, beside: Column | None = None) -> Column:
+    """The fingerprint after the units of ``text`` are added to a document that has the units ``beside``, of which
+    only those that ``text`` has too matter: their copies are numbered on. Without it the two share no unit."""
+    return _plus(vector, _share(F.col(text) if isinstance(text, str) else text, beside))
 
-def delete(vector: Column, text: Column) -> Column:
-    """The fingerprint after the units of ``text`` are taken away."""
-    return _minus(vector, fingerprint(text))
+
+def delete(vector: Column, text: Column, beside: Column | None = None) -> Column:
+    """The fingerprint after the units of ``text`` are taken away from a document that keeps the units ``beside``."""
+    return _minus(vector, _share(F.col(text) if isinstance(text, str) else text, beside))
 
 
 def written(vector: Column) -> Column:
     return F.lower(F.array_join(F.transform(vector, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def _signed(vector: Column) -> Column:
-    """Lanes as sums of +1 and -1: twice the count less the number of units."""
+def _copies(vector: Column) -> Column:
+    """The lanes of units with their copies' numbers, as sums of +1 and -1: twice the count less the number of units."""
     low = F.lit((1 << LANE) - 1)
-    counts = F.flatten(F.transform(F.slice(vector, 2, HASHES * WIDTH), lambda p: F.array(*[F.shiftrightunsigned(p, WIDTH * j).bitwiseAND(low) for j in range(3)])))
+    counts = F.flatten(F.transform(F.slice(vector, 2 + SUMS * WIDTH, COPIES * WIDTH), lambda p: F.array(*[F.shiftrightunsigned(p, WIDTH * j).bitwiseAND(low) for j in range(3)])))
     return F.transform(counts, lambda c: 2 * c - F.element_at(vector, 1))
 
 
-def _energy(lanes: Column) -> Column:
-    return F.aggregate(lanes, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v)
-
-
 def likeness(a: Column, b: Column) -> Column:
     """Likeness of two fingerprints, 0 to 1, exactly 1 for equal ones. It is meant for texts of fewer than 2**20 units:
     counts are kept modulo that, so beyond it only equality tells.
 
-    The expected squared distance of the signed lanes is the number of units in which the multisets differ, so
-    ``1 - |a - b|^2 / (|a|^2 + |b|^2)`` estimates the shared part.
+    It estimates the share of units, copies counted, that the two have in common: ``1 - d / (n + m)`` for ``n`` and ``m``
+    units of which ``d`` are in one text alone. The k-th copy of a unit is an element of its own, so each of the
+    ``d`` moves every signed lane by 1 or -1, and the mean over the lanes of the squared difference has the expectation
+    ``d``, with a deviation of ``d * sqrt(2 / 126)``. The number of units is in the fingerprint and is exact.
     """
-    apart = _energy(F.zip_with(_signed(a), _signed(b), lambda x, y: x - y))
-    size = _energy(_signed(a)) + _energy(_signed(b))
-    return F.when(apart == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - apart / size))
+    squares = F.aggregate(F.zip_with(_copies(a), _copies(b), lambda x, y: x - y), F.lit(0.0), lambda acc, v: acc + v.cast("double") * v)
+    d = squares / (COPIES * 3 * WIDTH)
+    return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - d / F.greatest(F.element_at(a, 1) + F.element_at(b, 1), F.lit(1))))
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
