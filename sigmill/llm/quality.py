@@ -150,7 +150,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500, s
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, epochs: int = 20) -> Model:
-    """Train on a bounded sample. Without labelled rows every text gets the score 0.5."""
+    """Train on a bounded sample of ``per_class`` labelled ids of each class.
+
+    Without labelled rows every text gets the score 0.5. Labels that are null or neither 0 nor 1, and null ids, are no
+    labels; of repeated labels the larger one counts; ids tie in no order but that of their hash. Null texts are
+    empty ones; of very long texts every byte is covered; rows of ``docs`` that share a drawn id are all taken.
+    """
     texts, y, prior = training_sample(docs, labels, per_class)
     if not texts:
         return Model(*(np.zeros(s, np.float32) for s in ((256, EMBED), (WIDTH * EMBED, FILTERS), FILTERS, FILTERS)), 0.0)
@@ -171,6 +176,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its score: repeated rows each, alike; null and empty texts with that of no text at
+    all; a null id is never held out. Other columns are ignored; an empty table gives an empty table."""
     docs = documents(spark, sf_dir)
     model = fit(docs, documents(spark, sf_dir, "labels"))
     scored = score_documents(docs, model)
@@ -178,7 +185,11 @@ def op1_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows that the model accepts, with their own columns. Each row is scored where it is."""
+    """The rows that the model accepts, with their own columns. Each row is scored where it is.
+
+    Null and empty texts are scored as empty and go or stay like others; repeated rows and rows with a null id are
+    judged each by its own text; a score of exactly 0.5 stays; an empty table gives an empty table.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

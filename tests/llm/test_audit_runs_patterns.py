@@ -9,12 +9,12 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SF, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sigmill.llm import filteraudit, patterns, queries
 from sigmill.llm import runs as R
+from tests.llm.conftest import SF, rows
 
 # ---- audit -------------------------------------------------------------------------------------------------------
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sigmill.llm import fingerprints, htmltext, media, mixing, packing, quality, secrets, tokencount
 from sigmill.llm.common import with_position
-from tests.llm.conftest import SF, SMALL, pandas
+from tests.llm.conftest import SF, SMALL, pandas, rows
 
 
 # ---- quality -----------------------------------------------------------------------------------------------------
@@ -303,15 +303,57 @@ def test_edited_texts_and_likeness(spark):
 
 
 def test_fingerprints_add_and_take_away(spark):
-    a, b = "One two. Three.\nFour five", "Six. One two."
+    a, b = "One two. Three.\nFour five. One two.", "Six. One two.\nOne two."
     f = fingerprints
-    row = spark.createDataFrame([(a, b)], "a string, b string").select(
-        f.fingerprint("a").alias("a"), f.fingerprint("b").alias("b"), f.insert(f.fingerprint("a"), "b").alias("ab"),
-        f.delete(f.insert(f.fingerprint("a"), "b"), "b").alias("a2"), f.insert(f.fingerprint("b"), "a").alias("ba"), f.delete(f.empty(), "a").alias("minus"),
+    of_a, of_b = f.units(F.col("a")), f.units(F.col("b"))
+    row = spark.createDataFrame([(a, b, a + "\n" + b)], "a string, b string, ab string").select(
+        f.fingerprint("a").alias("fa"), f.fingerprint("b").alias("fb"), f.fingerprint("ab").alias("fab"), f.insert(f.fingerprint("a"), "b", of_a).alias("a_b"),
+        f.delete(f.fingerprint("ab"), "b", of_a).alias("a2"), f.insert(f.fingerprint("b"), "a", of_b).alias("b_a"), f.delete(f.empty(), "a").alias("minus"),
+        f.insert(f.empty(), "a").alias("a3"),
     )
     r = row.first()
-    assert r["ab"] == r["ba"] and r["a2"] == r["a"] and r["a"] != r["b"]
-    assert all(0 <= x <= fingerprints.FULL for x in r["minus"])
+    assert r["fab"] == r["a_b"] == r["b_a"] and r["a2"] == r["fa"] == r["a3"] and r["fa"] != r["fb"] and len(r["fa"]) == f.LENGTH
+    assert all(0 <= x <= f.FULL for x in r["minus"])
+
+
+def counted(text):
+    """The units of a text by count, cut as the pattern says."""
+    parts = [u for u in re.split(fingerprints.UNIT_GAP, text) if u]
+    return Counter(v for u in parts for v in (re.split(fingerprints.WORD_GAP, u) if len(u) > fingerprints.LONG else [u]) if v)
+
+
+def test_fingerprints_against_a_twin(spark, docs, table):
+    """Every lane is the sum of bits of the hashes of numbered units, and likeness is the shared part of the units."""
+    got = {r["doc_id"]: r for r in docs.select("doc_id", fingerprints.fingerprint("text").alias("v")).collect()}
+    numbered = [(i, u, k + 1) for i, t in zip(table["doc_id"].tolist()[:40], table["text"], strict=False) for u, n in counted(t).items() for k in range(n)]
+    hashes = spark.createDataFrame(numbered, "doc_id long, u string, k int").select("doc_id", F.xxhash64("u", F.lit(0)).alias("a"), F.xxhash64("u", "k", F.lit(0)).alias("b"), F.xxhash64("u", "k", F.lit(1)).alias("c"))
+    want = {}
+    for i, *three in rows(hashes):
+        lanes = want.setdefault(i, [0] * fingerprints.LENGTH)
+        lanes[0] += 1
+        for j, h in enumerate(three):
+            for k in range(fingerprints.WIDTH):
+                lanes[1 + j * fingerprints.WIDTH + k] += ((h & ((1 << 64) - 1)) >> k) & fingerprints.ONES
+    assert len(want) == 40 and all(got[i]["v"] == v for i, v in want.items())
+
+
+def test_likeness_is_the_shared_part_of_units(spark, table):
+    """Also where one line is repeated many times."""
+    got = pandas(fingerprints.op6_fingerprints(spark, SMALL))
+    texts = table["text"].tolist()
+    edited = [t[: len(t) - len(t) // 4] + (texts[(k + 1) % len(texts)][: len(t) // 4]) for k, t in enumerate(texts)]
+    off = []
+    for k, t in enumerate(texts):
+        for other, near in ((edited[k], got["near_edited"][k]), (texts[(k + 1) % len(texts)], got["near_next"][k])):
+            a, b = counted(t), counted(other)
+            share = 2 * (a & b).total() / max(1, a.total() + b.total())
+            off.append(abs(near - share) / max(0.05, 1 - share))
+            assert near == 1 if a == b else off[-1] < 0.6
+    assert np.mean(off) < 0.12
+    line = "This line comes again.\n" * 200
+    pair = spark.createDataFrame([(line + "Other one.\n" * 50 + "A.\nB.\nC.", line[: 23 * 150] + "Other one.\n" * 50 + "A.\nB.\nD.")], "a string, b string")
+    near = pair.select(fingerprints.likeness(fingerprints.fingerprint("a"), fingerprints.fingerprint("b")).alias("x")).first()["x"]
+    assert abs(near - 2 * 202 / 456) < 0.05
 
 
 def test_fingerprints_of_odd_rows(odd, none):
@@ -429,6 +471,20 @@ def test_article_of_a_page(spark):
     assert htmltext.main_text("<div>" * 2000 + "deep" + "</div>" * 2000, None) == "deep"
 
 
+def test_hints_do_not_cost_an_article():
+    text = lambda page: htmltext.main_text(page, None)
+    body = "<h1>T</h1><p>One two three four.</p>"
+    assert text(f'<div class="content no-sidebar">menu<article>{body}</article>x</div>') == "T\nOne two three four."
+    assert text(f'<div class="related-wrap"><main>{body}</main></div>') == "T\nOne two three four."
+    assert text(f'<article>{body}<p class="social">Five</p><div class="notice-board"><p>Six</p></div></article>') == "T\nOne two three four.\nFive\nSix"
+    # but what a hint marks goes where there is an article elsewhere, or more text than in it
+    assert text(f'<article>{body}</article><div class="related"><article>Other</article></div>') == "T\nOne two three four."
+    assert text('<div><p>Long enough a text</p></div><div class="related"><article>Other</article></div>') == "Long enough a text"
+    assert text(f'<article>{body}<p class="ad">Buy</p><div class="notice">N</div><div class="post-comments"><p>C</p></div><div class="social share">S</div></article>') == "T\nOne two three four."
+    assert text(f'<div class="sidebar"><form>q</form><nav>n</nav><main>{body}<div class="comments">c</div></main></div>') == "T\nOne two three four."
+
+
+
 def test_shared_lines_go(spark):
     page = lambda k: f"<body><div>Our site</div><div>All news</div><p>Story {k} is long enough to count.</p><p>More of {k}.</p><div>Contact us</div></body>"
     rows = [(i, f"https://h.example.org/news/{i}", page(i)) for i in range(20)] + [(50, "https://other.example.org/", page(0)), (51, None, page(7)), (52, "https://h.example.org/zzz", None)]
