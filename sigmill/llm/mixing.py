@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigmill.llm.common import documents, materialize, n_words
+from sigmill.llm.common import documents, materialize, n_words, with_position
 
 #: Places of the rounding threshold.
 SLOTS = 65536
+#: Most rounds of changes to a source after its threshold, and the share of its target at which it needs none.
+SWAPS, NEAR = 3, 1e-4
 #: Decimal places of sums over documents: such sums don't depend on the order in which Spark adds.
 EXACT = "decimal(38,9)"
 
@@ -24,10 +26,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap:
     A source without words gets the target 0; an empty table gives an empty table.
     """
     table = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # one row per source, not per document, is put in order here
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    table = materialize(table.withColumn("weight", pick))
+    table = with_position(table, F.col("source").asc_nulls_last(), name="rank")
+    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    table = materialize(table.select("source", "source_size", pick.alias("weight")))
     room = F.col("source_size") * F.lit(float(cap))
     total = table.agg(F.sum("source_size")).first()[0] or 0
     level, before = None, -1.0
@@ -69,7 +70,7 @@ def tilt(sizes: DataFrame, targets: DataFrame, cap: float = 3.0, steps: int = 80
     state = targets.alias("t").join(counts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.*", (F.col("t.source_size") / F.col("n")).alias("mean"))
     full = F.col("target") >= F.col("source_size") * F.lit(cap * (1 - 1e-12))
     state = materialize(state.withColumn("lam", F.when(full, F.lit(1e9)).otherwise(F.lit(0.0))).withColumn("lo", F.lit(-1e6)).withColumn("hi", F.lit(1e6)).withColumn("open", (F.col("target") > 0) & ~full))
-    for k in range(steps):
+    for _ in range(steps):
         both = levels.alias("l").join(state.filter("open").select("source", "mean", "lam").alias("s"), F.col("l.source").eqNullSafe(F.col("s.source"))).select("s.source", "size", "n", "mean", rate(F.col("lam"), F.col("size"), F.col("mean"), cap).alias("r"))
         mass = F.col("n") * F.col("size") * F.col("r")
         sums = both.groupBy("source").agg(F.sum(mass.cast(EXACT)).cast("double").alias("mass"), F.sum(F.when(F.col("r") < cap, mass * F.col("size") / F.col("mean")).otherwise(0.0).cast(EXACT)).cast("double").alias("slope"))
@@ -80,10 +81,9 @@ def tilt(sizes: DataFrame, targets: DataFrame, cap: float = 3.0, steps: int = 80
         near = (step > F.col("lo")) & (step < F.col("hi"))
         done = F.abs(gap) <= F.col("target") * tolerance
         state = state.withColumn("lam", F.when(~F.col("open") | done, F.col("lam")).when(near, step).otherwise((F.col("lo") + F.col("hi")) / 2)).withColumn("open", F.col("open") & ~F.coalesce(done, F.lit(False))).drop("mass", "slope")
-        if k % 3 == 2:
-            state = materialize(state)
-            if not state.filter("open").limit(1).count():
-                break
+        state = materialize(state)
+        if not state.filter("open").limit(1).count():
+            break
     return state.drop("lo", "hi", "open")
 
 
@@ -93,39 +93,88 @@ def _slot(r: Column, place: Column) -> Column:
     return F.floor((place - (r - F.floor(r)) + 1) * (SLOTS // 2)).cast("int")
 
 
+def _spare(r: Column, cap: float) -> Column:
+    """Whether one copy more than the whole ones stays within ``cap``."""
+    return (F.col("size") > 0) & (r < cap) & (F.floor(r) + 1 <= cap)
+
+
 def solve(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
-    """A row a source: ``source, source_size, target, mean, lam, threshold``; all that copies are read off.
+    """A row a source: ``source, source_size, target, mean, lam, threshold, swaps``; all that copies are read off.
 
     A document has ``floor(rate)`` copies and one more if its slot lies below its source's threshold. At a threshold in
     the middle that is rounding by chance; the threshold is moved to where the words taken come nearest to the target.
     It is found on a histogram of words by slot, at most SLOTS rows a source, so a source misses its target by less
-    than the words that share one slot. Documents at the cap get no copy more.
+    than the words that share one slot. Documents at the cap get no copy more. What a source then lacks or has over is
+    made up by ``swaps``, see ``_swaps``.
     """
     sizes = materialize(sized(docs))
-    sources = tilt(sizes, source_targets(sizes, weights, cap), cap)
-    sources = materialize(sources)
+    sources = materialize(tilt(sizes, source_targets(sizes, weights, cap), cap))
     same = F.col("d.source").eqNullSafe(F.col("s.source"))
     rated = sizes.alias("d").join(sources.filter("target > 0").alias("s"), same).select("s.source", "size", "place", rate(F.col("lam"), F.col("size"), F.col("mean"), cap).alias("r"))
-    histogram = rated.filter("size > 0").groupBy("source", F.when(F.col("r") < cap, _slot(F.col("r"), F.col("place"))).alias("slot")).agg(F.sum("size").alias("words"), F.sum((F.floor("r") * F.col("size")).cast("long")).alias("whole"))
-    histogram = materialize(histogram)
-    whole = histogram.groupBy("source").agg(F.sum("whole").alias("whole"))
+    # documents of one source, size and slot fare alike: from here on they are one row
+    classes = rated.filter("size > 0").groupBy("source", "size", F.when(_spare(F.col("r"), cap), _slot(F.col("r"), F.col("place"))).alias("slot"))
+    classes = materialize(classes.agg(F.sum("size").alias("words"), F.sum((F.floor("r") * F.col("size")).cast("long")).alias("whole")))
+    whole = classes.groupBy("source").agg(F.sum("whole").alias("whole"))
     need = sources.alias("s").join(whole.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source")), "left").select("s.source", (F.col("target") - F.coalesce("whole", F.lit(0))).alias("need"))
+    histogram = classes.filter("slot is not null").groupBy("source", "slot").agg(F.sum("words").alias("words"))
     running = F.sum("words").over(Window.partitionBy("source").orderBy("slot"))
-    filled = histogram.filter("slot is not null").alias("h").join(need.alias("n"), F.col("h.source").eqNullSafe(F.col("n.source"))).select("n.source", "slot", "words", "need").withColumn("upto", running)
-    gap = F.struct(F.abs(F.col("upto") - F.col("need")), F.col("slot") + 1)
+    filled = histogram.alias("h").join(need.alias("n"), F.col("h.source").eqNullSafe(F.col("n.source"))).select("n.source", "slot", "words", "need").withColumn("upto", running)
+    gap = F.struct(F.abs(F.col("upto") - F.col("need")).alias("miss"), (F.col("slot") + 1).alias("threshold"), "upto")
     edge = filled.groupBy("source").agg(F.min(gap).alias("best"), F.first("need").alias("need"))
-    edge = edge.select("source", F.when(F.abs(F.col("need")) <= F.col("best.col1"), 0).otherwise(F.col("best.col2")).alias("threshold"))
+    none = F.abs(F.col("need")) <= F.col("best.miss")
+    edge = edge.select("source", F.when(none, 0).otherwise(F.col("best.threshold")).alias("threshold"), F.when(none, F.col("need")).otherwise(F.col("need") - F.col("best.upto")).alias("short"))
     found = sources.alias("s").join(edge.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left")
-    return materialize(found.select("s.*", F.coalesce("threshold", F.lit(0)).alias("threshold")))
+    return _swaps(classes, materialize(found.select("s.*", F.coalesce("threshold", F.lit(0)).alias("threshold"), F.coalesce("short", F.lit(0.0)).alias("short"))))
+
+
+def _swaps(classes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Add ``swaps``, the ``size, slot`` of documents that are rounded against the threshold, and drop ``short``.
+
+    The threshold stops at whichever document crosses the target, and a long one leaves much over. So, at most SWAPS
+    times and while a source is further than NEAR from its target, the one or two classes whose change brings it nearest
+    are turned: one below the threshold loses its copy, or one above gets it. Of every size and side only the class next
+    to the threshold is a candidate, so changes are looked for among as many rows as sizes occur: each is put beside
+    those nearest to what would then be wanted, in order of words. No change (size 0, slot -1) is a candidate too.
+    """
+    up = F.col("slot") >= F.col("threshold")
+    sides = classes.filter("slot is not null").alias("c").join(sources.select("source", "threshold").alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).select("s.source", "size", "slot", "words", up.alias("up"), F.when(up, F.col("slot") - F.col("threshold")).otherwise(F.col("threshold") - F.col("slot")).alias("far"))
+    near = sides.groupBy("source", "size", "up").agg(F.min(F.struct("far", "slot", "words")).alias("c"))
+    near = near.select("source", "size", F.col("c.slot").alias("slot"), F.when(F.col("up"), F.col("c.words")).otherwise(-F.col("c.words")).alias("words"))
+    near = materialize(near.unionByName(sources.select("source", F.lit(0).cast("long").alias("size"), F.lit(-1).alias("slot"), F.lit(0).cast("long").alias("words"))))
+    state = sources.withColumn("swaps", F.expr("cast(array() as array<struct<size: bigint, slot: int>>)"))
+    own = F.struct("size", "slot")
+    rising, falling = (Window.partitionBy("source").orderBy(*keys, "size", "slot") for keys in (("at", "asked"), (F.col("at").desc(), "asked")))
+    for _ in range(SWAPS):
+        wanting = state.filter(F.abs(F.col("short")) > F.col("target") * NEAR).select("source", "short", "swaps")
+        free = near.alias("n").join(wanting.alias("s"), F.col("n.source").eqNullSafe(F.col("s.source"))).select("s.source", "size", "slot", "words", "short", "swaps").filter(~F.array_contains("swaps", own)).drop("swaps")
+        points = free.withColumn("at", F.explode(F.array(F.struct(F.lit(0).alias("asked"), F.col("words").cast("double").alias("key")), F.struct(F.lit(1).alias("asked"), (F.col("short") - F.col("words")).alias("key")))))
+        points = points.select("source", "size", "slot", "words", "short", F.col("at.asked").alias("asked"), F.col("at.key").alias("at"))
+        other = F.last(F.when(F.col("asked") == 0, F.struct("size", "slot", "words")), ignorenulls=True)
+        both = points.withColumn("low", other.over(rising)).withColumn("high", other.over(falling)).filter("asked = 1")
+        pairs = both.select("source", "size", "slot", "words", "short", F.explode(F.array("low", "high")).alias("other"))
+        sum_ = F.col("words") + F.col("other.words")
+        pairs = pairs.filter((own != F.struct("other.size", "other.slot")) & (F.abs(F.col("short") - sum_) < F.abs(F.col("short"))))
+        best = pairs.groupBy("source").agg(F.min(F.struct(F.abs(F.col("short") - sum_).alias("miss"), own.alias("one"), F.struct("other.size", "other.slot").alias("two"), sum_.alias("words"))).alias("b"))
+        joined = state.alias("s").join(best.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source")), "left")
+        turn, keep = F.col("b.b").isNotNull(), [f"s.{c}" for c in state.columns if c not in ("short", "swaps")]
+        more = F.filter(F.array("b.b.one", "b.b.two"), lambda c: c["slot"] >= 0)
+        turned = joined.select(*keep, (F.col("s.short") - F.coalesce("b.b.words", F.lit(0))).alias("short"), F.when(turn, F.concat("s.swaps", more)).otherwise(F.col("s.swaps")).alias("swaps"), turn.alias("turned"))
+        turned = materialize(turned)
+        state = turned.drop("turned")
+        if not turned.filter("turned").limit(1).count():
+            break
+    return state.drop("short")
 
 
 def _planned(sizes: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
     """Every row of ``sizes`` with what its source's row says of it; nothing is joined by id."""
     r = F.when(F.col("s.target") > 0, F.when(F.col("d.size") > 0, rate(F.col("s.lam"), F.col("d.size"), F.col("s.mean"), cap)).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))
     joined = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    rated = joined.select("d.*", F.col("s.source_size").alias("source_size"), F.col("s.target").alias("target"), F.col("s.threshold").alias("threshold"), r.alias("rate"))
-    more = (F.col("size") > 0) & (F.col("rate") < cap) & (_slot(F.col("rate"), F.col("place")) < F.col("threshold"))
-    return rated.withColumn("copies", F.floor("rate") + more.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("threshold", "place")
+    rated = joined.select("d.*", F.col("s.source_size").alias("source_size"), F.col("s.target").alias("target"), F.col("s.threshold").alias("threshold"), F.col("s.swaps").alias("swaps"), r.alias("rate"))
+    slot = _slot(F.col("rate"), F.col("place"))
+    below, turned = slot < F.col("threshold"), F.array_contains("swaps", F.struct("size", slot.alias("slot")))
+    more = (F.col("target") > 0) & _spare(F.col("rate"), cap) & (below != turned)
+    return rated.withColumn("copies", F.floor("rate") + more.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("threshold", "swaps", "place")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
