@@ -107,18 +107,13 @@ def chunk(docs: DataFrame, with_data: bool = True) -> DataFrame:
 CHUNK = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("ord", pa.int32()), ("n_chunks", pa.int32()), ("n_bytes", pa.int64()), ("size", pa.int32()), ("digest", pa.binary()), ("data", pa.binary())])
 
 
-def store(chunks: DataFrame, *more: str) -> DataFrame:
-    """``digest, data``: every distinct chunk once."""
-    return chunks.filter(F.col("data").isNotNull()).groupBy("digest", *more).agg(F.first("data").alias("data"))
-
-
 def recipes(docs: DataFrame) -> DataFrame:
     """The ordered chunk lists, without bytes."""
     return chunk(docs, with_data=False).drop("data")
 
 
-#: List entries of one digest that one task takes.
-ENTRIES = 1000
+#: List entries of one digest that one task takes, and groups of tasks that sum up what they have of a hot one.
+ENTRIES, GROUPS = 1000, 256
 
 
 def hot_digests(lists: DataFrame, entries: int = ENTRIES) -> DataFrame:
@@ -143,19 +138,26 @@ def rebuild(lists: DataFrame, chunks: DataFrame, hot: DataFrame) -> DataFrame:
     """Join the chunk lists with the distinct chunks, put every document together, check it and describe it.
 
     ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``. Every chunk
-    is held against its digest when read; a missing or damaged one raises. The join is dealt by digest; a hot digest
-    is kept as often in the store as its entries need, and they are dealt over these copies. A document of one chunk
+    is held against its digest when read; a missing or damaged one raises. The join is dealt by digest. Of a hot digest
+    every task that met it sends one row to one of GROUPS sums, these sums become one row, and only this row is repeated
+    as often as its entries need, which are dealt over the copies: as many rows as tasks and copies. A document of one chunk
     is whole after the join; the chunks of others are brought together in order by sorting their partition, so a task
     holds one document at a time.
     """
-    many = F.coalesce("salts", F.lit(1))
     # Spark broadcasts the hot digests while they are few
-    entries = lists.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("row"), many).cast("int")).drop("salts")
-    # salted before it is summed up, so that the store is dealt once, as the joins need it
-    spread = chunks.filter(F.col("data").isNotNull()).select("digest", "data").join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1)))
-    stored = store(spread, "salt")  # both joins below read the same exchange of it
-    single = entries.filter("n_chunks = 1").join(stored, ["digest", "salt"])
-    several = entries.filter("n_chunks > 1").join(stored, ["digest", "salt"])
+    entries = lists.join(hot, "digest", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")))
+    met = chunks.filter(F.col("data").isNotNull()).select("digest", "data").join(hot, "digest", "left")
+    met = met.withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.spark_partition_id() % GROUPS))
+    # all joins below read one exchange of the bytes: a filter on an aggregate stays above it
+    stored = met.groupBy("digest", "salt").agg(F.first("data").alias("data"), F.max("salts").alias("salts"))
+    once = stored.filter(F.col("salts").isNotNull()).groupBy("digest").agg(F.first("data").alias("data"), F.max("salts").alias("salts"))
+    repeated = once.select("digest", "data", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        cold = wanted.filter(F.col("salts").isNull()).drop("salts").join(stored.filter(F.col("salts").isNull()).drop("salts"), ["digest", "salt"])
+        return cold.unionByName(wanted.filter(F.col("salts").isNotNull()).drop("salts").join(repeated, ["digest", "salt"]))
+
+    single, several = fetch(entries.filter("n_chunks = 1")), fetch(entries.filter("n_chunks > 1"))
     dealt = several.repartition("row").sortWithinPartitions("row", "ord")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +191,8 @@ def op8_media(spark, sf_dir: str) -> DataFrame:
     """Store every text of ``documents`` as media chunks, read it back and describe it.
 
     Null and empty texts are 192 spaces. Repeated rows are stored once and returned each; rows with a null id as well.
-    A very long text is many chunks, of which a task holds one document's. An empty table gives an empty table.
+    A very long text is many chunks, of which a task holds one document's. Equal chunks tie: any of them is stored. An
+    empty table gives an empty table. Columns besides ``doc_id`` and ``text`` are not read, whatever their names.
     """
     docs = documents(spark, sf_dir)
     lists = materialize(recipes(docs))
