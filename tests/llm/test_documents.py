@@ -467,6 +467,16 @@ def test_hot_chunks_are_spread(spark):
     assert media.rebuild(lists, media.chunk(docs), hot).select("feature").distinct().count() == 1
 
 
+def test_hot_chunks_of_long_and_short_texts_from_many_tasks(spark):
+    shared = "".join(chr(33 + c) for c in np.random.default_rng(3).integers(0, 90, 40_000))
+    rows = [(i, shared + f" tail {i}") for i in range(40)] + [(100 + i, "short") for i in range(30)] + [(200, None), (200, "lone"), (None, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    lists = media.recipes(docs)
+    hot = media.hot_digests(lists, 7)
+    assert hot.count() > 2 and hot.agg({"salts": "max"}).first()[0] == 6
+    check_media(media.rebuild(lists, media.chunk(docs), hot), rows)
+
+
 # ---- pages -------------------------------------------------------------------------------------------------------
 
 PAGE = """<!doctype html><html><head><title>x</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar">
