@@ -179,10 +179,14 @@ def crossing(x: np.ndarray, doc: np.ndarray, lo: np.ndarray, cut: np.ndarray, hi
             forth = agreeing(x, a, a + p, hi[c] - p - a, 1)
             back = agreeing(x, a - 1, a - 1 + p, a - lo[c], -1)
             s, e = a - back, a + forth + p
-            good = (e - s >= np.maximum(WORDS, PERIODS * p)) & (s < cut[c]) & (e > cut[c])
+            # a candidate that is no two periods tells nothing of its period: the other side's may lie in a stretch of a shorter
+            # one; equal words on both sides of the cut are two periods of 1
+            square = (p == 1) | np.where(right[head], (s <= cut[c]) & (cut[c] + 2 * p <= e), (e >= cut[c]) & (cut[c] - 2 * p >= s))
+            good = square & (e - s >= np.maximum(WORDS, PERIODS * p)) & (s < cut[c]) & (e > cut[c])
             out.append(np.stack([c[good], s[good], e[good], p[good]], 1))
-            s, e, real = np.repeat(s, size), np.repeat(e, size), np.repeat(forth + back >= p, size)
-            inside = real & np.where(right, cut[i] + 2 * q <= e, cut[i] - 2 * q >= s) & (s <= cut[i]) & (e >= cut[i])
+            tells = np.repeat(forth + back >= p, size) & (np.repeat(square, size) | (q > np.repeat(p, size)))
+            s, e = np.repeat(s, size), np.repeat(e, size)
+            inside = tells & np.where(right, cut[i] + 2 * q <= e, cut[i] - 2 * q >= s) & (s <= cut[i]) & (e >= cut[i])
             inside[head] = True
             i, q, right = i[~inside], q[~inside], right[~inside]
 

@@ -129,6 +129,14 @@ def test_runs_are_all_found(texts):
     assert as_rows(texts) == [brute_runs(t) for t in texts]
 
 
+def test_candidates_that_are_no_two_periods_give_no_run():
+    four = [0, 2, 1, 2]
+    text = [0] * 9 + [1] * 12 + [2, 1, 2, 0] * 5 + [2, 0, 0] + four * 12 + [0, 0]
+    assert brute_runs(text) == [(0, 9, 1), (9, 21, 1), (21, 42, 4), (44, 93, 4)]
+    texts = [[0] * 11, text]
+    assert as_rows(texts) == [brute_runs(t) for t in texts]
+
+
 def test_runs_in_words_of_few_letters():
     rng = np.random.default_rng(5)
     for letters in (2, 3):
