@@ -138,26 +138,30 @@ def rebuild(lists: DataFrame, chunks: DataFrame, hot: DataFrame) -> DataFrame:
     """Join the chunk lists with the distinct chunks, put every document together, check it and describe it.
 
     ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``. Every chunk
-    is held against its digest when read; a missing or damaged one raises. The join is dealt by digest. Of a hot digest
-    every task that met it sends one row to one of GROUPS sums, these sums become one row, and only this row is repeated
-    as often as its entries need, which are dealt over the copies: as many rows as tasks and copies. A document of one chunk
-    is whole after the join; the chunks of others are brought together in order by sorting their partition, so a task
-    holds one document at a time.
+    is held against its digest when read; a missing or damaged one raises. The join is dealt by digest, and all its branches
+    read one exchange of the bytes. Hot digests, where there are any, are taken out before that exchange and go by one of
+    their own: every task that met one sends one row to one of GROUPS sums, these sums become one row, and only this row is
+    repeated as often as its entries need, which are dealt over the copies: as many rows as tasks and copies. A document of
+    one chunk is whole after the join; the chunks of others are brought together in order by sorting their partition, so a
+    task holds one document at a time.
     """
+    met = chunks.filter(F.col("data").isNotNull()).select("digest", "data")
+    # without hot digests there is no branch of theirs: Spark may send the bytes for it before it sees that it is empty
+    some_hot = not hot.isEmpty()
     # Spark broadcasts the hot digests while they are few
-    entries = lists.join(hot, "digest", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")))
-    met = chunks.filter(F.col("data").isNotNull()).select("digest", "data").join(hot, "digest", "left")
-    met = met.withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.spark_partition_id() % GROUPS))
-    # all joins below read one exchange of the bytes: a filter on an aggregate stays above it
-    stored = met.groupBy("digest", "salt").agg(F.first("data").alias("data"), F.max("salts").alias("salts"))
-    once = stored.filter(F.col("salts").isNotNull()).groupBy("digest").agg(F.first("data").alias("data"), F.max("salts").alias("salts"))
+    stored = (met.join(hot, "digest", "left_anti") if some_hot else met).groupBy("digest").agg(F.first("data").alias("data"))
+    grouped = met.join(hot, "digest").groupBy("digest", (F.spark_partition_id() % GROUPS).alias("_group")).agg(F.first("data").alias("data"), F.max("salts").alias("salts"))
+    once = grouped.groupBy("digest").agg(F.first("data").alias("data"), F.max("salts").alias("salts"))
     repeated = once.select("digest", "data", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        cold = wanted.filter(F.col("salts").isNull()).drop("salts").join(stored.filter(F.col("salts").isNull()).drop("salts"), ["digest", "salt"])
-        return cold.unionByName(wanted.filter(F.col("salts").isNotNull()).drop("salts").join(repeated, ["digest", "salt"]))
+        if not some_hot:
+            return wanted.join(stored, "digest")
+        cold = wanted.join(hot, "digest", "left_anti").join(stored, "digest")
+        dealt = wanted.join(hot, "digest").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")).drop("salts")
+        return cold.unionByName(dealt.join(repeated, ["digest", "salt"]).drop("salt"))
 
-    single, several = fetch(entries.filter("n_chunks = 1")), fetch(entries.filter("n_chunks > 1"))
+    single, several = fetch(lists.filter("n_chunks = 1")), fetch(lists.filter("n_chunks > 1"))
     dealt = several.repartition("row").sortWithinPartitions("row", "ord")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -467,6 +467,23 @@ def test_hot_chunks_are_spread(spark):
     assert media.rebuild(lists, media.chunk(docs), hot).select("feature").distinct().count() == 1
 
 
+@pytest.mark.parametrize("entries", [2, 1000])
+def test_bytes_of_cold_chunks_are_sent_once(spark, entries):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 30, n).tolist())) for n in (5, 50, 9000, 12000)]
+    rows = [(i, texts[i % 4] + ("" if i % 3 else str(i))) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lists = media.recipes(docs)
+    hot = media.hot_digests(lists, entries)
+    assert hot.isEmpty() == (entries == 1000)
+    got = media.rebuild(lists, media.chunk(docs), hot)
+    # the plan as Spark reads it: equal exchanges of the bytes are one, whatever comes later
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_group#") == 0 or entries == 2
+    assert plan.count("Aggregate [digest") == (2 if entries == 1000 else 6)
+    check_media(got, rows)
+
+
 def test_hot_chunks_of_long_and_short_texts_from_many_tasks(spark):
     shared = "".join(chr(33 + c) for c in np.random.default_rng(3).integers(0, 90, 40_000))
     rows = [(i, shared + f" tail {i}") for i in range(40)] + [(100 + i, "short") for i in range(30)] + [(200, None), (200, "lone"), (None, "short")]
