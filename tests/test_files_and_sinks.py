@@ -2,7 +2,7 @@
 
 import pytest
 
-from sigmill.plans import jobs
+from sigmill.plans import jobs, registry
 from sigmill.sources import recordings as R
 
 DEVICE = "timestamp,Channel_1,note,Channel_2\n" + "".join(f"{i / 250},{i}.5,x,{-i}\n" for i in range(400))
@@ -84,3 +84,22 @@ def test_observed_counts_are_those_of_a_second_pass(spark):
     assert kept.count() == 85 and seen.get == {"n_rows": 100, "n_dropped": 15}
     _, lost = O.drop_invalid_time(f)
     assert lost.first()["n_dropped"] == 15
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def by_sql(name):
+    con = pytest.importorskip("duckdb").connect()
+    for t in ("lineitem", "embeddings"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return sorted(con.execute(registry.ORACLE[name]).fetchall())
+
+
+def test_event_windows_take_their_samples_in_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(registry, "SAMPLES", 200)
+    got = sorted(map(tuple, registry.event_windows(spark, SF).collect()))
+    assert got == by_sql("event_windows")
+    sizes = [spark.read.parquet(str(p)).count() for p in sorted((tmp_path / "in").iterdir(), key=lambda p: int(p.name))]
+    assert len(sizes) > 4 and max(sizes[2:]) <= 28 * 200 * 1.2
