@@ -6,6 +6,7 @@ forms of ``stateful`` write their whole state as one row each time. The numbers
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from sigmill.functions import kernels as K
 from sigmill.operators.signals import SLOTS
-from sigmill.streaming.stateful import IDLE_MS, _each_channel, _frames, last_ms
+from sigmill.streaming.stateful import AT_ONCE, IDLE_MS, _each_channel, _frames, last_ms
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: A pending frame.
@@ -32,7 +33,10 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 class Keyed(StatefulProcessor):
     """What all have in common: rows in time order as a matrix, and a timer that drops a recording's state when the watermark has
-    passed its last row by IDLE_MS. Subclasses name their states in ``states`` and give rows in ``step``."""
+    passed its last row by IDLE_MS. Subclasses name their states in ``states`` and give rows in ``step``, which gets ``at_once``
+    frames at most: what a long micro-batch becomes is given out part by part."""
+
+    at_once = AT_ONCE
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -49,14 +53,15 @@ class Keyed(StatefulProcessor):
         pdf, x = _frames(rows)
         if not len(pdf):
             return
-        found = self.step(pdf, x)
         if self.timer.exists():
             self.handle.deleteTimer(self.timer.get()[0])
         at = max(last_ms(pdf), timerValues.getCurrentWatermarkInMs()) + IDLE_MS
         self.handle.registerTimer(at)
         self.timer.update((at,))
-        if found:
-            yield pd.DataFrame([(key[0], *r) for r in found], columns=self.names)
+        for k in range(0, len(pdf), self.at_once):
+            found = self.step(pdf.iloc[k : k + self.at_once], x[:, k : k + self.at_once])
+            if found:
+                yield pd.DataFrame([(key[0], *r) for r in found], columns=self.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for state in (self.timer, *self.held):
@@ -225,6 +230,8 @@ def rolling_range(stream: DataFrame, n: int, pad: float = 0.1) -> DataFrame:
 class Latest(Keyed):
     """A ring of the last ``n`` frames, given out whole whenever frames have come."""
 
+    at_once = sys.maxsize  # a view a micro-batch, of its last frames alone
+
     def __init__(self, n: int):
         self.n = n
 

@@ -21,6 +21,8 @@ warnings.filterwarnings("ignore", "The behavior of DataFrame concatenation", Fut
 
 #: A recording loses its state when the watermark has passed its last sample by this much.
 IDLE_MS = 600_000
+#: Frames of a recording that are worked on at a time; what they become is given out before the next ones.
+AT_ONCE = 4096
 
 
 def last_ms(pdf: pd.DataFrame) -> int:
@@ -62,12 +64,14 @@ def _stateful(stream: DataFrame, step, output: str, state: str) -> DataFrame:
             return
         pdf, x = _frames(pdfs)
         if len(pdf):
-            rows, new = step(held.get if held.exists else None, pdf, x)
+            new = held.get if held.exists else None
+            for k in range(0, len(pdf), AT_ONCE):
+                rows, new = step(new, pdf.iloc[k : k + AT_ONCE], x[:, k : k + AT_ONCE])
+                if len(rows):
+                    rows.insert(0, "recording_id", key[0])
+                    yield rows
             held.update(new)
             _expire(held, last_ms(pdf))
-            if len(rows):
-                rows.insert(0, "recording_id", key[0])
-                yield rows
 
     return stream.groupBy("recording_id").applyInPandasWithState(run, "recording_id string, " + output, state, "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -187,13 +191,14 @@ def trailing_and_kalman(stream: DataFrame, channels: int = 3, n: int = 125, fs:
         new = np.where((last >= 0)[:, None], new[last], tail[-1] if len(tail) else np.nan)
         live = np.ones(len(pdf), bool) if len(tail) else np.maximum.accumulate((last >= 0) & (new != 0).any(1))
         pdf, new = pdf[live], new[live]
-        index = pdf["sample_idx"].to_numpy()
-        rows = []
+        index, times, rows = pdf["sample_idx"].to_numpy(), pdf["t_s"].to_numpy(), []
+        names = ["recording_id", "sample_idx", "t_s", "filtered", "kalman"]
         breaks = np.flatnonzero(np.diff(np.append(before, index)) != 1) if len(index) else np.empty(0, np.int64)
-        for part in np.split(np.arange(len(index)), breaks):
+        anew = set(breaks.tolist())
+        for part in np.split(np.arange(len(index)), np.union1d(breaks, np.arange(AT_ONCE, len(index), AT_ONCE))):
             if not len(part):
                 continue
-            if part[0] in breaks:  # nothing of what was before counts
+            if part[0] in anew:  # nothing of what was before counts
                 tail, mean, p, seen = tail[:0], [0.0] * channels, 1000.0, 0
             x = np.concatenate([tail, new[part]])
             number = seen + np.arange(1, len(part) + 1)  # place of each new frame, from 1
@@ -205,12 +210,15 @@ def trailing_and_kalman(stream: DataFrame, channels: int = 3, n: int = 125, fs:
                     p += 0.5
                     gain = p / (p + 0.5)
                     mean, p = mean + gain * (value[k] - mean), (1 - gain) * p
-                    rows.append((key[0], index[part[k]], pdf["t_s"].iloc[part[k]], value[k], mean))
+                    rows.append((key[0], index[part[k]], times[part[k]], value[k], mean))
             tail, seen, before = x[-n:], seen + len(part), int(index[part[-1]])
+            if len(rows) >= AT_ONCE:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
         held.update((tail.ravel().tolist(), np.asarray(mean, float).tolist(), float(p), seen, before))
         _expire(held, until)
         if rows:
-            yield pd.DataFrame(rows, columns=["recording_id", "sample_idx", "t_s", "filtered", "kalman"])
+            yield pd.DataFrame(rows, columns=names)
 
     out = "recording_id string, sample_idx long, t_s double, filtered array<double>, kalman array<double>"
     return stream.groupBy("recording_id").applyInPandasWithState(run, out, "t array<double>, m array<double>, p double, n long, i long", "append", GroupStateTimeout.EventTimeTimeout)

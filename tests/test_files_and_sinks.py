@@ -1,9 +1,14 @@
 """Folders of dirty exports, and sinks that survive a restart."""
 
+from unittest.mock import MagicMock
+
+import numpy as np
+import pandas as pd
 import pytest
 
 from sigmill.plans import jobs, registry
 from sigmill.sources import recordings as R
+from sigmill.streaming import keyed
 
 DEVICE = "timestamp,Channel_1,note,Channel_2\n" + "".join(f"{i / 250},{i}.5,x,{-i}\n" for i in range(400))
 OLD = "\n  \nTimeStamp,ch1,ch2\nbad,1,2\n" + "".join(f"{5 + i / 100:.2f},{i},nan\n" for i in range(300))
@@ -103,3 +108,26 @@ def test_event_windows_take_their_samples_in_bounded_files(spark, tmp_path, monk
     assert got == by_sql("event_windows")
     sizes = [spark.read.parquet(str(p)).count() for p in sorted((tmp_path / "in").iterdir(), key=lambda p: int(p.name))]
     assert len(sizes) > 4 and max(sizes[2:]) <= 28 * 200 * 1.2
+
+
+def test_streams_of_frames_take_them_in_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(registry, "FRAMES", 40)
+    got = sorted(map(tuple, registry.rolling_range_stream(spark, SF).collect()))
+    assert got == by_sql("rolling_range_stream")
+    sizes = [spark.read.json(str(p)).count() for p in sorted((tmp_path / "in").iterdir(), key=lambda p: int(p.name))]
+    assert len(sizes) == 5 and max(sizes[2:]) == 8 * 40
+
+
+def test_a_long_batch_is_given_out_in_parts():
+    class Sizes(keyed.Keyed):
+        names = ["recording_id", "n"]
+
+        def step(self, pdf, x):
+            assert x.shape == (2, len(pdf))
+            return [(len(pdf),)]
+
+    sizes, clock = Sizes(), MagicMock()
+    sizes.timer, sizes.handle, clock.getCurrentWatermarkInMs.return_value = MagicMock(), MagicMock(), 0
+    frames = pd.DataFrame({"sample_idx": range(10000), "t_s": np.arange(10000) / 250, "ch": [[1.0, 2.0]] * 10000, "ts": pd.Timestamp("2025-01-01")})
+    assert [d["n"].tolist() for d in sizes.handleInputRows(("a",), iter([frames]), clock)] == [[4096], [4096], [1808]]
