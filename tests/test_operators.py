@@ -258,3 +258,13 @@ def test_header_of_another_family_fails(spark, tmp_path):
     with pytest.raises(Exception, match="header"):
         R.read_recordings(spark, str(tmp_path)).collect()
     assert R.read_families(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).count() == 2
+
+
+def test_windowed_cleaning_holds_one_window_at_a_time(spark):
+    rows = spark.range(40 * 50).selectExpr("'a' as recording_id", "id % 2 as channel_idx", "id div 2 as sample_idx", "cast(sin(id) as double) as value")
+    found = jobs.denoise_windows(rows.filter("not (channel_idx = 1 and sample_idx = 3)"), 50)
+    got = sorted((r["window_idx"], r["channel"], len(r["stopped"])) for r in found.collect())
+    assert got == [(w, c, 50) for w in range(20) for c in range(2) if (w, c) != (0, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "ArrowEvalPython" not in plan  # no batch of many windows
+    assert jobs.denoise_windows(rows, 3000).count() == 0
