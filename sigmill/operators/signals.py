@@ -17,6 +17,8 @@ from sigmill.functions import kernels as K
 
 #: Samples of a chunk when a long series is filtered with a short memory.
 CHUNK = 1000
+#: Samples of arrays that are worked on as one matrix.
+AT_ONCE = 1 << 18
 
 
 def by_length(run: Callable, outputs: int, *columns: pd.Series, rate: pd.Series | None = None, same: bool = True) -> list[list]:
@@ -34,11 +36,13 @@ def by_length(run: Callable, outputs: int, *columns: pd.Series, rate: pd.Series
         f = 1.0 if rate is None else rate.iloc[i]
         if min(sizes) and (not same or len(set(sizes)) == 1) and f is not None and f > 0:
             groups.setdefault((sizes, round(float(f), 6)), []).append(i)
-    for (_, f), at in groups.items():
-        rows = [np.stack([np.asarray(c.iloc[i], float) for i in at]) for c in columns]
-        for k, result in enumerate(run(*rows, *([] if rate is None else [f])) or []):
-            for i, row in zip(at, result, strict=True):
-                out[k][i] = row
+    for (sizes, f), found in groups.items():
+        most = max(1, AT_ONCE // max(sizes))
+        for at in (found[k : k + most] for k in range(0, len(found), most)):
+            rows = [np.stack([np.asarray(c.iloc[i], float) for i in at]) for c in columns]
+            for k, result in enumerate(run(*rows, *([] if rate is None else [f])) or []):
+                for i, row in zip(at, result, strict=True):
+                    out[k][i] = row
     return out
 
 

@@ -268,3 +268,12 @@ def test_windowed_cleaning_holds_one_window_at_a_time(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "ArrowEvalPython" not in plan  # no batch of many windows
     assert jobs.denoise_windows(rows, 3000).count() == 0
+
+
+def test_rows_of_a_batch_are_worked_on_in_bounded_matrices():
+    import pandas as pd
+
+    sizes = []
+    got = S.by_length(lambda m: [sizes.append(m.size) or m * 2], 1, pd.Series([np.full(500, float(i)) for i in range(3000)]))[0]
+    assert max(sizes) <= 1 << 18 and sum(sizes) == 1_500_000
+    assert [float(x[0]) for x in got] == [2.0 * i for i in range(3000)]
