@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -190,15 +192,32 @@ def sample_intervals(frames: DataFrame, seconds: float = series.SECONDS) -> Data
     return found.withColumn("dt", F.col("t_s") - F.col("_before")).drop("_before")
 
 
-def recording_profile(samples: DataFrame, seconds: float = series.SECONDS, *more: Column) -> DataFrame:
+def recording_profile(samples: DataFrame, seconds: float = series.SECONDS, more: dict[str, tuple[Column, Callable[[str], Column]]] | None = None) -> DataFrame:
     """Rows, values, times, intervals and rate of each recording; a recording of one row has null intervals, rate 0. Rows
-    without a time are no rows of it; ``more`` are aggregates of all its rows."""
-    timed = F.col("t_s").isNotNull()
-    mean = F.avg("dt")
-    found = series.previous(samples, ["recording_id"], ["t_s"], "t_s", "_before", seconds).withColumn("dt", F.col("t_s") - F.col("_before"))
-    g = found.groupBy("recording_id").agg(
+    without a time are no rows of it. ``more`` names aggregates of all its rows: what is taken of the rows of a bucket,
+    and what puts the buckets together.
+
+    ``samples`` are read and shuffled once, by buckets of ``seconds``; one row a bucket is carried along the recording.
+    """
+    more, timed, along = more or {}, F.col("t_s").isNotNull(), Window.partitionBy("recording_id")
+    # rows without a time need no order: those of each task are a bucket of their own
+    at = F.when(timed, series.bucket(F.col("t_s"), seconds)).otherwise(F.lit(series.FIRST) + F.spark_partition_id())
+    rows = samples.withColumn("_b", at)
+    rows = rows.withColumn("dt", F.col("t_s") - F.lag("t_s").over(Window.partitionBy("recording_id", "_b").orderBy("t_s")))
+    parts = rows.groupBy("recording_id", "_b").agg(
         F.count("t_s").alias("n_rows"), F.count(F.when(timed, F.col("value"))).alias("n_values"), F.min("t_s").alias("t_first"), F.max("t_s").alias("t_last"),
-        mean.alias("dt_mean"), F.min("dt").alias("dt_min"), F.max("dt").alias("dt_max"), F.stddev_pop("dt").alias("dt_std"), *more,
+        F.count("dt").alias("_n"), F.avg("dt").alias("_mean"), F.var_pop("dt").alias("_var"), F.min("dt").alias("_min"), F.max("dt").alias("_max"), *[part.alias(name) for name, (part, _) in more.items()],
+    )
+    # the interval from a bucket to the next one is in neither
+    parts = parts.withColumn("_gap", F.col("t_first") - F.lag("t_last").over(along.orderBy("_b")))
+    parts = parts.withColumn("_k", F.col("_n") + F.col("_gap").isNotNull().cast("int")).withColumn("_sum", F.coalesce(F.col("_n") * F.col("_mean"), F.lit(0.0)) + F.coalesce("_gap", F.lit(0.0)))
+    parts = parts.withColumn("dt_mean", F.sum("_sum").over(along) / F.nullif(F.sum("_k").over(along), F.lit(0)))
+    square = lambda c: (F.col(c) - F.col("dt_mean")) * (F.col(c) - F.col("dt_mean"))
+    parts = parts.withColumn("_dev", F.coalesce(F.col("_n") * (F.col("_var") + square("_mean")), F.lit(0.0)) + F.coalesce(square("_gap"), F.lit(0.0)))
+    g = parts.groupBy("recording_id").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_values").alias("n_values"), F.min("t_first").alias("t_first"), F.max("t_last").alias("t_last"),
+        F.max("dt_mean").alias("dt_mean"), F.min(F.least("_min", "_gap")).alias("dt_min"), F.max(F.greatest("_max", "_gap")).alias("dt_max"),
+        F.sqrt(F.sum("_dev") / F.nullif(F.sum("_k"), F.lit(0))).alias("dt_std"), *[whole(name).alias(name) for name, (_, whole) in more.items()],
     )
     g = g.withColumn("duration", F.col("t_last") - F.col("t_first")).withColumn("rate", F.when(F.col("dt_mean") > 0, 1 / F.col("dt_mean")).otherwise(0.0))
     return g.withColumn("expected", F.col("duration") * F.col("rate")).withColumn("gap", F.abs(F.col("n_rows") - F.col("expected")))

@@ -56,9 +56,9 @@ def first_channel_column(names: Column) -> Column:
 
 def recording_name(path: Column) -> Column:
     """File name without folder and ending; a part file of a table is named by the table's folder (or its value)."""
-    own = F.regexp_extract(path, r"([^/]+?)(?:\.csv(?:\.gz)?)?$", 1)
-    folder = F.regexp_extract(path, r"([^/=]+?)(?:\.csv)?/part-[^/]*$", 1)
-    return F.when(folder != "", folder).otherwise(own)
+    # one pattern, anchored in the path's last two parts: searched for along the whole path, it costs more than a row's parsing
+    last = r"^(?:(?:[^/]*=)?([^/=]+?)(?:\.csv)?/part-[^/]*|(?:[^/]*/)?([^/]+?)(?:\.csv(?:\.gz)?)?|.*)$"
+    return F.regexp_replace(F.substring_index(path, "/", -2), last, "$1$2")
 
 
 def read_recordings(spark: SparkSession, path: str | list[str], units_row: bool = True, canal: bool = False, seconds: float = series.SECONDS, numbered: bool = True) -> DataFrame:
@@ -77,7 +77,9 @@ def read_recordings(spark: SparkSession, path: str | list[str], units_row: bool
     tagged = raw.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(raw.columns)], recording_name(F.col("_metadata.file_path")).alias("recording_id"))
     column = lambda c: F.col(f"_{names.index(c)}")
     ts = parse_clock_time(column(time))
-    t_s = F.coalesce(clean_numeric(column(time)), F.unix_micros(ts) / F.lit(1e6))
+    # a clock time is no number: Spark need not try, which costs as much as parsing it
+    seconds_of = clean_numeric(F.when(~column(time).contains(":"), column(time)))
+    t_s = F.coalesce(seconds_of, F.unix_micros(ts) / F.lit(1e6))
     ch = F.array(*[clean_numeric(column(c)) for c in channels])
     out = tagged.select("recording_id", t_s.alias("t_s"), ts.alias("ts"), ch.alias("ch"))
     if units_row:

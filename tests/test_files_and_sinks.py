@@ -1,5 +1,6 @@
 """Folders of dirty exports, and sinks that survive a restart."""
 
+import time
 from unittest.mock import MagicMock
 
 import numpy as np
@@ -67,6 +68,25 @@ def test_profiles_of_files(spark, folder):
     assert only == {"old": 0}  # all cells are nan
 
 
+def test_profiles_parse_every_file_once(spark, folder):
+    plan = jobs.profile_files(spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 3  # header families
+
+
+def test_a_name_takes_no_search_along_the_path(spark):
+    from pyspark.sql import functions as F
+
+    paths = {
+        "file:///a/b/eeg.csv": "eeg", "a/eeg.csv.gz": "eeg", "eeg": "eeg", "a/.csv": ".csv", "a/x.csv.csv": "x.csv", "part-0.csv": "part-0", "a/x=1.csv": "x=1", "a/": "", "": "",
+        "a/aura_1/part-0-c000.csv": "aura_1", "a/aura_1.csv/part-0": "aura_1", "a/recording_id=click/part-0.csv": "click", "a/x=y=z/part-0": "z", "a/x=/part-0.csv": "part-0",
+        "file:/" + "d" * 300_000 + "/" + "e=" * 50 + "/recording_id=f/part-0.csv": "f",
+    }
+    df = spark.createDataFrame([(k,) for k in paths], "p string")
+    began = time.time()
+    assert {r["p"]: r["n"] for r in df.select("p", R.recording_name(F.col("p")).alias("n")).collect()} == paths
+    assert time.time() - began < 20  # some tens of billions of steps where the search begins anew at each character
+
+
 def test_cleaning_from_files(spark, folder):
     got = {(r["recording_id"], r["name"]): r for r in jobs.denoise_files(spark, str(folder)).collect()}
     assert {k for k in got} == {(r, n) for r, ns in (("aura_1", ("Channel_1", "Channel_2")), ("aura_2", ("Channel_1", "Channel_2")), ("old", ("ch1", "ch2")), ("eeg", ("Fp1", "O2"))) for n in ns}

@@ -50,6 +50,23 @@ def test_buckets_do_not_change_results(jittered, width):
     assert by_row(got, "n", "p", "c") == by_row(plain, "n", "p", "c")
 
 
+@pytest.mark.parametrize("width", [0.5, 10.0, 1e9])
+def test_profiles_are_put_together_from_buckets(spark, jittered, width):
+    regular = spark.createDataFrame([("c", i, 1e9 + i / FS, [], 1.0) for i in range(2000)], jittered.schema)
+    rows = jittered.filter("not isnan(t_s) or t_s is null").unionByName(regular)
+    extra = {"untimed": (F.count_if(F.col("t_s").isNull()), F.sum), "top": (F.max("sample_idx"), F.max)}
+    got = {r["recording_id"]: r for r in O.recording_profile(rows, width, extra).collect()}
+    for name, r in got.items():
+        own = [x for x in rows.collect() if x["recording_id"] == name]
+        t = np.sort([x["t_s"] for x in own if x["t_s"] is not None])
+        d = np.diff(t)
+        assert (r["n_rows"], r["n_values"]) == (len(t), sum(x["t_s"] is not None and x["value"] is not None for x in own))
+        assert (r["untimed"], r["top"]) == (len(own) - len(t), max(x["sample_idx"] for x in own))
+        assert [r["t_first"], r["t_last"], r["dt_min"], r["dt_max"]] == [t[0], t[-1], d.min(), d.max()]
+        assert r["dt_mean"] == pytest.approx(d.mean(), rel=1e-12) and r["dt_std"] == pytest.approx(d.std(), rel=1e-6)
+    assert len(got) == 3
+
+
 def test_operators_on_tiny_buckets(jittered):
     whole, tiny = 1e9, 3.0
     for op, columns in ((lambda s: O.fill_malformed(jittered, 3, s), ["ch"]), (lambda s: O.sample_intervals(jittered, s), ["dt"])):
