@@ -130,6 +130,43 @@ def test_event_windows_take_their_samples_in_bounded_files(spark, tmp_path, monk
     assert len(sizes) > 4 and max(sizes[2:]) <= 28 * 200 * 1.2
 
 
+def test_event_windows_write_and_read_a_batch_side_by_side(spark, tmp_path, monkeypatch):
+    """Every number's files are one micro-batch, also where few rows leave files empty; its state has no row a sample, and no more
+    stores than the session has cores."""
+    queries, publish = [], R.publish
+    monkeypatch.setattr(registry, "_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(registry, "SAMPLES", 700)
+    monkeypatch.setattr(R, "publish", lambda *a, **k: queries.append(publish(*a, **k)) or queries[-1])
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        got = sorted(map(tuple, registry.event_windows(spark, SF).collect()))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "11"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got == by_sql("event_windows")
+    read = [spark.read.parquet(str(p)) for p in sorted((tmp_path / "in").iterdir(), key=lambda p: int(p.name))]
+    assert [len(p.inputFiles()) for p in read] == [registry.FILES] * len(read)
+    progress = queries[0].recentProgress
+    assert [p["numInputRows"] for p in progress if p["numInputRows"]] == [p.count() for p in read]
+    states = [op for p in progress for op in p["stateOperators"]]
+    assert max(op["numRowsTotal"] for op in states) <= 2 * 28
+    assert {op["numShufflePartitions"] for op in states} == {min(11, spark.sparkContext.defaultParallelism)}
+
+
+def test_samples_are_numbered_in_buckets_as_in_whole_series(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sigmill.sources import views
+
+    l = spark.read.parquet(SF + "/lineitem.parquet").withColumn("l_suppkey", F.when(F.col("l_partkey") % 9 > 0, F.col("l_suppkey")))
+    l.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(views, "ORDERS", 1000.0)
+    want, got = (f(spark, str(tmp_path)) for f in (views.long_samples, views.long_samples_in_buckets))
+    assert got.dtypes == want.dtypes and got.count() == l.count()
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
 def test_streams_of_frames_take_them_in_bounded_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(registry, "_folder", lambda _: str(tmp_path))
     monkeypatch.setattr(registry, "FRAMES", 40)

@@ -180,6 +180,31 @@ def test_late_and_repeated_rows(spark, tmp_path):
     assert windows.late_rows(q) == 3  # 3, 20 and 21
 
 
+def test_event_windows_keep_a_state_row_for_many_windows(spark, tmp_path):
+    """Windows over three batches and two blocks, given out once each when the watermark has passed their end; nulls, NaN and
+    unordered and repeated samples are as in the table."""
+    value = lambda i: None if i % 90 == 7 else float("nan") if i % 90 == 8 else float(i)
+    line = lambda i, v: json.dumps({"recording_id": None if i % 2 else "a", "channel": i % 2, "sample_idx": None if i == 33 else i, "ts": f"2025-01-01T00:{i // 600:02d}:{i % 600 / 10:06.3f}Z", "value": v}) + "\n"
+    due = [(i, value(i)) for i in range(9000)]
+    parts = [[*due[4000::-1], (3990, 3990.0)], [(3995, -1.0), *due[4001:4100], (4100, 4100.0)], [(4099, -1.0), *due[4101:]]]
+    (tmp_path / "in").mkdir()
+    for k, part in enumerate(parts):
+        (tmp_path / "in" / f"{k}.json").write_text("".join(line(*r) for r in part).replace("NaN", '"NaN"'))
+        os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + 10 * k,) * 2)
+    schema = "recording_id string, channel int, sample_idx long, ts timestamp, value double"
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    stream = windows.event_windows(raw.withWatermark("ts", "2 seconds"), "channel", seconds=4, whole=False)
+    q = R.publish(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), available_now=True)
+    assert q.awaitTermination(90)
+    table = spark.read.schema(schema).json(str(tmp_path / "in")).filter("value >= 0 or value is null or isnan(value)")
+    want = windows.event_windows(table, "channel", seconds=4, whole=False).filter("start < timestamp'2025-01-01 00:14:56'")
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert stream.dtypes == want.dtypes and got.count() == want.count() == 2 * 224
+    plain = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    assert plain(got) == plain(want)
+    assert windows.late_rows(q) == 0 and max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]) <= 8
+
+
 def test_write_pair_stopped_between_its_writes(spark, fed, tmp_path):
     """The second table can't be written in the first run; after the restart every row is in both tables once."""
     folder, _ = fed
