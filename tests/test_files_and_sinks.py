@@ -160,6 +160,7 @@ def test_samples_are_numbered_in_buckets_as_in_whole_series(spark, tmp_path, mon
     from sigmill.sources import views
 
     l = spark.read.parquet(SF + "/lineitem.parquet").withColumn("l_suppkey", F.when(F.col("l_partkey") % 9 > 0, F.col("l_suppkey")))
+    l = l.withColumn("l_linenumber", F.when(F.col("l_partkey") % 7 > 0, F.col("l_linenumber") - 3))
     l.write.parquet(str(tmp_path / "lineitem.parquet"))
     monkeypatch.setattr(views, "ORDERS", 1000.0)
     want, got = (f(spark, str(tmp_path)) for f in (views.long_samples, views.long_samples_in_buckets))
